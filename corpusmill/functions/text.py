@@ -15,10 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The Unicode whitespace set of Python's str.isspace / re \s,
-# written as a Java/RE2 character class (29 code points).
+# The Unicode whitespace set of Python's str.isspace / re \s
+# (29 code points), as code-point ranges, as a Java/RE2 character class,
+# and as a plain string for btrim / translate.
+WS_RANGES = [(0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680),
+             (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)]
 WS = (r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
       r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
+WS_CHARS = "".join(chr(c) for lo, hi in WS_RANGES for c in range(lo, hi + 1))
 
 
 def _c(col) -> Column:
@@ -26,18 +30,22 @@ def _c(col) -> Column:
 
 
 def strip(col) -> Column:
-    """Python ``str.strip()``: drop leading/trailing Unicode whitespace."""
-    return F.regexp_replace(_c(col), rf"\A{WS}+|{WS}+\z", "")
+    """Python ``str.strip()``: drop leading/trailing Unicode whitespace.
+
+    ``btrim`` with the explicit 29-character set is a native string scan
+    (no regex), several times faster than an anchored ``regexp_replace``.
+    """
+    return F.btrim(_c(col), F.lit(WS_CHARS))
 
 
 def remove_ws(col) -> Column:
-    """Python ``re.sub(r"\\s+", "", x)``."""
-    return F.regexp_replace(_c(col), f"{WS}+", "")
+    """Python ``re.sub(r"\\s+", "", x)``: delete every whitespace character."""
+    return F.translate(_c(col), WS_CHARS, "")
 
 
 def is_blank(col) -> Column:
     """True when the string is empty or only whitespace (Python ``not x.strip()``)."""
-    return _c(col).rlike(rf"\A{WS}*\z")
+    return strip(col) == F.lit("")
 
 
 def clip(col, keep: int, threshold: int | None = None, suffix: str = "") -> Column:

@@ -110,10 +110,10 @@ def parse_progress(df: DataFrame, col: str = "line", sci: bool = False) -> DataF
 
 
 def carry_forward(df: DataFrame, by: str = "run_id", ord_col: str = "line_no",
-                  cols: list[str] = PROGRESS_COLS, chunk: int | None = None) -> DataFrame:
+                  cols: list[str] = PROGRESS_COLS, chunk: int | None = 1 << 20) -> DataFrame:
     """Progress state after each line: last non-NULL value so far.
 
-    With ``chunk`` set, every run is cut into segments of ``chunk``
+    With ``chunk`` set (the default), every run is cut into segments of ``chunk``
     consecutive line numbers. Each segment carries forward on its own
     (partitioned by run and segment, so a run holding a third of all lines
     is spread over many tasks), and the carry-in of a segment is the last

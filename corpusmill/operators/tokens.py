@@ -1,7 +1,7 @@
 """Tokenization, truncation and sequence packing.
 
-The native tokenizer splits on Unicode whitespace with a JVM regex, so the
-hot path stays in codegen. An external tokenizer (e.g. a local
+The native tokenizer splits on runs of Unicode whitespace (Python's
+``str.split()``) with a JVM split, so the hot path stays in codegen. An external tokenizer (e.g. a local
 ``tokenizers`` vocabulary file) can be plugged in; it runs in an
 Arrow-batched pandas UDF and is loaded once per Python worker.
 """
@@ -10,20 +10,20 @@ from __future__ import annotations
 
 from typing import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill.functions.text import WS, _c, hash_bucket
 
-TOKEN_RE = f"([^{WS[1:-1]}]+)"
-
 _TOKENIZER_CACHE: dict = {}
 
 
 def native_tokens(col) -> Column:
-    """Whitespace tokens (Python ``str.split()``)."""
-    return F.regexp_extract_all(_c(col), F.lit(TOKEN_RE), 1)
+    """Whitespace tokens (Python ``str.split()``): split on whitespace runs,
+    drop the empty pieces a leading/trailing run leaves."""
+    return F.filter(F.split(_c(col), WS + "+", -1), lambda t: t != "")
 
 
 def external_ids(col, factory: Callable[[], Callable[[list[str]], list[list[int]]]], key: str) -> Column:
@@ -33,8 +33,6 @@ def external_ids(col, factory: Callable[[], Callable[[list[str]], list[list[int]
     ``tokenizers.Tokenizer.from_file(path).encode_batch``); it is called once
     per worker and cached under ``key``.
     """
-    import pandas as pd
-
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def _enc(s: pd.Series) -> pd.Series:
         fn = _TOKENIZER_CACHE.get(key)
@@ -60,23 +58,44 @@ def truncate_tokens(df: DataFrame, col: str = "tokens", n: int = 512,
     return df.withColumn(col, cut).withColumn(mask, F.array_repeat(F.lit(1), F.size(F.col(col))))
 
 
+def run_offsets(runs: DataFrame, group: str, order: str, length: str, chunk: int | None) -> DataFrame:
+    """[start, end) offset of every run in the concatenation of its group,
+    ordered by ``order``.
+
+    With ``chunk`` set, the running sum is segmented: the group is cut into
+    chunks of ``chunk`` consecutive order values; a per-chunk total (one row
+    per chunk) gets a running sum of earlier chunks, and the running sum
+    inside a chunk is a window partitioned by (group, chunk). No window
+    ever holds a whole group, whatever the number of groups.
+    """
+    n = F.col(length)
+    if chunk is None:
+        w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return runs.withColumn("_end", F.sum(n).over(w)).withColumn("_start", F.col("_end") - n)
+    r = runs.withColumn("_chunk", F.floor(F.col(order) / chunk))
+    totals = r.groupBy(group, "_chunk").agg(F.sum(n).alias("_tot"))
+    wb = Window.partitionBy(group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select(group, "_chunk", F.coalesce(F.sum("_tot").over(wb), F.lit(0)).alias("_base"))
+    w = Window.partitionBy(group, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    j = r.join(base, [group, "_chunk"], "left")
+    return (j.withColumn("_end", F.col("_base") + F.sum(n).over(w))
+             .withColumn("_start", F.col("_end") - n).drop("_chunk", "_base"))
+
+
 def pack(df: DataFrame, id_col: str, col: str = "tokens", block: int = 2048, eos: str = "</s>",
-         shards: int = 64, drop_last: bool = False) -> DataFrame:
+         shards: int = 64, drop_last: bool = False, chunk: int | None = 1 << 16) -> DataFrame:
     """Concatenate token runs (each followed by ``eos``) and cut fixed blocks.
 
     Runs are spread over ``shards`` by the md5 bucket of their id; within a
-    shard a running sum ordered by id gives each run its [start, end)
-    offset, runs are sliced at block boundaries with ``explode(sequence)``,
-    and every block is assembled by a group of at most ``block`` tokens.
-    No step holds more than one shard in a task, and shards are sized by
-    the caller (raise ``shards`` with the data).
+    shard, runs are concatenated in id order (offsets from ``run_offsets``,
+    segmented by ``chunk`` ids so the running sum is spread over many
+    tasks), cut at block boundaries with ``explode(sequence)``, and every
+    block is assembled by a group of at most ``block`` tokens.
     """
     runs = df.select(hash_bucket(F.col(id_col).cast("string"), shards).alias("shard"),
                      F.col(id_col).alias("run_id"),
                      F.concat(F.col(col), F.array(F.lit(eos))).alias("_t"))
-    runs = runs.withColumn("_n", F.size("_t"))
-    w = Window.partitionBy("shard").orderBy("run_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    runs = runs.withColumn("_end", F.sum("_n").over(w)).withColumn("_start", F.col("_end") - F.col("_n"))
+    runs = run_offsets(runs.withColumn("_n", F.size("_t")), "shard", "run_id", "_n", chunk)
     pieces = runs.select(
         "shard", "run_id", "_t", "_start", "_end",
         F.explode(F.sequence(F.floor(F.col("_start") / block),

@@ -35,7 +35,7 @@ CATEGORIES = {
     "empty": [],
 }
 SEARCH_BASE = "https://example.org/search/?q="
-PACK_BLOCK, PACK_SHARDS, EOS = 256, 4, "</s>"
+PACK_BLOCK, PACK_SHARDS, PACK_CHUNK, EOS = 256, 4, 100, "</s>"
 CARRY_CHUNK = 1000
 
 
@@ -440,7 +440,8 @@ def q_token_truncate(spark, d):
 
 
 def q_pack_sequences(spark, d):
-    b = tokens.pack(_tokens(spark, d), "doc_id", "tokens", block=PACK_BLOCK, eos=EOS, shards=PACK_SHARDS)
+    b = tokens.pack(_tokens(spark, d), "doc_id", "tokens", block=PACK_BLOCK, eos=EOS, shards=PACK_SHARDS,
+                    chunk=PACK_CHUNK)
     return b.select("shard", "block", "n_tokens", F.array_join("tokens", " ").alias("joined"))
 
 
