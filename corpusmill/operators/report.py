@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
-def collection_report(marked: DataFrame, text_col: str = "text", by: str = "source") -> DataFrame:
-    """One row per source from a frame carrying the ``kept`` flag of
-    ``dedupe.mark_first``: a single hash aggregate, partial before the shuffle."""
-    kept = F.col("kept")
-    return marked.groupBy(by).agg(
+def collection_report(df: DataFrame, key: Column, text_col: str = "text", by: str = "source",
+                      ord_col: str = "ord") -> DataFrame:
+    """Passages collected and kept (first-wins on ``key``) per source, and
+    the kept characters.
+
+    Only (source, ord, length, key) enter the plan: winners are a hash
+    aggregate ``min(ord)`` per key, marked back with a left join on the
+    unique ``ord`` (no skewed join key), then one hash aggregate per source.
+    """
+    base = df.select(F.col(by), F.col(ord_col), F.length(F.col(text_col)).alias("_chars"), key.alias("_k"))
+    w = base.groupBy("_k").agg(F.min(ord_col).alias(ord_col)).select(ord_col, F.lit(True).alias("_kept"))
+    kept = F.coalesce(F.col("_kept"), F.lit(False))
+    return base.join(w, ord_col, "left").groupBy(by).agg(
         F.count(F.lit(1)).alias("n_collected"),
         F.sum(kept.cast("bigint")).alias("n_kept"),
-        F.sum(F.when(kept, F.length(F.col(text_col))).otherwise(F.lit(0))).cast("bigint").alias("kept_chars"),
+        F.sum(F.when(kept, F.col("_chars")).otherwise(F.lit(0))).cast("bigint").alias("kept_chars"),
     )
 
 

@@ -16,8 +16,10 @@ from corpusmill.operators import (chat, clean, combine, dedupe, filters, pairs,
                                   runlog, score, tokens)
 from corpusmill.plans import corpus_builder as CB
 from corpusmill.session import scratch_dir
+from corpusmill.sources import crawl as CR
 from corpusmill.sources import html as H
 from corpusmill.sources import jsonl as J
+from corpusmill.sources import registry as REG
 from corpusmill.sources import sinks as S
 from corpusmill.sources.tables import make_ord, rank_map, read_table, scan_pages, scan_passages, \
     seed_from_benchmark, select_sources
@@ -354,7 +356,7 @@ def q_dedupe_first_wins(spark, d):
 
 def q_collection_report(spark, d):
     docs = _ord_docs(spark, d)
-    return report.collection_report(dedupe.mark_first(docs, X.dedupe_key("text")), "text")
+    return report.collection_report(docs, X.dedupe_key("text"), "text")
 
 
 def q_alignment_score(spark, d):
@@ -500,6 +502,49 @@ def q_expanded_corpus(spark, d):
     return out.select("text_id", "source", "text")
 
 
+# ---------------------------------------------------------------- plug-in sources, crawl, preview, run report
+@REG.register("documents")
+def _src_documents(spark, sf_dir):
+    return scan_passages(_docs(spark, sf_dir)).select("source", "text_id", "language", "content",
+                                                      F.col("text_id").cast("bigint").alias("doc_ord"),
+                                                      F.lit(0).alias("pos"))
+
+
+@REG.register("crawl")
+def _src_crawl(spark, sf_dir):
+    return CR.crawl_passages(_pages(spark, sf_dir), source="crawl", separator="\n", para_sep="\n",
+                             min_len=30, cap=50)
+
+
+def q_crawl_paragraphs(spark, d):
+    return CR.crawl_paragraphs(_pages(spark, d), separator="\n", para_sep="\n", min_len=30, cap=50)
+
+
+def q_registry_sources(spark, d):
+    u = REG.build_sources(spark, ["crawl", "documents", "not_registered", "crawl"],
+                          {"crawl": {"sf_dir": d}, "documents": {"sf_dir": d}})
+    return u.select("source_rank", "source", "text_id", make_ord("source_rank", "doc_ord", "pos").alias("ord"),
+                    F.md5("content").alias("content_md5"))
+
+
+def q_preview_file(spark, d):
+    path = scratch_dir(spark, "preview-jsonl")
+    S.sink_jsonl(_flagship(spark, d), path, ordered=True)
+    return J.preview_lines(spark, path, 3, 120)
+
+
+def q_run_report(spark, d):
+    parsed = _parsed(spark, d)
+    latest = runlog.progress_latest(parsed)
+    out = runlog.run_outcome(latest, _exits(spark, d))
+    disp = runlog.progress_display(out.drop("rc", "status"), total_epochs=3)
+    errs = runlog.error_excerpt(_run_log(spark, d), _exits(spark, d))
+    return (out.select("run_id", "status").join(disp, "run_id")
+               .join(errs, "run_id", "left")
+               .select("run_id", "status", "pct", "epoch_label", "step_label", "loss_label", "eta_label",
+                       "pct_label", "excerpt"))
+
+
 QUERIES = {
     "scan_pages": q_scan_pages,
     "scan_passages": q_scan_passages,
@@ -561,4 +606,8 @@ QUERIES = {
     "progress_stream": q_progress_stream,
     "training_input": q_training_input,
     "expanded_corpus": q_expanded_corpus,
+    "crawl_paragraphs": q_crawl_paragraphs,
+    "registry_sources": q_registry_sources,
+    "preview_file": q_preview_file,
+    "run_report": q_run_report,
 }

@@ -412,4 +412,36 @@ FROM ({LATEST})"""
     q["expanded_corpus"] = (f"SELECT text_id, source, {EXPANDED_TEXT} AS text FROM ({EXPANDED_ITEMS}) i "
                             f"LEFT JOIN {POLICY} ON i.license = pol.lt "
                             f"WHERE coalesce(scraping_allowed, true) AND coalesce(commercial_use, true)")
+    crawl = f"""
+WITH m AS ({HTML_MAIN}),
+c AS (SELECT page_id, regexp_replace(main_text, '(?m)\\[.*?\\]|\\(.*?\\)|^{WS}*[\\[\\(].*?[\\]\\)].*$', '', 'g') AS t
+      FROM m),
+p AS (SELECT page_id, CAST(pos AS INTEGER) AS pos, {strip('raw')} AS paragraph FROM (
+        SELECT page_id, unnest(parts) AS raw, unnest(range(len(parts))) AS pos
+        FROM (SELECT page_id, string_split(t, {NL}) AS parts FROM c)))
+SELECT page_id, pos, paragraph FROM (
+  SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rn FROM p WHERE length(paragraph) > 30)
+WHERE rn <= 50"""
+    q["crawl_paragraphs"] = crawl
+    q["registry_sources"] = (f"SELECT 0 AS source_rank, 'crawl' AS source, CAST(page_id AS VARCHAR) || '-' || "
+                             f"CAST(pos AS VARCHAR) AS text_id, {ordx('0', 'page_id', 'pos')} AS ord, "
+                             f"md5(paragraph) AS content_md5 FROM ({crawl}) UNION ALL "
+                             f"SELECT 1 AS source_rank, source, CAST(doc_id AS VARCHAR) AS text_id, "
+                             f"{ordx('1', 'doc_id')} AS ord, md5(coalesce(text, '')) AS content_md5 FROM documents")
+    flag_ord = FLAGSHIP.replace('SELECT coalesce(instruction', 'SELECT ord, coalesce(instruction')
+    q["preview_file"] = f"SELECT substring(text, 1, 120) AS preview FROM ({flag_ord}) ORDER BY ord LIMIT 3"
+    q["run_report"] = f"""
+WITH o AS (
+  SELECT e.run_id, CASE WHEN rc = 0 THEN 'complete' ELSE 'failed' END AS status,
+         CASE WHEN rc = 0 THEN 100 ELSE pct END AS pct, epoch_cur, epoch_total, step_cur, step_total, loss, eta
+  FROM ({EXITS}) e LEFT JOIN ({LATEST}) l ON e.run_id = l.run_id
+), er AS ({EXCERPT})
+SELECT o.run_id, status, coalesce(pct, 0) AS pct,
+  coalesce(CAST(epoch_cur AS VARCHAR), '?') || '/' || coalesce(CAST(epoch_total AS VARCHAR), '3') AS epoch_label,
+  coalesce(CAST(step_cur AS VARCHAR), '?') || '/' || coalesce(CAST(step_total AS VARCHAR), '?') AS step_label,
+  CASE WHEN loss IS NULL THEN '—' ELSE printf('%.4f', loss) END AS loss_label,
+  CASE WHEN eta IS NULL OR eta = '' THEN '—' ELSE eta END AS eta_label,
+  CASE WHEN coalesce(pct, 0) > 6 THEN CAST(coalesce(pct, 0) AS VARCHAR) || '%' ELSE '' END AS pct_label,
+  er.excerpt
+FROM o LEFT JOIN er ON o.run_id = er.run_id"""
     return {k: v.strip() for k, v in q.items()}

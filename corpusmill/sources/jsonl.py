@@ -23,12 +23,6 @@ RICH_SCHEMA = "instruction string, response string, text string"
 ABSTRACT_SCHEMA = "title string, abstract string, source string, license string"
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text lines with their file and a stable within-file offset key."""
-    return spark.read.text(path).select(
-        F.col("value"), F.col("_metadata.file_path").alias("file_path"))
-
-
 def scan_two_format(spark: SparkSession, path: str, templates: list[str] = K.PROMPTS_4,
                     on_error: str = "fail", extra_fields: str = "") -> DataFrame:
     """Two-format instruction JSONL -> (user_msg, asst_msg, rich)."""
@@ -86,3 +80,22 @@ def reuse_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame
     if schema:
         r = r.schema(schema)
     return r.json(path)
+
+
+def preview_lines(spark: SparkSession, path: str, n: int = 3, clip_len: int = 120) -> DataFrame:
+    """First ``n`` physical lines of a JSONL output (files in name order),
+    blank ones then dropped; a line shows its ``text`` field when it has
+    one, else the raw line; clipped (T2).
+
+    Physical order = (file, split start, position in the split): splits of
+    one file are read whole by one task, and ``monotonically_increasing_id``
+    grows in read order inside a task. Planned as a top-n, never a sort of
+    the whole output.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_f"),
+        F.col("_metadata.file_block_start").alias("_b"),
+        F.monotonically_increasing_id().alias("_i"))
+    first = lines.orderBy("_f", "_b", "_i").limit(n)
+    shown = F.coalesce(F.get_json_object("value", "$.text"), F.col("value"))
+    return first.where(~is_blank("value")).select(F.substring(shown, 1, clip_len).alias("preview"))

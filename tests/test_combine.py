@@ -30,8 +30,10 @@ def test_first_wins_and_partition_invariance(spark):
         exp = sorted(_py_first_wins(DUP, casefold))
         for parts in (1, 3, 7):
             d = df.repartition(parts)
-            got = sorted(r.ord for r in dedupe.dedupe_first(d, dedupe_key("instruction", casefold)).collect())
-            assert got == exp
+            for strategy in ("window", "semi"):
+                got = sorted(r.ord for r in dedupe.dedupe_first(d, dedupe_key("instruction", casefold),
+                                                                strategy=strategy).collect())
+                assert got == exp
 
 
 def test_dedupe_idempotent(spark):
@@ -44,7 +46,7 @@ def test_dedupe_idempotent(spark):
 def test_report_counts(spark):
     df = spark.createDataFrame([(o, i, "s%d" % (o % 2), i or "") for o, i in DUP],
                                "ord long, instruction string, source string, text string")
-    rows = {r.source: r for r in report.collection_report(dedupe.mark_first(df, dedupe_key("instruction"))).collect()}
+    rows = {r.source: r for r in report.collection_report(df, dedupe_key("instruction")).collect()}
     assert sum(r.n_collected for r in rows.values()) == len(DUP)
     assert sum(r.n_kept for r in rows.values()) == len(_py_first_wins(DUP))
 

@@ -29,8 +29,13 @@ def test_policy_join_is_broadcast(spark, sf_small):
     assert "BroadcastHashJoin" in full_plan(C.q_license_filter(spark, sf_small))
 
 
-def test_dedupe_is_hash_aggregate_on_bigint(spark, sf_small):
+def test_dedupe_limits_each_key_before_the_shuffle(spark, sf_small):
     p = full_plan(C.q_dedupe_first_wins(spark, sf_small))
+    assert "WindowGroupLimit" in p and "Partial" in p
+
+
+def test_report_is_hash_aggregate_on_bigint(spark, sf_small):
+    p = full_plan(C.q_collection_report(spark, sf_small))
     assert "HashAggregate" in p and "SortAggregate" not in p
 
 
