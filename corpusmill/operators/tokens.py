@@ -15,15 +15,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.functions.text import WS, _c, hash_bucket
+from corpusmill.functions.text import WS_CHARS, _c, hash_bucket
 
 _TOKENIZER_CACHE: dict = {}
 
 
+_OTHER_WS = WS_CHARS.replace(" ", "")
+
+
 def native_tokens(col) -> Column:
-    """Whitespace tokens (Python ``str.split()``): split on whitespace runs,
-    drop the empty pieces a leading/trailing run leaves."""
-    return F.filter(F.split(_c(col), WS + "+", -1), lambda t: t != "")
+    """Whitespace tokens (Python ``str.split()``).
+
+    Every whitespace character is first mapped to a space with
+    ``translate`` (a character map, no regex), then the text is split on the
+    single space and the empty pieces of whitespace runs are dropped.
+    """
+    spaced = F.translate(_c(col), _OTHER_WS, " " * len(_OTHER_WS))
+    return F.filter(F.split(spaced, " ", -1), lambda t: t != "")
 
 
 def external_ids(col, factory: Callable[[], Callable[[list[str]], list[list[int]]]], key: str) -> Column:
@@ -89,21 +97,26 @@ def pack(df: DataFrame, id_col: str, col: str = "tokens", block: int = 2048, eos
     Runs are spread over ``shards`` by the md5 bucket of their id; within a
     shard, runs are concatenated in id order (offsets from ``run_offsets``,
     segmented by ``chunk`` ids so the running sum is spread over many
-    tasks), cut at block boundaries with ``explode(sequence)``, and every
+    tasks), cut into one slice per block it touches (``transform`` over the
+    block sequence, then ``inline``), and every
     block is assembled by a group of at most ``block`` tokens.
     """
     runs = df.select(hash_bucket(F.col(id_col).cast("string"), shards).alias("shard"),
                      F.col(id_col).alias("run_id"),
                      F.concat(F.col(col), F.array(F.lit(eos))).alias("_t"))
     runs = run_offsets(runs.withColumn("_n", F.size("_t")), "shard", "run_id", "_n", chunk)
-    pieces = runs.select(
-        "shard", "run_id", "_t", "_start", "_end",
-        F.explode(F.sequence(F.floor(F.col("_start") / block),
-                             F.floor((F.col("_end") - 1) / block))).alias("block"))
-    lo = F.greatest(F.col("block") * block, F.col("_start"))
-    hi = F.least((F.col("block") + 1) * block, F.col("_end"))
-    pieces = pieces.select("shard", "block", lo.alias("_off"),
-                           F.slice("_t", (lo - F.col("_start") + 1).cast("int"), (hi - lo).cast("int")).alias("_p"))
+    start, end = F.col("_start"), F.col("_end")
+
+    def piece(b):
+        lo = F.greatest(b * block, start)
+        hi = F.least((b + 1) * block, end)
+        return F.struct(b.alias("block"), lo.alias("_off"),
+                        F.slice("_t", (lo - start + 1).cast("int"), (hi - lo).cast("int")).alias("_p"))
+
+    # one slice per block the run touches, built inside the row: the run's
+    # tokens are copied once in total, not once per block
+    blocks_of_run = F.sequence(F.floor(start / block), F.floor((end - 1) / block))
+    pieces = runs.select("shard", F.inline(F.transform(blocks_of_run, piece)))
     blocks = (pieces.groupBy("shard", "block")
                     .agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_off", "_p"))),
                                                lambda s: s["_p"])).alias("tokens")))
