@@ -137,6 +137,13 @@ def q_build_corpus(spark, d):
     return _flagship(spark, d).select(*S.FLAT_FIELDS)
 
 
+def q_build_corpus_exact_key(spark, d):
+    """Training-path variant: case-sensitive key, seeds only below 20 rows."""
+    c = CB.build_corpus(_docs(spark, d), seed_from_benchmark(spark, d), SOURCES, casefold=False,
+                        floor="if_below", floor_n=20)
+    return c.select(*S.FLAT_FIELDS)
+
+
 def q_sink_jsonl(spark, d):
     path = scratch_dir(spark, "flat-jsonl")
     S.sink_jsonl(_flagship(spark, d), path, ordered=True)
@@ -496,6 +503,15 @@ def q_training_input(spark, d):
     return t.select(F.md5(F.array_join("tokens", " ")).alias("tokens_md5"), F.size("tokens").alias("n_tokens"))
 
 
+CHAT_MARKERS = {"start": "<|turn|>", "role_sep": "\n", "end": "<|end|>\n"}
+
+
+def q_expanded_corpus_chat(spark, d):
+    items = _expanded_items(spark, d).withColumnRenamed("license", "license_type")
+    kept = policy.license_filter(items, policy.policy_table(spark), commercial=True)
+    return CB.format_expanded(kept, style="chat", markers=CHAT_MARKERS).select("text_id", "source", "text")
+
+
 def q_expanded_corpus(spark, d):
     items = _expanded_items(spark, d).withColumnRenamed("license", "license_type")
     out = CB.expanded_corpus(items, policy.policy_table(spark), commercial=True)
@@ -553,6 +569,7 @@ QUERIES = {
     "scan_abstracts": q_scan_abstracts,
     "reuse_or_build": q_reuse_or_build,
     "build_corpus": q_build_corpus,
+    "build_corpus_exact_key": q_build_corpus_exact_key,
     "sink_jsonl": q_sink_jsonl,
     "sink_nested_meta": q_sink_nested_meta,
     "html_passages": q_html_passages,
@@ -606,6 +623,7 @@ QUERIES = {
     "progress_stream": q_progress_stream,
     "training_input": q_training_input,
     "expanded_corpus": q_expanded_corpus,
+    "expanded_corpus_chat": q_expanded_corpus_chat,
     "crawl_paragraphs": q_crawl_paragraphs,
     "registry_sources": q_registry_sources,
     "preview_file": q_preview_file,

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import constants as K
 from corpusmill.functions.text import clip, dedupe_key, pick
-from corpusmill.operators import chat, combine, dedupe, pairs, policy, tokens
+from corpusmill.operators import chat, combine, dedupe, pairs, policy, report, tokens
+from corpusmill.sources import sinks
 from corpusmill.sources.tables import make_ord, rank_map
 
 
@@ -64,3 +65,16 @@ def training_input(records: DataFrame, max_tokens: int = 512) -> DataFrame:
     t = records.withColumn("text", chat.render_chat(msgs, "plain"))
     t = tokens.tokenize(t, "text", "tokens")
     return tokens.truncate_tokens(t, "tokens", max_tokens)
+
+
+def write_corpus(df: DataFrame, path: str, ordered: bool = False) -> dict:
+    """Write the flat corpus and return its row and character totals,
+    gathered by ``observe`` during the write itself (no extra job)."""
+    holder = {}
+
+    def watch(d):
+        holder["df"], holder["obs"] = report.observed(d)
+        return holder["df"]
+
+    sinks.sink_jsonl(df, path, ordered=ordered, watch=watch)
+    return dict(holder["obs"].get)

@@ -444,4 +444,21 @@ SELECT o.run_id, status, coalesce(pct, 0) AS pct,
   CASE WHEN coalesce(pct, 0) > 6 THEN CAST(coalesce(pct, 0) AS VARCHAR) || '%' ELSE '' END AS pct_label,
   er.excerpt
 FROM o LEFT JOIN er ON o.run_id = er.run_id"""
+    q["build_corpus_exact_key"] = (FLAGSHIP.replace(key('instruction'), key('instruction', False))
+                                   .replace("FROM benchmark\n",
+                                            "FROM benchmark WHERE (SELECT count(*) FROM (SELECT 1 FROM p LIMIT 20)) < 20\n"))
+    m = C.CHAT_MARKERS
+    turn = lambda role, content: (f"{lit(m['start'])} || '{role}' || {lit(m['role_sep'])} || {content} "
+                                  f"|| {lit(m['end'])}")
+    instr5 = pick('CAST(doc_id AS VARCHAR)', K.PROMPTS_5)
+    chat_text = (turn('user', f"{instr5} || {NL} || {NL} || ec") + " || "
+                 + turn('assistant', f"{lit(K.MESSAGE_LEAD)} || substring(ec, 1, 200) || '...'"))
+    q["expanded_corpus_chat"] = (f"SELECT text_id, source, {chat_text} AS text FROM ({EXPANDED_ITEMS}) i "
+                                 f"LEFT JOIN {POLICY} ON i.license = pol.lt "
+                                 f"WHERE coalesce(scraping_allowed, true) AND coalesce(commercial_use, true)")
+    rendered = (f"SELECT 'User: ' || instruction || {NL} || {NL} || 'Assistant: ' || response AS text "
+                f"FROM ({FLAGSHIP})")
+    toks = f"SELECT regexp_extract_all(text, {TOK_RX})[1:512] AS t FROM ({rendered})"
+    q["training_input"] = (f"SELECT md5(array_to_string(t, ' ')) AS tokens_md5, CAST(len(t) AS INTEGER) AS n_tokens "
+                           f"FROM ({toks})")
     return {k: v.strip() for k, v in q.items()}

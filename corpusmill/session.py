@@ -41,6 +41,26 @@ def build_session(master: str | None = None, app: str = "corpusmill",
     return spark
 
 
+def sizing_conf(input_bytes: int, target_partition_bytes: int = 256 << 20, expansion: float = 2.0,
+                min_partitions: int = 200) -> dict:
+    """Partition sizing for a cluster run.
+
+    Scan splits and shuffle partitions aim at ``target_partition_bytes``
+    (256 MB: fits executor memory with room for sort/aggregate buffers).
+    The shuffle starts from enough partitions for the expanded data and AQE
+    coalesces small ones at runtime; skewed partitions are split by AQE.
+    For 100 TB of input this gives ~800k initial shuffle partitions.
+    """
+    n = max(min_partitions, int(input_bytes * expansion // target_partition_bytes) + 1)
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(n),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(n),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+    }
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
@@ -79,4 +99,4 @@ def local_path(path: str) -> str:
 
 
 __all__ = ["build_session", "checkpoint_root", "scratch_dir", "path_exists",
-           "local_path", "DEFAULT_CONF"]
+           "local_path", "sizing_conf", "DEFAULT_CONF"]

@@ -15,13 +15,20 @@ FLAT_FIELDS = ["instruction", "response", "source", "language", "text"]
 
 
 def sink_jsonl(df: DataFrame, path: str, ordered: bool = False, ord_col: str = "ord",
-               mode: str = "overwrite") -> None:
+               mode: str = "overwrite", watch=None) -> None:
     """Flat 5-field JSONL. ``ordered=True`` range-partitions by ``ord`` and
     sorts within partitions, so part files concatenated in name order are in
-    collection order (no single-partition sort)."""
+    collection order (no single-partition sort).
+
+    ``watch`` (``DataFrame -> DataFrame``, e.g. an ``observe``) is applied
+    after the range exchange, so the sampling job of the range partitioner
+    does not count rows twice.
+    """
     out = df
     if ordered and ord_col in df.columns:
         out = df.repartitionByRange(ord_col).sortWithinPartitions(ord_col)
+    if watch is not None:
+        out = watch(out)
     out.select(*FLAT_FIELDS).write.mode(mode).option("ignoreNullFields", "true").json(path)
 
 
