@@ -459,13 +459,22 @@ def _parsed(spark, d):
     return runlog.parse_progress(_run_log(spark, d))
 
 
+INT_FIELDS = ["epoch_cur", "epoch_total", "pct", "step_cur", "step_total"]
+
+
+def _ints_as_double(df):
+    """Nullable integer fields presented as DOUBLE so that both engines hand
+    the comparison the same column type (NULL -> NaN on both sides)."""
+    return df.select(*[F.col(c).cast("double").alias(c) if c in INT_FIELDS else F.col(c) for c in df.columns])
+
+
 def q_log_parse(spark, d):
-    return _parsed(spark, d).select("run_id", "line_no", "kind", *runlog.PROGRESS_COLS)
+    return _ints_as_double(_parsed(spark, d).select("run_id", "line_no", "kind", *runlog.PROGRESS_COLS))
 
 
 def q_progress_forward_fill(spark, d):
     p = _parsed(spark, d).select("run_id", "line_no", *runlog.PROGRESS_COLS)
-    return runlog.carry_forward(p, "run_id", "line_no", runlog.PROGRESS_COLS, chunk=CARRY_CHUNK)
+    return _ints_as_double(runlog.carry_forward(p, "run_id", "line_no", runlog.PROGRESS_COLS, chunk=CARRY_CHUNK))
 
 
 def q_progress_latest(spark, d):

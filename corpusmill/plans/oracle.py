@@ -186,9 +186,12 @@ FROM m
 PCOLS = R.PROGRESS_COLS
 LATEST = (f"SELECT run_id, " + ", ".join(f"arg_max({c}, line_no) FILTER (WHERE {c} IS NOT NULL) AS {c}"
                                          for c in PCOLS) + f" FROM ({PARSED}) GROUP BY run_id")
+INTS = ["epoch_cur", "epoch_total", "pct", "step_cur", "step_total"]
+DBL = lambda c: f"CAST({c} AS DOUBLE) AS {c}" if c in INTS else c
 FFILL = (f"SELECT run_id, line_no, " + ", ".join(
     f"last_value({c} IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY line_no "
     f"ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {c}" for c in PCOLS) + f" FROM ({PARSED})")
+FFILL = f"SELECT run_id, line_no, {', '.join(DBL(c) for c in PCOLS)} FROM ({FFILL})"
 ERR_RX = _rx(r"\A(?:" + "|".join(K.ERROR_PREFIXES) + ")")
 EXCERPT = f"""
 WITH t AS (
@@ -223,7 +226,7 @@ WITH r AS (
   SELECT shard, st + i AS off, tok FROM (
     SELECT shard, st, unnest(t) AS tok, unnest(range(len(t))) AS i FROM r2)
 )
-SELECT shard, off // {C.PACK_BLOCK} AS block, CAST(count(*) AS INTEGER) AS n_tokens,
+SELECT shard, CAST(off // {C.PACK_BLOCK} AS BIGINT) AS block, CAST(count(*) AS INTEGER) AS n_tokens,
        string_agg(tok, ' ' ORDER BY off) AS joined
 FROM toks GROUP BY shard, off // {C.PACK_BLOCK}
 """
@@ -391,7 +394,7 @@ FROM r"""
     q["token_truncate"] = (f"SELECT doc_id, CAST(len(t) AS INTEGER) AS n_tokens, CAST(len(t) AS INTEGER) AS mask_sum, "
                            f"array_to_string(t, ' ') AS joined FROM (SELECT doc_id, tokens[1:512] AS t FROM ({TOKENS}))")
     q["pack_sequences"] = PACK
-    q["log_parse"] = f"SELECT run_id, line_no, kind, {', '.join(PCOLS)} FROM ({PARSED})"
+    q["log_parse"] = f"SELECT run_id, line_no, kind, {', '.join(DBL(c) for c in PCOLS)} FROM ({PARSED})"
     q["progress_forward_fill"] = FFILL
     q["progress_latest"] = LATEST
     q["tail_n"] = (f"SELECT run_id, line_no FROM (SELECT run_id, line_no, row_number() OVER (PARTITION BY run_id "
