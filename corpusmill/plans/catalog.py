@@ -16,6 +16,7 @@ from corpusmill.operators import (chat, clean, combine, dedupe, filters, pairs,
                                   runlog, score, tokens)
 from corpusmill.plans import corpus_builder as CB
 from corpusmill.session import scratch_dir
+from corpusmill.sources import builtin  # noqa: F401  (registers the built-in sources)
 from corpusmill.sources import crawl as CR
 from corpusmill.sources import html as H
 from corpusmill.sources import jsonl as J
@@ -528,30 +529,23 @@ def q_expanded_corpus(spark, d):
 
 
 # ---------------------------------------------------------------- plug-in sources, crawl, preview, run report
-@REG.register("documents")
-def _src_documents(spark, sf_dir):
-    return scan_passages(_docs(spark, sf_dir)).select("source", "text_id", "language", "content",
-                                                      F.col("text_id").cast("bigint").alias("doc_ord"),
-                                                      F.lit(0).alias("pos"))
-
-
-@REG.register("crawl")
-def _src_crawl(spark, sf_dir):
-    return CR.crawl_passages(_pages(spark, sf_dir), source="crawl", separator="\n", para_sep="\n",
-                             min_len=30, cap=50)
-
-
 def q_crawl_paragraphs(spark, d):
     return CR.crawl_paragraphs(_pages(spark, d), separator="\n", para_sep="\n", min_len=30, cap=50)
 
 
 def q_registry_sources(spark, d):
     u = REG.build_sources(spark, ["crawl", "documents", "not_registered", "crawl"],
-                          {"crawl": {"sf_dir": d}, "documents": {"sf_dir": d}})
+                          {"crawl": {"data_dir": d}, "documents": {"data_dir": d}})
     return u.select("source_rank", "source", "text_id", make_ord("source_rank", "doc_ord", "pos").alias("ord"),
                     F.md5("content").alias("content_md5"))
 
 
+def q_build_from_sources(spark, d):
+    params = {"crawl": {"data_dir": d}, "documents": {"data_dir": d}}
+    c = CB.build_corpus_from_sources(spark, ["crawl", "documents"], params, seed_from_benchmark(spark, d))
+    return c.select(*S.FLAT_FIELDS)
+
+
 def q_preview_file(spark, d):
     path = scratch_dir(spark, "preview-jsonl")
     S.sink_jsonl(_flagship(spark, d), path, ordered=True)
@@ -635,6 +629,7 @@ QUERIES = {
     "expanded_corpus_chat": q_expanded_corpus_chat,
     "crawl_paragraphs": q_crawl_paragraphs,
     "registry_sources": q_registry_sources,
+    "build_from_sources": q_build_from_sources,
     "preview_file": q_preview_file,
     "run_report": q_run_report,
 }

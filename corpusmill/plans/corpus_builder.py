@@ -38,6 +38,35 @@ def build_corpus(docs: DataFrame, seed: DataFrame, source_order: list[str],
     return pairs.fill_record(kept, response_fallback=None)
 
 
+def to_pairs(df: DataFrame, style: str, templates: list[str] = K.PROMPTS_7) -> DataFrame:
+    """Passages (with source_rank, doc_ord, pos) -> pairs in a source's style, with ``ord``."""
+    if style == "quoted":
+        p = pairs.pair_quoted(df, "content", "title", templates)
+    elif style == "commentary":
+        p = pairs.pair_commentary(df, "content", templates)
+    else:
+        p = pairs.pair_echo(df, "content", templates)
+    return p.select("instruction", "response", "source", "language",
+                    make_ord("source_rank", "doc_ord", "pos").alias("ord"))
+
+
+def build_corpus_from_sources(spark, chosen: list[str], params: dict, seed: DataFrame | None,
+                              casefold: bool = True, floor: str = "always", floor_n: int = 20) -> DataFrame:
+    """Dataset builder over registered sources: every chosen source becomes
+    pairs in its own style, in the chosen order; seeds are appended (always,
+    or only below ``floor_n``); first-wins dedupe; flat record with ``ord``.
+    ``chosen=[]`` with a seed is the offline, seeds-only build."""
+    from corpusmill.sources import registry
+    if chosen:
+        allp = registry.build_sources(spark, chosen, params, to_pairs=to_pairs)
+        if seed is not None:
+            allp = combine.with_floor(allp, seed, mode=floor, n=floor_n)
+    else:
+        allp = combine.seed_rows(seed)
+    kept = dedupe.dedupe_first(allp, dedupe_key("instruction", casefold=casefold))
+    return pairs.fill_record(kept, response_fallback=None)
+
+
 def format_expanded(items: DataFrame, templates: list[str] = K.PROMPTS_5, style: str = "plain",
                     lead: str = K.MESSAGE_LEAD, markers: dict | None = None) -> DataFrame:
     """Formatted training text for expanded items (content clipped to

@@ -431,6 +431,25 @@ WHERE rn <= 50"""
                              f"md5(paragraph) AS content_md5 FROM ({crawl}) UNION ALL "
                              f"SELECT 1 AS source_rank, source, CAST(doc_id AS VARCHAR) AS text_id, "
                              f"{ordx('1', 'doc_id')} AS ord, md5(coalesce(text, '')) AS content_md5 FROM documents")
+    lead_after = ", read as one of the work's recurring themes."
+    q["build_from_sources"] = f"""
+WITH c AS ({crawl}),
+p AS (
+  SELECT {pick('paragraph', K.PROMPTS_7)} || {NL} || {NL} || '"' || paragraph || '"' AS instruction,
+         'A passage from Page ' || CAST(page_id AS VARCHAR) || {lit(lead_after)} AS response,
+         'crawl' AS source, 'english' AS language, {ordx('0', 'page_id', 'pos')} AS ord FROM c
+  UNION ALL
+  SELECT {pick("coalesce(text, '')", K.PROMPTS_7)} || {NL} || {NL} || coalesce(text, '') AS instruction,
+         {lit(K.ECHO_LEAD)} || coalesce(text, '') AS response, source, lang AS language,
+         {ordx('1', 'doc_id')} AS ord FROM documents
+  UNION ALL
+  SELECT text, text, NULL, NULL, {ordx('127', 'item_id')} FROM benchmark
+), k AS (SELECT *, {key('instruction')} AS dk FROM p),
+w AS (SELECT dk, min(ord) AS ord FROM k GROUP BY dk)
+SELECT coalesce(instruction, '') AS instruction, coalesce(response, '') AS response,
+       coalesce(source, 'fallback') AS source, coalesce(language, 'english') AS language,
+       {SECTIONS("coalesce(instruction, '')", "coalesce(response, '')")} AS text
+FROM k WHERE ord IN (SELECT ord FROM w)"""
     flag_ord = FLAGSHIP.replace('SELECT coalesce(instruction', 'SELECT ord, coalesce(instruction')
     q["preview_file"] = f"SELECT substring(text, 1, 120) AS preview FROM ({flag_ord}) ORDER BY ord LIMIT 3"
     q["run_report"] = f"""

@@ -82,6 +82,15 @@ def reuse_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame
     return r.json(path)
 
 
+def first_lines(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """First ``n`` physical lines (column ``value``) of the files under ``path``."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_f"),
+        F.col("_metadata.file_block_start").alias("_b"),
+        F.monotonically_increasing_id().alias("_i"))
+    return lines.orderBy("_f", "_b", "_i").limit(n)
+
+
 def preview_lines(spark: SparkSession, path: str, n: int = 3, clip_len: int = 120) -> DataFrame:
     """First ``n`` physical lines of a JSONL output (files in name order),
     blank ones then dropped; a line shows its ``text`` field when it has
@@ -92,10 +101,6 @@ def preview_lines(spark: SparkSession, path: str, n: int = 3, clip_len: int = 12
     grows in read order inside a task. Planned as a top-n, never a sort of
     the whole output.
     """
-    lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("_f"),
-        F.col("_metadata.file_block_start").alias("_b"),
-        F.monotonically_increasing_id().alias("_i"))
-    first = lines.orderBy("_f", "_b", "_i").limit(n)
+    first = first_lines(spark, path, n)
     shown = F.coalesce(F.get_json_object("value", "$.text"), F.col("value"))
     return first.where(~is_blank("value")).select(F.substring(shown, 1, clip_len).alias("preview"))

@@ -24,16 +24,23 @@ PASSAGE_FIELDS = ("source", "text_id", "language", "content")
 
 Builder = Callable[..., DataFrame]
 _REGISTRY: dict[str, Builder] = {}
+_STYLE: dict[str, str] = {}
 
 
-def register(name: str):
-    """Decorator: add a builder to the registry under ``name``."""
+def register(name: str, pair_style: str = "echo"):
+    """Decorator: add a builder to the registry under ``name``; ``pair_style``
+    is how its passages become instruction pairs (echo, quoted, commentary)."""
     def deco(fn: Builder) -> Builder:
         _REGISTRY[name] = fn
+        _STYLE[name] = pair_style
         return fn
     return deco
 
 
+def pair_style(name: str) -> str:
+    return _STYLE.get(name, "echo")
+
+
 def registered() -> list[str]:
     return list(_REGISTRY)
 
@@ -48,17 +55,30 @@ def check_passages(df: DataFrame, name: str) -> DataFrame:
     return df
 
 
-def build_sources(spark: SparkSession, chosen: list[str], params: dict | None = None) -> DataFrame:
-    """Union of the chosen sources in order; unknown names are logged and skipped."""
-    params = params or {}
-    frames = []
+def chosen_builders(chosen: list[str]) -> list[str]:
+    """Known names in the given order, each once; unknown names are logged and skipped."""
+    keep = []
     for name in dict.fromkeys(chosen):
-        builder = _REGISTRY.get(name)
-        if builder is None:
+        if name in _REGISTRY:
+            keep.append(name)
+        else:
             log.warning("unknown source %r - skipped", name)
-            continue
-        df = check_passages(builder(spark, **params.get(name, {})), name)
-        frames.append(df.withColumn("source_rank", F.lit(len(frames))))
-    if not frames:
+    if not keep:
         raise ValueError(f"none of the sources {chosen} is registered")
+    return keep
+
+
+def build_sources(spark: SparkSession, chosen: list[str], params: dict | None = None,
+                  to_pairs: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+    """Union of the chosen sources in order, each with its ``source_rank``.
+
+    With ``to_pairs``, every source's passages are first turned into pairs
+    with that source's pair style (``to_pairs(df, style)``).
+    """
+    params = params or {}
+    frames = []
+    for rank, name in enumerate(chosen_builders(chosen)):
+        df = check_passages(_REGISTRY[name](spark, **params.get(name, {})), name)
+        df = df.withColumn("source_rank", F.lit(rank))
+        frames.append(to_pairs(df, pair_style(name)) if to_pairs else df)
     return union_sources(frames)
