@@ -113,27 +113,39 @@ def carry_forward(df: DataFrame, by: str = "run_id", ord_col: str = "line_no",
                   cols: list[str] = PROGRESS_COLS, chunk: int | None = 1 << 20) -> DataFrame:
     """Progress state after each line: last non-NULL value so far.
 
-    With ``chunk`` set (the default), every run is cut into segments of ``chunk``
-    consecutive line numbers. Each segment carries forward on its own
-    (partitioned by run and segment, so a run holding a third of all lines
-    is spread over many tasks), and the carry-in of a segment is the last
-    non-NULL value of the earlier segments, taken from a per-segment
-    summary (one row per segment) with a running window.
+    With ``chunk`` set (the default), every run is cut into segments of
+    ``chunk`` consecutive line numbers, and one window partitioned by
+    (run, segment) computes, for every line, both the running value inside
+    its segment and the segment's final value. The final values of earlier
+    segments (one row per segment, read from the same window output) give
+    each segment its carry-in through a small running window. The input is
+    parsed and shuffled once, and a run holding a third of all lines is
+    spread over many tasks.
     """
     if chunk is None:
         w = Window.partitionBy(by).orderBy(ord_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.select(*[c for c in df.columns if c not in cols],
                          *[F.last(c, ignorenulls=True).over(w).alias(c) for c in cols])
-    seg = F.floor(F.col(ord_col) / chunk).alias("_seg")
-    d = df.withColumn("_seg", seg)
-    summary = d.groupBy(by, "_seg").agg(
-        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(ord_col))).alias(c) for c in cols])
+    keep = [c for c in df.columns if c not in cols]
+    d = df.withColumn("_seg", F.floor(F.col(ord_col) / chunk))
+    ws = Window.partitionBy(by, "_seg").orderBy(ord_col)
+    run_w = ws.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    all_w = ws.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    local = d.select(*keep, "_seg",
+                     *[F.last(c, ignorenulls=True).over(run_w).alias(c) for c in cols],
+                     *[F.last(c, ignorenulls=True).over(all_w).alias("_end_" + c) for c in cols],
+                     F.max(ord_col).over(all_w).alias("_seg_max"))
+    ends = local.where(F.col(ord_col) == F.col("_seg_max")).select(by, "_seg", *["_end_" + c for c in cols])
     wp = Window.partitionBy(by).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
-    carry = summary.select(by, "_seg", *[F.last(c, ignorenulls=True).over(wp).alias("_in_" + c) for c in cols])
-    j = d.join(carry, [by, "_seg"], "left")
-    w = Window.partitionBy(by, "_seg").orderBy(ord_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return j.select(*[c for c in df.columns if c not in cols],
-                    *[F.coalesce(F.last(c, ignorenulls=True).over(w), F.col("_in_" + c)).alias(c) for c in cols])
+    carry = ends.select(by, "_seg", *[F.last("_end_" + c, ignorenulls=True).over(wp).alias("_in_" + c)
+                                      for c in cols])
+    carry = carry.withColumnRenamed(by, "_c_by").withColumnRenamed("_seg", "_c_seg")
+    # null-safe keys: a NULL run is its own group (as in a plain window), and
+    # no not-null filter is inferred into one branch only, so both branches
+    # read the same shuffle of the parsed input (exchange reuse)
+    cond = local[by].eqNullSafe(carry["_c_by"]) & local["_seg"].eqNullSafe(carry["_c_seg"])
+    j = local.join(carry, cond, "left")
+    return j.select(*keep, *[F.coalesce(F.col(c), F.col("_in_" + c)).alias(c) for c in cols])
 
 
 def progress_latest(parsed: DataFrame, by: str = "run_id", ord_col: str = "line_no",

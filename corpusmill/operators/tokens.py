@@ -70,24 +70,34 @@ def run_offsets(runs: DataFrame, group: str, order: str, length: str, chunk: int
     """[start, end) offset of every run in the concatenation of its group,
     ordered by ``order``.
 
-    With ``chunk`` set, the running sum is segmented: the group is cut into
-    chunks of ``chunk`` consecutive order values; a per-chunk total (one row
-    per chunk) gets a running sum of earlier chunks, and the running sum
-    inside a chunk is a window partitioned by (group, chunk). No window
-    ever holds a whole group, whatever the number of groups.
+    With ``chunk`` set, the running sum is segmented: one window partitioned
+    by (group, chunk of ``chunk`` consecutive order values) gives each run
+    its running sum inside the chunk and the chunk total; the totals of
+    earlier chunks (one row per chunk, read from the same window output)
+    give each chunk its base offset through a small running window. The
+    input is computed and shuffled once (the two branches share the
+    exchange), and no window ever holds a whole group.
     """
     n = F.col(length)
     if chunk is None:
         w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return runs.withColumn("_end", F.sum(n).over(w)).withColumn("_start", F.col("_end") - n)
     r = runs.withColumn("_chunk", F.floor(F.col(order) / chunk))
-    totals = r.groupBy(group, "_chunk").agg(F.sum(n).alias("_tot"))
+    wc = Window.partitionBy(group, "_chunk").orderBy(order)
+    local = r.select("*",
+                     F.sum(n).over(wc.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_run"),
+                     F.sum(n).over(wc.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_tot"),
+                     F.max(order).over(wc.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+                      .alias("_last"))
+    totals = local.where(F.col(order) == F.col("_last")).select(group, "_chunk", "_tot")
     wb = Window.partitionBy(group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select(group, "_chunk", F.coalesce(F.sum("_tot").over(wb), F.lit(0)).alias("_base"))
-    w = Window.partitionBy(group, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    j = r.join(base, [group, "_chunk"], "left")
-    return (j.withColumn("_end", F.col("_base") + F.sum(n).over(w))
-             .withColumn("_start", F.col("_end") - n).drop("_chunk", "_base"))
+    base = totals.select(F.col(group).alias("_b_group"), F.col("_chunk").alias("_b_chunk"),
+                         F.coalesce(F.sum("_tot").over(wb), F.lit(0)).alias("_base"))
+    cond = local[group].eqNullSafe(base["_b_group"]) & local["_chunk"].eqNullSafe(base["_b_chunk"])
+    j = local.join(base, cond, "left")
+    return (j.withColumn("_end", F.col("_base") + F.col("_run"))
+             .withColumn("_start", F.col("_end") - n)
+             .drop("_chunk", "_run", "_tot", "_last", "_b_group", "_b_chunk", "_base"))
 
 
 def pack(df: DataFrame, id_col: str, col: str = "tokens", block: int = 2048, eos: str = "</s>",
