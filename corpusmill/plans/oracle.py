@@ -112,9 +112,15 @@ WITH b AS (
             '(?s)<style[^>]*>.*?</style>', '<>', 'g'),
             '(?s)<!--.*?-->', '<>', 'g') AS body
   FROM b
+), c2 AS (
+  -- a known entity name ended by a character that cannot continue a name
+  -- is a complete reference even without ';' (one cut off at the end of a
+  -- truncated page is not)
+  SELECT page_id, regexp_replace(body, '&(amp|quot|copy|middot|lt|gt)([^-.a-zA-Z0-9;])', '&\\1;\\2', 'g') AS body
+  FROM c
 ), parts AS (
   SELECT page_id, unnest(pieces) AS piece, unnest(range(len(pieces))) AS i
-  FROM (SELECT page_id, string_split_regex(body, '<[^>]*>') AS pieces FROM c)
+  FROM (SELECT page_id, string_split_regex(body, '<[^>]*>') AS pieces FROM c2)
 ), s AS (SELECT page_id, i, {strip(UNESCAPE('piece'))} AS s FROM parts)
 SELECT page_id, string_agg(s, {NL} ORDER BY i) AS main_text FROM s WHERE s <> '' GROUP BY page_id
 """
