@@ -204,7 +204,8 @@ def run_outcome(latest: DataFrame, exits: DataFrame, by: str = "run_id") -> Data
 
 def progress_display(latest: DataFrame, total_epochs: int = 1, by: str = "run_id") -> DataFrame:
     """Display values of a progress card (L6): defaults for missing fields,
-    4-decimal loss, percent label only above 6."""
+    4-decimal loss, percent label only above 6; ``idle`` when no progress
+    field was ever set (the card shows the waiting state then)."""
     dash = "—"
     pct = F.coalesce(F.col("pct"), F.lit(0))
 
@@ -214,8 +215,13 @@ def progress_display(latest: DataFrame, total_epochs: int = 1, by: str = "run_id
     def or_dash(c):
         return F.when(F.col(c).isNull() | (F.col(c) == ""), F.lit(dash)).otherwise(F.col(c))
 
+    present = [c for c in PROGRESS_COLS if c in latest.columns]
+    idle = F.lit(True)
+    for c in present:
+        idle = idle & F.col(c).isNull()
     return latest.select(
         by,
+        idle.alias("idle"),
         pct.alias("pct"),
         F.concat(or_q("epoch_cur"), F.lit("/"),
                  F.coalesce(F.col("epoch_total").cast("string"), F.lit(str(total_epochs)))).alias("epoch_label"),

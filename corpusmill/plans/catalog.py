@@ -546,6 +546,11 @@ def q_build_from_sources(spark, d):
     return c.select(*S.FLAT_FIELDS)
 
 
+def q_selected_passages(spark, d):
+    from corpusmill.sources.builtin import selected
+    return selected(spark, d, selectors="p", char_class=K.LATIN_CLASS, min_len=21, cap=500, language="english")
+
+
 def q_preview_file(spark, d):
     path = scratch_dir(spark, "preview-jsonl")
     S.sink_jsonl(_flagship(spark, d), path, ordered=True)
@@ -630,6 +635,7 @@ QUERIES = {
     "crawl_paragraphs": q_crawl_paragraphs,
     "registry_sources": q_registry_sources,
     "build_from_sources": q_build_from_sources,
+    "selected_passages": q_selected_passages,
     "preview_file": q_preview_file,
     "run_report": q_run_report,
 }

@@ -410,7 +410,7 @@ FROM r"""
                         f"CASE WHEN rc = 0 THEN 100 ELSE pct END AS pct, epoch_cur, step_cur, loss "
                         f"FROM ({EXITS}) e LEFT JOIN ({LATEST}) l ON e.run_id = l.run_id")
     q["progress_display"] = f"""
-SELECT run_id, coalesce(pct, 0) AS pct,
+SELECT run_id, ({' AND '.join(c + ' IS NULL' for c in PCOLS)}) AS idle, coalesce(pct, 0) AS pct,
   coalesce(CAST(epoch_cur AS VARCHAR), '?') || '/' || coalesce(CAST(epoch_total AS VARCHAR), '3') AS epoch_label,
   coalesce(CAST(step_cur AS VARCHAR), '?') || '/' || coalesce(CAST(step_total AS VARCHAR), '?') AS step_label,
   CASE WHEN loss IS NULL THEN '—' ELSE printf('%.4f', loss) END AS loss_label,

@@ -68,17 +68,26 @@ def checkpoint_root(spark: SparkSession) -> str:
     Only when the session has none (local tests) is a private folder made
     and registered, so that ``DataFrame.checkpoint()`` works there too.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
     conf = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001  (Spark Connect: no SparkContext on the client)
+        sc = None
+    if sc is not None:
+        current = sc.getCheckpointDir()
+        if current:
+            return current
+        if conf:
+            sc.setCheckpointDir(conf)
+            return sc.getCheckpointDir() or conf
     if conf:
-        sc.setCheckpointDir(conf)
-        return sc.getCheckpointDir() or conf
+        return conf
     local = tempfile.mkdtemp(prefix="corpusmill-ckpt-")
-    sc.setCheckpointDir(local)
-    return sc.getCheckpointDir() or local
+    if sc is not None:
+        sc.setCheckpointDir(local)
+        return sc.getCheckpointDir() or local
+    spark.conf.set("spark.checkpoint.dir", local)
+    return local
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
@@ -88,11 +97,19 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """Existence check through the Hadoop file system (works on any store)."""
-    jvm = spark.sparkContext._jvm
-    jpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(jpath))
+    """Existence check through the Hadoop file system (works on any store);
+    without a JVM handle (Spark Connect) a metadata-only read decides."""
+    try:
+        jvm = spark.sparkContext._jvm
+        jpath = jvm.org.apache.hadoop.fs.Path(path)
+        fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        return bool(fs.exists(jpath))
+    except Exception:  # noqa: BLE001
+        try:
+            spark.read.format("binaryFile").load(path).select("path").limit(1).collect()
+            return True
+        except Exception:  # noqa: BLE001
+            return False
 
 
 def local_path(path: str) -> str:

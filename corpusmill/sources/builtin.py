@@ -2,6 +2,10 @@
 
 * ``documents`` - passage table ``documents`` (doc_id, text, lang, source);
   pairs in echo style.
+* ``selected`` - stored pages -> passages of the elements matching CSS-like
+  selectors -> script whitelist and minimum length -> the first ``cap``
+  accepted passages in collection order (page, element position); pairs
+  in echo style.
 * ``crawl`` - stored pages ``pages`` (page_id, html) -> main text ->
   cleanup -> paragraphs -> first 50 per page; pairs in quoted style.
 * ``abstracts`` - abstracts JSONL {title, abstract, source, license};
@@ -12,10 +16,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusmill.functions.constants import CJK_CLASS
+from corpusmill.operators.combine import cap_total
+from corpusmill.operators.filters import script_filter
 from corpusmill.sources.crawl import crawl_passages
+from corpusmill.sources.html import html_passages
 from corpusmill.sources.jsonl import scan_abstracts
 from corpusmill.sources.registry import register
-from corpusmill.sources.tables import read_table, scan_passages
+from corpusmill.sources.tables import make_ord, read_table, scan_passages
 
 
 @register("documents", pair_style="echo")
@@ -36,3 +44,17 @@ def abstracts(spark, path: str):
     a = scan_abstracts(spark, path)
     return a.select("source", "text_id", "language", "content", "title",
                     F.conv(F.col("text_id"), 16, 10).cast("bigint").alias("doc_ord"), F.lit(0).alias("pos"))
+
+
+@register("selected", pair_style="echo")
+def selected(spark, data_dir: str, selectors: str = "div.ctext, p.chinese, .passage",
+             char_class: str = CJK_CLASS, min_len: int = 21, cap: int | None = 500, language: str = "classical"):
+    pages = read_table(spark, data_dir, "pages", ["page_id", "html"])
+    p = script_filter(html_passages(pages, selectors), "passage", char_class, min_len)
+    p = p.withColumn("ord", make_ord(F.lit(0), "page_id", "pos"))
+    if cap is not None:
+        p = cap_total(p, cap, "ord")      # top-n in collection order, not a global sort
+    return p.select(F.lit("selected").alias("source"),
+                    F.concat(F.col("page_id").cast("string"), F.lit("-"), F.col("pos").cast("string")).alias("text_id"),
+                    F.lit(language).alias("language"), F.col("passage").alias("content"),
+                    F.col("page_id").alias("doc_ord"), F.col("pos"))
