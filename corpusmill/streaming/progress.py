@@ -29,13 +29,16 @@ def progress_stream(stream: DataFrame, watermark: str | None = None, by: str = "
 
 def start_progress_stream(stream: DataFrame, sink_path: str, checkpoint: str,
                           trigger: dict | None = None):
-    """Start the update-mode query; every micro-batch appends its updated
-    rows (tagged with the batch id) to ``sink_path``. The checkpoint in the
-    shared folder makes the query restartable after a lost driver/executor."""
+    """Start the update-mode query; every micro-batch writes its updated
+    rows to ``sink_path/batch_id=N``. The checkpoint in the shared folder
+    makes the query restartable after a lost driver or executor; a batch
+    that is replayed after a failure overwrites its own folder, so the
+    output stays exactly-once although ``foreachBatch`` is at-least-once."""
     agg = progress_stream(stream)
+    root = sink_path.rstrip("/")
 
     def write_batch(bdf: DataFrame, batch_id: int):
-        bdf.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(sink_path)
+        bdf.write.mode("overwrite").parquet(f"{root}/batch_id={batch_id}")
 
     w = (agg.writeStream.outputMode("update").foreachBatch(write_batch)
             .option("checkpointLocation", checkpoint))
@@ -44,7 +47,8 @@ def start_progress_stream(stream: DataFrame, sink_path: str, checkpoint: str,
 
 
 def latest_from_updates(spark: SparkSession, sink_path: str, by: str = "run_id") -> DataFrame:
-    """Current state per run: the row of its latest micro-batch."""
+    """Current state per run: the row of its latest micro-batch (the
+    ``batch_id`` partition column)."""
     u = spark.read.parquet(sink_path)
     cols = PROGRESS_COLS + ["last_line"]
     return (u.groupBy(by).agg(F.max_by(F.struct(*cols), F.col("batch_id")).alias("s"))

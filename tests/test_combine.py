@@ -98,3 +98,15 @@ def test_alignment_score_empty_category_is_null(spark):
     cats = {"nature": ["water", "valley spirit", "uncarved block"], "none": []}
     got = {r.category: r.score for r in score.alignment_score(df, "r", cats, keep=["id"]).collect()}
     assert abs(got["nature"] - 2 / 3) < 1e-12 and got["none"] is None
+
+
+def test_two_level_caps_equal_plain(spark):
+    df = spark.range(0, 5000, 1, 12).select(((F.col("id") * 7919) % 5000).alias("ord"),
+                                            (F.col("id") % 3).alias("g"))
+    for g in (None, 2, 5):
+        assert [r.ord for r in combine.cap_total(df, 7, fanout=g).collect()] == list(range(7))
+        got = sorted((r.g, r.ord) for r in combine.cap_per_group(df, "g", 4, fanout=g).collect())
+        exp = sorted((k, o) for k in range(3) for o in sorted(o for o in range(5000)
+                                                             if ((o * pow(7919, -1, 5000)) % 5000) % 3 == k)[:4])
+        assert got == exp
+    assert combine.estimated_partitions(df) is not None

@@ -66,3 +66,16 @@ def test_text_functions_stay_in_codegen(spark, sf_small):
     p = plan(C.q_dedupe_key(spark, sf_small))
     assert "WholeStageCodegen" in p or "*(" in p
     assert "PythonUDF" not in p and "ArrowEvalPython" not in p
+
+
+def test_caps_switch_to_two_levels_with_many_partitions(spark, sf_small):
+    key = "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "256")          # the size estimate now implies > 1000 scan partitions
+        p = full_plan(C.q_cap_global(spark, sf_small))
+        assert "SPARK_PARTITION_ID" in p.upper() and "WindowGroupLimit" in p
+        rows = sorted(r.doc_id for r in C.q_cap_global(spark, sf_small).collect())
+    finally:
+        spark.conf.set(key, old)
+    assert rows == sorted(r.doc_id for r in C.q_cap_global(spark, sf_small).collect())
