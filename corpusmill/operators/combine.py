@@ -64,7 +64,7 @@ def _fanout(df: DataFrame, fanout) -> int | None:
     return int(math.ceil(math.sqrt(p))) if p and p > FANOUT_MIN_PARTITIONS else None
 
 
-def _local_top(df: DataFrame, by: list, n: int, ord_col: str, g: int) -> DataFrame:
+def _local_top(df: DataFrame, by: list, n: int, ord_col: str, g: int, desc: bool = False) -> DataFrame:
     """First level of a two-level top-n: rows are bucketed by their map
     partition (``spark_partition_id() % g``), and ``row_number() <= n`` per
     (group, bucket) is planned with a partial WindowGroupLimit, so every map
@@ -72,7 +72,7 @@ def _local_top(df: DataFrame, by: list, n: int, ord_col: str, g: int) -> DataFra
     n. The second level then merges g x n rows per group instead of n rows
     from every map partition."""
     b = df.withColumn("_b", F.pmod(F.spark_partition_id(), F.lit(g)))
-    w = Window.partitionBy(*by, "_b").orderBy(F.col(ord_col))
+    w = Window.partitionBy(*by, "_b").orderBy(F.col(ord_col).desc() if desc else F.col(ord_col))
     return b.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r", "_b")
 
 

@@ -156,8 +156,14 @@ def progress_latest(parsed: DataFrame, by: str = "run_id", ord_col: str = "line_
         *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(ord_col))).alias(c) for c in cols])
 
 
-def tail_n(df: DataFrame, by: str = "run_id", ord_col: str = "line_no", n: int = K.TAIL_LINES) -> DataFrame:
-    """Last ``n`` lines per run (W2); planned with WindowGroupLimit."""
+def tail_n(df: DataFrame, by: str = "run_id", ord_col: str = "line_no", n: int = K.TAIL_LINES,
+           fanout="auto") -> DataFrame:
+    """Last ``n`` lines per run (W2); planned with WindowGroupLimit (and, with
+    many partitions, a first level per partition bucket, see ``combine``)."""
+    from corpusmill.operators.combine import _fanout, _local_top
+    g = _fanout(df, fanout)
+    if g:
+        df = _local_top(df, [by], n, ord_col, g, desc=True)
     w = Window.partitionBy(by).orderBy(F.col(ord_col).desc())
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 

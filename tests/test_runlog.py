@@ -116,3 +116,10 @@ def test_stream_final_state_equals_batch(spark):
     for k in batch:
         for c in R.PROGRESS_COLS:
             assert final[k][c] == batch[k][c]
+
+
+def test_tail_two_level_equals_plain(spark):
+    log = spark.range(0, 4000, 1, 10).select((F.col("id") % 3).alias("run_id"), F.col("id").alias("line_no"))
+    plain = sorted(tuple(r) for r in R.tail_n(log, n=30, fanout=None).collect())
+    two = sorted(tuple(r) for r in R.tail_n(log, n=30, fanout=4).collect())
+    assert plain == two and len(plain) == 90
