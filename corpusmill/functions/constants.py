@@ -12,6 +12,10 @@ CJK_CLASS = (r"[\x{4e00}-\x{9fff}\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}"
              r"\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
              r"，。？！；：、'（）《》\-]")
 
+# CSS-like selectors of the passage elements on classical-text
+# pages (tag.class, tag.class, .class; matches are taken in document order).
+PASSAGE_SELECTORS = "div.ctext, p.chinese, .passage"
+
 # Latin stand-in class used on the fixture tables (letters, whitespace, . , ' -).
 LATIN_CLASS = (r"[\p{L}\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}"
                r"\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}.,'\-]")

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmill.functions.constants import CJK_CLASS
+from corpusmill.functions.constants import CJK_CLASS, PASSAGE_SELECTORS
 from corpusmill.operators.combine import cap_total
 from corpusmill.operators.filters import script_filter
 from corpusmill.sources.crawl import crawl_passages
@@ -47,7 +47,7 @@ def abstracts(spark, path: str):
 
 
 @register("selected", pair_style="echo")
-def selected(spark, data_dir: str, selectors: str = "div.ctext, p.chinese, .passage",
+def selected(spark, data_dir: str, selectors: str = PASSAGE_SELECTORS,
              char_class: str = CJK_CLASS, min_len: int = 21, cap: int | None = 500, language: str = "classical"):
     pages = read_table(spark, data_dir, "pages", ["page_id", "html"])
     p = script_filter(html_passages(pages, selectors), "passage", char_class, min_len)

@@ -55,16 +55,19 @@ def test_html_errors_split(spark):
     assert r["error"] is not None and r["passages"] is None
 
 
+SEL = "div.verse, p.line, .block"
+
+
 def test_selected_source_cjk_whitelist_and_cap(spark, tmp_path):
-    ok1, ok2 = "道" * 21, "德，經。" * 6
-    bad_short, bad_quote = "道" * 20, "道" * 21 + '"'
-    page0 = (f"<body><div class='ctext'>{ok1}</div><p class='chinese'>{bad_short}</p>"
-             f"<span class='passage'>{bad_quote}</span><p class='chinese'>{ok2}</p></body>")
-    page1 = f"<body><div class='passage'>{ok2}</div><p class='x'>{ok1}</p></body>"
+    ok1, ok2 = "山" * 21, "水，石。" * 6
+    bad_short, bad_quote = "山" * 20, "山" * 21 + '"'
+    page0 = (f"<body><div class='verse'>{ok1}</div><p class='line'>{bad_short}</p>"
+             f"<span class='block'>{bad_quote}</span><p class='line'>{ok2}</p></body>")
+    page1 = f"<body><div class='block'>{ok2}</div><p class='x'>{ok1}</p></body>"
     d = str(tmp_path)
     spark.createDataFrame([(0, page0), (1, page1)], "page_id long, html string").write.parquet(f"{d}/pages.parquet")
     from corpusmill.sources.builtin import selected
-    got = [(r.text_id, r.content) for r in selected(spark, d).orderBy("doc_ord", "pos").collect()]
+    got = [(r.text_id, r.content) for r in selected(spark, d, selectors=SEL).orderBy("doc_ord", "pos").collect()]
     assert got == [("0-0", ok1), ("0-3", ok2), ("1-0", ok2)]
-    capped = [(r.text_id) for r in selected(spark, d, cap=2).orderBy("doc_ord", "pos").collect()]
+    capped = [(r.text_id) for r in selected(spark, d, selectors=SEL, cap=2).orderBy("doc_ord", "pos").collect()]
     assert capped == ["0-0", "0-3"]

@@ -92,8 +92,8 @@ def test_cjk_and_latin_classes(spark):
     from corpusmill.functions.constants import CJK_CLASS
     from corpusmill.operators.filters import script_filter
     py = re.compile(r"^[一-鿿\s，。？！；：、'（）《》\-]+$")
-    cands = ["道" * 20, "道" * 21, "道" * 20 + "'", "道" * 20 + '"', "道" * 20 + "　",
-             "道" * 20 + "「", "道" * 20 + "1", "道，。？！；：、（）《》-" * 2]
+    cands = ["山" * 20, "山" * 21, "山" * 20 + "'", "山" * 20 + '"', "山" * 20 + "　",
+             "山" * 20 + "「", "山" * 20 + "1", "山，。？！；：、（）《》-" * 2]
     df = spark.createDataFrame([(c,) for c in cands], "v string")
     got = {r.v for r in script_filter(df, "v", CJK_CLASS, 21).collect()}
     exp = {c for c in cands if py.match(c) and len(c) > 20}
