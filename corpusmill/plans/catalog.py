@@ -87,8 +87,8 @@ def q_select_sources(spark, d):
 
 
 def _jsonl_lines(docs: DataFrame) -> DataFrame:
-    """Two-format JSONL lines derived from documents (shape by doc_id % 4),
-    plus blank / whitespace-only lines."""
+    """Two-format JSONL lines derived from every document (its shape chosen
+    by doc_id % 4), plus blank / whitespace-only lines."""
     k = F.col("doc_id") % 4
     nul = {"ignoreNullFields": "false"}
     rich = F.to_json(F.struct("doc_id", F.concat(F.lit("Question "), F.col("doc_id").cast("string")).alias("instruction"),
@@ -98,8 +98,8 @@ def _jsonl_lines(docs: DataFrame) -> DataFrame:
                                    F.col("text").alias("response")), nul)
     other = F.to_json(F.struct("doc_id", F.lit("orphan").alias("instruction"), F.col("text").alias("body")))
     line = F.when(k == 0, rich).when(k == 1, plain).when(k == 2, rich_null).otherwise(other)
-    blanks = docs.where(F.col("doc_id") % 10 == 0).select(
-        F.when(F.col("doc_id") % 20 == 0, F.lit("")).otherwise(F.lit(" \t ")).alias("value"))
+    # every document also contributes one empty or whitespace-only line
+    blanks = docs.select(F.when(F.col("doc_id") % 2 == 0, F.lit("")).otherwise(F.lit(" \t ")).alias("value"))
     return docs.select(line.alias("value")).unionByName(blanks)
 
 
@@ -362,6 +362,13 @@ def q_dedupe_first_wins(spark, d):
     return dedupe.dedupe_first(docs, X.dedupe_key("text")).select("doc_id", "source")
 
 
+def q_dedupe_whole_text(spark, d):
+    """Exact-duplicate removal on the whole text (SHA-256 of the full string
+    as the key), first in collection order wins."""
+    docs = _ord_docs(spark, d)
+    return dedupe.dedupe_first(docs, F.coalesce(F.col("text"), F.lit("")), hash_key=True).select("doc_id", "source")
+
+
 def q_collection_report(spark, d):
     docs = _ord_docs(spark, d)
     return report.collection_report(docs, X.dedupe_key("text"), "text")
@@ -608,6 +615,7 @@ QUERIES = {
     "html_escape": q_html_escape,
     "messages_build": q_messages_build,
     "dedupe_first_wins": q_dedupe_first_wins,
+    "dedupe_whole_text": q_dedupe_whole_text,
     "collection_report": q_collection_report,
     "alignment_score": q_alignment_score,
     "cap_per_group": q_cap_per_group,

@@ -366,6 +366,9 @@ FROM r"""
     dd = (f"WITH k AS (SELECT doc_id, source, text, {ordx(RANK, 'doc_id')} AS ord, {key('text')} AS dk "
           f"FROM documents), w AS (SELECT dk, min(ord) AS ord FROM k GROUP BY dk)")
     q["dedupe_first_wins"] = f"{dd} SELECT doc_id, source FROM k WHERE ord IN (SELECT ord FROM w)"
+    q["dedupe_whole_text"] = (f"SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER ("
+                              f"PARTITION BY coalesce(text, '') ORDER BY {ordx(RANK, 'doc_id')}) AS rn FROM documents) "
+                              f"WHERE rn = 1")
     q["collection_report"] = (f"{dd} SELECT source, count(*) AS n_collected, "
                               f"CAST(sum(CASE WHEN ord IN (SELECT ord FROM w) THEN 1 ELSE 0 END) AS BIGINT) AS n_kept, "
                               f"CAST(sum(CASE WHEN ord IN (SELECT ord FROM w) THEN length(text) ELSE 0 END) AS BIGINT) "
