@@ -48,7 +48,7 @@ def external_ids(col, factory: Callable[[], Callable[[list[str]], list[list[int]
             fn = _TOKENIZER_CACHE[key] = factory()
         return pd.Series(fn(s.fillna("").tolist()))
 
-    return _enc(_c(col))
+    return _enc.asNondeterministic()(_c(col))   # never duplicated into pushed-down filters
 
 
 def tokenize(df: DataFrame, col: str = "text", out: str = "tokens", drop_text: bool = True,

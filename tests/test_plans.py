@@ -79,3 +79,9 @@ def test_caps_switch_to_two_levels_with_many_partitions(spark, sf_small):
     finally:
         spark.conf.set(key, old)
     assert rows == sorted(r.doc_id for r in C.q_cap_global(spark, sf_small).collect())
+
+
+def test_html_parse_runs_once_per_page(spark, sf_small):
+    for q in (C.q_html_main_text, C.q_crawl_paragraphs, C.q_html_passages, C.q_html_description):
+        p = plan(q(spark, sf_small))
+        assert p.count("ArrowEvalPython") == 1, q.__name__
