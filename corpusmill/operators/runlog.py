@@ -238,6 +238,3 @@ def progress_display(latest: DataFrame, total_epochs: int = 1, by: str = "run_id
         F.when(pct > 6, F.concat(pct.cast("string"), F.lit("%"))).otherwise(F.lit("")).alias("pct_label"),
     )
 
-
-def prefix_filter_column(col: str, prefixes=K.ERROR_PREFIXES) -> Column:
-    return strip(F.col(col)).rlike(_prefix_rx(prefixes))
