@@ -56,13 +56,17 @@ def render_chat(messages, style: str = "plain", add_generation_prompt: bool = Fa
 
 
 def render_conversations(conv: DataFrame, style: str = "plain", add_generation_prompt: bool = False,
-                         markers: dict | None = None, chunk_turns: int = 256) -> DataFrame:
+                         markers: dict | None = None, chunk_turns: int = 256,
+                         assemble: bool = True) -> DataFrame:
     """Render one text per conversation from message rows (conv_id, turn, role, text).
 
     Messages are rendered row by row, then concatenated in two levels:
     first per (conversation, block of ``chunk_turns`` turns), then the
     blocks per conversation. A very long conversation is thus assembled by
-    many tasks; only one short string per block reaches the final step.
+    many tasks; only one string per block reaches the final step. With
+    ``assemble=False`` the blocks are returned as rows (conv_id, chunk,
+    text; joined with the separator in chunk order they give the text), so
+    no row grows with the length of a conversation.
     """
     sep = _separator(style)
     piece = render_message("role", "text", style, markers)
@@ -70,6 +74,8 @@ def render_conversations(conv: DataFrame, style: str = "plain", add_generation_p
                   .groupBy("conv_id", F.floor(F.col("turn") / chunk_turns).alias("chunk"))
                   .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "piece"))),
                                                 lambda s: s["piece"]), sep).alias("piece")))
+    if not assemble:
+        return chunks.withColumnRenamed("piece", "text")
     out = (chunks.groupBy("conv_id")
                  .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "piece"))),
                                                lambda s: s["piece"]), sep).alias("text")))

@@ -110,3 +110,16 @@ def test_two_level_caps_equal_plain(spark):
                                                              if ((o * pow(7919, -1, 5000)) % 5000) % 3 == k)[:4])
         assert got == exp
     assert combine.estimated_partitions(df) is not None
+
+
+def test_conversation_chunks_join_to_the_text(spark):
+    from corpusmill.operators import chat
+    rows = [(1, t, "user" if t % 2 == 0 else "assistant", f"m{t}") for t in range(10)] + [(2, 0, "system", "s")]
+    conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = {r.conv_id: r.text for r in chat.render_conversations(conv, chunk_turns=3).collect()}
+    parts = {}
+    for r in sorted(chat.render_conversations(conv, chunk_turns=3, assemble=False).collect(),
+                    key=lambda r: (r.conv_id, r.chunk)):
+        parts.setdefault(r.conv_id, []).append(r.text)
+    assert {k: "\n\n".join(v) for k, v in parts.items()} == whole
+    assert whole[1].startswith("User: m0\n\nAssistant: m1") and whole[2] == "System: s"
