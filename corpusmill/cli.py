@@ -63,7 +63,7 @@ def cmd_format(args):
     from corpusmill.sources.jsonl import scan_two_format
     spark = _session(args)
     recs = scan_two_format(spark, args.input, on_error=args.on_error)
-    training_input(recs, args.max_tokens).select("tokens", "attention_mask") \
+    training_input(recs, args.max_tokens).select("input_ids", "attention_mask", "tokens") \
         .write.mode("overwrite").parquet(args.output)
 
 

@@ -34,6 +34,12 @@ def native_tokens(col) -> Column:
     return F.filter(F.split(spaced, " ", -1), lambda t: t != "")
 
 
+def hashed_ids(tokens_col, vocab_size: int = 1 << 20) -> Column:
+    """Deterministic ids for native tokens: ``xxhash64(token) mod vocab_size``
+    (JVM hash, no Python; a stand-in vocabulary when none is given)."""
+    return F.transform(_c(tokens_col), lambda t: F.pmod(F.xxhash64(t), F.lit(vocab_size)).cast("int"))
+
+
 def external_ids(col, factory: Callable[[], Callable[[list[str]], list[list[int]]]], key: str) -> Column:
     """Token ids from an external tokenizer, Arrow-batched.
 
@@ -60,10 +66,12 @@ def tokenize(df: DataFrame, col: str = "text", out: str = "tokens", drop_text: b
 
 
 def truncate_tokens(df: DataFrame, col: str = "tokens", n: int = 512,
-                    mask: str = "attention_mask") -> DataFrame:
-    """Keep the first ``n`` tokens, no padding; attention mask of ones."""
-    cut = F.slice(F.col(col), 1, n)
-    return df.withColumn(col, cut).withColumn(mask, F.array_repeat(F.lit(1), F.size(F.col(col))))
+                    mask: str = "attention_mask", also: tuple[str, ...] = ()) -> DataFrame:
+    """Keep the first ``n`` tokens (and of every column in ``also``), no
+    padding; attention mask of ones."""
+    for c in (col, *also):
+        df = df.withColumn(c, F.slice(F.col(c), 1, n))
+    return df.withColumn(mask, F.array_repeat(F.lit(1), F.size(F.col(col))))
 
 
 def run_offsets(runs: DataFrame, group: str, order: str, length: str, chunk: int | None) -> DataFrame:

@@ -87,13 +87,24 @@ def expanded_corpus(items: DataFrame, policy_df: DataFrame, commercial: bool = F
     return format_expanded(kept, style=style)
 
 
-def training_input(records: DataFrame, max_tokens: int = 512) -> DataFrame:
-    """(user, assistant) messages -> plain chat text -> tokens truncated to a budget."""
+def training_input(records: DataFrame, max_tokens: int = 512, factory=None, key: str = "default",
+                   vocab_size: int = 1 << 20) -> DataFrame:
+    """(user, assistant) messages -> plain chat text -> ``input_ids`` and
+    ``attention_mask`` truncated to a budget, no padding.
+
+    With ``factory`` (an external tokenizer, see ``tokens.external_ids``)
+    the ids come from it; otherwise the text is split natively and every
+    token gets its hashed id (``tokens`` is kept alongside).
+    """
     msgs = F.array(F.struct(F.lit("user").alias("role"), F.col("user_msg").alias("content")),
                    F.struct(F.lit("assistant").alias("role"), F.col("asst_msg").alias("content")))
     t = records.withColumn("text", chat.render_chat(msgs, "plain"))
+    if factory is not None:
+        t = tokens.tokenize(t, "text", "input_ids", factory=factory, key=key)
+        return tokens.truncate_tokens(t, "input_ids", max_tokens)
     t = tokens.tokenize(t, "text", "tokens")
-    return tokens.truncate_tokens(t, "tokens", max_tokens)
+    t = t.withColumn("input_ids", tokens.hashed_ids("tokens", vocab_size))
+    return tokens.truncate_tokens(t, "tokens", max_tokens, also=("input_ids",))
 
 
 def write_corpus(df: DataFrame, path: str, ordered: bool = False) -> dict:

@@ -55,3 +55,26 @@ def test_external_tokenizer_hook(spark):
 
     out = T.tokenize(df, "text", "ids", factory=factory, key="len").first()
     assert out.ids == [1, 2, 3] and "text" not in out.asDict()
+
+
+def test_training_input_ids_with_an_in_memory_vocabulary(spark):
+    from tokenizers import Tokenizer
+    from tokenizers.models import WordLevel
+    from tokenizers.pre_tokenizers import WhitespaceSplit
+
+    from corpusmill.plans.corpus_builder import training_input
+
+    vocab = {"[UNK]": 0, "User:": 1, "Assistant:": 2, "hello": 3, "world": 4}
+
+    def factory():
+        tok = Tokenizer(WordLevel(vocab, unk_token="[UNK]"))
+        tok.pre_tokenizer = WhitespaceSplit()
+        return lambda texts: [e.ids for e in tok.encode_batch(texts)]
+
+    recs = spark.createDataFrame([("hello", "world again")], "user_msg string, asst_msg string")
+    ext = training_input(recs, 4, factory=factory, key="wordlevel").first()
+    assert ext.input_ids == [1, 3, 2, 4] and ext.attention_mask == [1, 1, 1, 1]
+    nat = training_input(recs, 512).first()
+    assert nat.tokens == ["User:", "hello", "Assistant:", "world", "again"]
+    assert len(nat.input_ids) == 5 and nat.input_ids[1] != nat.input_ids[3]
+    assert all(0 <= i < (1 << 20) for i in nat.input_ids)
