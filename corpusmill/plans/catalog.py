@@ -186,8 +186,8 @@ def q_html_description(spark, d):
     # Fixture pages have no description meta / p.description: the title
     # element and the first paragraph stand in for the two candidates.
     x = _pages(spark, d).select("page_id", H.extract("html", selectors="title, p", parts=("passages",)).alias("x"))
-    cand = x.select("page_id", F.element_at("x.passages", 1).alias("meta_desc"),
-                    F.element_at("x.passages", 2).alias("p_desc"))
+    cand = x.select("page_id", F.try_element_at("x.passages", F.lit(1)).alias("meta_desc"),
+                    F.try_element_at("x.passages", F.lit(2)).alias("p_desc"))
     summary = F.coalesce(F.nullif("meta_desc", F.lit("")), F.nullif("p_desc", F.lit("")))
     return cand.select("page_id", summary.alias("summary")).where(F.length("summary") > 40)
 
