@@ -506,6 +506,11 @@ def q_progress_display(spark, d):
     return runlog.progress_display(runlog.progress_latest(_parsed(spark, d)), total_epochs=3)
 
 
+def q_tail_stream(spark, d):
+    from corpusmill.streaming.tail import run_tail_stream_once
+    return run_tail_stream_once(spark, _run_log(spark, d))
+
+
 def q_progress_stream(spark, d):
     from corpusmill.streaming.progress import run_progress_stream_once
     return run_progress_stream_once(spark, _run_log(spark, d))
@@ -637,6 +642,7 @@ QUERIES = {
     "run_outcome": q_run_outcome,
     "progress_display": q_progress_display,
     "progress_stream": q_progress_stream,
+    "tail_stream": q_tail_stream,
     "training_input": q_training_input,
     "expanded_corpus": q_expanded_corpus,
     "expanded_corpus_chat": q_expanded_corpus_chat,

@@ -123,3 +123,18 @@ def test_tail_two_level_equals_plain(spark):
     plain = sorted(tuple(r) for r in R.tail_n(log, n=30, fanout=None).collect())
     two = sorted(tuple(r) for r in R.tail_n(log, n=30, fanout=4).collect())
     assert plain == two and len(plain) == 90
+
+
+def test_stateful_tail_stream_equals_batch(spark):
+    from corpusmill.streaming.tail import run_tail_stream_once
+    lines = []
+    for i in range(400):
+        run = 1 + i % 3
+        ln = "Traceback (most recent call last):" if i % 37 == 0 else ("ValueError: x <y>" if i % 41 == 0 else f"l{i} & z")
+        lines.append((run, i, ln))
+    log = spark.createDataFrame(lines, "run_id long, line_no long, line string")
+    got = {r.run_id: (r.n_lines, r.excerpt) for r in run_tail_stream_once(spark, log, files=3, n=30).collect()}
+    batch = {r.run_id: r.excerpt for r in R.error_excerpt(log, None, failed_only=False).collect()}
+    assert set(got) == set(batch)
+    for k in batch:
+        assert got[k] == (30, batch[k])
