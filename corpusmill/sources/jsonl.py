@@ -104,3 +104,22 @@ def preview_lines(spark: SparkSession, path: str, n: int = 3, clip_len: int = 12
     first = first_lines(spark, path, n)
     shown = F.coalesce(F.get_json_object("value", "$.text"), F.col("value"))
     return first.where(~is_blank("value")).select(F.substring(shown, 1, clip_len).alias("preview"))
+
+
+def read_or_cache(spark: SparkSession, primary: Callable[[], DataFrame], cache_path: str,
+                  schema: str | None = None) -> DataFrame:
+    """Source with a cache fallback (D4): the primary builder's frame, or -
+    when building it fails at analysis (missing table or path, unreadable
+    schema) - the cached JSONL at ``cache_path``. Failures are decided while
+    the plan is built, so the fallback costs no job."""
+    try:
+        df = primary()
+        df.schema  # forces analysis of the primary source
+        return df
+    except Exception:  # noqa: BLE001  (AnalysisException and friends)
+        if not path_exists(spark, cache_path):
+            raise
+        r = spark.read
+        if schema:
+            r = r.schema(schema)
+        return r.json(cache_path)

@@ -59,3 +59,15 @@ def test_reuse_or_build(spark):
     assert J.reuse_or_build(spark, path, build).count() == 1
     assert J.reuse_or_build(spark, path, build).count() == 1
     assert len(calls) == 1
+
+
+def test_read_or_cache(spark):
+    cache = scratch_dir(spark, "cache")
+    spark.createDataFrame([("t", "c")], "title string, content string").write.json(cache)
+    missing = scratch_dir(spark, "missing")
+    got = J.read_or_cache(spark, lambda: spark.read.parquet(missing), cache, "title string, content string")
+    assert [tuple(r) for r in got.collect()] == [("t", "c")]
+    ok = J.read_or_cache(spark, lambda: spark.range(2), cache)
+    assert ok.count() == 2
+    with pytest.raises(Exception):
+        J.read_or_cache(spark, lambda: spark.read.parquet(missing), missing)
