@@ -17,10 +17,30 @@ POS_BITS = 20
 SEED_RANK = 127  # seeds sort after every source (rank < 128)
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
-    """Parquet scan with explicit column pruning."""
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan at least one partition per core.
+
+    A table stored as a few large row groups is read by a few tasks, and the
+    CPU-heavy steps (regex, tokenizing, HTML parsing) would run on those few
+    cores. Only then is the scan redistributed (round robin, sorted first so
+    a retried task sees the same rows); a large input already has far more
+    partitions than cores and is returned as it is, with no shuffle.
+    """
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()          # a scan: no job is run
+    except Exception:  # noqa: BLE001  (no SparkContext, e.g. Spark Connect)
+        return df
+    return df.repartition(cores) if parts < cores else df
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None,
+               balance: bool = True) -> DataFrame:
+    """Parquet scan with explicit column pruning (and ``spread`` when the
+    scan has fewer partitions than cores)."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    return spread(df) if balance else df
 
 
 def make_ord(rank, doc_ord, pos=None) -> Column:
