@@ -172,15 +172,20 @@ def _prefix_rx(prefixes) -> str:
     return r"\A(?:" + "|".join(p.replace(".", r"\.") for p in prefixes) + ")"
 
 
-def excerpt_from_lines(lines, prefixes=K.ERROR_PREFIXES) -> Column:
+def excerpt_from_lines(lines, prefixes=K.ERROR_PREFIXES, start=None) -> Column:
     """Error excerpt from an ordered ``ARRAY<STRUCT<o: line number, l: line>>``
     (a run's tail): start at the last line whose stripped text opens with an
     error prefix (none: the whole tail), join, strip, escape; an empty
-    result falls back to the whole tail, then to a fixed message."""
+    result falls back to the whole tail, then to a fixed message.
+
+    ``start`` is that line number when the caller has it already (the batch
+    path computes it as a codegen'd aggregate); otherwise it is searched in
+    the array, which suits the few rows of a streaming tail.
+    """
     arr = F.col(lines) if isinstance(lines, str) else lines
-    rx = _prefix_rx(prefixes)
-    starts = F.filter(arr, lambda x: strip(x["l"]).rlike(rx))
-    start = F.array_max(F.transform(starts, lambda x: x["o"]))
+    if start is None:
+        rx = _prefix_rx(prefixes)
+        start = F.array_max(F.transform(F.filter(arr, lambda x: strip(x["l"]).rlike(rx)), lambda x: x["o"]))
     from_err = F.filter(arr, lambda x: start.isNull() | (x["o"] >= start))
     snippet = strip(F.array_join(F.transform(from_err, lambda x: x["l"]), "\n"))
     whole = strip(F.array_join(F.transform(arr, lambda x: x["l"]), "\n"))
@@ -194,9 +199,11 @@ def error_excerpt(log: DataFrame, exits: DataFrame | None = None, by: str = "run
     """Error excerpt per (failed) run (L4) from its last ``n`` lines; every
     group holds at most ``n`` lines (see ``excerpt_from_lines``)."""
     tail = tail_n(log.select(by, ord_col, col), by, ord_col, n)
+    is_err = strip(F.col(col)).rlike(_prefix_rx(prefixes))
     g = tail.groupBy(by).agg(
+        F.max(F.when(is_err, F.col(ord_col))).alias("_start"),
         F.array_sort(F.collect_list(F.struct(F.col(ord_col).alias("o"), F.col(col).alias("l")))).alias("_lines"))
-    out = g.select(by, excerpt_from_lines("_lines", prefixes).alias("excerpt"))
+    out = g.select(by, excerpt_from_lines("_lines", prefixes, start=F.col("_start")).alias("excerpt"))
     if exits is not None and failed_only:
         out = out.join(exits.where(F.col("rc") != 0).select(by), by, "left_semi")
     return out

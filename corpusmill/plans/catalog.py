@@ -508,12 +508,12 @@ def q_progress_display(spark, d):
 
 def q_tail_stream(spark, d):
     from corpusmill.streaming.tail import run_tail_stream_once
-    return run_tail_stream_once(spark, _run_log(spark, d))
+    return run_tail_stream_once(spark, _run_log(spark, d), files=2)
 
 
 def q_progress_stream(spark, d):
     from corpusmill.streaming.progress import run_progress_stream_once
-    return run_progress_stream_once(spark, _run_log(spark, d))
+    return run_progress_stream_once(spark, _run_log(spark, d), files=2)
 
 
 # ---------------------------------------------------------------- end-to-end plans

@@ -17,21 +17,26 @@ POS_BITS = 20
 SEED_RANK = 127  # seeds sort after every source (rank < 128)
 
 
-def spread(df: DataFrame) -> DataFrame:
+SPREAD_MIN_BYTES = 512 << 10
+
+
+def spread(df: DataFrame, min_bytes: int = SPREAD_MIN_BYTES) -> DataFrame:
     """Give a scan at least one partition per core.
 
     A table stored as a few large row groups is read by a few tasks, and the
     CPU-heavy steps (regex, tokenizing, HTML parsing) would run on those few
     cores. Only then is the scan redistributed (round robin, sorted first so
-    a retried task sees the same rows); a large input already has far more
-    partitions than cores and is returned as it is, with no shuffle.
+    a retried task sees the same rows), and only when it holds enough bytes
+    to be worth a shuffle; a large input already has far more partitions
+    than cores and is returned as it is, with no shuffle.
     """
     try:
         cores = df.sparkSession.sparkContext.defaultParallelism
         parts = df.rdd.getNumPartitions()          # a scan: no job is run
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:  # noqa: BLE001  (no SparkContext, e.g. Spark Connect)
         return df
-    return df.repartition(cores) if parts < cores else df
+    return df.repartition(cores) if parts < cores and size >= min_bytes else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None,
