@@ -28,9 +28,12 @@ def spread(df: DataFrame, min_bytes: int = SPREAD_MIN_BYTES) -> DataFrame:
     cores. Only then is the scan redistributed (round robin, sorted first so
     a retried task sees the same rows), and only when it holds enough bytes
     to be worth a shuffle; a large input already has far more partitions
-    than cores and is returned as it is, with no shuffle.
+    than cores and is returned as it is, with no shuffle. The session conf
+    ``corpusmill.spread.enabled=false`` switches it off.
     """
     try:
+        if str(df.sparkSession.conf.get("corpusmill.spread.enabled", "true")).lower() == "false":
+            return df
         cores = df.sparkSession.sparkContext.defaultParallelism
         parts = df.rdd.getNumPartitions()          # a scan: no job is run
         size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
