@@ -69,7 +69,8 @@ def test_hash_bucket_deterministic_and_spread(spark):
 
 
 LINES = ["[a] keep (c) gone\nnext [b]line", "x\r[y\r]z (c) q w\nv",
-         "(p) text (q)\n  [z] whole line\n(c) 2024 end [x", "[\n]", "no brackets"]
+         "(p) text (q)\n  [z] whole line\n(c) 2024 end [x", "[\n]", "no brackets",
+         "a[b\u2028c]d (c) tail\u2028more\x85x", "(\r)\n[\u2029] line (c)\rz"]
 
 
 def test_clean_brackets_and_parens_match_python(spark):
