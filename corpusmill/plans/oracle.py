@@ -492,4 +492,11 @@ FROM o LEFT JOIN er ON o.run_id = er.run_id"""
     toks = f"SELECT regexp_extract_all(text, {TOK_RX})[1:512] AS t FROM ({rendered})"
     q["training_input"] = (f"SELECT md5(array_to_string(t, ' ')) AS tokens_md5, CAST(len(t) AS INTEGER) AS n_tokens "
                            f"FROM ({toks})")
+    q["progress_stream"] = (f"SELECT l.*, m.last_line FROM ({LATEST}) l JOIN ("
+                            f"SELECT user_id AS run_id, max(event_id) AS last_line FROM events GROUP BY user_id) m "
+                            f"ON l.run_id = m.run_id")
+    all_runs = EXCERPT.replace(f"FROM g WHERE run_id IN (SELECT run_id FROM ({EXITS}) WHERE rc <> 0)", "FROM g")
+    q["tail_stream"] = (f"SELECT e.run_id, CAST(least(c.n, 30) AS INTEGER) AS n_lines, e.excerpt FROM ({all_runs}) e "
+                        f"JOIN (SELECT user_id AS run_id, count(*) AS n FROM events GROUP BY user_id) c "
+                        f"ON e.run_id = c.run_id")
     return {k: v.strip() for k, v in q.items()}
