@@ -15,6 +15,7 @@ from corpusmill.functions import constants as K
 from corpusmill.functions.text import WS
 from corpusmill.operators import runlog as R
 from corpusmill.plans import catalog as C
+from corpusmill.sources.html import VOID
 
 NL = "chr(10)"
 
@@ -264,6 +265,67 @@ SELECT doc_id, source, pos, p AS paragraph FROM (
 """
 
 
+# ---------------------------------------------------------------- selector passages (tree rules)
+# An open-element stack simulated with a recursive CTE: the page body is cut
+# into tag and text tokens (script/style/comments become a no-op token that
+# still separates text), one token per iteration updates the stack (start
+# tag pushes unless void or self-closing; an end tag pops up to the most
+# recent open element of its name, or is ignored), and every text token
+# belongs to all <p> elements open at that point.
+VOID_SQL = ", ".join(f"'{v}'" for v in sorted(VOID))
+P_PASSAGES = f"""
+WITH RECURSIVE
+src AS (
+  SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+      regexp_extract(html, '(?s)<body[^>]*>(.*)', 1),
+      '(?s)<script[^>]*>.*?</script>', '<!>', 'g'),
+      '(?s)<style[^>]*>.*?</style>', '<!>', 'g'),
+      '(?s)<!--.*?-->', '<!>', 'g'),
+      '&(amp|quot|copy|middot|lt|gt)([^-.a-zA-Z0-9;])', '&\\1;\\2', 'g') AS body
+  FROM pages
+), toks AS (
+  SELECT page_id, CAST(i AS INTEGER) AS i, tok FROM (
+    SELECT page_id, unnest(tl) AS tok, unnest(range(1, len(tl) + 1)) AS i
+    FROM (SELECT page_id, regexp_extract_all(body, '<[^>]*>|[^<]+') AS tl FROM src))
+), cls AS (
+  SELECT page_id, i, tok,
+         CASE WHEN tok LIKE '</%' THEN 'end' WHEN tok LIKE '<!%' THEN 'skip'
+              WHEN tok LIKE '<%' THEN 'start' ELSE 'text' END AS kind,
+         lower(regexp_extract(tok, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) AS name,
+         tok LIKE '%/>' AS selfclose
+  FROM toks
+), plist AS (
+  SELECT page_id, list({{'kind': kind, 'name': name, 'sc': selfclose}} ORDER BY i) AS tl FROM cls GROUP BY page_id
+), st(page_id, i, stack) AS (
+  SELECT page_id, 0, CAST([] AS STRUCT(id INTEGER, tag VARCHAR)[]) FROM plist
+  UNION ALL
+  SELECT st.page_id, st.i + 1,
+    CASE
+      WHEN p.tl[st.i + 1].kind = 'start' AND NOT p.tl[st.i + 1].sc AND p.tl[st.i + 1].name NOT IN ({VOID_SQL})
+        THEN list_append(st.stack, {{'id': st.i + 1, 'tag': p.tl[st.i + 1].name}})
+      WHEN p.tl[st.i + 1].kind = 'end'
+           AND list_position(list_reverse(list_transform(st.stack, lambda x: x.tag)), p.tl[st.i + 1].name) > 0
+        THEN st.stack[1:len(st.stack) - list_position(list_reverse(list_transform(st.stack, lambda x: x.tag)),
+                                                      p.tl[st.i + 1].name)]
+      ELSE st.stack END
+  FROM st JOIN plist p ON p.page_id = st.page_id
+  WHERE st.i < len(p.tl)
+), texts AS (
+  SELECT c.page_id, c.i, unnest(list_filter(st.stack, lambda x: x.tag = 'p')).id AS p_id,
+         {strip(UNESCAPE('c.tok'))} AS t
+  FROM cls c JOIN st ON st.page_id = c.page_id AND st.i = c.i
+  WHERE c.kind = 'text'
+), agg AS (
+  SELECT page_id, p_id, string_agg(t, '' ORDER BY i) FILTER (WHERE t <> '') AS passage FROM texts GROUP BY page_id, p_id
+), ps AS (
+  SELECT page_id, i AS p_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS pos
+  FROM cls WHERE kind = 'start' AND name = 'p'
+)
+SELECT ps.page_id, CAST(ps.pos AS INTEGER) AS pos, coalesce(agg.passage, '') AS passage
+FROM ps LEFT JOIN agg ON agg.page_id = ps.page_id AND agg.p_id = ps.p_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     q = {}
     q["scan_pages"] = ("SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, "
@@ -492,6 +554,12 @@ FROM o LEFT JOIN er ON o.run_id = er.run_id"""
     toks = f"SELECT regexp_extract_all(text, {TOK_RX})[1:512] AS t FROM ({rendered})"
     q["training_input"] = (f"SELECT md5(array_to_string(t, ' ')) AS tokens_md5, CAST(len(t) AS INTEGER) AS n_tokens "
                            f"FROM ({toks})")
+    q["html_passages"] = P_PASSAGES
+    latin_rx = _rx(chr(92) + 'A' + K.LATIN_CLASS + '+' + chr(92) + 'z')
+    q["selected_passages"] = (f"SELECT 'selected' AS source, CAST(page_id AS VARCHAR) || '-' || CAST(pos AS VARCHAR) "
+                              f"AS text_id, 'english' AS language, passage AS content, page_id AS doc_ord, pos "
+                              f"FROM ({P_PASSAGES}) WHERE length(passage) >= 21 AND regexp_matches(passage, {latin_rx}) "
+                              f"ORDER BY {ordx('0', 'page_id', 'pos')} LIMIT 500")
     # description stand-in: the first matching element is the page title (all
     # fixture pages have one, before any paragraph), so the summary is the
     # title text when it is longer than 40 characters
