@@ -335,6 +335,13 @@ def q_render_chat(spark, d):
     return chat.render_conversations(_conversations(spark, d), "plain")
 
 
+def q_render_prompt(spark, d):
+    """Every user turn as a one-message prompt ending at the assistant header."""
+    users = _conversations(spark, d).where(F.col("role") == "user")
+    msgs = F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content")))
+    return users.select("conv_id", "turn", chat.render_chat(msgs, "plain", add_generation_prompt=True).alias("prompt"))
+
+
 def q_extract_answer(spark, d):
     r = chat.render_conversations(_conversations(spark, d), "plain")
     return r.select("conv_id", chat.extract_answer("text").alias("answer"))
@@ -616,6 +623,7 @@ QUERIES = {
     "default_fill": q_default_fill,
     "dedupe_key": q_dedupe_key,
     "render_chat": q_render_chat,
+    "render_prompt": q_render_prompt,
     "extract_answer": q_extract_answer,
     "html_escape": q_html_escape,
     "messages_build": q_messages_build,

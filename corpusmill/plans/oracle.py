@@ -418,6 +418,8 @@ FROM r"""
                        f"FROM documents")
     q["render_chat"] = CHAT
     last_part = "string_split(text, 'Assistant:')[-1]"
+    q["render_prompt"] = (f"SELECT conv_id, turn, 'User: ' || text || {NL} || {NL} || 'Assistant:' AS prompt "
+                          f"FROM conversations WHERE role = 'user'")
     q["extract_answer"] = f"SELECT conv_id, {strip(last_part)} AS answer FROM ({CHAT})"
     q["html_escape"] = ("SELECT page_id, CAST(length(e) AS INTEGER) AS escaped_len, md5(e) AS escaped_md5 FROM ("
                         "SELECT page_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS e "

@@ -123,3 +123,14 @@ def test_conversation_chunks_join_to_the_text(spark):
         parts.setdefault(r.conv_id, []).append(r.text)
     assert {k: "\n\n".join(v) for k, v in parts.items()} == whole
     assert whole[1].startswith("User: m0\n\nAssistant: m1") and whole[2] == "System: s"
+
+
+def test_generation_prompt_styles(spark):
+    from corpusmill.operators import chat
+    df = spark.createDataFrame([(1,)], "id long")
+    msgs = F.array(F.struct(F.lit("user").alias("role"), F.lit("Q?").alias("content")))
+    m = {"start": "<s>", "role_sep": "\n", "end": "</s>\n"}
+    r = df.select(chat.render_chat(msgs, "plain", add_generation_prompt=True).alias("p"),
+                  chat.render_chat(msgs, "template", add_generation_prompt=True, markers=m).alias("t")).first()
+    assert r.p == "User: Q?\n\nAssistant:"
+    assert r.t == "<s>user\nQ?</s>\n<s>assistant\n"
