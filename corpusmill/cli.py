@@ -77,8 +77,10 @@ def cmd_expanded(args):
     params = {name: {"data_dir": args.data_dir} for name in ("documents", "crawl")}
     items = build_sources(spark, args.sources, params)
     if args.license_map:
-        lic = spark.read.json(args.license_map)          # (source, license_type, attribution, ...)
-        items = items.join(F.broadcast(lic), "source", "left")
+        # (source, license_type, attribution, ...): a user file, so no broadcast
+        # hint - AQE broadcasts it only when its measured size is small
+        lic = spark.read.json(args.license_map)
+        items = items.join(lic, "source", "left")
     if "license_type" not in items.columns:
         items = items.withColumn("license_type", F.lit(None).cast("string"))
     kept = policy.license_filter(items, policy.policy_table(spark), commercial=args.commercial,
