@@ -33,3 +33,16 @@ def test_build_format_runlog(spark, sf_small, capsys):
     s = {r.run_id: r.pct for r in spark.read.parquet(f"{out}/rs/latest").collect()}
     b = {r.run_id: r.pct for r in spark.read.parquet(f"{out}/rl/latest").collect()}
     assert s == b
+
+
+def test_expanded_with_licence_map(spark, sf_small):
+    out = scratch_dir(spark, "cli-expanded")
+    lic = f"{out}/lic"
+    spark.createDataFrame([("crawl", "proprietary")], "source string, license_type string").write.json(lic)
+    cli.main(["expanded", "--data-dir", sf_small, "--output", f"{out}/nested", "--sources", "documents", "crawl",
+              "--license-map", lic, "--style", "chat", "--markers", '{"start": "<t>", "end": "</t>\\n"}'])
+    back = spark.read.json(f"{out}/nested")
+    n_docs = read_table(spark, sf_small, "documents", ["doc_id"]).count()
+    assert back.count() == n_docs                      # crawl is proprietary: dropped
+    assert back.where("meta.source = 'crawl'").count() == 0
+    assert back.first().text.startswith("<t>user\n")
