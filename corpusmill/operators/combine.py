@@ -51,7 +51,7 @@ def estimated_partitions(df: DataFrame) -> int | None:
     """Scan partitions implied by the optimizer's size estimate (no job)."""
     try:
         size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        split = int(str(df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes", "134217728")).rstrip("b"))
+        split = int(df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
         return max(1, size // max(split, 1))
     except Exception:  # noqa: BLE001  (no JVM handle, e.g. Spark Connect)
         return None
