@@ -2,7 +2,8 @@
 
 A run log is ``(run_id, line_no, ts, line)``; exits are ``(run_id, rc)``.
 Progress lines are parsed with JVM regexes; state "after each line" is a
-carry-forward window, and the latest state per run is a hash aggregate.
+segmented carry-forward window, and the latest state per run is one
+aggregate with partial aggregation before the shuffle.
 """
 
 from __future__ import annotations
@@ -151,7 +152,10 @@ def carry_forward(df: DataFrame, by: str = "run_id", ord_col: str = "line_no",
 def progress_latest(parsed: DataFrame, by: str = "run_id", ord_col: str = "line_no",
                     cols: list[str] = PROGRESS_COLS) -> DataFrame:
     """Latest value of every progress field per run (L2): ``max_by`` with a
-    NULL ordering for lines that do not set the field."""
+    NULL ordering for lines that do not set the field. The string fields
+    (elapsed, eta) have no fixed-width buffer, so Spark plans a sort-based
+    aggregate; it still aggregates partially per map partition, so the
+    shuffle carries one row per run and partition."""
     return parsed.groupBy(by).agg(
         *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(ord_col))).alias(c) for c in cols])
 
