@@ -1,9 +1,10 @@
 """Tokenization, truncation and sequence packing.
 
 The native tokenizer splits on runs of Unicode whitespace (Python's
-``str.split()``) with a JVM split, so the hot path stays in codegen. An external tokenizer (e.g. a local
-``tokenizers`` vocabulary file) can be plugged in; it runs in an
-Arrow-batched pandas UDF and is loaded once per Python worker.
+``str.split()``) with ``translate`` + ``split`` on the JVM, and gives each
+token a hashed id, so the hot path stays in codegen. An external tokenizer
+(e.g. a local ``tokenizers`` vocabulary file) can be plugged in; it runs in
+an Arrow-batched pandas UDF and is loaded once per Python worker.
 """
 
 from __future__ import annotations
