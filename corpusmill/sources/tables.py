@@ -18,17 +18,18 @@ SEED_RANK = 127  # seeds sort after every source (rank < 128)
 
 
 SPREAD_MIN_BYTES = 512 << 10
+SPREAD_MAX_BYTES = 1 << 30
 
 
-def spread(df: DataFrame, min_bytes: int = SPREAD_MIN_BYTES) -> DataFrame:
+def spread(df: DataFrame, min_bytes: int = SPREAD_MIN_BYTES, max_bytes: int = SPREAD_MAX_BYTES) -> DataFrame:
     """Give a scan at least one partition per core.
 
     A table stored as a few large row groups is read by a few tasks, and the
     CPU-heavy steps (regex, tokenizing, HTML parsing) would run on those few
     cores. Only then is the scan redistributed (round robin, sorted first so
-    a retried task sees the same rows), and only when it holds enough bytes
-    to be worth a shuffle; a large input already has far more partitions
-    than cores and is returned as it is, with no shuffle. The session conf
+    a retried task sees the same rows), and only when it is small (between
+    ``min_bytes`` and ``max_bytes``); a large input is returned as it is,
+    with no shuffle. The session conf
     ``corpusmill.spread.enabled=false`` switches it off.
     """
     try:
@@ -39,7 +40,10 @@ def spread(df: DataFrame, min_bytes: int = SPREAD_MIN_BYTES) -> DataFrame:
         size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:  # noqa: BLE001  (no SparkContext, e.g. Spark Connect)
         return df
-    return df.repartition(cores) if parts < cores and size >= min_bytes else df
+    # beyond max_bytes a shuffle costs more than it gains: larger inputs get
+    # their parallelism from smaller scan splits (spark.sql.files.maxPartitionBytes,
+    # see session.sizing_conf), which needs no shuffle
+    return df.repartition(cores) if parts < cores and min_bytes <= size <= max_bytes else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None,
