@@ -38,17 +38,34 @@ def pair_quoted(df: DataFrame, content_col: str = "content", title_col: str = "t
              .withColumn("response", F.concat(F.lit(lead_before), F.col(title_col), F.lit(lead_after)))
 
 
+def commentary_content(df: DataFrame, content_col: str = "content", cut: int = 1400,
+                       min_len: int = 30) -> DataFrame:
+    """Content cut to ``cut`` code points; rows shorter than ``min_len`` after the cut dropped (F2)."""
+    return df.withColumn(content_col, clip(content_col, cut)).where(F.length(F.col(content_col)) >= min_len)
+
+
+def commentary_instruction(content, templates: list[str] = K.PROMPTS_7, prompt=None) -> Column:
+    """Prompt (chosen by the content's bucket unless given) + blank line + content."""
+    c = _c(content)
+    return F.concat(pick(c, templates) if prompt is None else prompt, F.lit("\n\n"), c)
+
+
+def commentary_response(content, lead: str = K.COMMENTARY_LEAD, answer_len: int = 300,
+                        answer_suffix: str = "…") -> Column:
+    """Lead + first ``answer_len`` code points + ellipsis."""
+    return F.concat(F.lit(lead), clip(_c(content), answer_len, suffix=answer_suffix))
+
+
 def pair_commentary(df: DataFrame, content_col: str = "content",
                     templates: list[str] = K.PROMPTS_7, lead: str = K.COMMENTARY_LEAD,
                     cut: int = 1400, min_len: int = 30, answer_len: int = 300,
                     answer_suffix: str = "…") -> DataFrame:
     """Content cut to 1400; rows shorter than 30 after the cut are dropped;
     response = lead + first 300 + ellipsis (P5, F2)."""
-    cut_c = clip(content_col, cut)
-    out = df.withColumn(content_col, cut_c).where(F.length(F.col(content_col)) >= min_len)
+    out = commentary_content(df, content_col, cut, min_len)
     c = F.col(content_col)
-    return out.withColumn("instruction", F.concat(pick(c, templates), F.lit("\n\n"), c)) \
-              .withColumn("response", F.concat(F.lit(lead), clip(c, answer_len, suffix=answer_suffix)))
+    return out.withColumn("instruction", commentary_instruction(c, templates)) \
+              .withColumn("response", commentary_response(c, lead, answer_len, answer_suffix))
 
 
 def pair_summary(df: DataFrame, title_col: str, summary_col: str,

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import constants as K
-from corpusmill.functions.text import clip, dedupe_key, pick
+from corpusmill.functions.text import clip, dedupe_key, hash_bucket, pick
 from corpusmill.operators import chat, combine, dedupe, pairs, policy, report, tokens
 from corpusmill.sources import sinks
 from corpusmill.sources.tables import make_ord, rank_map
@@ -28,14 +28,26 @@ def documents_as_passages(docs: DataFrame, source_order: list[str]) -> DataFrame
 def build_corpus(docs: DataFrame, seed: DataFrame, source_order: list[str],
                  templates: list[str] = K.PROMPTS_7, casefold: bool = True,
                  floor: str = "always", floor_n: int = 20) -> DataFrame:
-    """Flat instruction records with ``ord``; commentary-style pairs."""
-    p = documents_as_passages(docs, source_order)
-    p = pairs.pair_commentary(p, "content", templates)
-    p = p.select("instruction", "response", "source", "language",
+    """Flat instruction records with ``ord``; commentary-style pairs.
+
+    The dedupe key is computed before the shuffle, but the pair texts are
+    built from the survivors: the dedupe shuffle carries the (cut) content
+    and a template bucket, not the instruction and response strings.
+    """
+    p = pairs.commentary_content(documents_as_passages(docs, source_order), "content")
+    tb = hash_bucket("content", len(templates))
+    prompt = F.element_at(F.array(*[F.lit(t) for t in templates]), (F.col("_tb") + 1).cast("int"))
+    p = p.select("source", "language", "content", tb.alias("_tb"),
                  make_ord("source_rank", "doc_id").alias("ord"))
+    p = p.withColumn("_k", dedupe_key(pairs.commentary_instruction("content", prompt=prompt), casefold=casefold))
     allp = combine.with_floor(p, seed, mode=floor, n=floor_n)
-    kept = dedupe.dedupe_first(allp, dedupe_key("instruction", casefold=casefold))
-    return pairs.fill_record(kept, response_fallback=None)
+    allp = allp.withColumn("_k", F.coalesce(F.col("_k"), dedupe_key("instruction", casefold=casefold)))
+    kept = dedupe.dedupe_first(allp, F.col("_k"))
+    built = kept.select(
+        F.coalesce(F.col("instruction"), pairs.commentary_instruction("content", prompt=prompt)).alias("instruction"),
+        F.coalesce(F.col("response"), pairs.commentary_response("content")).alias("response"),
+        "source", "language", "ord")
+    return pairs.fill_record(built, response_fallback=None)
 
 
 def to_pairs(df: DataFrame, style: str, templates: list[str] = K.PROMPTS_7) -> DataFrame:
