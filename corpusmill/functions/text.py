@@ -15,14 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The Unicode whitespace set of Python's str.isspace / re \s
-# (29 code points), as code-point ranges, as a Java/RE2 character class,
-# and as a plain string for btrim / translate.
-WS_RANGES = [(0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680),
-             (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)]
-WS = (r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-      r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
-WS_CHARS = "".join(chr(c) for lo, hi in WS_RANGES for c in range(lo, hi + 1))
+from corpusmill.functions.constants import WS, WS_CHARS, WS_RANGES  # noqa: F401  (fixed values)
 
 
 def _c(col) -> Column:

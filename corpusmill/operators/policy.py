@@ -10,18 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.functions import constants as K
+
 POLICY_SCHEMA = ("license_type string, scraping_allowed boolean, commercial_use boolean, "
                  "attribution_required boolean, share_alike boolean, citation_required boolean, "
                  "fair_use_summary_only boolean, years_before int, regions array<string>")
 
-# The licence policy table (NULL = flag not stated).
-POLICY_ROWS = [
-    ("public_domain", None, None, None, None, None, None, 1928, ["US", "global_classics"]),
-    ("cc_by", None, None, True, False, None, None, None, None),
-    ("cc_by_sa", None, None, True, True, None, None, None, None),
-    ("research_only", None, False, None, None, True, None, None, None),
-    ("proprietary", False, None, None, None, None, True, None, None),
-]
+POLICY_ROWS = K.POLICY_ROWS
 
 
 def policy_table(spark: SparkSession, rows=None) -> DataFrame:

@@ -12,17 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import constants as K
-from corpusmill.functions.text import WS, html_escape, strip
-
-S = WS  # Unicode whitespace class, as Python's \s
-# Progress-line patterns (tqdm bar with epoch prefix, plain
-# bar at line start, trainer metrics keys), written for Java regex with
-# (?d) so that '.' stops only at '\n'.
-EPOCH_BAR = (rf"(?d)[Ee]poch{S}+(\d+){S}*/{S}*(\d+).*?(\d+)%\|.*?\|{S}*(\d+)/(\d+){S}*"
-             rf"\[([^<]+)<([^,\]]+)")
-PLAIN_BAR = rf"(?d)\A{S}*(\d+)%\|.*?\|{S}*(\d+)/(\d+){S}*\[([^<]+)<([^,\]]+)"
-LOSS = rf"'loss':{S}*([\d.]+)"
-EPOCH_FLOAT = rf"'epoch':{S}*([\d.]+)"
+from corpusmill.functions.constants import EPOCH_BAR, EPOCH_FLOAT, LOSS, PLAIN_BAR  # noqa: F401
+from corpusmill.functions.text import html_escape, strip
+
 NUM_SCI = r"([\d.]+(?:[eE][-+]?\d+)?)"
 
 PROGRESS_COLS = ["epoch_cur", "epoch_total", "pct", "step_cur", "step_total",

@@ -153,9 +153,9 @@ FROM events
 EXITS = "SELECT DISTINCT user_id AS run_id, CAST(user_id % 2 AS INTEGER) AS rc FROM events"
 
 # RE2 versions of the progress patterns ('.' already stops only at '\n').
-EB = R.EPOCH_BAR.replace("(?d)", "")
-PB = R.PLAIN_BAR.replace("(?d)", "")
-LOSS, EPF = R.LOSS, R.EPOCH_FLOAT
+EB = K.EPOCH_BAR.replace("(?d)", "")
+PB = K.PLAIN_BAR.replace("(?d)", "")
+LOSS, EPF = K.LOSS, K.EPOCH_FLOAT
 
 
 def _rx(p: str) -> str:
