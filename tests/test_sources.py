@@ -71,3 +71,18 @@ def test_selected_source_cjk_whitelist_and_cap(spark, tmp_path):
     assert got == [("0-0", ok1), ("0-3", ok2), ("1-0", ok2)]
     capped = [(r.text_id) for r in selected(spark, d, selectors=SEL, cap=2).orderBy("doc_ord", "pos").collect()]
     assert capped == ["0-0", "0-3"]
+
+
+def test_abstracts_source_through_the_registry(spark):
+    from corpusmill.plans.corpus_builder import build_corpus_from_sources
+    from corpusmill.sources import builtin  # noqa: F401
+    path = scratch_dir(spark, "abstracts-src")
+    spark.createDataFrame([("T one", "An abstract long enough to keep as a passage.", "J1", "cc_by"),
+                           ("T two", "short", "J2", "cc_by")],
+                          "title string, abstract string, source string, license string").write.json(path)
+    c = build_corpus_from_sources(spark, ["abstracts"], {"abstracts": {"path": path}}, seed=None)
+    rows = c.collect()
+    assert len(rows) == 1                                    # commentary style drops texts under 30
+    r = rows[0]
+    assert r.source == "academic_abstracts" and r.instruction.endswith("\n\nAn abstract long enough to keep as a passage.")
+    assert r.response.startswith("A short commentary: An abstract long")
