@@ -65,8 +65,10 @@ def sizing_conf(input_bytes: int, target_partition_bytes: int = 256 << 20, expan
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the session has none (local tests) is a private folder made
-    and registered, so that ``DataFrame.checkpoint()`` works there too.
+    Only when the session has none and runs on a ``local[...]`` master
+    (tests) is a private folder made and registered, so that
+    ``DataFrame.checkpoint()`` works there too; on a cluster a missing
+    setting is an error, never a machine-local folder.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -82,6 +84,14 @@ def checkpoint_root(spark: SparkSession) -> str:
             return sc.getCheckpointDir() or conf
     if conf:
         return conf
+    master = ""
+    try:
+        master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+    except Exception:  # noqa: BLE001
+        pass
+    if master and not master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster: written tables "
+                           "and stream checkpoints must not go to a machine-local folder")
     local = tempfile.mkdtemp(prefix="corpusmill-ckpt-")
     if sc is not None:
         sc.setCheckpointDir(local)
