@@ -29,3 +29,38 @@ def test_sizing_conf_scales_with_input():
     assert int(small["spark.sql.shuffle.partitions"]) == 200
     assert int(big["spark.sql.shuffle.partitions"]) > 500_000
     assert big["spark.sql.files.maxPartitionBytes"] == str(256 << 20)
+
+
+def test_no_machine_local_scratch_on_a_cluster():
+    import pytest
+
+    from corpusmill.session import checkpoint_root
+
+    class Conf:
+        def __init__(self, d):
+            self.d = d
+
+        def get(self, k, default=None):
+            return self.d.get(k, default)
+
+    class SC:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Spark:
+        sparkContext = SC()
+        conf = Conf({})
+
+    with pytest.raises(RuntimeError):
+        checkpoint_root(Spark())
+
+    class SharedSC(SC):
+        def getCheckpointDir(self):
+            return "hdfs://shared/ckpt"
+
+    class Spark2(Spark):
+        sparkContext = SharedSC()
+
+    assert checkpoint_root(Spark2()) == "hdfs://shared/ckpt"
