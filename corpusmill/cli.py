@@ -19,6 +19,10 @@ import sys
 from pyspark.sql import functions as F
 
 
+# registered sources that read the tables of --data-dir
+TABLE_SOURCES = ("documents", "crawl", "selected", "described")
+
+
 def _session(args):
     from corpusmill.session import build_session
     return build_session(args.master, app=f"corpusmill-{args.cmd}")
@@ -43,7 +47,7 @@ def cmd_build(args):
     from corpusmill.sources.jsonl import first_lines
     spark = _session(args)
     chosen = [] if args.no_scrape else args.sources
-    params = {name: {"data_dir": args.data_dir} for name in ("documents", "crawl")}
+    params = {name: {"data_dir": args.data_dir} for name in TABLE_SOURCES}
     if args.abstracts:
         params["abstracts"] = {"path": args.abstracts}
     corpus = build_corpus_from_sources(spark, chosen, params, _seed(spark, args),
@@ -74,7 +78,7 @@ def cmd_expanded(args):
     from corpusmill.sources.registry import build_sources
     from corpusmill.sources.sinks import sink_nested
     spark = _session(args)
-    params = {name: {"data_dir": args.data_dir} for name in ("documents", "crawl")}
+    params = {name: {"data_dir": args.data_dir} for name in TABLE_SOURCES}
     items = build_sources(spark, args.sources, params)
     if args.license_map:
         # (source, license_type, attribution, ...): a user file, so no broadcast

@@ -54,6 +54,8 @@ def to_pairs(df: DataFrame, style: str, templates: list[str] = K.PROMPTS_7) -> D
     """Passages (with source_rank, doc_ord, pos) -> pairs in a source's style, with ``ord``."""
     if style == "quoted":
         p = pairs.pair_quoted(df, "content", "title", templates)
+    elif style == "summary":
+        p = pairs.pair_summary(df, "title", "content")
     elif style == "commentary":
         p = pairs.pair_commentary(df, "content", templates)
     else:

@@ -10,6 +10,9 @@
   cleanup -> paragraphs -> first 50 per page; pairs in quoted style.
 * ``abstracts`` - abstracts JSONL {title, abstract, source, license};
   pairs in commentary style.
+* ``described`` - stored pages -> page title and description (meta tag,
+  else the description paragraph; kept when longer than 40) ->
+  question from the title, answer from the description (summary style).
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from corpusmill.functions.constants import CJK_CLASS, PASSAGE_SELECTORS
 from corpusmill.operators.combine import cap_total
 from corpusmill.operators.filters import script_filter
 from corpusmill.sources.crawl import crawl_passages
-from corpusmill.sources.html import html_passages
+from corpusmill.sources.html import extract, html_passages
 from corpusmill.sources.jsonl import scan_abstracts
 from corpusmill.sources.registry import register
 from corpusmill.sources.tables import make_ord, read_table, scan_passages
@@ -58,3 +61,18 @@ def selected(spark, data_dir: str, selectors: str = PASSAGE_SELECTORS,
                     F.concat(F.col("page_id").cast("string"), F.lit("-"), F.col("pos").cast("string")).alias("text_id"),
                     F.lit(language).alias("language"), F.col("passage").alias("content"),
                     F.col("page_id").alias("doc_ord"), F.col("pos"))
+
+
+@register("described", pair_style="summary")
+def described(spark, data_dir: str, min_len: int | None = 40, language: str = "english"):
+    pages = read_table(spark, data_dir, "pages", ["page_id", "html"])
+    x = pages.select("page_id", extract("html", selectors="title", parts=("passages", "desc")).alias("_x"))
+    summary = F.coalesce(F.nullif(F.col("_x.meta_desc"), F.lit("")), F.nullif(F.col("_x.p_desc"), F.lit("")))
+    out = x.select("page_id", F.try_element_at("_x.passages", F.lit(1)).alias("title"), summary.alias("content"))
+    out = out.where(F.col("content").isNotNull())
+    if min_len is not None:
+        out = out.where(F.length("content") > min_len)
+    return out.select(F.lit("described").alias("source"), F.col("page_id").cast("string").alias("text_id"),
+                      F.lit(language).alias("language"), "content",
+                      F.coalesce(F.col("title"), F.lit("")).alias("title"),
+                      F.col("page_id").alias("doc_ord"), F.lit(0).alias("pos"))

@@ -86,3 +86,24 @@ def test_abstracts_source_through_the_registry(spark):
     r = rows[0]
     assert r.source == "academic_abstracts" and r.instruction.endswith("\n\nAn abstract long enough to keep as a passage.")
     assert r.response.startswith("A short commentary: An abstract long")
+
+
+def test_described_source_summary_pairs(spark, tmp_path):
+    from corpusmill.plans.corpus_builder import build_corpus_from_sources
+    from corpusmill.sources import builtin  # noqa: F401
+    long_meta, long_p = "m" * 41, "p" * 41
+    pages = [
+        (1, f"<head><title>First film</title><meta name='description' content='{long_meta}'></head>"),
+        (2, f"<head><title>Second</title><meta name='description' content=''></head>"
+            f"<body><p class='description'>{long_p}</p></body>"),
+        (3, "<head><title>Short</title><meta name='description' content='too short'></head>"),
+        (4, "<head><title>None</title></head><body><p>no description</p></body>"),
+    ]
+    d = str(tmp_path)
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{d}/pages.parquet")
+    rows = build_corpus_from_sources(spark, ["described"], {"described": {"data_dir": d}}, seed=None) \
+        .orderBy("ord").collect()
+    assert [(r.instruction, r.response) for r in rows] == [
+        ("What is covered in 'First film'?", f"'First film' covers: {long_meta}"),
+        ("What is covered in 'Second'?", f"'Second' covers: {long_p}"),
+    ]
