@@ -155,8 +155,10 @@ def _expanded_items(spark, d):
     docs = _docs(spark, d)
     items = docs.select("source", F.col("doc_id").cast("string").alias("text_id"),
                         F.col("lang").alias("language"), F.col("text").alias("content"))
-    dim = source_dim(spark).select("source", "license", "attribution", "modality",
-                                   F.when(F.substring("source", 4, 3).cast("int") % 2 == 0, F.col("title")).alias("title"))
+    # meta keys in item order: source, text_id, language, [title], license, attribution, [modality]
+    dim = source_dim(spark).select("source",
+                                   F.when(F.substring("source", 4, 3).cast("int") % 2 == 0, F.col("title")).alias("title"),
+                                   "license", "attribution", "modality")
     return pairs.with_provenance(items, dim)
 
 
@@ -165,7 +167,7 @@ def q_sink_nested_meta(spark, d):
     items = CB.format_expanded(_expanded_items(spark, d))
     S.sink_nested(items, path)
     back = spark.read.schema("text string, meta struct<source string, text_id string, language string, "
-                             "license string, attribution string, modality string, title string>").json(path)
+                             "title string, license string, attribution string, modality string>").json(path)
     return back.select("text", "meta.*")
 
 
