@@ -30,10 +30,10 @@ def spread(df: DataFrame, min_bytes: int = SPREAD_MIN_BYTES, max_bytes: int = SP
     a retried task sees the same rows), and only when it is small (between
     ``min_bytes`` and ``max_bytes``); a large input is returned as it is,
     with no shuffle. The session conf
-    ``corpusmill.spread.enabled=false`` switches it off.
+    ``spark.corpusmill.spread.enabled=false`` switches it off.
     """
     try:
-        if str(df.sparkSession.conf.get("corpusmill.spread.enabled", "true")).lower() == "false":
+        if str(df.sparkSession.conf.get("spark.corpusmill.spread.enabled", "true")).lower() == "false":
             return df
         cores = df.sparkSession.sparkContext.defaultParallelism
         parts = df.rdd.getNumPartitions()          # a scan: no job is run

@@ -33,7 +33,7 @@ def main():
     spark = build_session("local[8]", shuffle_partitions=16)
     # the plans as they are at scale: inputs with more partitions than cores
     # are never spread, so the small-input round robin is left out here
-    spark.conf.set("corpusmill.spread.enabled", "false")
+    spark.conf.set("spark.corpusmill.spread.enabled", "false")
     out = ["# Physical plans of the headline queries",
            "",
            f"`python tools/explain_plans.py {sf_dir}` (AQE on; the adaptive plan may still change joins",
