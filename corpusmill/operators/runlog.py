@@ -168,6 +168,14 @@ def _prefix_rx(prefixes) -> str:
     return r"\A(?:" + "|".join(p.replace(".", r"\.") for p in prefixes) + ")"
 
 
+def error_start(lines, prefixes=K.ERROR_PREFIXES) -> Column:
+    """Line number of the last tail line whose stripped text opens with an
+    error prefix (NULL when none), from ``ARRAY<STRUCT<o, l>>``."""
+    arr = F.col(lines) if isinstance(lines, str) else lines
+    rx = _prefix_rx(prefixes)
+    return F.array_max(F.transform(F.filter(arr, lambda x: strip(x["l"]).rlike(rx)), lambda x: x["o"]))
+
+
 def excerpt_from_lines(lines, prefixes=K.ERROR_PREFIXES, start=None) -> Column:
     """Error excerpt from an ordered ``ARRAY<STRUCT<o: line number, l: line>>``
     (a run's tail): start at the last line whose stripped text opens with an
@@ -180,8 +188,7 @@ def excerpt_from_lines(lines, prefixes=K.ERROR_PREFIXES, start=None) -> Column:
     """
     arr = F.col(lines) if isinstance(lines, str) else lines
     if start is None:
-        rx = _prefix_rx(prefixes)
-        start = F.array_max(F.transform(F.filter(arr, lambda x: strip(x["l"]).rlike(rx)), lambda x: x["o"]))
+        start = error_start(arr, prefixes)
     from_err = F.filter(arr, lambda x: start.isNull() | (x["o"] >= start))
     snippet = strip(F.array_join(F.transform(from_err, lambda x: x["l"]), "\n"))
     whole = strip(F.array_join(F.transform(arr, lambda x: x["l"]), "\n"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from corpusmill.functions import constants as K
-from corpusmill.operators.runlog import excerpt_from_lines
+from corpusmill.operators.runlog import error_start, excerpt_from_lines
 from corpusmill.session import scratch_dir
 
 STATE_SCHEMA = "line_nos array<bigint>, lines array<string>"
@@ -50,9 +50,15 @@ def tail_stream(stream: DataFrame, n: int = K.TAIL_LINES) -> DataFrame:
                                           GroupStateTimeout.NoTimeout))
 
 
+def _zipped():
+    return F.arrays_zip(F.col("line_nos").alias("o"), F.col("lines").alias("l"))
+
+
 def with_excerpt(tails: DataFrame) -> DataFrame:
-    lines = F.arrays_zip(F.col("line_nos").alias("o"), F.col("lines").alias("l"))
-    return tails.select("run_id", excerpt_from_lines(lines).alias("excerpt"))
+    """Error excerpt of every tail; uses the stored ``err_start`` when the
+    tails carry it (the error start is then not searched again per line)."""
+    start = F.col("err_start") if "err_start" in tails.columns else None
+    return tails.select("run_id", excerpt_from_lines(_zipped(), start=start).alias("excerpt"))
 
 
 def run_tail_stream_once(spark: SparkSession, log: DataFrame, files: int = 4, n: int = K.TAIL_LINES) -> DataFrame:
@@ -65,12 +71,14 @@ def run_tail_stream_once(spark: SparkSession, log: DataFrame, files: int = 4, n:
     sink = scratch_dir(spark, "tail-updates").rstrip("/")
 
     def write_batch(bdf: DataFrame, batch_id: int):
-        bdf.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")   # replay-safe
+        # replay-safe; the error start is computed once per updated tail and stored with it
+        bdf.withColumn("err_start", error_start(_zipped())) \
+           .write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
     q = (tail_stream(stream, n).writeStream.outputMode("update").foreachBatch(write_batch)
             .option("checkpointLocation", scratch_dir(spark, "tail-ckpt")).trigger(availableNow=True).start())
     q.awaitTermination()
     u = spark.read.parquet(sink)
-    last = (u.groupBy("run_id").agg(F.max_by(F.struct("line_nos", "lines"), F.col("batch_id")).alias("s"))
-             .select("run_id", "s.line_nos", "s.lines"))
+    last = (u.groupBy("run_id").agg(F.max_by(F.struct("line_nos", "lines", "err_start"), F.col("batch_id")).alias("s"))
+             .select("run_id", "s.line_nos", "s.lines", "s.err_start"))
     return with_excerpt(last).join(last, "run_id").select("run_id", F.size("line_nos").alias("n_lines"), "excerpt")
