@@ -222,7 +222,8 @@ def run_outcome(latest: DataFrame, exits: DataFrame, by: str = "run_id") -> Data
                     *[c for c in latest.columns if c not in (by, "pct")])
 
 
-def progress_display(latest: DataFrame, total_epochs: int = 1, by: str = "run_id") -> DataFrame:
+def progress_display(latest: DataFrame, total_epochs: int = 1, by: str = "run_id",
+                     keep: tuple[str, ...] = ()) -> DataFrame:
     """Display values of a progress card (L6): defaults for missing fields,
     4-decimal loss, percent label only above 6; ``idle`` when no progress
     field was ever set (the card shows the waiting state then)."""
@@ -241,6 +242,7 @@ def progress_display(latest: DataFrame, total_epochs: int = 1, by: str = "run_id
         idle = idle & F.col(c).isNull()
     return latest.select(
         by,
+        *keep,
         idle.alias("idle"),
         pct.alias("pct"),
         F.concat(or_q("epoch_cur"), F.lit("/"),

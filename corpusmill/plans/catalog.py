@@ -582,10 +582,9 @@ def q_run_report(spark, d):
     parsed = _parsed(spark, d)
     latest = runlog.progress_latest(parsed)
     out = runlog.run_outcome(latest, _exits(spark, d))
-    disp = runlog.progress_display(out.drop("rc", "status"), total_epochs=3)
+    disp = runlog.progress_display(out, total_epochs=3, keep=("status",))   # one frame, no self-join
     errs = runlog.error_excerpt(_run_log(spark, d), _exits(spark, d))
-    return (out.select("run_id", "status").join(disp, "run_id")
-               .join(errs, "run_id", "left")
+    return (disp.join(errs, "run_id", "left")
                .select("run_id", "status", "pct", "epoch_label", "step_label", "loss_label", "eta_label",
                        "pct_label", "excerpt"))
 
