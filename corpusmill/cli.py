@@ -102,7 +102,8 @@ def cmd_runlog(args):
         stream = spark.readStream.schema("run_id bigint, line_no bigint, ts timestamp, line string") \
             .parquet(args.log)
         q = start_progress_stream(stream, f"{args.output}/updates", f"{args.output}/_checkpoint",
-                                  trigger={"availableNow": True} if args.once else {"processingTime": "10 seconds"})
+                                  trigger={"availableNow": True} if args.once else {"processingTime": "10 seconds"},
+                                  watermark=args.watermark)
         q.awaitTermination()
         latest_from_updates(spark, f"{args.output}/updates").write.mode("overwrite").parquet(f"{args.output}/latest")
         return
@@ -163,6 +164,7 @@ def main(argv=None):
     r.add_argument("--epochs", type=int, default=1)
     r.add_argument("--stream", action="store_true")
     r.add_argument("--once", action="store_true", help="stream what is there, then stop")
+    r.add_argument("--watermark", default=None, help="evict runs idle longer than this, e.g. '1 hour'")
     r.set_defaults(fn=cmd_runlog)
 
     args = p.parse_args(argv)

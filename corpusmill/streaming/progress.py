@@ -21,20 +21,21 @@ def progress_stream(stream: DataFrame, watermark: str | None = None, by: str = "
                     ord_col: str = "line_no") -> DataFrame:
     parsed = parse_progress(stream)
     if watermark:
-        parsed = parsed.withWatermark("ts", watermark)
+        # event time must be TIMESTAMP (logs often carry TIMESTAMP_NTZ)
+        parsed = parsed.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
     return parsed.groupBy(by).agg(
         *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(ord_col))).alias(c) for c in PROGRESS_COLS],
         F.max(ord_col).alias("last_line"))
 
 
 def start_progress_stream(stream: DataFrame, sink_path: str, checkpoint: str,
-                          trigger: dict | None = None):
+                          trigger: dict | None = None, watermark: str | None = None):
     """Start the update-mode query; every micro-batch writes its updated
     rows to ``sink_path/batch_id=N``. The checkpoint in the shared folder
     makes the query restartable after a lost driver or executor; a batch
     that is replayed after a failure overwrites its own folder, so the
     output stays exactly-once although ``foreachBatch`` is at-least-once."""
-    agg = progress_stream(stream)
+    agg = progress_stream(stream, watermark=watermark)
     root = sink_path.rstrip("/")
 
     def write_batch(bdf: DataFrame, batch_id: int):

@@ -138,3 +138,19 @@ def test_stateful_tail_stream_equals_batch(spark):
     assert set(got) == set(batch)
     for k in batch:
         assert got[k] == (30, batch[k])
+
+
+def test_progress_stream_with_watermark(spark):
+    from corpusmill.session import scratch_dir
+    from corpusmill.streaming.progress import progress_stream
+    src = scratch_dir(spark, "wm-src")
+    log = spark.createDataFrame([(1, i, ln) for i, ln in enumerate(LINES)], "run_id long, line_no long, line string") \
+        .withColumn("ts", F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")))
+    log.write.parquet(src)
+    st = spark.readStream.schema("run_id bigint, line_no bigint, line string, ts timestamp_ntz").parquet(src)
+    name = "wm_progress_test"
+    q = (progress_stream(st, watermark="1 hour").writeStream.outputMode("update").format("memory")
+         .queryName(name).option("checkpointLocation", scratch_dir(spark, "wm-ck")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = spark.sql(f"select * from {name}").collect()
+    assert len(got) == 1 and got[0].last_line == len(LINES) - 1
