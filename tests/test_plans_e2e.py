@@ -64,3 +64,21 @@ def test_no_machine_local_scratch_on_a_cluster():
         sparkContext = SharedSC()
 
     assert checkpoint_root(Spark2()) == "hdfs://shared/ckpt"
+
+
+def test_flat_sink_utf8_five_fields(spark):
+    from corpusmill.operators import pairs
+    from corpusmill.sources.sinks import sink_jsonl
+    df = spark.createDataFrame([("Qué? 水", None, None, None, 1)],
+                               "instruction string, response string, source string, language string, ord long")
+    rec = pairs.fill_record(df.withColumn("response", __import__("pyspark.sql.functions", fromlist=["lit"]).lit("a b")),
+                            response_fallback=None)
+    path = scratch_dir(spark, "utf8")
+    sink_jsonl(rec, path)
+    files = [f for f in os.listdir(local_path(path)) if f.startswith("part-")]
+    lines = [ln for f in files for ln in open(os.path.join(local_path(path), f), encoding="utf-8").read().split("\n") if ln]
+    assert len(lines) == 1
+    assert "Qué? 水" in lines[0]                      # not \\u-escaped
+    obj = json.loads(lines[0])
+    assert list(obj) == ["instruction", "response", "source", "language", "text"]
+    assert obj["response"] == "a b" and obj["source"] == "fallback" and obj["language"] == "english"
