@@ -71,8 +71,8 @@ def test_flat_sink_utf8_five_fields(spark):
     from corpusmill.sources.sinks import sink_jsonl
     df = spark.createDataFrame([("Qué? 水", None, None, None, 1)],
                                "instruction string, response string, source string, language string, ord long")
-    rec = pairs.fill_record(df.withColumn("response", __import__("pyspark.sql.functions", fromlist=["lit"]).lit("a b")),
-                            response_fallback=None)
+    from pyspark.sql import functions as F
+    rec = pairs.fill_record(df.withColumn("response", F.lit("a\u2028b")), response_fallback=None)
     path = scratch_dir(spark, "utf8")
     sink_jsonl(rec, path)
     files = [f for f in os.listdir(local_path(path)) if f.startswith("part-")]
