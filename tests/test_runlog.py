@@ -154,3 +154,18 @@ def test_progress_stream_with_watermark(spark):
     q.awaitTermination()
     got = spark.sql(f"select * from {name}").collect()
     assert len(got) == 1 and got[0].last_line == len(LINES) - 1
+
+
+from hypothesis import given, settings, strategies as st  # noqa: E402
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 3), st.sampled_from(LINES + ["noise", ""])), min_size=1, max_size=60),
+       st.integers(1, 7))
+def test_segmented_carry_forward_equals_plain(spark, rows, chunk):
+    data = [(run, i * 3, line) for i, (run, line) in enumerate(rows)]   # gaps in line numbers
+    df = R.parse_progress(spark.createDataFrame(data, "run_id long, line_no long, line string"))
+    df = df.select("run_id", "line_no", *R.PROGRESS_COLS)
+    seg = sorted(tuple(r) for r in R.carry_forward(df, chunk=chunk).collect())
+    plain = sorted(tuple(r) for r in R.carry_forward(df, chunk=None).collect())
+    assert seg == plain
