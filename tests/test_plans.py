@@ -87,3 +87,15 @@ def test_html_parse_runs_once_per_page(spark, sf_small):
     for q in (C.q_html_main_text, C.q_crawl_paragraphs, C.q_html_passages, C.q_html_description):
         p = plan(q(spark, sf_small))
         assert p.count("ArrowEvalPython") == 1, q.__name__
+
+
+def test_filter_is_pushed_into_every_union_branch(spark, sf_small):
+    spark.conf.set("spark.corpusmill.spread.enabled", "false")
+    try:
+        df = C.q_union_sources(spark, sf_small)
+        opt = df._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.corpusmill.spread.enabled", "true")
+    below_union = opt.split("Union", 1)[1]
+    assert below_union.count("Filter") >= 4          # one per language branch
+    assert "length(text" in below_union
