@@ -134,3 +134,10 @@ def test_generation_prompt_styles(spark):
                   chat.render_chat(msgs, "template", add_generation_prompt=True, markers=m).alias("t")).first()
     assert r.p == "User: Q?\n\nAssistant:"
     assert r.t == "<s>user\nQ?</s>\n<s>assistant\n"
+
+
+def test_mark_first_flags_the_winners(spark):
+    df = spark.createDataFrame(DUP, "ord long, instruction string")
+    flagged = {r.ord: r.kept for r in dedupe.mark_first(df, dedupe_key("instruction")).collect()}
+    winners = set(_py_first_wins(DUP))
+    assert flagged == {o: (o in winners) for o, _ in DUP}
