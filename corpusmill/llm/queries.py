@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import embed_cells, url_trie, warc
+from corpusmill.llm import embed_cells, toxicity, url_trie, warc
 
 URL_RULES = [url_trie.rule("allow", "com/"), url_trie.rule("block", "example.com/en/"),
              url_trie.rule("allow", "www.example.com/en/"), url_trie.rule("block", "net/es/"),
@@ -20,6 +20,10 @@ def op3_embedding_cells(spark, sf_dir):
         .select("vec_id", "n_links", "component_id", "kept")
 
 
+def op6_weak_toxicity(spark, sf_dir):
+    return toxicity.score_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_warc_archive(spark, sf_dir):
     return warc.pages_through_warc(table(spark, sf_dir, "pages")) \
         .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -31,6 +35,7 @@ def op10_url_trie(spark, sf_dir):
 
 QUERIES = {
     "op3_embedding_cells": op3_embedding_cells,
+    "op6_weak_toxicity": op6_weak_toxicity,
     "op9_warc_archive": op9_warc_archive,
     "op10_url_trie": op10_url_trie,
 }
