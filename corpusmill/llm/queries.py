@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import embed_cells, toxicity, url_trie, warc
+from corpusmill.llm import embed_cells, ngram_join, toxicity, url_trie, warc
 
 URL_RULES = [url_trie.rule("allow", "com/"), url_trie.rule("block", "example.com/en/"),
              url_trie.rule("allow", "www.example.com/en/"), url_trie.rule("block", "net/es/"),
@@ -24,6 +24,10 @@ def op6_weak_toxicity(spark, sf_dir):
     return toxicity.score_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_token_groups(spark, sf_dir):
+    return ngram_join.jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_warc_archive(spark, sf_dir):
     return warc.pages_through_warc(table(spark, sf_dir, "pages")) \
         .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -36,6 +40,7 @@ def op10_url_trie(spark, sf_dir):
 QUERIES = {
     "op3_embedding_cells": op3_embedding_cells,
     "op6_weak_toxicity": op6_weak_toxicity,
+    "op8_token_groups": op8_token_groups,
     "op9_warc_archive": op9_warc_archive,
     "op10_url_trie": op10_url_trie,
 }
@@ -50,6 +55,21 @@ ORACLE = {
         n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
         SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.root AS component_id, c.root = v.vec_id AS kept
         FROM v JOIN c ON c.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id""",
+    "op8_token_groups": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) >= 5 THEN array_to_string(w[i:i + 4], ' ') ELSE array_to_string(w, ' ') END AS g,
+                     CASE WHEN len(w) >= 5 THEN 5 ELSE len(w) END AS k
+              FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.k = b.k AND a.doc_id <> b.doc_id
+              GROUP BY a.doc_id, b.doc_id),
+        l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 80 * (x.n + y.n - o)),
+        r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+        c AS (SELECT a, min(b) AS root FROM r GROUP BY a)
+        SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.root AS component_id
+        FROM documents d JOIN c ON c.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
     "op9_warc_archive": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
         q AS (SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha256(h) AS payload_digest FROM p),
