@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import embed_cells, ngram_join, toxicity, url_trie, warc
+from corpusmill.llm import embed_cells, ngram_join, packing, toxicity, url_trie, warc
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 URL_RULES = [url_trie.rule("allow", "com/"), url_trie.rule("block", "example.com/en/"),
              url_trie.rule("allow", "www.example.com/en/"), url_trie.rule("block", "net/es/"),
              url_trie.rule("block", "net/fr/")]
@@ -20,6 +22,10 @@ def op3_embedding_cells(spark, sf_dir):
         .select("vec_id", "n_links", "component_id", "kept")
 
 
+def op5_best_fit_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def op6_weak_toxicity(spark, sf_dir):
     return toxicity.score_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,6 +45,7 @@ def op10_url_trie(spark, sf_dir):
 
 QUERIES = {
     "op3_embedding_cells": op3_embedding_cells,
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op6_weak_toxicity": op6_weak_toxicity,
     "op8_token_groups": op8_token_groups,
     "op9_warc_archive": op9_warc_archive,
