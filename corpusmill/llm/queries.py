@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import embed_cells, ngram_join, packing, toxicity, url_trie, warc
+from corpusmill.llm import embed_cells, ngram_join, packing, suffix_dedup, toxicity, url_trie, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 URL_RULES = [url_trie.rule("allow", "com/"), url_trie.rule("block", "example.com/en/"),
@@ -30,6 +30,10 @@ def op6_weak_toxicity(spark, sf_dir):
     return toxicity.score_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_suffix_buckets(spark, sf_dir):
+    return suffix_dedup.dedup_bytes(table(spark, sf_dir, "documents"))
+
+
 def op8_token_groups(spark, sf_dir):
     return ngram_join.jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -47,6 +51,7 @@ QUERIES = {
     "op3_embedding_cells": op3_embedding_cells,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_weak_toxicity": op6_weak_toxicity,
+    "op7_suffix_buckets": op7_suffix_buckets,
     "op8_token_groups": op8_token_groups,
     "op9_warc_archive": op9_warc_archive,
     "op10_url_trie": op10_url_trie,
