@@ -131,6 +131,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+NOT_WORD = np.zeros(256, bool)        # ASCII other than letters and digits
+NOT_WORD[:128] = [not chr(c).isalnum() for c in range(128)]
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -146,24 +148,32 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def words_of(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words ([^\\x20\\x09-\\x0D]+, A-Z lower-cased) of some bytes: start and
-    end offsets, and a 64-bit hash of each. Works in blocks cut at white space."""
+def words_of(buf: np.ndarray, gaps: np.ndarray = SPACE, bounds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words (by default [^\\x20\\x09-\\x0D]+, A-Z lower-cased) of some bytes:
+    start and end offsets, and a 64-bit hash of each. Works in blocks cut at
+    gaps. No word crosses the offsets in bounds."""
     starts, ends, hashes = [], [], []
     n, at = len(buf), 0
     while at < n:
         to = min(n, at + BLOCK)
         if to < n:                                   # cut after the last white space of the block
-            back = np.flatnonzero(SPACE[buf[at:to]])
+            back = np.flatnonzero(gaps[buf[at:to]])
             while not len(back) and to < n:          # one word longer than a block
                 more = min(n, to + BLOCK)
-                back = np.flatnonzero(SPACE[buf[at:more]])
+                back = np.flatnonzero(gaps[buf[at:more]])
                 to = more
             to = at + int(back[-1]) + 1 if len(back) else to
         b = LOWER[buf[at:to]]
-        gap = SPACE[b]
-        edge = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True])).astype(np.int8)))
-        s, e = edge[0::2], edge[1::2]
+        gap = gaps[b]
+        begins = ~gap
+        closes = begins.copy()
+        begins[1:] &= gap[:-1]
+        closes[:-1] &= gap[1:]
+        if bounds is not None:
+            cut = bounds[np.searchsorted(bounds, at, "right"):np.searchsorted(bounds, to, "left")] - at
+            begins[cut] = ~gap[cut]
+            closes[cut - 1] = ~gap[cut - 1]
+        s, e = np.flatnonzero(begins), np.flatnonzero(closes) + 1
         up, down = powers(len(b) + 1)
         sums = np.zeros(len(b) + 1, np.uint64)
         np.cumsum(BYTE_CODE[b] * up[:len(b)], out=sums[1:])
@@ -178,7 +188,7 @@ def words_of(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(starts), np.concatenate(ends), np.concatenate(hashes)
 
 
-def batch_words(buf: np.ndarray, off: np.ndarray):
+def batch_words(buf: np.ndarray, off: np.ndarray, gaps: np.ndarray = SPACE):
     """words_of() for each text of a batch, without words across texts: yields
     (first text, last text + 1, word starts, ends, hashes, text index of each
     word) for runs of texts of about a block together."""
@@ -188,14 +198,8 @@ def batch_words(buf: np.ndarray, off: np.ndarray):
         j = min(n, max(i + 1, j))
         lo, hi = int(off[i]), int(off[j])
         bounds = off[i:j + 1] - lo
-        s, e, h = words_of(buf[lo:hi])
+        s, e, h = words_of(buf[lo:hi], gaps, bounds)
         owner = np.searchsorted(bounds, s, "right") - 1
-        if len(s) and (e > bounds[owner + 1]).any():   # a word runs over a text's end: cut it there
-            parts = [words_of(buf[off[k]:off[k + 1]]) for k in range(i, j)]
-            s = np.concatenate([p[0] + bounds[k] for k, p in enumerate(parts)])
-            e = np.concatenate([p[1] + bounds[k] for k, p in enumerate(parts)])
-            h = np.concatenate([p[2] for p in parts])
-            owner = np.repeat(np.arange(j - i), [len(p[0]) for p in parts])
         yield i, j, s - bounds[owner], e - bounds[owner], h, owner + i
         i = j
 

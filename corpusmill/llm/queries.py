@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import embed_cells, ngram_join, packing, suffix_dedup, toxicity, url_trie, warc
+from corpusmill.llm import decontam, embed_cells, ngram_join, packing, suffix_dedup, toxicity, url_trie, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 URL_RULES = [url_trie.rule("allow", "com/"), url_trie.rule("block", "example.com/en/"),
@@ -17,6 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_latent_decontamination(spark, sf_dir):
+    return decontam.benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_embedding_cells(spark, sf_dir):
     return embed_cells.embedding_classes(table(spark, sf_dir, "embeddings")) \
         .select("vec_id", "n_links", "component_id", "kept")
@@ -48,6 +52,7 @@ def op10_url_trie(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_latent_decontamination": op2_latent_decontamination,
     "op3_embedding_cells": op3_embedding_cells,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_weak_toxicity": op6_weak_toxicity,
