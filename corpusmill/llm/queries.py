@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import decontam, embed_cells, ngram_join, packing, suffix_dedup, toxicity, url_trie, warc
+from corpusmill.llm import decontam, embed_cells, ngram_join, packing, suffix_dedup, token_tree, toxicity, url_trie, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 URL_RULES = [url_trie.rule("allow", "com/"), url_trie.rule("block", "example.com/en/"),
@@ -26,6 +26,13 @@ def op3_embedding_cells(spark, sf_dir):
         .select("vec_id", "n_links", "component_id", "kept")
 
 
+def op4_token_trees(spark, sf_dir):
+    """Token counts of every text before and after its revision."""
+    trees = token_tree.build_trees(table(spark, sf_dir, "documents"), TOKENIZER)
+    return token_tree.apply_edits(token_tree.revision(trees), TOKENIZER) \
+        .select("doc_id", "n_before", "n_tokens", "n_edits", "n_encoded")
+
+
 def op5_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -54,6 +61,7 @@ def op10_url_trie(spark, sf_dir):
 QUERIES = {
     "op2_latent_decontamination": op2_latent_decontamination,
     "op3_embedding_cells": op3_embedding_cells,
+    "op4_token_trees": op4_token_trees,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_weak_toxicity": op6_weak_toxicity,
     "op7_suffix_buckets": op7_suffix_buckets,

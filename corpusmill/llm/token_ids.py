@@ -78,6 +78,12 @@ class Encoder:
     def ids_of(self, pre_tokens: list[str]) -> list[bytes]:
         return list(map(self.known.__getitem__, pre_tokens))
 
+    def pre_tokens(self, text: str) -> list[str]:
+        """Pre-tokens of a text; strings of special tokens are ordinary text."""
+        if not _UNSURE.search(text):
+            return self.split(text)
+        return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+
     def encode(self, text: str) -> bytes:
         if not self.sure(text):
             return self.whole(text)
