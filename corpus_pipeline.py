@@ -8,9 +8,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import common
-
-STAGES: list = []
+from corpusmill.llm import common, decontam, ngram_join, packing, suffix_dedup, toxicity
+
+STAGES = [
+    ("toxicity", toxicity.stage),
+    ("ngram_join", ngram_join.stage),
+    ("suffix_dedup", suffix_dedup.stage),
+    ("decontamination", decontam.stage),
+    ("packing", packing.stage),
+]
 
 # The label model, tokenizer ids and the latent retrieval are not SQL: the
 # stages are tested against brute-force versions in tests/llm.

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import decontam, embed_cells, ngram_join, packing, suffix_dedup, token_tree, toxicity, url_trie, warc
+from corpusmill.llm import chaining, decontam, embed_cells, ngram_join, packing, suffix_dedup, token_tree, toxicity, url_trie, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 URL_RULES = [url_trie.rule("allow", "com/"), url_trie.rule("block", "example.com/en/"),
@@ -17,6 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chained_passages(spark, sf_dir):
+    return chaining.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op2_latent_decontamination(spark, sf_dir):
     return decontam.benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -59,6 +63,7 @@ def op10_url_trie(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_chained_passages": op1_chained_passages,
     "op2_latent_decontamination": op2_latent_decontamination,
     "op3_embedding_cells": op3_embedding_cells,
     "op4_token_trees": op4_token_trees,
