@@ -109,6 +109,19 @@ def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     return buf[off[0]:off[-1]] if len(off) else buf[:0], off - off[0] if len(off) else np.zeros(1, np.int64)
 
 
+def pieces(batches, text: str = "text", most: int = 8 << 20, rows: int = 30_000):
+    """The batches in pieces of at most ``most`` bytes of text (one row at
+    least) and ``rows`` rows, which bounds the arrays made from them."""
+    for b in batches:
+        _, off = text_buffer(b[text])
+        at = 0
+        while at < b.num_rows:
+            to = int(np.searchsorted(off, off[at] + most, "right")) - 1
+            to = min(max(to, at + 1), at + rows, b.num_rows)
+            yield b.slice(at, to - at)
+            at = to
+
+
 def numbers(column) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False)
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import NOT_WORD, batch_words, mix, numbers, pick, text_buffer, words_of
+from corpusmill.llm.common import NOT_WORD, batch_words, mix, numbers, pick, pieces, quoted, text_buffer, words_of
 
 FEATURES_BITS = 14
 FEATURES = 1 << FEATURES_BITS
@@ -58,7 +58,7 @@ def _sums(docs: DataFrame, vocabulary: np.ndarray):
         own = np.zeros(len(vocabulary) + 1, np.int64)
         sketch = np.zeros(cells, np.float32)
         passages = 0
-        for b in batches:
+        for b in pieces(batches):
             buf, off = text_buffer(b["text"])
             ids = numbers(b["doc_id"]).astype(np.uint64)
             for _, _, _, _, h, owner in batch_words(buf, off, NOT_WORD):
@@ -246,7 +246,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "d
         names = np.array([r[0] for r in rows], np.int64)
 
         def search(batches, index=index, names=names):
-            for b in batches:
+            for b in pieces(batches):
                 buf, off = text_buffer(b["text"])
                 ids = numbers(b["doc_id"])
                 got = []
@@ -269,4 +269,4 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "d
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: documents that hold a benchmark item go."""
     found = benchmark_matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(found, "doc_id", "left_anti").select(*[quoted(c) for c in docs.columns])

@@ -185,7 +185,7 @@ def embedding_classes(vectors: DataFrame, *, vec_id: str = "vec_id", embedding:
     counts, links = embedding_links(distinct, threshold=threshold, **how)
     links = links.unionByName(members.where("vec_id <> rep").select(F.col("vec_id").alias("a"), F.col("rep").alias("b")))
     roots = components(links)
-    per_id = members.join(counts.withColumnRenamed("vec_id", "rep"), "rep", "left") \
+    per_id = members.distinct().join(counts.withColumnRenamed("vec_id", "rep"), "rep", "left") \
         .groupBy("vec_id").agg(F.sum(F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"))
     return (src.select("vec_id").join(per_id, "vec_id", "left")
             .join(roots.withColumnRenamed("node", "vec_id"), "vec_id", "left")

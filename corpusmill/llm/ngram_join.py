@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import (WORD_CODE, batch_words, components, drop, mix, numbers, pick, shingle_hashes,
+from corpusmill.llm.common import (WORD_CODE, batch_words, components, drop, mix, numbers, pick, pieces, quoted, shingle_hashes,
                                    text_buffer, written)
 
 WIDTH = 5
@@ -81,7 +81,7 @@ def document_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -
     """(doc_id, n, node, prefix) per row; node is null for empty sets."""
 
     def work(batches):
-        for b in batches:
+        for b in pieces(batches):
             buf, off = text_buffer(b["text"])
             n, node, cut, toks = np.zeros(b.num_rows, np.int32), np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), []
             for i, s in sets_of(buf, off, width):
@@ -165,7 +165,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     rows = docs.join(wanted.select("doc_id", F.col("node").alias("asked")), "doc_id")
 
     def work(batches):
-        for b in batches:
+        for b in pieces(batches):
             buf, off = text_buffer(b["text"])
             asked, node, cut, toks = numbers(b["asked"]), [], [0], []
             for i, s in sets_of(buf, off, width):
@@ -244,4 +244,4 @@ def jaccard_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: of each class the document with the smallest doc_id stays."""
     gone = jaccard_classes(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*[quoted(c) for c in docs.columns])

@@ -33,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import BLOCK, BYTE_CODE, mix, numbers, pick, powers, text_buffer
+from corpusmill.llm.common import BLOCK, BYTE_CODE, mix, numbers, pick, pieces, quoted, powers, text_buffer
 
 LENGTH = 50
-RANGE_ENTRIES = 1 << 20       # anchors that one task of the filter aims at
+RANGE_ENTRIES = 3_000_000     # anchors that one task of the filter aims at
 COVER, PERIOD = (0, 1, 3, 9), 13      # a difference cover modulo 13
 EDGE = 18                     # bytes of a window that are compared directly
 _POS = (1 << 21) - 1
@@ -107,24 +107,29 @@ def anchor_runs(buf: np.ndarray, off: np.ndarray, length: int):
         at += BLOCK
 
 
-def _planes(a: np.ndarray) -> bytes:
-    """Numbers as byte planes, which compress better in a shuffle."""
-    return a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+def _planes(a: np.ndarray, size: int = 0) -> bytes:
+    """The low bytes of numbers (all, or some) as planes, which compress better in a shuffle."""
+    return np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T[:size or a.itemsize].tobytes()
 
 
-def _numbers(data: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+def _numbers(data: bytes, kind, size: int = 0) -> np.ndarray:
+    whole = np.dtype(kind).itemsize
+    got = np.frombuffer(data, np.uint8).reshape(size or whole, -1).T
+    out = np.zeros((len(got), whole), np.uint8)
+    out[:, :got.shape[1]] = got
+    return out.reshape(-1).view(kind)
 
 
 # ---------------------------------------------------------------- which anchors are shared
-def _filter_rows(length: int, bits: int):
+def _filter_rows(length: int, bits: int, stored: int):
     """Batches of (key, text) -> one row per hash range with all anchors of the
     batch (one per hash where the batch itself shows that texts share it), and
-    one row per text with the anchors that are known to be shared."""
+    one row per text with the anchors that are known to be shared. Of a hash,
+    the range and ``stored`` more bytes are kept: enough for a filter, which may
+    call an anchor shared that is not, never the other way round."""
 
     def work(batches):
-        for b in batches:
+        for b in pieces(batches):
             buf, off = text_buffer(b["text"])
             parts = [x[:2] + (x[4],) for x in anchor_runs(buf, off, length)]
             if not parts:
@@ -147,12 +152,13 @@ def _filter_rows(length: int, bits: int):
             names, idx = np.unique(ks, return_inverse=True)
             part = (hs >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hs), np.int64)
             cuts = np.searchsorted(part, np.arange((1 << bits) + 1))
+            hs = (hs << np.uint64(bits)) >> np.uint64(64 - 8 * stored)
             rows = []
             for r in range(1 << bits):
                 lo, hi = cuts[r], cuts[r + 1]
                 if hi > lo:
                     used, own = np.unique(idx[lo:hi], return_inverse=True)
-                    rows.append((r, _planes(hs[lo:hi]), _planes(own.astype(np.uint32)), _planes(ask[lo:hi]), _planes(names[used])))
+                    rows.append((r, _planes(hs[lo:hi], stored), _planes(own.astype(np.uint16)), _planes(ask[lo:hi]), _planes(names[used])))
             for k, p in _by_key(key[known], pos[known].astype(np.int32)):
                 rows.append((-1 - int(k) % (1 << bits), b"", b"", p, int(k).to_bytes(8, "little", signed=True)))
             kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
@@ -174,15 +180,15 @@ def _by_key(key, pos):
         yield key[a], pos[a:b].tobytes()
 
 
-def _shared_anchors(table: pa.Table) -> pa.Table:
+def _shared_anchors(table: pa.Table, stored: int) -> pa.Table:
     """One hash range: (key, positions) of the anchors that two texts have."""
     h, d, p, k = (table[c].to_pylist() for c in "hdpk")
     if table["r"][0].as_py() < 0:
         key = np.concatenate([np.repeat(np.frombuffer(x, "<i8"), len(y) // 4) for x, y in zip(k, p)])
         pos = np.concatenate([np.frombuffer(y, np.int32) for y in p])
     else:
-        hs = np.concatenate([_numbers(x, np.uint64) for x in h])
-        key = np.concatenate([_numbers(x, np.int64)[_numbers(y, np.uint32)] for x, y in zip(k, d)])
+        hs = np.concatenate([_numbers(x, np.uint64, stored) for x in h])
+        key = np.concatenate([_numbers(x, np.int64)[_numbers(y, np.uint16)] for x, y in zip(k, d)])
         pos = np.concatenate([_numbers(x, np.int32) for x in p])
         del h, d, p, k
         order = np.argsort(hs, kind="stable")
@@ -203,7 +209,7 @@ def _runs_of(length: int, contexts: bool):
     first, n), or the batch's distinct contexts (h, ctx, doc_id, lead, n, bytes)."""
 
     def work(batches):
-        for b in batches:
+        for b in pieces(batches):
             buf, off = text_buffer(b["text"])
             ids = numbers(b["doc_id"])
             asked = [np.frombuffer(b"".join(x.as_py()), np.int32).astype(np.int64) + (i << 32) for i, x in enumerate(b["pos"])]
@@ -389,10 +395,12 @@ def cut_texts(texts: DataFrame, length: int = LENGTH, range_entries: int = RANGE
     distinct = distinct.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("key", "key2")).cast("int"))
     total = texts.agg(F.sum("n_bytes")).first()[0] or 0
     w = length - kmer_of(length) + 1
-    bits = max(0, int(total * 2 / (w + 1) / range_entries)).bit_length()
+    entries = int(total * 2 / (w + 1))
+    bits = (entries // range_entries).bit_length()
+    stored = min(8, max(4, -(-(entries.bit_length() + 12 - bits) // 8)))
     long = texts.where(F.col("n_bytes") >= length)
-    shared = (long.select("key", "text").mapInArrow(_filter_rows(length, bits), "r long, h binary, d binary, p binary, k binary")
-              .groupBy("r").applyInArrow(_shared_anchors, "key long, pos binary")
+    shared = (long.select("key", "text").mapInArrow(_filter_rows(length, bits, stored), "r long, h binary, d binary, p binary, k binary")
+              .groupBy("r").applyInArrow(lambda t: _shared_anchors(t, stored), "key long, pos binary")
               .groupBy("key").agg(F.collect_list("pos").alias("pos")))
     same = ["doc_id", "key", "key2"]
     bodies = long.select(*same, "text")
@@ -407,7 +415,7 @@ def cut_texts(texts: DataFrame, length: int = LENGTH, range_entries: int = RANGE
              .groupBy("doc_id", "nth").agg(F.collect_list(F.struct("s", "e")).alias("spans")))
 
     def cut(batches):
-        for b in batches:
+        for b in pieces(batches):
             buf, off = text_buffer(b["text"])
             rows = []
             for i, x in enumerate(b["spans"]):
@@ -459,7 +467,7 @@ def dedup_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     changed = changed.select(F.col("doc_id").alias("_id"), F.col("key").alias("_k"), F.col("key2").alias("_k2"), F.col("kept").alias("_kept"))
     return docs.withColumns(key).join(changed, ["_id", "_k", "_k2"], "left") \
         .withColumn(text, F.coalesce("_kept", F.col(f"`{text}`"))).withColumn("_cut", F.col("_kept").isNotNull()) \
-        .select(*[F.col(f"`{c}`") for c in docs.columns], "_cut")
+        .select(*[quoted(c) for c in docs.columns], "_cut")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -467,4 +475,4 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = dedup_texts(docs).where("not _cut or text <> ''")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*[quoted(c) for c in docs.columns])

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import drop, pick, written
+from corpusmill.llm.common import drop, pick, quoted, written
 
 LABELLED_ROWS = 20_000
 PLAIN_ROWS = 5_000
@@ -315,4 +315,4 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: documents that are scored toxic go; ids that are null stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     verdict = score_texts(docs, labels).where("predicted = 1 and doc_id is not null").select("doc_id").distinct()
-    return docs.join(verdict, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(verdict, "doc_id", "left_anti").select(*[quoted(c) for c in docs.columns])
