@@ -16,6 +16,7 @@ import argparse
 import json
 import sys
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 
@@ -24,8 +25,9 @@ TABLE_SOURCES = ("documents", "crawl", "selected", "described")
 
 
 def _session(args):
-    from corpusmill.session import build_session
-    return build_session(args.master, app=f"corpusmill-{args.cmd}")
+    from corpusmill.session import build_session, sizing_conf
+    extra = sizing_conf(int(args.input_gb * (1 << 30))) if args.input_gb else None
+    return build_session(args.master, app=f"corpusmill-{args.cmd}", extra=extra)
 
 
 def _seed(spark, args):
@@ -37,8 +39,17 @@ def _seed(spark, args):
     resp = "response" if "response" in cols else "text"
     instr = "instruction" if "instruction" in cols else "text"
     key = "seed_id" if "seed_id" in cols else ("item_id" if "item_id" in cols else None)
-    return t.select((F.col(key) if key else F.monotonically_increasing_id()).alias("seed_id"),
-                    F.col(instr).alias("instruction"), F.col(resp).alias("response"))
+    if key is None:
+        # a rank by content: the same number in every run, without gaps
+        one = t.select(F.col(instr).alias("instruction"), F.col(resp).alias("response")).dropDuplicates()
+        rank = F.row_number().over(Window.orderBy(F.xxhash64("instruction", "response"), "instruction", "response"))
+        return one.withColumn("seed_id", rank - 1) if args.small_seed else _refuse_seed(args.seed_table)
+    return t.select(F.col(key).alias("seed_id"), F.col(instr).alias("instruction"), F.col(resp).alias("response"))
+
+
+def _refuse_seed(name):
+    raise SystemExit(f"table {name} has neither seed_id nor item_id; add a key column, or pass --small-seed "
+                     "for a seed table that one task can number")
 
 
 def cmd_build(args):
@@ -51,22 +62,25 @@ def cmd_build(args):
     if args.abstracts:
         params["abstracts"] = {"path": args.abstracts}
     corpus = build_corpus_from_sources(spark, chosen, params, _seed(spark, args),
-                                       casefold=not args.exact_key, floor=args.floor)
+                                       casefold=not args.exact_key, floor=args.floor, prefix_len=args.prefix_key)
     stats = write_corpus(corpus, args.output, ordered=args.ordered)
     print(json.dumps({"output": args.output, **stats}))
     if args.preview:
         first = first_lines(spark, args.output, 5).select(
             F.substring(F.get_json_object("value", "$.instruction"), 1, 100).alias("i"),
             F.substring(F.get_json_object("value", "$.response"), 1, 100).alias("r"))
-        for n, row in enumerate(first.collect(), 1):        # at most 5 rows
-            print(f"[{n}] INSTRUCTION: {row.i}\n    RESPONSE:    {row.r}…")
+        for row in first.collect():                         # at most 5 rows
+            print(json.dumps({"instruction": row.i, "response": row.r}, ensure_ascii=False))
 
 
 def cmd_format(args):
     from corpusmill.plans.corpus_builder import training_input
-    from corpusmill.sources.jsonl import scan_two_format
+    from corpusmill.sources.jsonl import scan_two_format, write_rejects
     spark = _session(args)
     recs = scan_two_format(spark, args.input, on_error=args.on_error)
+    if args.on_error == "rejects":
+        n = write_rejects(spark, args.input, args.output.rstrip("/") + "-rejects")
+        print(json.dumps({"rejects": args.output.rstrip("/") + "-rejects", "lines": n}))
     training_input(recs, args.max_tokens).select("input_ids", "attention_mask", "tokens") \
         .write.mode("overwrite").parquet(args.output)
 
@@ -124,6 +138,7 @@ def cmd_runlog(args):
 def main(argv=None):
     p = argparse.ArgumentParser(prog="corpusmill")
     p.add_argument("--master", default=None, help="Spark master (default: from spark-submit)")
+    p.add_argument("--input-gb", type=float, default=None, help="input size: sets split and shuffle partition sizes")
     sub = p.add_subparsers(dest="cmd", required=True)
 
     b = sub.add_parser("build", help="build the flat instruction corpus")
@@ -132,6 +147,8 @@ def main(argv=None):
     b.add_argument("--sources", nargs="+", default=["documents", "crawl"])
     b.add_argument("--abstracts", default=None, help="abstracts JSONL path (source 'abstracts')")
     b.add_argument("--seed-table", default="benchmark", help="table of seed pairs ('' for none)")
+    b.add_argument("--small-seed", action="store_true", help="number the rows of a seed table without a key")
+    b.add_argument("--prefix-key", type=int, default=None, help="dedupe on this many leading characters of the key")
     b.add_argument("--no-scrape", action="store_true", help="seed corpus only")
     b.add_argument("--floor", choices=["always", "if_below"], default="always")
     b.add_argument("--exact-key", action="store_true", help="case-sensitive dedupe key")

@@ -20,6 +20,11 @@ WS = (r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
       r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
 WS_CHARS = "".join(chr(c) for lo, hi in WS_RANGES for c in range(lo, hi + 1))
 
+# Fixed cleanup patterns (Java syntax): bracketed notes and a copyright tail;
+# brackets, parentheses and lines that open with either.
+CLEAN_BRACKETS = r"(?d)\[.*?\]|\(c\).*"
+CLEAN_PARENS = rf"(?md)\[.*?\]|\(.*?\)|^{WS}*[\[\(].*?[\]\)].*$"
+
 # Script whitelist for classical passages — CJK unified
 # ideographs, Unicode whitespace, and the punctuation ， 。 ？ ！ ； ： 、 ' （ ） 《 》 -
 CJK_CLASS = (r"[\x{4e00}-\x{9fff}\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}"

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusmill.functions.constants import WS, WS_CHARS, WS_RANGES  # noqa: F401  (fixed values)
+from corpusmill.functions.constants import CLEAN_BRACKETS, CLEAN_PARENS, WS, WS_CHARS, WS_RANGES  # noqa: F401  (fixed values)
 
 
 def _c(col) -> Column:
@@ -74,9 +74,10 @@ def pick(col_key, choices: list[str]) -> Column:
     return F.element_at(arr, (hash_bucket(col_key, len(choices)) + 1).cast("int"))
 
 
-def dedupe_key(col, casefold: bool = True, prefix_len: int = 80,
+def dedupe_key(col, casefold: bool = True, prefix_len: int | None = None,
                fallback=None) -> Column:
-    """Whitespace-free, optionally case-folded, prefix of a text."""
+    """Whitespace-free, optionally case-folded text; with ``prefix_len`` only
+    its first code points (the prefix rule merges texts that differ later)."""
     c = _c(col)
     if fallback is not None:
         c = F.coalesce(c, _c(fallback))
@@ -84,7 +85,7 @@ def dedupe_key(col, casefold: bool = True, prefix_len: int = 80,
     k = remove_ws(c)
     if casefold:
         k = F.lower(k)
-    return F.substring(k, 1, prefix_len)
+    return k if prefix_len is None else F.substring(k, 1, prefix_len)
 
 
 def short_id(col) -> Column:
@@ -116,12 +117,12 @@ def after_last(col, marker: str) -> Column:
 
 def clean_brackets(col) -> Column:
     """Delete ``[...]`` (shortest) and ``(c)`` up to the end of the line."""
-    return F.regexp_replace(_c(col), r"(?d)\[.*?\]|\(c\).*", "")
+    return F.regexp_replace(_c(col), CLEAN_BRACKETS, "")
 
 
 def clean_parens(col) -> Column:
     """Delete ``[...]``, ``(...)`` and whole lines that open with a bracket."""
-    return F.regexp_replace(_c(col), rf"(?md)\[.*?\]|\(.*?\)|^{WS}*[\[\(].*?[\]\)].*$", "")
+    return F.regexp_replace(_c(col), CLEAN_PARENS, "")
 
 
 def whole_match(col, char_class: str) -> Column:

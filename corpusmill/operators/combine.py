@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -44,26 +43,6 @@ def with_floor(df: DataFrame, seed: DataFrame, mode: str = "always", n: int = 20
     return df.unionByName(s, allowMissingColumns=True)
 
 
-FANOUT_MIN_PARTITIONS = 1000
-
-
-def estimated_partitions(df: DataFrame) -> int | None:
-    """Scan partitions implied by the optimizer's size estimate (no job)."""
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        split = int(df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-        return max(1, size // max(split, 1))
-    except Exception:  # noqa: BLE001  (no JVM handle, e.g. Spark Connect)
-        return None
-
-
-def _fanout(df: DataFrame, fanout) -> int | None:
-    if fanout != "auto":
-        return fanout
-    p = estimated_partitions(df)
-    return int(math.ceil(math.sqrt(p))) if p and p > FANOUT_MIN_PARTITIONS else None
-
-
 def _local_top(df: DataFrame, by: list, n: int, ord_col: str, g: int, desc: bool = False) -> DataFrame:
     """First level of a two-level top-n: rows are bucketed by their map
     partition (``spark_partition_id() % g``), and ``row_number() <= n`` per
@@ -76,29 +55,27 @@ def _local_top(df: DataFrame, by: list, n: int, ord_col: str, g: int, desc: bool
     return b.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r", "_b")
 
 
-def cap_total(df: DataFrame, n: int, ord_col: str = "ord", fanout="auto") -> DataFrame:
+def cap_total(df: DataFrame, n: int, ord_col: str = "ord", fanout: int | None = None) -> DataFrame:
     """First ``n`` rows in collection order (T1): planned as TakeOrderedAndProject,
     i.e. a per-partition top-n and one merge of at most n x partitions rows.
-    With many partitions (``fanout``, by default from the size estimate) a
-    first level cuts the merge to n x sqrt(partitions) rows."""
-    g = _fanout(df, fanout)
-    if g:
-        df = _local_top(df, [], n, ord_col, g)
+    ``fanout=g`` (about the square root of the partitions, on jobs with very
+    many) puts a first level of g buckets before the merge of n x g rows."""
+    if fanout:
+        df = _local_top(df, [], n, ord_col, fanout)
     return df.orderBy(ord_col).limit(n)
 
 
-def cap_per_group(df: DataFrame, by, n: int, ord_col: str = "ord", fanout="auto") -> DataFrame:
+def cap_per_group(df: DataFrame, by, n: int, ord_col: str = "ord", fanout: int | None = None) -> DataFrame:
     """First ``n`` rows of each group in collection order (W1, T1 per source).
 
     ``row_number() <= n`` is planned with WindowGroupLimit before and after
-    the shuffle, so a hot group sends at most n rows per map partition; with
-    many partitions a first level per (group, partition bucket) bounds what
-    one group's task merges to n x sqrt(partitions) rows.
+    the shuffle, so a hot group sends at most n rows per map partition;
+    ``fanout=g`` puts a first level per (group, one of g partition buckets)
+    before the merge of n x g rows per group.
     """
     by = [by] if isinstance(by, str) else list(by)
-    g = _fanout(df, fanout)
-    if g:
-        df = _local_top(df, by, n, ord_col, g)
+    if fanout:
+        df = _local_top(df, by, n, ord_col, fanout)
     w = Window.partitionBy(*by).orderBy(F.col(ord_col))
     return (df.withColumn("_rn", F.row_number().over(w))
               .where(F.col("_rn") <= n).drop("_rn"))

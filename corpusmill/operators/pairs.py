@@ -38,10 +38,13 @@ def pair_quoted(df: DataFrame, content_col: str = "content", title_col: str = "t
              .withColumn("response", F.concat(F.lit(lead_before), F.col(title_col), F.lit(lead_after)))
 
 
-def commentary_content(df: DataFrame, content_col: str = "content", cut: int = 1400,
-                       min_len: int = 30) -> DataFrame:
-    """Content cut to ``cut`` code points; rows shorter than ``min_len`` after the cut dropped (F2)."""
-    return df.withColumn(content_col, clip(content_col, cut)).where(F.length(F.col(content_col)) >= min_len)
+def commentary_content(df: DataFrame, content_col: str = "content", cut: int | None = None,
+                       min_len: int | None = None) -> DataFrame:
+    """Content cut to ``cut`` code points; rows shorter than ``min_len`` after
+    the cut dropped (F2). Neither by default."""
+    if cut is not None:
+        df = df.withColumn(content_col, clip(content_col, cut))
+    return df if min_len is None else df.where(F.length(F.col(content_col)) >= min_len)
 
 
 def commentary_instruction(content, templates: list[str] = K.PROMPTS_7, prompt=None) -> Column:
@@ -58,7 +61,7 @@ def commentary_response(content, lead: str = K.COMMENTARY_LEAD, answer_len: int
 
 def pair_commentary(df: DataFrame, content_col: str = "content",
                     templates: list[str] = K.PROMPTS_7, lead: str = K.COMMENTARY_LEAD,
-                    cut: int = 1400, min_len: int = 30, answer_len: int = 300,
+                    cut: int | None = 1400, min_len: int | None = 30, answer_len: int = 300,
                     answer_suffix: str = "…") -> DataFrame:
     """Content cut to 1400; rows shorter than 30 after the cut are dropped;
     response = lead + first 300 + ellipsis (P5, F2)."""
@@ -80,10 +83,19 @@ def pair_summary(df: DataFrame, title_col: str, summary_col: str,
 def with_provenance(df: DataFrame, source_dim: DataFrame, on: str = "source") -> DataFrame:
     """Attach per-source licence / attribution / modality.
 
-    The source dimension is one row per registered source, so its size is
-    bounded by the registry, not by the data; it is broadcast.
+    No broadcast hint: Spark broadcasts the dimension when its measured size
+    is small. A key that occurs twice in the dimension fails the job, as it
+    would multiply rows.
     """
-    return df.join(F.broadcast(source_dim), on, "left")
+    return df.join(unique_keys(source_dim, on), on, "left")
+
+
+def unique_keys(dim: DataFrame, key: str) -> DataFrame:
+    """The dimension with one row per key; fails when a key occurs twice."""
+    rest = [c for c in dim.columns if c != key]
+    one = dim.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*rest)).alias("_r"))
+    r = F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit(f"duplicate {key}: "), F.col(key)))).otherwise(F.col("_r"))
+    return one.select(F.col(key), r.alias("_r")).select(key, *[F.col("_r")[c].alias(c) for c in rest])
 
 
 def render_sections(instruction, response) -> Column:

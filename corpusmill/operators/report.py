@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -11,17 +11,20 @@ def collection_report(df: DataFrame, key: Column, text_col: str = "text", by: st
     """Passages collected and kept (first-wins on ``key``) per source, and
     the kept characters.
 
-    Only (source, ord, length, key) enter the plan: winners are a hash
-    aggregate ``min(ord)`` per key, marked back with a left join on the
-    unique ``ord`` (no skewed join key), then one hash aggregate per source.
+    One scan and no join: rows are counted per (key, source) with their
+    smallest ``ord`` and its length (partial aggregates, so a hot key ships a
+    row per partition and source); the winner of a key is the smallest of
+    these few rows; then one aggregate per source. Keys travel as SHA-256.
     """
-    base = df.select(F.col(by), F.col(ord_col), F.length(F.col(text_col)).alias("_chars"), key.alias("_k"))
-    w = base.groupBy("_k").agg(F.min(ord_col).alias(ord_col)).select(ord_col, F.lit(True).alias("_kept"))
-    kept = F.coalesce(F.col("_kept"), F.lit(False))
-    return base.join(w, ord_col, "left").groupBy(by).agg(
-        F.count(F.lit(1)).alias("n_collected"),
-        F.sum(kept.cast("bigint")).alias("n_kept"),
-        F.sum(F.when(kept, F.col("_chars")).otherwise(F.lit(0))).cast("bigint").alias("kept_chars"),
+    k = F.unhex(F.sha2(F.coalesce(key, F.lit("")), 256))
+    base = df.select(F.col(by).alias("_by"), F.col(ord_col).alias("_ord"), F.length(F.col(text_col)).alias("_chars"), k.alias("_k"))
+    per = base.groupBy("_k", "_by").agg(F.count(F.lit(1)).alias("_n"), F.min("_ord").alias("_ord"),
+                                        F.min_by("_chars", "_ord").alias("_chars"))
+    first = F.col("_ord") == F.min("_ord").over(Window.partitionBy("_k"))
+    return per.withColumn("_first", first).groupBy(F.col("_by").alias(by)).agg(
+        F.sum("_n").alias("n_collected"),
+        F.sum(F.col("_first").cast("bigint")).alias("n_kept"),
+        F.sum(F.when(F.col("_first"), F.col("_chars")).otherwise(F.lit(0))).cast("bigint").alias("kept_chars"),
     )
 
 

@@ -120,23 +120,24 @@ def carry_forward(df: DataFrame, by: str = "run_id", ord_col: str = "line_no",
         return df.select(*[c for c in df.columns if c not in cols],
                          *[F.last(c, ignorenulls=True).over(w).alias(c) for c in cols])
     keep = [c for c in df.columns if c not in cols]
-    d = df.withColumn("_seg", F.floor(F.col(ord_col) / chunk))
-    ws = Window.partitionBy(by, "_seg").orderBy(ord_col)
+    # a struct is never NULL, so a NULL run is its own group (as in a plain
+    # window) and the join below is a plain equality on the window's own keys:
+    # both branches read one shuffle of the parsed input and it is kept
+    d = df.withColumn("_run", F.struct(F.col(by))) \
+          .withColumn("_seg", F.coalesce(F.expr(f"`{ord_col}` div {chunk}"), F.lit(-1)))
+    ws = Window.partitionBy("_run", "_seg").orderBy(ord_col)
     run_w = ws.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     all_w = ws.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    local = d.select(*keep, "_seg",
+    local = d.select(*keep, "_run", "_seg",
                      *[F.last(c, ignorenulls=True).over(run_w).alias(c) for c in cols],
                      *[F.last(c, ignorenulls=True).over(all_w).alias("_end_" + c) for c in cols],
                      F.max(ord_col).over(all_w).alias("_seg_max"))
-    ends = local.where(F.col(ord_col) == F.col("_seg_max")).select(by, "_seg", *["_end_" + c for c in cols])
-    wp = Window.partitionBy(by).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
-    carry = ends.select(by, "_seg", *[F.last("_end_" + c, ignorenulls=True).over(wp).alias("_in_" + c)
+    ends = local.where(F.col(ord_col) == F.col("_seg_max")).select("_run", "_seg", *["_end_" + c for c in cols])
+    wp = Window.partitionBy("_run").orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select("_run", "_seg", *[F.last("_end_" + c, ignorenulls=True).over(wp).alias("_in_" + c)
                                       for c in cols])
-    carry = carry.withColumnRenamed(by, "_c_by").withColumnRenamed("_seg", "_c_seg")
-    # null-safe keys: a NULL run is its own group (as in a plain window), and
-    # no not-null filter is inferred into one branch only, so both branches
-    # read the same shuffle of the parsed input (exchange reuse)
-    cond = local[by].eqNullSafe(carry["_c_by"]) & local["_seg"].eqNullSafe(carry["_c_seg"])
+    carry = carry.withColumnRenamed("_run", "_c_run").withColumnRenamed("_seg", "_c_seg")
+    cond = (local["_run"] == carry["_c_run"]) & (local["_seg"] == carry["_c_seg"])
     j = local.join(carry, cond, "left")
     return j.select(*keep, *[F.coalesce(F.col(c), F.col("_in_" + c)).alias(c) for c in cols])
 
@@ -153,13 +154,12 @@ def progress_latest(parsed: DataFrame, by: str = "run_id", ord_col: str = "line_
 
 
 def tail_n(df: DataFrame, by: str = "run_id", ord_col: str = "line_no", n: int = K.TAIL_LINES,
-           fanout="auto") -> DataFrame:
+           fanout: int | None = None) -> DataFrame:
     """Last ``n`` lines per run (W2); planned with WindowGroupLimit (and, with
-    many partitions, a first level per partition bucket, see ``combine``)."""
-    from corpusmill.operators.combine import _fanout, _local_top
-    g = _fanout(df, fanout)
-    if g:
-        df = _local_top(df, [by], n, ord_col, g, desc=True)
+    ``fanout``, a first level per partition bucket, see ``combine``)."""
+    from corpusmill.operators.combine import _local_top
+    if fanout:
+        df = _local_top(df, [by], n, ord_col, fanout, desc=True)
     w = Window.partitionBy(by).orderBy(F.col(ord_col).desc())
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 

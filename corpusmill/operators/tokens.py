@@ -75,7 +75,8 @@ def truncate_tokens(df: DataFrame, col: str = "tokens", n: int = 512,
     return df.withColumn(mask, F.array_repeat(F.lit(1), F.size(F.col(col))))
 
 
-def run_offsets(runs: DataFrame, group: str, order: str, length: str, chunk: int | None) -> DataFrame:
+def run_offsets(runs: DataFrame, group: str, order: str, length: str, chunk: int | None,
+                buckets: int | None = None) -> DataFrame:
     """[start, end) offset of every run in the concatenation of its group,
     ordered by ``order``.
 
@@ -85,13 +86,19 @@ def run_offsets(runs: DataFrame, group: str, order: str, length: str, chunk: int
     earlier chunks (one row per chunk, read from the same window output)
     give each chunk its base offset through a small running window. The
     input is computed and shuffled once (the two branches share the
-    exchange), and no window ever holds a whole group.
+    exchange, and the join keeps its partitioning), and no window ever holds
+    a whole group.
+
+    ``buckets`` takes the place of ``chunk`` for orders that are text or have
+    gaps: the order is then (hash bucket of ``order``, ``order``), so every
+    chunk holds its share of the rows whatever the values are.
     """
     n = F.col(length)
     if chunk is None:
         w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return runs.withColumn("_end", F.sum(n).over(w)).withColumn("_start", F.col("_end") - n)
-    r = runs.withColumn("_chunk", F.floor(F.col(order) / chunk))
+    place = F.pmod(F.xxhash64(order), F.lit(buckets)) if buckets else F.expr(f"`{order}` div {chunk}")
+    r = runs.withColumn("_chunk", F.coalesce(place.cast("bigint"), F.lit(-1)))   # never NULL: joined by plain equality below
     wc = Window.partitionBy(group, "_chunk").orderBy(order)
     local = r.select("*",
                      F.sum(n).over(wc.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_run"),
@@ -102,7 +109,7 @@ def run_offsets(runs: DataFrame, group: str, order: str, length: str, chunk: int
     wb = Window.partitionBy(group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select(F.col(group).alias("_b_group"), F.col("_chunk").alias("_b_chunk"),
                          F.coalesce(F.sum("_tot").over(wb), F.lit(0)).alias("_base"))
-    cond = local[group].eqNullSafe(base["_b_group"]) & local["_chunk"].eqNullSafe(base["_b_chunk"])
+    cond = (local[group] == base["_b_group"]) & (local["_chunk"] == base["_b_chunk"])
     j = local.join(base, cond, "left")
     return (j.withColumn("_end", F.col("_base") + F.col("_run"))
              .withColumn("_start", F.col("_end") - n)
@@ -110,20 +117,21 @@ def run_offsets(runs: DataFrame, group: str, order: str, length: str, chunk: int
 
 
 def pack(df: DataFrame, id_col: str, col: str = "tokens", block: int = 2048, eos: str = "</s>",
-         shards: int = 64, drop_last: bool = False, chunk: int | None = 1 << 16) -> DataFrame:
+         shards: int = 64, drop_last: bool = False, chunk: int | None = 1 << 16,
+         buckets: int | None = None) -> DataFrame:
     """Concatenate token runs (each followed by ``eos``) and cut fixed blocks.
 
     Runs are spread over ``shards`` by the md5 bucket of their id; within a
     shard, runs are concatenated in id order (offsets from ``run_offsets``,
-    segmented by ``chunk`` ids so the running sum is spread over many
-    tasks), cut into one slice per block it touches (``transform`` over the
+    segmented by ``chunk`` ids, or by ``buckets`` for text ids, so the
+    running sum is spread over many tasks), cut into one slice per block it touches (``transform`` over the
     block sequence, then ``inline``), and every
     block is assembled by a group of at most ``block`` tokens.
     """
     runs = df.select(hash_bucket(F.col(id_col).cast("string"), shards).alias("shard"),
                      F.col(id_col).alias("run_id"),
                      F.concat(F.col(col), F.array(F.lit(eos))).alias("_t"))
-    runs = run_offsets(runs.withColumn("_n", F.size("_t")), "shard", "run_id", "_n", chunk)
+    runs = run_offsets(runs.withColumn("_n", F.size("_t")), "shard", "run_id", "_n", chunk, buckets)
     start, end = F.col("_start"), F.col("_end")
 
     def piece(b):

@@ -134,6 +134,12 @@ def _flagship(spark, d):
     return CB.build_corpus(_docs(spark, d), seed_from_benchmark(spark, d), SOURCES)
 
 
+def q_build_corpus_prefix_key(spark, d):
+    """The collector's own rule: 80-character key, content cut, short content dropped."""
+    c = CB.build_corpus(_docs(spark, d), seed_from_benchmark(spark, d), SOURCES, prefix_len=80, cut=1400, min_len=30)
+    return c.select(*S.FLAT_FIELDS)
+
+
 def q_build_corpus(spark, d):
     return _flagship(spark, d).select(*S.FLAT_FIELDS)
 
@@ -184,14 +190,34 @@ def q_html_main_text(spark, d):
     return H.html_main_text(_pages(spark, d))
 
 
+def _described_pages(spark, d):
+    """Pages with a description meta tag, a description paragraph, both or neither (page_id % 4)."""
+    n, k = F.col("page_id").cast("string"), F.col("page_id") % 4
+    meta = F.concat(F.lit('<meta name="description" content="Overview of page '), n, F.lit(' with enough words to be kept here">'))
+    para = F.concat(F.lit('<p class="description">Paragraph on page '), n, F.lit(', long enough to pass the length test</p>'))
+    none = F.lit("")
+    return _pages(spark, d).select("page_id", F.concat(F.when((k == 0) | (k == 2), meta).otherwise(none),
+                                                       F.when((k == 1) | (k == 2), para).otherwise(none), "html").alias("html"))
+
+
 def q_html_description(spark, d):
-    # Fixture pages have no description meta / p.description: the title
-    # element and the first paragraph stand in for the two candidates.
-    x = _pages(spark, d).select("page_id", H.extract("html", selectors="title, p", parts=("passages",)).alias("x"))
-    cand = x.select("page_id", F.try_element_at("x.passages", F.lit(1)).alias("meta_desc"),
-                    F.try_element_at("x.passages", F.lit(2)).alias("p_desc"))
-    summary = F.coalesce(F.nullif("meta_desc", F.lit("")), F.nullif("p_desc", F.lit("")))
-    return cand.select("page_id", summary.alias("summary")).where(F.length("summary") > 40)
+    """Both orders: the meta tag first (with the length test), the paragraph first."""
+    pages = _described_pages(spark, d)
+    return H.html_description(pages, "meta").withColumn("prefer", F.lit("meta")).unionByName(
+        H.html_description(pages, "p", min_len=None).withColumn("prefer", F.lit("p")))
+
+
+def q_html_errors_split(spark, d):
+    """Main texts and parse errors of one pass over the pages."""
+    return H.html_main_text(_pages(spark, d), errors=True).select("page_id", "main_text", "error")
+
+
+def q_jsonl_rejects(spark, d):
+    path = scratch_dir(spark, "rejects")
+    ids = F.col("doc_id").cast("string")
+    line = F.when(F.col("doc_id") % 2 == 0, F.to_json(F.struct("doc_id", "text"))).otherwise(F.concat(F.lit('{"broken": '), ids))
+    _docs(spark, d, ("doc_id", "text")).select(line.alias("value")).write.text(path)
+    return J.rejects(spark, path)
 
 
 def _bracketed(spark, d):
@@ -325,8 +351,9 @@ def q_default_fill(spark, d):
 
 def q_dedupe_key(spark, d):
     docs = _docs(spark, d, ("doc_id", "text"))
-    return docs.select("doc_id", X.dedupe_key("text").alias("key_folded"),
-                       X.dedupe_key("text", casefold=False).alias("key_exact"))
+    return docs.select("doc_id", X.dedupe_key("text", prefix_len=80).alias("key_folded"),
+                       X.dedupe_key("text", casefold=False, prefix_len=80).alias("key_exact"),
+                       F.md5(X.dedupe_key("text")).alias("whole_key_md5"))
 
 
 def _conversations(spark, d):
@@ -356,9 +383,8 @@ def q_html_escape(spark, d):
 
 def q_messages_build(spark, d):
     docs = _docs(spark, d, ("doc_id", "text"))
-    content = X.clip("text", 1400, threshold=1500, suffix="...")
     instr = X.pick(F.col("doc_id").cast("string"), K.PROMPTS_5)
-    return docs.select("doc_id", chat.render_chat(pairs.to_messages(instr, content), "plain").alias("text"))
+    return docs.select("doc_id", chat.render_chat(pairs.to_messages(instr, F.col("text")), "plain").alias("text"))
 
 
 # ---------------------------------------------------------------- aggregations
@@ -368,7 +394,13 @@ def _ord_docs(spark, d):
 
 def q_dedupe_first_wins(spark, d):
     docs = _ord_docs(spark, d)
-    return dedupe.dedupe_first(docs, X.dedupe_key("text")).select("doc_id", "source")
+    return dedupe.dedupe_first(docs, X.dedupe_key("text"), hash_key=True).select("doc_id", "source")
+
+
+def q_dedupe_semi_join(spark, d):
+    """First-wins by aggregate and left-semi join (J4), prefix key."""
+    docs = _ord_docs(spark, d)
+    return dedupe.dedupe_first(docs, X.dedupe_key("text", prefix_len=80), strategy="semi").select("doc_id", "source")
 
 
 def q_dedupe_whole_text(spark, d):
@@ -401,7 +433,8 @@ def q_cap_per_group(spark, d):
 
 
 def q_cap_per_text(spark, d):
-    return combine.cap_per_group(_paragraph_passages(spark, d), "doc_id", 3).select("doc_id", "pos")
+    return clean.split_paragraphs(_docs(spark, d, ("doc_id", "text")), "text", para_sep="\n", min_len=30, keep=["doc_id"],
+                                  cap=3).select("doc_id", "pos")
 
 
 def q_cap_global(spark, d):
@@ -418,7 +451,7 @@ def q_union_sources(spark, d):
     frames = [docs.where(F.col("lang") == lg).withColumn("ord", make_ord(F.lit(i), "doc_id"))
               for i, lg in enumerate(LANG_ORDER)]
     u = combine.union_sources(frames)
-    return u.where(F.length("text") > 100).select("doc_id", "lang", "ord")
+    return u.select("doc_id", "lang", "ord")
 
 
 def _echo_pairs(spark, d):
@@ -458,6 +491,16 @@ def q_tokenize(spark, d):
     return t.select("doc_id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("joined"))
 
 
+def _length_tokenizer():
+    """An external tokenizer with an in-memory vocabulary: a word's id is its length."""
+    return lambda texts: [[len(w) for w in t.split(" ")] for t in texts]
+
+
+def q_tokenize_external(spark, d):
+    t = tokens.tokenize(_docs(spark, d, ("doc_id", "text")), "text", "ids", factory=_length_tokenizer, key="length")
+    return t.select("doc_id", F.size("ids").alias("n_ids"), F.array_join(F.col("ids").cast("array<string>"), " ").alias("joined"))
+
+
 def q_token_truncate(spark, d):
     t = tokens.truncate_tokens(_tokens(spark, d), "tokens", 512)
     return t.select("doc_id", F.size("tokens").alias("n_tokens"),
@@ -471,6 +514,14 @@ def q_pack_sequences(spark, d):
     return b.select("shard", "block", "n_tokens", F.array_join("tokens", " ").alias("joined"))
 
 
+def q_expanded_packed(spark, d):
+    """Formatted texts of the expanded corpus, tokenized and packed; their ids are text."""
+    items = _expanded_items(spark, d).withColumnRenamed("license", "license_type")
+    out = CB.expanded_corpus(items, policy.policy_table(spark), commercial=True).select("text_id", "text")
+    b = tokens.pack(tokens.tokenize(out, "text", "tokens"), "text_id", "tokens", block=PACK_BLOCK, eos=EOS, shards=1, buckets=64)
+    return b.select("block", "n_tokens")
+
+
 # ---------------------------------------------------------------- run log
 def _parsed(spark, d):
     return runlog.parse_progress(_run_log(spark, d))
@@ -517,12 +568,12 @@ def q_progress_display(spark, d):
 
 def q_tail_stream(spark, d):
     from corpusmill.streaming.tail import run_tail_stream_once
-    return run_tail_stream_once(spark, _run_log(spark, d), files=2)
+    return run_tail_stream_once(spark, _run_log(spark, d))
 
 
 def q_progress_stream(spark, d):
     from corpusmill.streaming.progress import run_progress_stream_once
-    return run_progress_stream_once(spark, _run_log(spark, d), files=2)
+    return run_progress_stream_once(spark, _run_log(spark, d))
 
 
 # ---------------------------------------------------------------- end-to-end plans
@@ -549,6 +600,13 @@ def q_expanded_corpus(spark, d):
     return out.select("text_id", "source", "text")
 
 
+def q_expanded_corpus_cut(spark, d):
+    """The collector's own cut: content over 1500 is cut to 1400 and marked."""
+    items = _expanded_items(spark, d).withColumnRenamed("license", "license_type")
+    kept = policy.license_filter(items, policy.policy_table(spark), commercial=True)
+    return CB.format_expanded(kept, cut=1400, threshold=1500).select("text_id", "source", "text")
+
+
 # ---------------------------------------------------------------- plug-in sources, crawl, preview, run report
 def q_crawl_paragraphs(spark, d):
     return CR.crawl_paragraphs(_pages(spark, d), separator="\n", para_sep="\n", min_len=30, cap=50)
@@ -598,11 +656,14 @@ QUERIES = {
     "reuse_or_build": q_reuse_or_build,
     "build_corpus": q_build_corpus,
     "build_corpus_exact_key": q_build_corpus_exact_key,
+    "build_corpus_prefix_key": q_build_corpus_prefix_key,
     "sink_jsonl": q_sink_jsonl,
     "sink_nested_meta": q_sink_nested_meta,
     "html_passages": q_html_passages,
     "html_main_text": q_html_main_text,
     "html_description": q_html_description,
+    "html_errors_split": q_html_errors_split,
+    "jsonl_rejects": q_jsonl_rejects,
     "clean_brackets": q_clean_brackets,
     "clean_parens": q_clean_parens,
     "split_paragraphs": q_split_paragraphs,
@@ -630,6 +691,7 @@ QUERIES = {
     "messages_build": q_messages_build,
     "dedupe_first_wins": q_dedupe_first_wins,
     "dedupe_whole_text": q_dedupe_whole_text,
+    "dedupe_semi_join": q_dedupe_semi_join,
     "collection_report": q_collection_report,
     "alignment_score": q_alignment_score,
     "cap_per_group": q_cap_per_group,
@@ -641,8 +703,10 @@ QUERIES = {
     "seed_floor_below": q_seed_floor_below,
     "seed_floor_below_small": q_seed_floor_below_small,
     "tokenize": q_tokenize,
+    "tokenize_external": q_tokenize_external,
     "token_truncate": q_token_truncate,
     "pack_sequences": q_pack_sequences,
+    "expanded_packed": q_expanded_packed,
     "log_parse": q_log_parse,
     "progress_forward_fill": q_progress_forward_fill,
     "progress_latest": q_progress_latest,
@@ -655,6 +719,7 @@ QUERIES = {
     "training_input": q_training_input,
     "expanded_corpus": q_expanded_corpus,
     "expanded_corpus_chat": q_expanded_corpus_chat,
+    "expanded_corpus_cut": q_expanded_corpus_cut,
     "crawl_paragraphs": q_crawl_paragraphs,
     "registry_sources": q_registry_sources,
     "build_from_sources": q_build_from_sources,

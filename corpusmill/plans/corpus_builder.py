@@ -27,21 +27,27 @@ def documents_as_passages(docs: DataFrame, source_order: list[str]) -> DataFrame
 
 def build_corpus(docs: DataFrame, seed: DataFrame, source_order: list[str],
                  templates: list[str] = K.PROMPTS_7, casefold: bool = True,
-                 floor: str = "always", floor_n: int = 20) -> DataFrame:
+                 floor: str = "always", floor_n: int = 20, prefix_len: int | None = None,
+                 cut: int | None = None, min_len: int | None = None) -> DataFrame:
     """Flat instruction records with ``ord``; commentary-style pairs.
 
+    By default whole texts are kept, and two records are the same only when
+    their whole keys are; ``prefix_len``, ``cut`` and ``min_len`` switch the
+    prefix rule, the content cut and the length filter on.
+
     The dedupe key is computed before the shuffle, but the pair texts are
-    built from the survivors: the dedupe shuffle carries the (cut) content
-    and a template bucket, not the instruction and response strings.
+    built from the survivors: the dedupe shuffle carries the content,
+    a template bucket and a SHA-256 of the key, not the instruction and response strings.
     """
-    p = pairs.commentary_content(documents_as_passages(docs, source_order), "content")
+    p = pairs.commentary_content(documents_as_passages(docs, source_order), "content", cut, min_len)
     tb = hash_bucket("content", len(templates))
     prompt = F.element_at(F.array(*[F.lit(t) for t in templates]), (F.col("_tb") + 1).cast("int"))
     p = p.select("source", "language", "content", tb.alias("_tb"),
                  make_ord("source_rank", "doc_id").alias("ord"))
-    p = p.withColumn("_k", dedupe_key(pairs.commentary_instruction("content", prompt=prompt), casefold=casefold))
+    key = lambda c: F.unhex(F.sha2(dedupe_key(c, casefold=casefold, prefix_len=prefix_len), 256))
+    p = p.withColumn("_k", key(pairs.commentary_instruction("content", prompt=prompt)))
     allp = combine.with_floor(p, seed, mode=floor, n=floor_n)
-    allp = allp.withColumn("_k", F.coalesce(F.col("_k"), dedupe_key("instruction", casefold=casefold)))
+    allp = allp.withColumn("_k", F.coalesce(F.col("_k"), key("instruction")))
     kept = dedupe.dedupe_first(allp, F.col("_k"))
     built = kept.select(
         F.coalesce(F.col("instruction"), pairs.commentary_instruction("content", prompt=prompt)).alias("instruction"),
@@ -57,7 +63,7 @@ def to_pairs(df: DataFrame, style: str, templates: list[str] = K.PROMPTS_7) -> D
     elif style == "summary":
         p = pairs.pair_summary(df, "title", "content")
     elif style == "commentary":
-        p = pairs.pair_commentary(df, "content", templates)
+        p = pairs.pair_commentary(df, "content", templates, cut=None, min_len=None)
     else:
         p = pairs.pair_echo(df, "content", templates)
     return p.select("instruction", "response", "source", "language",
@@ -65,7 +71,8 @@ def to_pairs(df: DataFrame, style: str, templates: list[str] = K.PROMPTS_7) -> D
 
 
 def build_corpus_from_sources(spark, chosen: list[str], params: dict, seed: DataFrame | None,
-                              casefold: bool = True, floor: str = "always", floor_n: int = 20) -> DataFrame:
+                              casefold: bool = True, floor: str = "always", floor_n: int = 20,
+                              prefix_len: int | None = None) -> DataFrame:
     """Dataset builder over registered sources: every chosen source becomes
     pairs in its own style, in the chosen order; seeds are appended (always,
     or only below ``floor_n``); first-wins dedupe; flat record with ``ord``.
@@ -77,15 +84,16 @@ def build_corpus_from_sources(spark, chosen: list[str], params: dict, seed: Data
             allp = combine.with_floor(allp, seed, mode=floor, n=floor_n)
     else:
         allp = combine.seed_rows(seed)
-    kept = dedupe.dedupe_first(allp, dedupe_key("instruction", casefold=casefold))
+    kept = dedupe.dedupe_first(allp, dedupe_key("instruction", casefold=casefold, prefix_len=prefix_len), hash_key=True)
     return pairs.fill_record(kept, response_fallback=None)
 
 
 def format_expanded(items: DataFrame, templates: list[str] = K.PROMPTS_5, style: str = "plain",
-                    lead: str = K.MESSAGE_LEAD, markers: dict | None = None) -> DataFrame:
-    """Formatted training text for expanded items (content clipped to
-    1400 + '...' when over 1500; template by ``text_id``)."""
-    content = clip("content", 1400, threshold=1500, suffix="...")
+                    lead: str = K.MESSAGE_LEAD, markers: dict | None = None, cut: int | None = None,
+                    threshold: int | None = None) -> DataFrame:
+    """Formatted training text for expanded items (template by ``text_id``);
+    with ``cut`` content longer than ``threshold`` is cut and marked '...'."""
+    content = F.col("content") if cut is None else clip("content", cut, threshold=threshold, suffix="...")
     instr = pick(F.coalesce(F.col("text_id"), F.lit("")), templates)
     if style == "chat":
         text = chat.render_chat(pairs.to_messages(instr, content, lead), "template", markers=markers)

@@ -49,9 +49,10 @@ def clip(x: str, keep: int, threshold: int | None = None, suffix: str = "") -> s
     return f"(CASE WHEN length({x}) > {threshold} THEN {cut} ELSE {x} END)"
 
 
-def key(x: str, casefold: bool = True) -> str:
+def key(x: str, casefold: bool = True, prefix: int | None = None) -> str:
     inner = f"regexp_replace(coalesce({x}, ''), '{WS}+', '', 'g')"
-    return f"substring({'lower(' + inner + ')' if casefold else inner}, 1, 80)"
+    inner = f"lower({inner})" if casefold else inner
+    return f"substring({inner}, 1, {prefix})" if prefix else inner
 
 
 def ordx(rank: str, doc: str, pos: str = "0") -> str:
@@ -65,9 +66,11 @@ SECTIONS = lambda i, r: f"({lit(K.SECTION_INSTRUCTION)} || {i} || {lit(K.SECTION
 
 
 # ---------------------------------------------------------------- corpus
-FLAGSHIP = f"""
+CUT, WHOLE = "substring(text, 1, 1400) AS content", "text AS content"
+SHORT = " WHERE length(content) >= 30\n"
+FLAGSHIP_PREFIX = f"""
 WITH d AS (
-  SELECT doc_id, source, lang AS language, substring(text, 1, 1400) AS content, {RANK} AS rk FROM documents
+  SELECT doc_id, source, lang AS language, {CUT}, {RANK} AS rk FROM documents
 ), p AS (
   SELECT {pick('content', K.PROMPTS_7)} || {NL} || {NL} || content AS instruction,
          {lit(K.COMMENTARY_LEAD)} || substring(content, 1, 300) || {lit('…')} AS response,
@@ -77,20 +80,22 @@ WITH d AS (
   SELECT text AS instruction, text AS response, CAST(NULL AS VARCHAR) AS source,
          CAST(NULL AS VARCHAR) AS language, {ordx('127', 'item_id')} AS ord FROM benchmark
 ), a AS (SELECT * FROM p UNION ALL SELECT * FROM s),
-k AS (SELECT *, {key('instruction')} AS dk FROM a),
+k AS (SELECT *, {key('instruction', prefix=80)} AS dk FROM a),
 w AS (SELECT dk, min(ord) AS ord FROM k GROUP BY dk)
 SELECT coalesce(instruction, '') AS instruction, coalesce(response, '') AS response,
        coalesce(source, 'fallback') AS source, coalesce(language, 'english') AS language,
        {SECTIONS("coalesce(instruction, '')", "coalesce(response, '')")} AS text
 FROM k WHERE ord IN (SELECT ord FROM w)
 """
+FLAGSHIP = (FLAGSHIP_PREFIX.replace(CUT, WHOLE).replace(SHORT, "\n")
+            .replace(key("instruction", prefix=80), key("instruction")))
 
 EXPANDED_CONTENT = "(CASE WHEN length(text) > 1500 THEN substring(text, 1, 1400) || '...' ELSE text END)"
 EXPANDED_TEXT = (f"'User: ' || {pick('CAST(doc_id AS VARCHAR)', K.PROMPTS_5)} || {NL} || ec || {NL} || {NL} "
                  f"|| 'Assistant: ' || {lit(K.MESSAGE_LEAD)} || substring(ec, 1, 200) || '...'")
 EXPANDED_ITEMS = f"""
 SELECT doc_id, source, CAST(doc_id AS VARCHAR) AS text_id, lang AS language, text AS content,
-       {EXPANDED_CONTENT} AS ec,
+       text AS ec,
        {LICENSE} AS license,
        'Collection ' || source || ' (archive)' AS attribution,
        CASE WHEN {SRCI} % 5 = 4 THEN 'metadata_only' END AS modality,
@@ -350,6 +355,7 @@ FROM (SELECT *, 'Study ' || CAST(doc_id AS VARCHAR) || ' of ' || source AS title
       FROM documents)"""
     q["reuse_or_build"] = FLAGSHIP
     q["build_corpus"] = FLAGSHIP
+    q["build_corpus_prefix_key"] = FLAGSHIP_PREFIX
     q["sink_jsonl"] = FLAGSHIP
     q["sink_nested_meta"] = (f"SELECT {EXPANDED_TEXT} AS text, source, text_id, language, license, attribution, "
                              f"modality, title FROM ({EXPANDED_ITEMS})")
@@ -414,8 +420,8 @@ SELECT doc_id, coalesce(instruction, '') AS instruction, coalesce(response, body
        coalesce(source, 'fallback') AS source, coalesce(language, 'english') AS language,
        {SECTIONS("coalesce(instruction, '')", "coalesce(response, '')")} AS text
 FROM r"""
-    q["dedupe_key"] = (f"SELECT doc_id, {key('text')} AS key_folded, {key('text', False)} AS key_exact "
-                       f"FROM documents")
+    q["dedupe_key"] = (f"SELECT doc_id, {key('text', prefix=80)} AS key_folded, {key('text', False, 80)} AS key_exact, "
+                       f"md5({key('text')}) AS whole_key_md5 FROM documents")
     q["render_chat"] = CHAT
     last_part = "string_split(text, 'Assistant:')[-1]"
     q["render_prompt"] = (f"SELECT conv_id, turn, 'User: ' || text || {NL} || {NL} || 'Assistant:' AS prompt "
@@ -426,10 +432,11 @@ FROM r"""
                         "FROM pages)")
     q["messages_build"] = (f"SELECT doc_id, 'User: ' || {pick('CAST(doc_id AS VARCHAR)', K.PROMPTS_5)} || {NL} || {NL} "
                            f"|| ec || {NL} || {NL} || 'Assistant: ' || {lit(K.MESSAGE_LEAD)} || substring(ec, 1, 200) "
-                           f"|| '...' AS text FROM (SELECT doc_id, {EXPANDED_CONTENT} AS ec FROM documents)")
+                           f"|| '...' AS text FROM (SELECT doc_id, text AS ec FROM documents)")
     dd = (f"WITH k AS (SELECT doc_id, source, text, {ordx(RANK, 'doc_id')} AS ord, {key('text')} AS dk "
           f"FROM documents), w AS (SELECT dk, min(ord) AS ord FROM k GROUP BY dk)")
     q["dedupe_first_wins"] = f"{dd} SELECT doc_id, source FROM k WHERE ord IN (SELECT ord FROM w)"
+    q["dedupe_semi_join"] = q["dedupe_first_wins"].replace(key("text"), key("text", prefix=80))
     q["dedupe_whole_text"] = (f"SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER ("
                               f"PARTITION BY coalesce(text, '') ORDER BY {ordx(RANK, 'doc_id')}) AS rn FROM documents) "
                               f"WHERE rn = 1")
@@ -453,7 +460,7 @@ FROM r"""
                     f"ORDER BY ord LIMIT 5")
     lang_rank = "CASE lang " + " ".join(f"WHEN '{lg}' THEN {i}" for i, lg in enumerate(C.LANG_ORDER)) + " END"
     q["union_sources"] = (f"SELECT doc_id, lang, {ordx(lang_rank, 'doc_id')} AS ord FROM documents "
-                          f"WHERE lang IN ({', '.join(repr(x) for x in C.LANG_ORDER)}) AND length(text) > 100")
+                          f"WHERE lang IN ({', '.join(repr(x) for x in C.LANG_ORDER)})")
     q["seed_floor_always"] = (f"SELECT {ordx(RANK, 'doc_id')} AS ord, {pick('text', K.PROMPTS_7)} || {NL} || {NL} "
                               f"|| text AS instruction FROM documents UNION ALL "
                               f"SELECT {ordx('127', 'item_id')} AS ord, text AS instruction FROM benchmark")
@@ -485,6 +492,9 @@ SELECT run_id, ({' AND '.join(c + ' IS NULL' for c in PCOLS)}) AS idle, coalesce
   CASE WHEN eta IS NULL OR eta = '' THEN '—' ELSE eta END AS eta_label,
   CASE WHEN coalesce(pct, 0) > 6 THEN CAST(coalesce(pct, 0) AS VARCHAR) || '%' ELSE '' END AS pct_label
 FROM ({LATEST})"""
+    q["expanded_corpus_cut"] = (f"SELECT text_id, source, {EXPANDED_TEXT} AS text FROM (SELECT * REPLACE ({EXPANDED_CONTENT.replace('text', 'content')} AS ec) "
+                                f"FROM ({EXPANDED_ITEMS})) i LEFT JOIN {POLICY} ON i.license = pol.lt "
+                                f"WHERE coalesce(scraping_allowed, true) AND coalesce(commercial_use, true)")
     q["expanded_corpus"] = (f"SELECT text_id, source, {EXPANDED_TEXT} AS text FROM ({EXPANDED_ITEMS}) i "
                             f"LEFT JOIN {POLICY} ON i.license = pol.lt "
                             f"WHERE coalesce(scraping_allowed, true) AND coalesce(commercial_use, true)")
@@ -497,8 +507,8 @@ p AS (SELECT page_id, CAST(pos AS INTEGER) AS pos, {strip('raw')} AS paragraph F
         FROM (SELECT page_id, string_split(t, {NL}) AS parts FROM c)))
 SELECT page_id, pos, paragraph FROM (
   SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rn FROM p WHERE length(paragraph) > 30)
-WHERE rn <= 50"""
-    q["crawl_paragraphs"] = crawl
+"""
+    q["crawl_paragraphs"] = crawl + "WHERE rn <= 50"
     q["registry_sources"] = (f"SELECT 0 AS source_rank, 'crawl' AS source, CAST(page_id AS VARCHAR) || '-' || "
                              f"CAST(pos AS VARCHAR) AS text_id, {ordx('0', 'page_id', 'pos')} AS ord, "
                              f"md5(paragraph) AS content_md5 FROM ({crawl}) UNION ALL "
@@ -554,6 +564,10 @@ FROM o LEFT JOIN er ON o.run_id = er.run_id"""
     rendered = (f"SELECT 'User: ' || instruction || {NL} || {NL} || 'Assistant: ' || response AS text "
                 f"FROM ({FLAGSHIP})")
     toks = f"SELECT regexp_extract_all(text, {TOK_RX})[1:512] AS t FROM ({rendered})"
+    # one shard: the blocks are full but the last, whatever the order of the runs
+    q["expanded_packed"] = (f"WITH t AS (SELECT sum(len(regexp_extract_all(text, {TOK_RX})) + 1)::BIGINT AS n FROM ({q['expanded_corpus']})) "
+                            f"SELECT b AS block, CAST(least({C.PACK_BLOCK}, n - b * {C.PACK_BLOCK}) AS INTEGER) AS n_tokens "
+                            f"FROM (SELECT n, unnest(range((n + {C.PACK_BLOCK} - 1) // {C.PACK_BLOCK})) AS b FROM t)")
     q["training_input"] = (f"SELECT md5(array_to_string(t, ' ')) AS tokens_md5, CAST(len(t) AS INTEGER) AS n_tokens "
                            f"FROM ({toks})")
     q["html_passages"] = P_PASSAGES
@@ -562,13 +576,16 @@ FROM o LEFT JOIN er ON o.run_id = er.run_id"""
                               f"AS text_id, 'english' AS language, passage AS content, page_id AS doc_ord, pos "
                               f"FROM ({P_PASSAGES}) WHERE length(passage) >= 21 AND regexp_matches(passage, {latin_rx}) "
                               f"ORDER BY {ordx('0', 'page_id', 'pos')} LIMIT 500")
-    # description stand-in: the first matching element is the page title (all
-    # fixture pages have one, before any paragraph), so the summary is the
-    # title text when it is longer than 40 characters
-    terminated = "regexp_replace(html, '&(amp|quot|copy|middot|lt|gt)([^-.a-zA-Z0-9;])', '&\\1;\\2', 'g')"
-    title = strip(UNESCAPE(f"regexp_extract({terminated}, '(?s)<title[^>]*>(.*?)</title>', 1)"))
-    q["html_description"] = (f"SELECT page_id, summary FROM (SELECT page_id, {title} AS summary FROM pages) "
-                             f"WHERE length(summary) > 40")
+    meta = "'Overview of page ' || CAST(page_id AS VARCHAR) || ' with enough words to be kept here'"
+    para = "'Paragraph on page ' || CAST(page_id AS VARCHAR) || ', long enough to pass the length test'"
+    q["html_description"] = (f"SELECT page_id, CASE WHEN page_id % 4 = 1 THEN {para} ELSE {meta} END AS summary, 'meta' AS prefer "
+                             f"FROM pages WHERE page_id % 4 < 3 UNION ALL "
+                             f"SELECT page_id, CASE WHEN page_id % 4 = 0 THEN {meta} ELSE {para} END AS summary, 'p' AS prefer "
+                             f"FROM pages WHERE page_id % 4 < 3")
+    q["html_errors_split"] = f"SELECT page_id, main_text, CAST(NULL AS VARCHAR) AS error FROM ({HTML_MAIN})"
+    q["jsonl_rejects"] = "SELECT '{\"broken\": ' || CAST(doc_id AS VARCHAR) AS value FROM documents WHERE doc_id % 2 <> 0"
+    q["tokenize_external"] = ("SELECT doc_id, CAST(len(w) AS INTEGER) AS n_ids, array_to_string(list_transform(w, lambda x: "
+                              "CAST(length(x) AS VARCHAR)), ' ') AS joined FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)")
     q["progress_stream"] = (f"SELECT l.*, m.last_line FROM ({LATEST}) l JOIN ("
                             f"SELECT user_id AS run_id, max(event_id) AS last_line FROM events GROUP BY user_id) m "
                             f"ON l.run_id = m.run_id")

@@ -3,11 +3,10 @@
 * ``documents`` - passage table ``documents`` (doc_id, text, lang, source);
   pairs in echo style.
 * ``selected`` - stored pages -> passages of the elements matching CSS-like
-  selectors -> script whitelist and minimum length -> the first ``cap``
-  accepted passages in collection order (page, element position); pairs
-  in echo style.
+  selectors -> script whitelist and minimum length (-> the first ``cap``
+  accepted passages in collection order, when given); pairs in echo style.
 * ``crawl`` - stored pages ``pages`` (page_id, html) -> main text ->
-  cleanup -> paragraphs -> first 50 per page; pairs in quoted style.
+  cleanup -> paragraphs (-> the first ``cap`` per page, when given); pairs in quoted style.
 * ``abstracts`` - abstracts JSONL {title, abstract, source, license};
   pairs in commentary style.
 * ``described`` - stored pages -> page title and description (meta tag,
@@ -37,21 +36,26 @@ def documents(spark, data_dir: str):
 
 
 @register("crawl", pair_style="quoted")
-def crawl(spark, data_dir: str, separator: str = "\n", para_sep: str = "\n", min_len: int = 30, cap: int = 50):
+def crawl(spark, data_dir: str, separator: str = "\n", para_sep: str = "\n", min_len: int = 30, cap: int | None = None):
     pages = read_table(spark, data_dir, "pages", ["page_id", "html"])
     return crawl_passages(pages, source="crawl", separator=separator, para_sep=para_sep, min_len=min_len, cap=cap)
 
 
 @register("abstracts", pair_style="commentary")
 def abstracts(spark, path: str):
-    a = scan_abstracts(spark, path)
-    return a.select("source", "text_id", "language", "content", "title",
-                    F.conv(F.col("text_id"), 16, 10).cast("bigint").alias("doc_ord"), F.lit(0).alias("pos"))
+    """``ord`` comes from a 56-bit hash of all fields (36 bits as document
+    ordinal, 20 as position): equal abstracts share it and are one row to the
+    first-wins rule, different ones with one title do not."""
+    a = scan_abstracts(spark, path).dropDuplicates(["source", "text_id", "content", "title", "license", "attribution"])
+    h = F.xxhash64("title", "content", "license", "attribution")
+    return a.select("source", "text_id", "language", "content", "title", "license", "attribution",
+                    F.shiftrightunsigned(h, 28).alias("doc_ord"),
+                    F.pmod(F.shiftrightunsigned(h, 8), F.lit(1 << 20)).alias("pos"))
 
 
 @register("selected", pair_style="echo")
 def selected(spark, data_dir: str, selectors: str = PASSAGE_SELECTORS,
-             char_class: str = CJK_CLASS, min_len: int = 21, cap: int | None = 500, language: str = "classical"):
+             char_class: str = CJK_CLASS, min_len: int = 21, cap: int | None = None, language: str = "classical"):
     pages = read_table(spark, data_dir, "pages", ["page_id", "html"])
     p = script_filter(html_passages(pages, selectors), "passage", char_class, min_len)
     p = p.withColumn("ord", make_ord(F.lit(0), "page_id", "pos"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import constants as K
@@ -48,6 +48,14 @@ def scan_two_format(spark: SparkSession, path: str, templates: list[str] = K.PRO
     )
 
 
+def write_rejects(spark: SparkSession, path: str, out: str) -> int:
+    """Malformed lines of ``path`` as text files under ``out``; their number
+    is counted during the write."""
+    obs = Observation("rejects")
+    rejects(spark, path).observe(obs, F.count(F.lit(1)).alias("n")).write.mode("overwrite").text(out)
+    return int(obs.get["n"])
+
+
 def rejects(spark: SparkSession, path: str) -> DataFrame:
     """Malformed non-blank lines of a JSONL input."""
     lines = spark.read.text(path).where(~is_blank("value"))
@@ -71,10 +79,11 @@ def scan_abstracts(spark: SparkSession, path: str, attribution_prefix: str = "Ab
 
 def reuse_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame],
                    skip_if_exists: bool = True, schema: str | None = None) -> DataFrame:
-    """Materialised-corpus reuse (D4): read the corpus at ``path`` when it
-    exists (and reuse is on); otherwise build it, write it there, and read
-    the written table back (which also cuts the lineage)."""
-    if not (skip_if_exists and path_exists(spark, path)):
+    """Materialised-corpus reuse (D4): read the corpus at ``path`` when it is
+    complete (its ``_SUCCESS`` mark is there, and reuse is on); otherwise
+    build it, write it there, and read the written table back (which also
+    cuts the lineage). A folder that an interrupted job left is rebuilt."""
+    if not (skip_if_exists and path_exists(spark, f"{path.rstrip('/')}/_SUCCESS")):
         build().write.mode("overwrite").json(path)
     r = spark.read
     if schema:
@@ -83,14 +92,32 @@ def reuse_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame
 
 
 def first_lines(spark: SparkSession, path: str, n: int) -> DataFrame:
-    """First ``n`` physical lines (column ``value``) of the files under ``path``."""
-    lines = spark.read.text(path).select(
+    """First ``n`` physical lines (column ``value``) of the files under
+    ``path``; only the first files in name order that hold so many lines
+    are read."""
+    head = _first_files(spark, path, n)
+    lines = spark.read.text(head or path).select(
         "value", F.col("_metadata.file_path").alias("_f"),
         F.col("_metadata.file_block_start").alias("_b"),
         F.monotonically_increasing_id().alias("_i"))
     return lines.orderBy("_f", "_b", "_i").limit(n)
 
 
+def _first_files(spark: SparkSession, path: str, n: int) -> list[str]:
+    """The first files in name order with ``n`` lines together (an empty list
+    where the file system cannot be listed from here)."""
+    try:
+        jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        listed = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(jpath)
+        names = sorted(s.getPath().toString() for s in listed if s.isFile() and s.getLen() and s.getPath().getName()[:1] not in "._")
+    except Exception:  # noqa: BLE001  (Spark Connect has no JVM handle)
+        return []
+    for k in range(1, len(names) + 1):
+        if spark.read.text(names[:k]).limit(n).count() >= n:
+            return names[:k]
+    return names
+
+
 def preview_lines(spark: SparkSession, path: str, n: int = 3, clip_len: int = 120) -> DataFrame:
     """First ``n`` physical lines of a JSONL output (files in name order),
     blank ones then dropped; a line shows its ``text`` field when it has

@@ -17,56 +17,34 @@ POS_BITS = 20
 SEED_RANK = 127  # seeds sort after every source (rank < 128)
 
 
-SPREAD_MIN_BYTES = 512 << 10
-SPREAD_MAX_BYTES = 1 << 30
-
+def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
+    """Parquet scan with explicit column pruning. Its parallelism comes from
+    the split size (spark.sql.files.maxPartitionBytes, see session.sizing_conf)."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return df.select(*columns) if columns else df
 
-def spread(df: DataFrame, min_bytes: int = SPREAD_MIN_BYTES, max_bytes: int = SPREAD_MAX_BYTES) -> DataFrame:
-    """Give a scan at least one partition per core.
 
-    A table stored as a few large row groups is read by a few tasks, and the
-    CPU-heavy steps (regex, tokenizing, HTML parsing) would run on those few
-    cores. Only then is the scan redistributed (round robin, sorted first so
-    a retried task sees the same rows), and only when it is small (between
-    ``min_bytes`` and ``max_bytes``); a large input is returned as it is,
-    with no shuffle. The session conf
-    ``spark.corpusmill.spread.enabled=false`` switches it off.
-    """
-    try:
-        if str(df.sparkSession.conf.get("spark.corpusmill.spread.enabled", "true")).lower() == "false":
-            return df
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()          # a scan: no job is run
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001  (no SparkContext, e.g. Spark Connect)
-        return df
-    # beyond max_bytes a shuffle costs more than it gains: larger inputs get
-    # their parallelism from smaller scan splits (spark.sql.files.maxPartitionBytes,
-    # see session.sizing_conf), which needs no shuffle
-    return df.repartition(cores) if parts < cores and min_bytes <= size <= max_bytes else df
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None,
-               balance: bool = True) -> DataFrame:
-    """Parquet scan with explicit column pruning (and ``spread`` when the
-    scan has fewer partitions than cores)."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    df = df.select(*columns) if columns else df
-    return spread(df) if balance else df
+def _within(c: Column, bits: int, what: str) -> Column:
+    """The value, or a failed job when it is NULL or outside [0, 2**bits)."""
+    c = c.cast("bigint")
+    return F.when((c >= 0) & (c < (1 << bits)), c).otherwise(
+        F.raise_error(F.concat(F.lit(f"{what} outside [0, 2^{bits}): "), F.coalesce(c.cast("string"), F.lit("NULL")))).cast("bigint"))
 
 
 def make_ord(rank, doc_ord, pos=None) -> Column:
     """Pack (rank, doc_ord, pos) into one sortable BIGINT.
 
-    Ranges: rank < 128, doc_ord < 2^36, pos < 2^20. ``min`` over a BIGINT
+    Ranges: rank < 128, doc_ord < 2^36, pos < 2^20; anything else, NULL
+    included (a source that the rank map misses), fails the job, as it would
+    give two rows one ``ord`` or sort before all others. ``min`` over a BIGINT
     plans as a hash aggregate (partial + final), unlike ``min`` over a struct.
     """
     r = F.col(rank) if isinstance(rank, str) else rank
     d = F.col(doc_ord) if isinstance(doc_ord, str) else doc_ord
     p = F.lit(0) if pos is None else (F.col(pos) if isinstance(pos, str) else pos)
-    return (F.shiftleft(r.cast("bigint"), RANK_BITS)
-            + F.shiftleft(d.cast("bigint"), POS_BITS)
-            + p.cast("bigint"))
+    return (F.shiftleft(_within(r, 7, "source rank"), RANK_BITS)
+            + F.shiftleft(_within(d, DOC_BITS, "document ordinal"), POS_BITS)
+            + _within(p, POS_BITS, "position"))
 
 
 def rank_map(order: list[str]) -> Column:

@@ -2,30 +2,72 @@
 
 Log lines arrive as files (or any streaming source) -> each line is parsed
 with the batch parser -> latest progress per run is kept in the state
-store by a ``groupBy(run_id)`` aggregate in update mode. The aggregate is
-order-insensitive (``max_by`` on the line number), so lines arriving late
-or out of order need no special case; a watermark on ``ts`` is optional
-and only evicts finished runs from the state.
+store in update mode. The state is order-insensitive (the value with the
+largest line number wins), so lines arriving late or out of order need no
+special case. Without a watermark the state is a native aggregate that keeps
+every run; with one, a run that has been idle for longer is removed from the
+state (event-time timeout), so the state holds live runs only. A run that
+goes on after its removal starts with an empty state.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from corpusmill.operators.runlog import PROGRESS_COLS, parse_progress
 from corpusmill.session import scratch_dir
 
 
+def idle_ms(text: str) -> int:
+    """Milliseconds of an interval like '1 hour' or '90 seconds'."""
+    n, unit = text.split()
+    return int(float(n) * {"second": 1000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}[unit.rstrip("s")])
+
+
+def _latest(by: str, ord_col: str, idle: int):
+    """State per run: for each progress column its value and line number."""
+
+    def update(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = list(state.get) if state.exists else [None, None, *[None] * (2 * len(PROGRESS_COLS))]
+        for pdf in batches:
+            for i, c in enumerate(PROGRESS_COLS):
+                some = pdf[pdf[c].notna()]
+                if len(some):
+                    row = some.loc[some[ord_col].idxmax()]
+                    if held[3 + 2 * i] is None or row[ord_col] >= held[3 + 2 * i]:
+                        held[2 + 2 * i], held[3 + 2 * i] = row[c], int(row[ord_col])
+            last, seen = int(pdf[ord_col].max()), int(pdf["ts"].max().value // 1_000_000)
+            held[0] = last if held[0] is None else max(held[0], last)
+            held[1] = seen if held[1] is None else max(held[1], seen)
+        held = [None if x is None else x.item() if hasattr(x, "item") else x for x in held]
+        state.update(tuple(held))
+        state.setTimeoutTimestamp(max(held[1] + idle, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([[key[0], *[held[2 + 2 * i] for i in range(len(PROGRESS_COLS))], held[0]]], columns=[by, *PROGRESS_COLS, "last_line"])
+
+    return update
+
+
 def progress_stream(stream: DataFrame, watermark: str | None = None, by: str = "run_id",
                     ord_col: str = "line_no") -> DataFrame:
     parsed = parse_progress(stream)
-    if watermark:
-        # event time must be TIMESTAMP (logs often carry TIMESTAMP_NTZ)
-        parsed = parsed.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
-    return parsed.groupBy(by).agg(
-        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(ord_col))).alias(c) for c in PROGRESS_COLS],
-        F.max(ord_col).alias("last_line"))
+    if not watermark:
+        return parsed.groupBy(by).agg(
+            *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(ord_col))).alias(c) for c in PROGRESS_COLS],
+            F.max(ord_col).alias("last_line"))
+    # event time must be TIMESTAMP (logs often carry TIMESTAMP_NTZ)
+    parsed = parsed.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
+    kinds = {f.name: f.dataType.simpleString() for f in parsed.schema}
+    held = ", ".join(f"{c} {kinds[c]}, {c}_at bigint" for c in PROGRESS_COLS)
+    out = f"{by} {kinds[by]}, " + ", ".join(f"{c} {kinds[c]}" for c in PROGRESS_COLS) + ", last_line bigint"
+    return parsed.select(by, ord_col, "ts", *PROGRESS_COLS).groupBy(by).applyInPandasWithState(
+        _latest(by, ord_col, idle_ms(watermark)), out, f"last_line bigint, seen bigint, {held}", "update",
+        GroupStateTimeout.EventTimeTimeout)
 
 
 def start_progress_stream(stream: DataFrame, sink_path: str, checkpoint: str,
@@ -56,14 +98,15 @@ def latest_from_updates(spark: SparkSession, sink_path: str, by: str = "run_id")
              .select(by, *[F.col("s." + c).alias(c) for c in cols]))
 
 
-def run_progress_stream_once(spark: SparkSession, log: DataFrame, files: int = 4) -> DataFrame:
-    """Replay a run log through the stream: write it as ``files`` files,
-    stream them one file per micro-batch, return the final state."""
+def run_progress_stream_once(spark: SparkSession, log: DataFrame, files_per_batch: int = 1000,
+                             watermark: str | None = None) -> DataFrame:
+    """Replay a run log through the stream in the partitions it has,
+    ``files_per_batch`` files per micro-batch; return the final state."""
     src = scratch_dir(spark, "runlog-src")
-    log.select("run_id", "line_no", "ts", "line").repartition(files).write.parquet(src)
+    log.select("run_id", "line_no", "ts", "line").write.parquet(src)
     stream = spark.readStream.schema("run_id bigint, line_no bigint, ts timestamp_ntz, line string") \
-        .option("maxFilesPerTrigger", 1).parquet(src)
+        .option("maxFilesPerTrigger", files_per_batch).parquet(src)
     sink = scratch_dir(spark, "progress-updates")
-    q = start_progress_stream(stream, sink, scratch_dir(spark, "progress-ckpt"))
+    q = start_progress_stream(stream, sink, scratch_dir(spark, "progress-ckpt"), watermark=watermark)
     q.awaitTermination()
     return latest_from_updates(spark, sink)

@@ -17,19 +17,27 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from corpusmill.functions import constants as K
 from corpusmill.operators.runlog import error_start, excerpt_from_lines
 from corpusmill.session import scratch_dir
+from corpusmill.streaming.progress import idle_ms
 
 STATE_SCHEMA = "line_nos array<bigint>, lines array<string>"
 OUT_SCHEMA = "run_id bigint, line_nos array<bigint>, lines array<string>"
 
 
-def _keep_last(n: int):
+def _keep_last(n: int, idle: int | None = None):
     def update(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        seen = 0
         if state.exists:
             nos, lines = state.get
             nos, lines = list(nos), list(lines)
         else:
             nos, lines = [], []
         for pdf in batches:
+            if idle is not None:
+                seen = max(seen, int(pdf["ts"].max().value // 1_000_000))
+            pdf = pdf.nlargest(n, "line_no")           # no row-at-a-time work on the rest
             nos.extend(int(x) for x in pdf["line_no"])
             lines.extend(pdf["line"].tolist())
             if len(nos) > 4 * n:                       # trim as we go: bounded memory
@@ -38,13 +46,20 @@ def _keep_last(n: int):
         keep = sorted(range(len(nos)), key=nos.__getitem__)[-n:]
         nos, lines = [nos[i] for i in keep], [lines[i] for i in keep]
         state.update((nos, lines))
+        if idle is not None:
+            state.setTimeoutTimestamp(max(seen + idle, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"run_id": [int(key[0])], "line_nos": [nos], "lines": [lines]})
     return update
 
 
-def tail_stream(stream: DataFrame, n: int = K.TAIL_LINES) -> DataFrame:
+def tail_stream(stream: DataFrame, n: int = K.TAIL_LINES, watermark: str | None = None) -> DataFrame:
     """Streaming (run_id, line_nos, lines): the last ``n`` lines of every run
-    that received lines in the micro-batch."""
+    that received lines in the micro-batch. With ``watermark`` (on column
+    ``ts``) a run that has been idle for longer leaves the state."""
+    if watermark:
+        timed = stream.select("run_id", "line_no", "line", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", watermark)
+        return timed.groupBy("run_id").applyInPandasWithState(_keep_last(n, idle_ms(watermark)), OUT_SCHEMA, STATE_SCHEMA, "update",
+                                                              GroupStateTimeout.EventTimeTimeout)
     return (stream.select("run_id", "line_no", "line").groupBy("run_id")
                   .applyInPandasWithState(_keep_last(n), OUT_SCHEMA, STATE_SCHEMA, "update",
                                           GroupStateTimeout.NoTimeout))
@@ -61,13 +76,13 @@ def with_excerpt(tails: DataFrame) -> DataFrame:
     return tails.select("run_id", excerpt_from_lines(_zipped(), start=start).alias("excerpt"))
 
 
-def run_tail_stream_once(spark: SparkSession, log: DataFrame, files: int = 4, n: int = K.TAIL_LINES) -> DataFrame:
-    """Replay a run log through the stateful tail; return the final tail of
-    every run with its error excerpt."""
+def run_tail_stream_once(spark: SparkSession, log: DataFrame, files_per_batch: int = 1000, n: int = K.TAIL_LINES) -> DataFrame:
+    """Replay a run log, in the partitions it has, through the stateful tail;
+    return the final tail of every run with its error excerpt."""
     src = scratch_dir(spark, "tail-src")
-    log.select("run_id", "line_no", "line").repartition(files).write.parquet(src)
+    log.select("run_id", "line_no", "line").write.parquet(src)
     stream = spark.readStream.schema("run_id bigint, line_no bigint, line string") \
-        .option("maxFilesPerTrigger", 1).parquet(src)
+        .option("maxFilesPerTrigger", files_per_batch).parquet(src)
     sink = scratch_dir(spark, "tail-updates").rstrip("/")
 
     def write_batch(bdf: DataFrame, batch_id: int):
