@@ -6,9 +6,9 @@
 2. The sketch and the benchmark's own passages give the latent basis. As the
    benchmark's passages are among the rows, products with them survive the
    projection as long as the rank is not smaller than their number.
-3. A second pass searches: passages whose words could reach the least shared
-   TF-IDF weight are projected, and compared by cosine with all benchmark
-   passages in blocks.
+3. A second pass searches: passages with so much of an item's rare words that
+   the check below can succeed (an exact bound) are projected, and compared by
+   cosine with the item's passages.
 4. Each candidate is checked in its document: the longest common subsequence
    of words, weighted by squared idf, must cover ``share`` of the item, and
    ``answer_share`` of its answer (its last sentence) unless nearly all of the
@@ -39,6 +39,7 @@ RANK = 768
 WINDOW, STRIDE = 64, 32
 BLOCK_ITEMS = 300
 COSINE = 0.3
+RARE_IDF = 5.0            # words in fewer than one of 150 passages
 SHARE = 0.6
 ANSWER_SHARE = 0.5
 WHOLE = 0.85                  # above this the answer is not asked for
@@ -64,8 +65,8 @@ def _sums(docs: DataFrame, vocabulary: np.ndarray):
             for _, _, _, _, h, owner in batch_words(buf, off, NOT_WORD):
                 if not len(h):
                     continue
-                first = np.searchsorted(owner, owner)
-                nth = (np.arange(len(h)) - first) // STRIDE
+                first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+                nth = (np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))) // STRIDE
                 start = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (nth[1:] != nth[:-1]))))
                 spot = mix(ids[owner[start]] * np.uint64(0x9E3779B97F4A7C15) + nth[start].astype(np.uint64))
                 size = np.diff(np.append(start, len(h)))
@@ -133,63 +134,103 @@ def weighted_lcs(a: np.ndarray, b: np.ndarray, weight: np.ndarray):
 
 
 class _Index:
-    """The benchmark block: items' words and weights, latent passages."""
+    """The benchmark block: items' words and weights, latent passages.
 
-    def __init__(self, items, answers, vocabulary, cf, feature_idf, basis, passages_of, latent, params):
+    An item can only be matched by ``share`` of its weight T if its rare words
+    (weight R) are matched by R - (1 - share) T at least; a match a quarter
+    longer than the item is spread over ``runs`` runs of STRIDE words, each of
+    which lies in one window, so one window has that much divided by ``runs``.
+    Windows below that for every item need not be projected.
+    """
+
+    def __init__(self, items, answers, vocabulary, idf, feature_idf, basis, passages_of, latent, params):
         self.items, self.answers, self.vocabulary, self.feature_idf = items, answers, vocabulary, feature_idf
-        self.weight = cf                                     # squared idf per vocabulary word
         self.basis, self.passages_of, self.latent, self.params = basis, passages_of, latent, params
-        self.item_weight = [self.weight[np.searchsorted(vocabulary, w)] for w in items]
-        # STRIDE words in a row are always in one window; a match a quarter longer
-        # than its item is spread over so many runs of STRIDE words, one of which has its share
-        share = params[1]
-        self.least = min(share * w.sum() / max(1, -(-5 * len(w) // (4 * STRIDE))) for w in self.item_weight)
-
-    def project(self, features: np.ndarray, cut: np.ndarray) -> np.ndarray:
-        v = np.add.reduceat(self.basis[features] * self.feature_idf[features, None], cut, axis=0)
+        self.weight = idf ** 2                               # per vocabulary word
+        places = [np.searchsorted(vocabulary, w) for w in items]
+        self.item_weight = [self.weight[x] for x in places]
+        rare = idf >= RARE_IDF
+        total = np.array([w.sum() for w in self.item_weight])
+        most = np.array([w[rare[x]].sum() for w, x in zip(self.item_weight, places)])
+        runs = np.array([max(1, -(-5 * len(w) // (4 * STRIDE))) for w in items])
+        self.need = (most - (1 - params[1]) * total) / runs - 1e-6
+        # rare vocabulary word: items that have it
+        has = sorted({(int(v), i) for i, x in enumerate(places) for v in x if rare[v]})
+        self.has_item = np.array([i for _, i in has], np.int64)
+        self.has_start = np.searchsorted([v for v, _ in has], np.arange(len(vocabulary) + 1))
+        self.always = np.flatnonzero(self.need <= 0)         # items without enough rare words
+
+    def _project(self, windows) -> np.ndarray:
+        feats = [np.unique(_feature(x)) for x in windows]
+        cut = np.concatenate(([0], np.cumsum([len(x) for x in feats])[:-1]))
+        f = np.concatenate(feats)
+        v = np.add.reduceat(self.basis[f] * self.feature_idf[f, None], cut, axis=0)
         return v / np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-9)
 
-    def search(self, h: np.ndarray):
-        """Matches in one document's words: (item, cosine, share, answer share, first word, last word)."""
+    def _candidates(self, at, known, cut):
+        """(text, window, item) of a run of texts whose words start at ``cut``, sorted."""
+        n = np.diff(cut)
+        windows = np.maximum(1, -(-(n - STRIDE) // STRIDE))
+        base = np.concatenate(([0], np.cumsum(windows)))
+        hit = np.flatnonzero(known)
+        many = self.has_start[at[hit] + 1] - self.has_start[at[hit]]
+        hit, many = hit[many > 0], many[many > 0]
+        item = self.has_item[np.repeat(self.has_start[at[hit]] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())]
+        weight = np.repeat(self.weight[at[hit]], many)
+        text = np.repeat(np.searchsorted(cut, hit, "right") - 1, many)
+        last = (np.repeat(hit, many) - cut[text]) // STRIDE          # the windows that hold the word: this one and the one before
+        text, item, weight = (np.concatenate((x, x)) for x in (text, item, weight))
+        w = np.concatenate((last, last - 1))
+        ok = (w >= 0) & (w < windows[text])
+        name = (base[text] + w)[ok] * len(self.items) + item[ok]
+        name, back = np.unique(name, return_inverse=True)
+        enough = np.bincount(back, weight[ok], len(name)) >= self.need[name % len(self.items)] if len(name) else np.zeros(0, bool)
+        name = name[enough]
+        if len(self.always):
+            name = np.union1d(name, (np.arange(base[-1])[n[np.repeat(np.arange(len(n)), windows)] > 0][:, None] * len(self.items) + self.always).ravel())
+        spot, item = np.divmod(name, len(self.items))
+        text = np.searchsorted(base, spot, "right") - 1
+        return text, spot - base[text], item
+
+    def search(self, h: np.ndarray, cut: np.ndarray):
+        """Matches in a run of texts: (text, item, cosine, share, answer share, first word, last word)."""
         at = np.searchsorted(self.vocabulary, h)
         at[at == len(self.vocabulary)] = 0
         known = self.vocabulary[at] == h
-        w = np.where(known, self.weight[at], 0.0)
-        n = len(h)
-        start = np.arange(0, max(1, n - STRIDE), STRIDE)
-        end = np.minimum(start + WINDOW, n)
-        sums = np.concatenate(([0.0], np.cumsum(w)))
-        start, end = (x[sums[end] - sums[start] >= self.least - 1e-6] for x in (start, end))
-        if not len(start):
+        text, window, item = self._candidates(at, known, cut)
+        if not len(text):
             return []
-        feats = [np.unique(_feature(h[a:b])) for a, b in zip(start, end)]
-        cut = np.concatenate(([0], np.cumsum([len(x) for x in feats])[:-1]))
-        cosine = self.project(np.concatenate(feats), cut) @ self.latent.T
-        best: dict[int, tuple] = {}
         floor, share, answer_share, whole = self.params
-        done: dict[int, int] = {}
-        for k, p in zip(*np.nonzero(cosine >= floor)):
-            i = self.passages_of[p]
-            item, iw = self.items[i], self.item_weight[i]
-            lo, hi = max(0, start[k] - len(item)), min(n, end[k] + len(item))
-            if done.get(i, -1) >= hi:                        # an earlier region held this one
+        start = cut[text] + STRIDE * window
+        end = np.minimum(start + WINDOW, cut[text + 1])
+        spots, back = np.unique(start, return_inverse=True)
+        ends = np.zeros(len(spots), np.int64)
+        ends[back] = end
+        latent = self._project([h[a:b] for a, b in zip(spots, ends)])
+        best: dict[tuple[int, int], tuple] = {}
+        done: dict[tuple[int, int], int] = {}
+        for t, a, b, i, k in zip(text.tolist(), start.tolist(), end.tolist(), item.tolist(), back.tolist()):
+            own = self.passages_of == i
+            cosine = float((self.latent[own] @ latent[k]).max())
+            if cosine < floor:
                 continue
-            here = w[lo:hi][np.isin(h[lo:hi], item)].sum()
-            total = iw.sum()
-            if here < share * total - 1e-6:
+            words, iw = self.items[i], self.item_weight[i]
+            lo, hi = max(int(cut[t]), a - len(words)), min(int(cut[t + 1]), b + len(words))
+            if done.get((t, i), -1) >= hi:                   # an earlier region held this one
                 continue
-            done[i] = hi
-            got, x, y = weighted_lcs(item, h[lo:hi], iw)
+            done[t, i] = hi
+            total = iw.sum()
+            got, x, y = weighted_lcs(words, h[lo:hi], iw)
             if not x or got < share * total - 1e-6:
                 continue
             own = self.answers[i]
             answer = iw[[q for q in x if q >= own]].sum() / max(iw[own:].sum(), 1e-9)
             if answer < answer_share and got < whole * total:
                 continue
-            found = (got / total, float(cosine[k, p]), answer, int(lo + y[0]), int(lo + y[-1]))
-            if i not in best or found > best[i]:
-                best[i] = found
-        return [(i, c, s, a, x, y) for i, (s, c, a, x, y) in sorted(best.items())]
+            found = (got / total, cosine, answer, int(lo - cut[t] + y[0]), int(lo - cut[t] + y[-1]))
+            if found > best.get((t, i), ()):
+                best[t, i] = found
+        return [(t, i, c, s, a, x, y) for (t, i), (s, c, a, x, y) in sorted(best.items())]
 
 
 def _answer_start(text: str, count: int, words_in) -> int:
@@ -227,7 +268,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "d
             continue
         cf, own, sketch, passages = sums
         idf = np.log1p(max(passages, 1) / np.maximum(cf, 1)).astype(np.float32)
-        weight = np.log1p(max(passages, 1) / np.maximum(own, 1)) ** 2
+        own_idf = np.log1p(max(passages, 1) / np.maximum(own, 1))
         passages_of, tfidf = [], []
         for i, (_, _, w) in enumerate(rows):
             for at in range(0, max(1, len(w) - STRIDE), STRIDE):
@@ -241,7 +282,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "d
         latent = tfidf.astype(np.float32) @ basis
         latent /= np.maximum(np.sqrt((latent * latent).sum(1, keepdims=True)), 1e-9)
         answers = [_answer_start(t, len(w), lambda x: len(words(x))) for _, t, w in rows]
-        index = spark.sparkContext.broadcast(_Index([w for _, _, w in rows], answers, vocabulary, weight, idf, basis,
+        index = spark.sparkContext.broadcast(_Index([w for _, _, w in rows], answers, vocabulary, own_idf, idf, basis,
                                                     np.array(passages_of), latent, (cosine, share, answer_share, whole)))
         names = np.array([r[0] for r in rows], np.int64)
 
@@ -252,9 +293,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "d
                 got = []
                 for i, j, _, _, h, owner in batch_words(buf, off, NOT_WORD):
                     cut = np.searchsorted(owner, np.arange(i, j + 1))
-                    for k in range(j - i):
-                        if cut[k + 1] > cut[k]:
-                            got += [(int(ids[i + k]), int(names[m[0]]), *m[1:]) for m in index.value.search(h[cut[k]:cut[k + 1]])]
+                    got += [(int(ids[i + m[0]]), int(names[m[1]]), *m[2:]) for m in index.value.search(h, cut)]
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int32(), pa.int32()]
                 cols = list(zip(*got)) or [[]] * 7
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)],
