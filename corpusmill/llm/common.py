@@ -56,6 +56,15 @@ def _delete(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lower the session's Arrow batches to ``rows`` rows where they are larger:
+    whole texts make the default of 10,000 rows tens of megabytes, which the
+    JVM and the Python worker of each task both hold."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -109,7 +118,7 @@ def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     return buf[off[0]:off[-1]] if len(off) else buf[:0], off - off[0] if len(off) else np.zeros(1, np.int64)
 
 
-def pieces(batches, text: str = "text", most: int = 8 << 20, rows: int = 30_000):
+def pieces(batches, text: str = "text", most: int = 4 << 20, rows: int = 30_000):
     """The batches in pieces of at most ``most`` bytes of text (one row at
     least) and ``rows`` rows, which bounds the arrays made from them."""
     for b in batches:

@@ -30,13 +30,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import BLOCK, BYTE_CODE, mix, numbers, pick, pieces, quoted, powers, text_buffer
+from corpusmill.llm.common import BYTE_CODE, mix, numbers, pick, pieces, powers, quoted, small_batches, text_buffer
 
 LENGTH = 50
-RANGE_ENTRIES = 3_000_000     # anchors that one task of the filter aims at
+RANGE_ENTRIES = 1_500_000     # anchors that one task of the filter aims at
+BLOCK = 1 << 18               # bytes hashed together: keeps the arrays of a task small
 COVER, PERIOD = (0, 1, 3, 9), 13      # a difference cover modulo 13
 EDGE = 18                     # bytes of a window that are compared directly
 _POS = (1 << 21) - 1
@@ -80,6 +82,7 @@ def anchor_runs(buf: np.ndarray, off: np.ndarray, length: int):
     context); offsets within the text. The context is the run's bytes."""
     k = kmer_of(length)
     w = length - k + 1
+    zeros = (BYTE_CODE[np.zeros(k, np.uint8)] * powers(k)[0][:k]).sum()
     n, at = len(buf), 0
     while at + length <= n:
         b = buf[at:min(n, at + BLOCK + length - 1)]
@@ -100,7 +103,9 @@ def anchor_runs(buf: np.ndarray, off: np.ndarray, length: int):
             sums = np.zeros(len(b) + 1, np.uint64)
             np.cumsum(BYTE_CODE[b] * up[:len(b)], out=sums[1:])
             to = first + count + length - 1
-            ctx = mix((sums[to] - sums[first]) * down[first] + ((to - first) * 4096 + anchor - first).astype(np.uint64))
+            # of the context with zeros in the place of the anchor, whose hash is the bucket
+            rest = (sums[anchor] - sums[first] + sums[to] - sums[anchor + k]) * down[first] + zeros * up[anchor - first]
+            ctx = mix(rest + ((to - first) * 4096 + anchor - first).astype(np.uint64))
             doc = np.searchsorted(off, first + at, "right") - 1
             base = off[doc] - at
             yield doc, anchor - base, first - base, count, h[anchor], ctx
@@ -151,6 +156,8 @@ def _filter_rows(length: int, bits: int, stored: int):
             hs, ks = h[keep], key[keep]
             names, idx = np.unique(ks, return_inverse=True)
             part = (hs >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hs), np.int64)
+            order = np.lexsort((ask, idx, part))              # by range, then text: the numbers of a text compress well
+            hs, idx, ask, part = hs[order], idx[order], ask[order], part[order]
             cuts = np.searchsorted(part, np.arange((1 << bits) + 1))
             hs = (hs << np.uint64(bits)) >> np.uint64(64 - 8 * stored)
             rows = []
@@ -205,12 +212,15 @@ def _shared_anchors(table: pa.Table, stored: int) -> pa.Table:
 
 # ---------------------------------------------------------------- contexts and occurrences
 def _runs_of(length: int, contexts: bool):
-    """Batches of (doc_id, nth, text, pos) -> occurrences (h, ctx, doc_id, nth,
-    first, n), or the batch's distinct contexts (h, ctx, doc_id, lead, n, bytes)."""
+    """Batches of (doc_id, nth, packed text, pos) -> occurrences (h, ctx, doc_id, nth,
+    first, n), or the batch's distinct contexts (h, doc_id, lead, n, bytes); the bytes of
+    the anchor itself, which the bucket implies, are left out."""
+
+    k = kmer_of(length)
 
     def work(batches):
-        for b in pieces(batches):
-            buf, off = text_buffer(b["text"])
+        for b in pieces(batches, "packed", PACKED):
+            buf, off = _unpacked(b["packed"])
             ids = numbers(b["doc_id"])
             asked = [np.frombuffer(b"".join(x.as_py()), np.int32).astype(np.int64) + (i << 32) for i, x in enumerate(b["pos"])]
             asked = np.unique(np.concatenate(asked)) if asked else np.zeros(0, np.int64)
@@ -233,14 +243,17 @@ def _runs_of(length: int, contexts: bool):
             order = np.lexsort((ids[doc], ctx, h))
             order = order[np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (ctx[order][1:] != ctx[order][:-1])))] \
                 if len(order) else order
-            start = off[doc[order]] + first[order]
-            size = n[order] + length - 1
-            cut = np.concatenate(([0], np.cumsum(size)))
-            data = buf[np.repeat(start - cut[:-1], size) + np.arange(cut[-1])]
-            own = pa.Array.from_buffers(pa.binary(), len(order), [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(data.tobytes())])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h[order]), pa.array(ctx[order]), pa.array(ids[doc[order]]), pa.array((anchor - first)[order].astype(np.int32)),
-                 pa.array(n[order].astype(np.int32)), own], ["h", "ctx", "doc_id", "lead", "n", "bytes"])
+            for at in range(0, len(order), CHUNK):         # the bytes of a few contexts at a time
+                o = order[at:at + CHUNK]
+                size = n[o] + length - 1 - k
+                cut = np.concatenate(([0], np.cumsum(size)))
+                place = np.arange(cut[-1]) - np.repeat(cut[:-1], size)
+                place += k * (place >= np.repeat((anchor - first)[o], size))
+                data = buf[np.repeat(off[doc[o]] + first[o], size) + place]
+                own = pa.Array.from_buffers(pa.binary(), len(o), [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(data.tobytes())])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h[o]), pa.array(ids[doc[o]]), pa.array((anchor - first)[o].astype(np.int32)),
+                     pa.array(n[o].astype(np.int32)), own], ["h", "doc_id", "lead", "n", "bytes"])
 
     return work
 
@@ -292,18 +305,39 @@ def window_classes(buf, start, lead, n, bucket, length: int):
     return out, who
 
 
-CHUNK = 20_000                # contexts sorted together
+def _objects(values: list) -> np.ndarray:
+    out = np.empty(len(values), object)
+    out[:] = values
+    return out
+
+
+def _context_hash(data: list[bytes], lead, n, h) -> np.ndarray:
+    """The hash that anchor_runs() gives the same context (anchor zeroed there too)."""
+    cut = np.concatenate(([0], np.cumsum([len(x) for x in data])))
+    b = np.frombuffer(b"".join(data), np.uint8)
+    up, down = powers(len(b) + 1)
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(BYTE_CODE[b] * up[:len(b)], out=sums[1:])
+    size = np.diff(cut).astype(np.uint64)
+    return mix((sums[cut[1:]] - sums[cut[:-1]]) * down[cut[:-1]] + size * np.uint64(4096) + lead.astype(np.uint64)).view(np.int64)
+
+
+CHUNK = 5_000                 # contexts sorted together
 
 
 def _first_docs(length: int):
-    """Rows sorted by (h, ctx, doc_id), distinct contexts of buckets -> per
-    (h, ctx) the smallest doc_id of each of its windows (one number if all are
-    the same). Streams; holds one bucket's distinct contexts."""
+    """Rows sorted by (h, lead, bytes, doc_id), distinct contexts of buckets ->
+    per (h, ctx) the smallest doc_id of each of its windows (one number if all
+    are the same). Streams; holds one bucket's distinct contexts."""
+    gone = kmer_of(length)
 
-    def solve(h, ctx, doc, lead, n, data):
+    def solve(h, doc, lead, n, data):
         cut = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1], [True])))
         many = np.repeat(np.diff(cut) > 1, np.diff(cut))
         firsts = [None] * len(h)
+        # the anchor's bytes as zeros: they are the same in a bucket
+        data = [x[:a] + bytes(gone) + x[a:] for x, a in zip(data, lead.tolist())]
+        ctx = _context_hash(data, lead, n, h)
         multi = np.flatnonzero(many)
         if len(multi):
             buf = np.frombuffer(b"".join([data[i] for i in multi]), np.uint8)
@@ -324,13 +358,13 @@ def _first_docs(length: int):
     def work(batches):
         held = None
         for b in batches:
-            cols = [numbers(b[c]) for c in ("h", "ctx", "doc_id", "lead", "n")] + [np.array(b["bytes"].to_pylist(), object)]
+            cols = [numbers(b[c]) for c in ("h", "doc_id", "lead", "n")] + [_objects(b["bytes"].to_pylist())]
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols)]
-            h, ctx = cols[:2]
+            h, _, lead, _, data = cols
             if not len(h):
                 continue
-            keep = np.concatenate(([True], (h[1:] != h[:-1]) | (ctx[1:] != ctx[:-1])))
+            keep = np.concatenate(([True], (h[1:] != h[:-1]) | (lead[1:] != lead[:-1]) | (data[1:] != data[:-1])))
             cols = [c[keep] for c in cols]
             h = cols[0]
             last = int(np.searchsorted(h, h[-1]))             # the last bucket may go on
@@ -375,6 +409,22 @@ def merge_spans(s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s[new], e[np.append(np.flatnonzero(new)[1:] - 1, len(e) - 1)]
 
 
+PACKED = 1 << 20              # bytes of packed texts taken together
+
+
+def _packed(batches):
+    """Texts as zstd frames: half the bytes to shuffle."""
+    press = zstandard.ZstdCompressor(level=1)
+    for b in pieces(batches):
+        z = [press.compress(x) for x in b["text"].cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b["doc_id"], b["key"], b["key2"], pa.array(z, pa.binary())], ["doc_id", "key", "key2", "packed"])
+
+
+def _unpacked(column):
+    unpress = zstandard.ZstdDecompressor()
+    return text_buffer(pa.array([unpress.decompress(x) for x in column.to_pylist()], pa.binary()))
+
+
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     src = pick(docs, doc_id=(doc_id, "long"), text=(text, "string")).withColumn("text", F.coalesce("text", F.lit("")))
     return src.select("doc_id", F.xxhash64("text").alias("key"), F.xxhash64(F.lit(7), "text").alias("key2"),
@@ -390,6 +440,7 @@ def cut_texts(texts: DataFrame, length: int = LENGTH, range_entries: int = RANGE
     only the one with the smallest doc_id is looked at."""
     if length < 32:
         raise ValueError("length must be 32 bytes at least")
+    small_batches(texts.sparkSession)
     distinct = texts.where(F.col("n_bytes") >= length).groupBy(*SAME).agg(F.min("doc_id").alias("doc_id"))
     # several texts under one doc_id are told apart by nth
     distinct = distinct.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("key", "key2")).cast("int"))
@@ -397,17 +448,16 @@ def cut_texts(texts: DataFrame, length: int = LENGTH, range_entries: int = RANGE
     w = length - kmer_of(length) + 1
     entries = int(total * 2 / (w + 1))
     bits = (entries // range_entries).bit_length()
-    stored = min(8, max(4, -(-(entries.bit_length() + 12 - bits) // 8)))
+    stored = min(8, max(4, -(-(entries.bit_length() + 10 - bits) // 8)))
     long = texts.where(F.col("n_bytes") >= length)
     shared = (long.select("key", "text").mapInArrow(_filter_rows(length, bits, stored), "r long, h binary, d binary, p binary, k binary")
               .groupBy("r").applyInArrow(lambda t: _shared_anchors(t, stored), "key long, pos binary")
               .groupBy("key").agg(F.collect_list("pos").alias("pos")))
     same = ["doc_id", "key", "key2"]
-    bodies = long.select(*same, "text")
-    rows = bodies.join(distinct.join(shared, "key").select(*same, "nth", "pos"), same).dropDuplicates(same) \
-        .select("doc_id", "nth", "text", "pos")
-    contexts = (rows.mapInArrow(_runs_of(length, True), "h long, ctx long, doc_id long, lead int, n int, bytes binary")
-                .repartition("h").sortWithinPartitions("h", "ctx", "doc_id")
+    bodies = long.select(*same, "text").mapInArrow(_packed, "doc_id long, key long, key2 long, packed binary")
+    rows = bodies.join(distinct.join(shared, "key").select(*same, "nth", "pos"), same).select("doc_id", "nth", "packed", "pos")
+    contexts = (rows.mapInArrow(_runs_of(length, True), "h long, doc_id long, lead int, n int, bytes binary")
+                .repartition("h").sortWithinPartitions("h", "lead", "bytes", "doc_id")
                 .mapInArrow(_first_docs(length), "h long, ctx long, low long, firsts binary"))
     found = rows.mapInArrow(_runs_of(length, False), "h long, ctx long, doc_id long, nth int, first int, n int")
     spans = (found.join(contexts, ["h", "ctx"]).select("doc_id", "nth", "first", "n", "low", "firsts")
@@ -415,8 +465,8 @@ def cut_texts(texts: DataFrame, length: int = LENGTH, range_entries: int = RANGE
              .groupBy("doc_id", "nth").agg(F.collect_list(F.struct("s", "e")).alias("spans")))
 
     def cut(batches):
-        for b in pieces(batches):
-            buf, off = text_buffer(b["text"])
+        for b in pieces(batches, "packed", PACKED):
+            buf, off = _unpacked(b["packed"])
             rows = []
             for i, x in enumerate(b["spans"]):
                 own = buf[off[i]:off[i + 1]]
@@ -433,7 +483,7 @@ def cut_texts(texts: DataFrame, length: int = LENGTH, range_entries: int = RANGE
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["key"], b["key2"], *cols], [*same, "removed", "spans", "sha", "kept"])
 
     gone = distinct.join(spans, ["doc_id", "nth"]).select(*same, "spans")
-    return bodies.join(gone, same).select(*same, "text", "spans") \
+    return bodies.join(gone, same).select(*same, "packed", "spans") \
         .mapInArrow(cut, "doc_id long, key long, key2 long, removed long, spans long, sha string, kept string").dropDuplicates(same)
 
 
