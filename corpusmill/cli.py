@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 
 # registered sources that read the tables of --data-dir
-TABLE_SOURCES = ("documents", "crawl", "selected", "described")
+TABLE_SOURCES = ("documents", "titled", "crawl", "selected", "described")
 
 
 def _session(args):
@@ -55,12 +55,16 @@ def _refuse_seed(name):
 def cmd_build(args):
     from corpusmill.plans.corpus_builder import build_corpus_from_sources, write_corpus
     from corpusmill.sources import builtin  # noqa: F401
+    from corpusmill.session import path_exists
     from corpusmill.sources.jsonl import first_lines
     spark = _session(args)
     chosen = [] if args.no_scrape else args.sources
     params = {name: {"data_dir": args.data_dir} for name in TABLE_SOURCES}
     if args.abstracts:
         params["abstracts"] = {"path": args.abstracts}
+    if args.reuse and path_exists(spark, f"{args.output.rstrip('/')}/_SUCCESS"):
+        print(json.dumps({"output": args.output, "reused": True}))
+        return
     corpus = build_corpus_from_sources(spark, chosen, params, _seed(spark, args),
                                        casefold=not args.exact_key, floor=args.floor, prefix_len=args.prefix_key)
     stats = write_corpus(corpus, args.output, ordered=args.ordered)
@@ -93,14 +97,17 @@ def cmd_expanded(args):
     from corpusmill.sources.sinks import sink_nested
     spark = _session(args)
     params = {name: {"data_dir": args.data_dir} for name in TABLE_SOURCES}
+    for name, more in json.loads(args.source_params or "{}").items():
+        params.setdefault(name, {}).update(more)
     items = build_sources(spark, args.sources, params)
     if args.license_map:
         # (source, license_type, attribution, ...): a user file, so no broadcast
         # hint - AQE broadcasts it only when its measured size is small
         lic = spark.read.json(args.license_map)
         items = items.join(lic, "source", "left")
-    if "license_type" not in items.columns:
-        items = items.withColumn("license_type", F.lit(None).cast("string"))
+    if "license_type" not in items.columns:                # the sources' own licence, if they state one
+        own = F.col("license") if "license" in items.columns else F.lit(None).cast("string")
+        items = items.withColumn("license_type", own)
     kept = policy.license_filter(items, policy.policy_table(spark), commercial=args.commercial,
                                  check=not args.no_license_check)
     markers = json.loads(args.markers) if args.markers else None
@@ -147,6 +154,7 @@ def main(argv=None):
     b.add_argument("--sources", nargs="+", default=["documents", "crawl"])
     b.add_argument("--abstracts", default=None, help="abstracts JSONL path (source 'abstracts')")
     b.add_argument("--seed-table", default="benchmark", help="table of seed pairs ('' for none)")
+    b.add_argument("--reuse", action="store_true", help="keep a complete corpus that is already at --output")
     b.add_argument("--small-seed", action="store_true", help="number the rows of a seed table without a key")
     b.add_argument("--prefix-key", type=int, default=None, help="dedupe on this many leading characters of the key")
     b.add_argument("--no-scrape", action="store_true", help="seed corpus only")
@@ -167,6 +175,8 @@ def main(argv=None):
     e.add_argument("--data-dir", required=True)
     e.add_argument("--output", required=True)
     e.add_argument("--sources", nargs="+", default=["documents", "crawl"])
+    e.add_argument("--source-params", default=None,
+                   help='parameters by source as JSON, e.g. {"crawl": {"cap": 80}, "documents": {"license": "cc_by"}}')
     e.add_argument("--license-map", default=None, help="JSON table: source -> license_type, ...")
     e.add_argument("--commercial", action="store_true")
     e.add_argument("--no-license-check", action="store_true")

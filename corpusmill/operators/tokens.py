@@ -102,10 +102,8 @@ def run_offsets(runs: DataFrame, group: str, order: str, length: str, chunk: int
     wc = Window.partitionBy(group, "_chunk").orderBy(order)
     local = r.select("*",
                      F.sum(n).over(wc.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_run"),
-                     F.sum(n).over(wc.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_tot"),
-                     F.max(order).over(wc.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-                      .alias("_last"))
-    totals = local.where(F.col(order) == F.col("_last")).select(group, "_chunk", "_tot")
+                     F.sum(n).over(wc.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_tot"))
+    totals = local.groupBy(group, "_chunk").agg(F.max("_tot").alias("_tot"))      # on the window's partitioning
     wb = Window.partitionBy(group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select(F.col(group).alias("_b_group"), F.col("_chunk").alias("_b_chunk"),
                          F.coalesce(F.sum("_tot").over(wb), F.lit(0)).alias("_base"))
@@ -113,7 +111,7 @@ def run_offsets(runs: DataFrame, group: str, order: str, length: str, chunk: int
     j = local.join(base, cond, "left")
     return (j.withColumn("_end", F.col("_base") + F.col("_run"))
              .withColumn("_start", F.col("_end") - n)
-             .drop("_chunk", "_run", "_tot", "_last", "_b_group", "_b_chunk", "_base"))
+             .drop("_chunk", "_run", "_tot", "_b_group", "_b_chunk", "_base"))
 
 
 def pack(df: DataFrame, id_col: str, col: str = "tokens", block: int = 2048, eos: str = "</s>",
@@ -128,7 +126,7 @@ def pack(df: DataFrame, id_col: str, col: str = "tokens", block: int = 2048, eos
     block sequence, then ``inline``), and every
     block is assembled by a group of at most ``block`` tokens.
     """
-    runs = df.select(hash_bucket(F.col(id_col).cast("string"), shards).alias("shard"),
+    runs = df.select(F.coalesce(hash_bucket(F.col(id_col).cast("string"), shards), F.lit(0)).alias("shard"),
                      F.col(id_col).alias("run_id"),
                      F.concat(F.col(col), F.array(F.lit(eos))).alias("_t"))
     runs = run_offsets(runs.withColumn("_n", F.size("_t")), "shard", "run_id", "_n", chunk, buckets)

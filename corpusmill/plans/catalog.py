@@ -625,6 +625,20 @@ def q_build_from_sources(spark, d):
     return c.select(*S.FLAT_FIELDS)
 
 
+def q_expanded_from_sources(spark, d):
+    """Registered sources with their provenance, licence-checked, commercial off and on."""
+    params = {"titled": {"data_dir": d, "subset": "SRC1", "license": "cc_by", "attribution": "Titled collection"},
+              "documents": {"data_dir": d, "license": "research_only", "modality": "text"},
+              "crawl": {"data_dir": d, "style": "brackets", "min_len": 60, "cap": 80, "license": "public_domain"}}
+    items = REG.build_sources(spark, ["titled", "documents", "crawl"], params).withColumnRenamed("license", "license_type")
+    out = []
+    for commercial in (False, True):
+        kept = policy.license_filter(items, policy.policy_table(spark), commercial=commercial)
+        out.append(CB.format_expanded(kept).select("source_rank", "text_id", "license_type", "attribution", "modality",
+                                                   F.md5("text").alias("text_md5"), F.lit(commercial).alias("commercial")))
+    return out[0].unionByName(out[1])
+
+
 def q_selected_passages(spark, d):
     from corpusmill.sources.builtin import selected
     return selected(spark, d, selectors="p", char_class=K.LATIN_CLASS, min_len=21, cap=500, language="english")
@@ -723,6 +737,7 @@ QUERIES = {
     "crawl_paragraphs": q_crawl_paragraphs,
     "registry_sources": q_registry_sources,
     "build_from_sources": q_build_from_sources,
+    "expanded_from_sources": q_expanded_from_sources,
     "selected_passages": q_selected_passages,
     "preview_file": q_preview_file,
     "run_report": q_run_report,

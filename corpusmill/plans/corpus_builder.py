@@ -76,9 +76,9 @@ def build_corpus_from_sources(spark, chosen: list[str], params: dict, seed: Data
     """Dataset builder over registered sources: every chosen source becomes
     pairs in its own style, in the chosen order; seeds are appended (always,
     or only below ``floor_n``); first-wins dedupe; flat record with ``ord``.
-    ``chosen=[]`` with a seed is the offline, seeds-only build."""
+    ``chosen=[]``, or only unknown names, with a seed is the seeds-only build."""
     from corpusmill.sources import registry
-    if chosen:
+    if registry.chosen_builders(chosen) or seed is None:
         allp = registry.build_sources(spark, chosen, params, to_pairs=to_pairs)
         if seed is not None:
             allp = combine.with_floor(allp, seed, mode=floor, n=floor_n)

@@ -514,6 +514,20 @@ SELECT page_id, pos, paragraph FROM (
                              f"md5(paragraph) AS content_md5 FROM ({crawl}) UNION ALL "
                              f"SELECT 1 AS source_rank, source, CAST(doc_id AS VARCHAR) AS text_id, "
                              f"{ordx('1', 'doc_id')} AS ord, md5(coalesce(text, '')) AS content_md5 FROM documents")
+    brackets = crawl.replace("'(?m)\\[.*?\\]|\\(.*?\\)|^" + WS + "*[\\[\\(].*?[\\]\\)].*$'", "'\\[.*?\\]|\\(c\\).*'") \
+        .replace("length(paragraph) > 30", "length(paragraph) > 60") + "WHERE rn <= 80"
+    said = lambda c, i: (f"md5('User: ' || {pick(i, K.PROMPTS_5)} || {NL} || {c} || {NL} || {NL} || 'Assistant: ' || "
+                         f"{lit(K.MESSAGE_LEAD)} || substring({c}, 1, 200) || '...')")
+    did, pid = "CAST(doc_id AS VARCHAR)", "(CAST(page_id AS VARCHAR) || '-' || CAST(pos AS VARCHAR))"
+    parts = f"""
+SELECT 0 AS source_rank, {did} AS text_id, 'cc_by' AS license_type, 'Titled collection' AS attribution, CAST(NULL AS VARCHAR) AS modality,
+       {said("coalesce(text, '')", did)} AS text_md5 FROM documents WHERE contains(lower(source || ' #' || {did}), 'src1')
+UNION ALL SELECT 1, {did}, 'research_only', NULL, 'text', {said("coalesce(text, '')", did)} FROM documents
+UNION ALL SELECT 2, {pid}, 'public_domain', NULL, NULL, {said('paragraph', pid)} FROM ({brackets})"""
+    q["expanded_from_sources"] = (f"WITH i AS ({parts}) SELECT i.*, false AS commercial FROM i LEFT JOIN {POLICY} ON i.license_type = pol.lt "
+                                  f"WHERE coalesce(scraping_allowed, true) UNION ALL "
+                                  f"SELECT i.*, true AS commercial FROM i LEFT JOIN {POLICY} ON i.license_type = pol.lt "
+                                  f"WHERE coalesce(scraping_allowed, true) AND coalesce(commercial_use, true)")
     lead_after = ", read as one of the work's recurring themes."
     q["build_from_sources"] = f"""
 WITH c AS ({crawl}),

@@ -2,6 +2,8 @@
 
 * ``documents`` - passage table ``documents`` (doc_id, text, lang, source);
   pairs in echo style.
+* ``titled`` - the same passages with a title, optionally those whose title
+  contains ``subset``; pairs in commentary style.
 * ``selected`` - stored pages -> passages of the elements matching CSS-like
   selectors -> script whitelist and minimum length (-> the first ``cap``
   accepted passages in collection order, when given); pairs in echo style.
@@ -16,11 +18,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.constants import CJK_CLASS, PASSAGE_SELECTORS
 from corpusmill.operators.combine import cap_total
-from corpusmill.operators.filters import script_filter
+from corpusmill.operators.filters import script_filter, subset_contains
 from corpusmill.sources.crawl import crawl_passages
 from corpusmill.sources.html import extract, html_passages
 from corpusmill.sources.jsonl import scan_abstracts
@@ -28,17 +31,38 @@ from corpusmill.sources.registry import register
 from corpusmill.sources.tables import make_ord, read_table, scan_passages
 
 
+def provenance(df: DataFrame, license: str | None = None, attribution: str | None = None,
+               modality: str | None = None) -> DataFrame:
+    """Licence, attribution and modality of a source as columns of its passages (those that are given)."""
+    for name, value in (("license", license), ("attribution", attribution), ("modality", modality)):
+        if value is not None:
+            df = df.withColumn(name, F.lit(value))
+    return df
+
+
 @register("documents", pair_style="echo")
-def documents(spark, data_dir: str):
+def documents(spark, data_dir: str, **origin):
+    docs = read_table(spark, data_dir, "documents", ["doc_id", "text", "lang", "source"])
+    p = scan_passages(docs).select("source", "text_id", "language", "content",
+                                   F.col("text_id").cast("bigint").alias("doc_ord"), F.lit(0).alias("pos"))
+    return provenance(p, **origin)
+
+
+@register("titled", pair_style="commentary")
+def titled(spark, data_dir: str, subset: str | None = None, **origin):
     docs = read_table(spark, data_dir, "documents", ["doc_id", "text", "lang", "source"])
-    return scan_passages(docs).select("source", "text_id", "language", "content",
-                                      F.col("text_id").cast("bigint").alias("doc_ord"), F.lit(0).alias("pos"))
+    p = subset_contains(scan_passages(docs), "title", subset)
+    return provenance(p.select("source", "text_id", "language", "content", "title",
+                               F.col("text_id").cast("bigint").alias("doc_ord"), F.lit(0).alias("pos")), **origin)
 
 
 @register("crawl", pair_style="quoted")
-def crawl(spark, data_dir: str, separator: str = "\n", para_sep: str = "\n", min_len: int = 30, cap: int | None = None):
+def crawl(spark, data_dir: str, separator: str = "\n", para_sep: str = "\n", min_len: int = 30, cap: int | None = None,
+          style: str = "parens", **origin):
+    """``style='brackets', min_len=60, cap=80`` is the translation variant."""
     pages = read_table(spark, data_dir, "pages", ["page_id", "html"])
-    return crawl_passages(pages, source="crawl", separator=separator, para_sep=para_sep, min_len=min_len, cap=cap)
+    return provenance(crawl_passages(pages, source="crawl", separator=separator, para_sep=para_sep, min_len=min_len, cap=cap,
+                                     style=style), **origin)
 
 
 @register("abstracts", pair_style="commentary")

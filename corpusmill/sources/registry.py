@@ -56,15 +56,14 @@ def check_passages(df: DataFrame, name: str) -> DataFrame:
 
 
 def chosen_builders(chosen: list[str]) -> list[str]:
-    """Known names in the given order, each once; unknown names are logged and skipped."""
+    """Known names in the given order, each once; unknown names are logged
+    and skipped (an empty list when none is known)."""
     keep = []
     for name in dict.fromkeys(chosen):
         if name in _REGISTRY:
             keep.append(name)
         else:
             log.warning("unknown source %r - skipped", name)
-    if not keep:
-        raise ValueError(f"none of the sources {chosen} is registered")
     return keep
 
 
@@ -77,7 +76,10 @@ def build_sources(spark: SparkSession, chosen: list[str], params: dict | None =
     """
     params = params or {}
     frames = []
-    for rank, name in enumerate(chosen_builders(chosen)):
+    names = chosen_builders(chosen)
+    if not names:
+        raise ValueError(f"none of the sources {chosen} is registered")
+    for rank, name in enumerate(names):
         df = check_passages(_REGISTRY[name](spark, **params.get(name, {})), name)
         df = df.withColumn("source_rank", F.lit(rank))
         frames.append(to_pairs(df, pair_style(name)) if to_pairs else df)

@@ -31,7 +31,7 @@ def test_first_wins_and_partition_invariance(spark):
         for parts in (1, 3, 7):
             d = df.repartition(parts)
             for strategy in ("window", "semi"):
-                got = sorted(r.ord for r in dedupe.dedupe_first(d, dedupe_key("instruction", casefold),
+                got = sorted(r.ord for r in dedupe.dedupe_first(d, dedupe_key("instruction", casefold, prefix_len=80),
                                                                 strategy=strategy).collect())
                 assert got == exp
 
@@ -46,7 +46,7 @@ def test_dedupe_idempotent(spark):
 def test_report_counts(spark):
     df = spark.createDataFrame([(o, i, "s%d" % (o % 2), i or "") for o, i in DUP],
                                "ord long, instruction string, source string, text string")
-    rows = {r.source: r for r in report.collection_report(df, dedupe_key("instruction")).collect()}
+    rows = {r.source: r for r in report.collection_report(df, dedupe_key("instruction", prefix_len=80)).collect()}
     assert sum(r.n_collected for r in rows.values()) == len(DUP)
     assert sum(r.n_kept for r in rows.values()) == len(_py_first_wins(DUP))
 
@@ -109,7 +109,13 @@ def test_two_level_caps_equal_plain(spark):
         exp = sorted((k, o) for k in range(3) for o in sorted(o for o in range(5000)
                                                              if ((o * pow(7919, -1, 5000)) % 5000) % 3 == k)[:4])
         assert got == exp
-    assert combine.estimated_partitions(df) is not None
+
+
+def test_whole_keys_keep_texts_that_differ_late(spark):
+    rows = [(1, "same start " * 20 + "one"), (2, "same start " * 20 + "two"), (3, "SAME start " * 20 + " one")]
+    df = spark.createDataFrame(rows, "ord long, instruction string")
+    kept = lambda **k: sorted(r.ord for r in dedupe.dedupe_first(df, dedupe_key("instruction", **k), hash_key=True).collect())
+    assert kept() == [1, 2] and kept(prefix_len=80) == [1]
 
 
 def test_conversation_chunks_join_to_the_text(spark):
@@ -138,6 +144,6 @@ def test_generation_prompt_styles(spark):
 
 def test_mark_first_flags_the_winners(spark):
     df = spark.createDataFrame(DUP, "ord long, instruction string")
-    flagged = {r.ord: r.kept for r in dedupe.mark_first(df, dedupe_key("instruction")).collect()}
+    flagged = {r.ord: r.kept for r in dedupe.mark_first(df, dedupe_key("instruction", prefix_len=80)).collect()}
     winners = set(_py_first_wins(DUP))
     assert flagged == {o: (o in winners) for o, _ in DUP}

@@ -71,3 +71,21 @@ def test_read_or_cache(spark):
     assert ok.count() == 2
     with pytest.raises(Exception):
         J.read_or_cache(spark, lambda: spark.read.parquet(missing), missing)
+
+
+def test_an_interrupted_corpus_is_rebuilt(spark):
+    from corpusmill.session import local_path, scratch_dir
+    path = scratch_dir(spark, "half")
+    spark.createDataFrame([("part",)], "text string").write.json(path)
+    os.remove(os.path.join(local_path(path), "_SUCCESS"))
+    whole = lambda: spark.createDataFrame([("a",), ("b",)], "text string")
+    assert J.reuse_or_build(spark, path, whole, schema="text string").count() == 2
+    assert J.reuse_or_build(spark, path, lambda: 1 / 0, schema="text string").count() == 2
+
+
+def test_rejected_lines_are_written(spark):
+    from corpusmill.session import scratch_dir
+    path = scratch_dir(spark, "rej")
+    spark.createDataFrame([('{"text": "x"}',), ("{broken",), (" ",)], "value string").write.text(f"{path}/in")
+    assert J.write_rejects(spark, f"{path}/in", f"{path}/out") == 1
+    assert [r.value for r in spark.read.text(f"{path}/out").collect()] == ["{broken"]

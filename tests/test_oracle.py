@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as E
 
-TABLES = ["region", "nation", "part", "events", "documents", "pages", "benchmark", "labels", "conversations"]
+TABLES = ["region", "nation", "part", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
 def _norm(v):

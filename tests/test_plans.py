@@ -99,13 +99,13 @@ def test_report_has_one_scan_and_no_join(spark, sf_small):
 
 
 def test_html_parse_runs_once_per_page(spark, sf_small):
-    for q in (C.q_html_main_text, C.q_crawl_paragraphs, C.q_html_passages, C.q_html_description):
+    for q in (C.q_html_main_text, C.q_crawl_paragraphs, C.q_html_passages, C.q_html_errors_split):
         p = plan(q(spark, sf_small))
-        assert p.count("ArrowEvalPython") == 1, q.__name__
+        assert p.count("ArrowEvalPython") + p.count("MapInArrow") == 1, q.__name__
 
 
 def test_filter_is_pushed_into_every_union_branch(spark, sf_small):
-    df = C.q_union_sources(spark, sf_small).where(F.length("lang") == 2)
+    df = C.q_union_sources(spark, sf_small).where(F.col("doc_id") > 7)
     below_union = df._jdf.queryExecution().optimizedPlan().toString().split("Union", 1)[1]
     assert below_union.count("Filter") >= 4          # one per language branch
-    assert below_union.count("length(lang") >= 4 or "LocalRelation" in below_union
+    assert below_union.count("> 7)") >= 4

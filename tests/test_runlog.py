@@ -126,7 +126,7 @@ def _daily_runs(spark, days=6):
 
 def _state_rows(spark, df):
     from corpusmill.session import scratch_dir
-    q = (df.writeStream.outputMode("update").foreachBatch(lambda b, _: None)
+    q = (df.writeStream.outputMode("update").foreachBatch(lambda b, _: b.write.format("noop").mode("overwrite").save())
          .option("checkpointLocation", scratch_dir(spark, "evict-ck")).trigger(availableNow=True).start())
     q.awaitTermination()
     ops = [p["stateOperators"][0] for p in q.recentProgress if p["stateOperators"]]

@@ -82,8 +82,8 @@ def test_abstracts_source_through_the_registry(spark):
                           "title string, abstract string, source string, license string").write.json(path)
     c = build_corpus_from_sources(spark, ["abstracts"], {"abstracts": {"path": path}}, seed=None)
     rows = c.collect()
-    assert len(rows) == 1                                    # commentary style drops texts under 30
-    r = rows[0]
+    assert len(rows) == 2                                    # nothing is cut or dropped by default
+    r = next(r for r in rows if "long enough" in r.instruction)
     assert r.source == "academic_abstracts" and r.instruction.endswith("\n\nAn abstract long enough to keep as a passage.")
     assert r.response.startswith("A short commentary: An abstract long")
 
@@ -107,3 +107,40 @@ def test_described_source_summary_pairs(spark, tmp_path):
         ("What is covered in 'First film'?", f"'First film' covers: {long_meta}"),
         ("What is covered in 'Second'?", f"'Second' covers: {long_p}"),
     ]
+
+
+def test_abstracts_of_one_title_are_told_apart(spark):
+    from corpusmill.plans.corpus_builder import build_corpus_from_sources
+    from corpusmill.sources import builtin, registry  # noqa: F401
+    path = scratch_dir(spark, "abstracts-title")
+    rows = [("Same", "first abstract", "J1", "cc_by"), ("Same", "second abstract", "J1", "cc_by"), ("Same", "first abstract", "J1", "cc_by")]
+    spark.createDataFrame(rows, "title string, abstract string, source string, license string").write.json(path)
+    items = registry.build_sources(spark, ["abstracts"], {"abstracts": {"path": path}})
+    assert {"license", "attribution"} <= set(items.columns)
+    assert build_corpus_from_sources(spark, ["abstracts"], {"abstracts": {"path": path}}, seed=None).count() == 2
+
+
+def test_ord_outside_its_ranges_fails(spark):
+    import pytest
+    from corpusmill.sources.tables import make_ord
+    ok = spark.createDataFrame([(126, (1 << 36) - 1, (1 << 20) - 1)], "r long, d long, p long").select(make_ord("r", "d", "p").alias("o")).first().o
+    assert ok > 0
+    for bad in ((0, 1 << 36, 0), (0, 0, 1 << 20), (128, 0, 0), (None, 0, 0), (0, -1, 0), (0, None, 0)):
+        with pytest.raises(Exception, match="outside"):
+            spark.createDataFrame([bad], "r long, d long, p long").select(make_ord("r", "d", "p").alias("o")).collect()
+
+
+def test_only_unknown_sources_fall_to_the_seeds(spark):
+    from corpusmill.plans.corpus_builder import build_corpus_from_sources
+    seed = spark.createDataFrame([(1, "q", "a")], "seed_id long, instruction string, response string")
+    assert [r.instruction for r in build_corpus_from_sources(spark, ["nowhere"], {}, seed).collect()] == ["q"]
+
+
+def test_a_key_listed_twice_in_a_dimension_fails(spark):
+    import pytest
+    from corpusmill.operators import pairs
+    df = spark.createDataFrame([("s",)], "source string")
+    dim = spark.createDataFrame([("s", "a"), ("s", "b")], "source string, license string")
+    assert pairs.with_provenance(df, dim.limit(1)).first().license in ("a", "b")
+    with pytest.raises(Exception, match="duplicate source"):
+        pairs.with_provenance(df, dim).collect()

@@ -78,3 +78,14 @@ def test_training_input_ids_with_an_in_memory_vocabulary(spark):
     assert nat.tokens == ["User:", "hello", "Assistant:", "world", "again"]
     assert len(nat.input_ids) == 5 and nat.input_ids[1] != nat.input_ids[3]
     assert all(0 <= i < (1 << 20) for i in nat.input_ids)
+
+
+def test_pack_text_ids_conserves_tokens(spark):
+    rows = [(f"{i % 7}-{i}", [f"t{i}"] * (i % 11)) for i in range(300)] + [(None, ["n", "n"])]
+    df = spark.createDataFrame(rows, "id string, tokens array<string>")
+    out = T.pack(df, "id", "tokens", block=16, shards=3, buckets=8).collect()
+    got = sorted(t for r in out for t in r.tokens)
+    assert got == sorted(t for _, ts in rows for t in [*ts, "</s>"])
+    for shard in {r.shard for r in out}:
+        sizes = [r.n_tokens for r in sorted((r for r in out if r.shard == shard), key=lambda r: r.block)]
+        assert all(n == 16 for n in sizes[:-1])
