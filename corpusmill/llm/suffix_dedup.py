@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import BYTE_CODE, mix, numbers, pick, pieces, powers, quoted, small_batches, text_buffer
 
 LENGTH = 50
-RANGE_ENTRIES = 1_500_000     # anchors that one task of the filter aims at
+RANGE_ENTRIES = 3_000_000     # anchors that one task of the filter aims at
 BLOCK = 1 << 18               # bytes hashed together: keeps the arrays of a task small
 COVER, PERIOD = (0, 1, 3, 9), 13      # a difference cover modulo 13
 EDGE = 18                     # bytes of a window that are compared directly
@@ -212,8 +212,8 @@ def _shared_anchors(table: pa.Table, stored: int) -> pa.Table:
 
 # ---------------------------------------------------------------- contexts and occurrences
 def _runs_of(length: int, contexts: bool):
-    """Batches of (doc_id, nth, packed text, pos) -> occurrences (h, ctx, doc_id, nth,
-    first, n), or the batch's distinct contexts (h, doc_id, lead, n, bytes); the bytes of
+    """Batches of (doc_id, nth, packed text, pos) -> occurrences (h, ctx, doc_id, spot:
+    nth, first window and number of windows), or the batch's distinct contexts (h, doc_id, lead, n, bytes); the bytes of
     the anchor itself, which the bucket implies, are left out."""
 
     k = kmer_of(length)
@@ -236,9 +236,9 @@ def _runs_of(length: int, contexts: bool):
             doc, anchor, first, n, h, ctx = (np.concatenate(x) for x in zip(*parts))
             h, ctx = h.view(np.int64), ctx.view(np.int64)
             if not contexts:
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ctx), pa.array(ids[doc]), pa.array(numbers(b["nth"])[doc]),
-                                                  pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))],
-                                                 ["h", "ctx", "doc_id", "nth", "first", "n"])
+                spot = (numbers(b["nth"])[doc].astype(np.int64) << 44) + (first << 12) + n       # one number instead of three
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ctx), pa.array(ids[doc]), pa.array(spot)],
+                                                 ["h", "ctx", "doc_id", "spot"])
                 continue
             order = np.lexsort((ids[doc], ctx, h))
             order = order[np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (ctx[order][1:] != ctx[order][:-1])))] \
@@ -386,14 +386,15 @@ def _intervals(length: int):
 
     def work(batches):
         for b in batches:
-            doc, nth, first, n, low = (numbers(b[c]) for c in ("doc_id", "nth", "first", "n", "low"))
+            doc, spot, low = (numbers(b[c]) for c in ("doc_id", "spot", "low"))
+            nth, first, n = (spot >> 44).astype(np.int32), (spot >> 12) & 0xFFFFFFFF, spot & 4095
             plain = np.flatnonzero(numbers(b["firsts"].is_null()) & (low < doc))
-            out = [(doc[plain], nth[plain], first[plain].astype(np.int64), (first + n)[plain].astype(np.int64) + length - 1)]
+            out = [(doc[plain], nth[plain], first[plain], (first + n)[plain] + length - 1)]
             for i in np.flatnonzero(~numbers(b["firsts"].is_null())):
                 gone = np.frombuffer(b["firsts"][int(i)].as_py(), np.int64) < doc[i]
                 edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))))
                 s, e = edge[0::2] + first[i], edge[1::2] + first[i]
-                out.append((np.full(len(s), doc[i]), np.full(len(s), nth[i]), s, e + length - 1))
+                out.append((np.full(len(s), doc[i]), np.full(len(s), nth[i], np.int32), s, e + length - 1))
             d, k, s, e = (np.concatenate(x) for x in zip(*out))
             yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(k), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))],
                                              ["doc_id", "nth", "s", "e"])
@@ -401,6 +402,16 @@ def _intervals(length: int):
     return work
 
 
+def _merged(batches):
+    """(doc_id, nth, spans) with overlapping spans joined: a few are left of each text."""
+    for b in batches:
+        parts = [merge_spans(numbers(x.values.field("s")), numbers(x.values.field("e"))) for x in b["spans"]]
+        off = np.concatenate(([0], np.cumsum([len(s) for s, _ in parts]))).astype(np.int32)
+        s, e = (np.concatenate(x).astype(np.int32) for x in zip(*parts)) if parts else (np.zeros(0, np.int32),) * 2
+        spans = pa.ListArray.from_arrays(pa.array(off), pa.StructArray.from_arrays([pa.array(s), pa.array(e)], ["s", "e"]))
+        yield pa.RecordBatch.from_arrays([b["doc_id"], b["nth"], spans], ["doc_id", "nth", "spans"])
+
+
 def merge_spans(s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of some half-open byte ranges."""
     order = np.argsort(s, kind="stable")
@@ -438,8 +449,8 @@ def cut_texts(texts: DataFrame, length: int = LENGTH, range_entries: int = RANGE
     """(doc_id, key, key2, removed, spans, sha, [kept]) of the texts (doc_id,
     key, key2, n_bytes, text) that lose bytes to another text. Of exact copies
     only the one with the smallest doc_id is looked at."""
-    if length < 32:
-        raise ValueError("length must be 32 bytes at least")
+    if not 32 <= length < 4096:
+        raise ValueError("length must be from 32 to 4095 bytes")
     small_batches(texts.sparkSession)
     distinct = texts.where(F.col("n_bytes") >= length).groupBy(*SAME).agg(F.min("doc_id").alias("doc_id"))
     # several texts under one doc_id are told apart by nth
@@ -459,10 +470,11 @@ def cut_texts(texts: DataFrame, length: int = LENGTH, range_entries: int = RANGE
     contexts = (rows.mapInArrow(_runs_of(length, True), "h long, doc_id long, lead int, n int, bytes binary")
                 .repartition("h").sortWithinPartitions("h", "lead", "bytes", "doc_id")
                 .mapInArrow(_first_docs(length), "h long, ctx long, low long, firsts binary"))
-    found = rows.mapInArrow(_runs_of(length, False), "h long, ctx long, doc_id long, nth int, first int, n int")
-    spans = (found.join(contexts, ["h", "ctx"]).select("doc_id", "nth", "first", "n", "low", "firsts")
+    found = rows.mapInArrow(_runs_of(length, False), "h long, ctx long, doc_id long, spot long")
+    spans = (found.join(contexts, ["h", "ctx"]).select("doc_id", "spot", "low", "firsts")
              .mapInArrow(_intervals(length), "doc_id long, nth int, s int, e int")
-             .groupBy("doc_id", "nth").agg(F.collect_list(F.struct("s", "e")).alias("spans")))
+             .groupBy("doc_id", "nth").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+             .mapInArrow(_merged, "doc_id long, nth int, spans array<struct<s: int, e: int>>"))
 
     def cut(batches):
         for b in pieces(batches, "packed", PACKED):
