@@ -30,6 +30,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,7 +117,7 @@ def _features(texts, voters: Voters):
 def design(off, idx, cnt, words, width: int, lexical: int) -> np.ndarray:
     """Inputs of the classifier: log counts of each voter, then totals over
     the lexical voters that are likelier in toxic texts."""
-    x = np.zeros((len(words), width + 3))
+    x = np.zeros((len(words), width + 3), np.float32)
     rows = np.repeat(np.arange(len(words)), np.diff(off))
     x[rows, idx] = np.log1p(cnt)
     lex = idx < lexical
@@ -134,7 +135,8 @@ def label_model(fires: np.ndarray, label: np.ndarray, rounds: int = 12) -> dict:
     nan where none was given. Returns posteriors, accuracies and weights."""
     n, m = fires.shape
     known = ~np.isnan(label)
-    votes = fires.astype(float)
+    votes = fires.astype(np.float32)
+    both = (votes.T @ votes).astype(float)      # how often two voters fire together
     q = np.where(known, np.where(label == 1, 0.95, 0.05), 0.0)
     if not known.any():
         q = np.clip(0.02 + 0.9 * (votes.sum(1) > 0), 0, 1)
@@ -143,20 +145,24 @@ def label_model(fires: np.ndarray, label: np.ndarray, rounds: int = 12) -> dict:
     weight = np.ones(m)
     for step in range(rounds):
         total1, total0 = q.sum() + 2, (1 - q).sum() + 2
-        p1 = (q @ votes + 0.5) / total1
-        p0 = ((1 - q) @ votes + 0.5) / total0
+        in1, in0 = q.astype(np.float32) @ votes, (1 - q).astype(np.float32) @ votes
+        p1 = (in1 + 0.5) / total1
+        p0 = (in0 + 0.5) / total0
         right1 = (q[known] @ (label[known] == 1) + 9) / (q[known].sum() + 10)
         right0 = ((1 - q[known]) @ (label[known] == 0) + 9) / ((1 - q[known]).sum() + 10)
         prior = np.clip(q.mean(), 1e-3, 1 - 1e-3)
         if step in (0, 3, 6):                 # correlations of the voters within a class
-            rest = votes - (np.outer(q, p1) + np.outer(1 - q, p0))
-            sd = np.sqrt((rest * rest).mean(0)) + 1e-9
-            rho = np.clip((rest.T @ rest) / n / np.outer(sd, sd), 0, 1)
+            # residual products from sums alone: no matrix of residuals
+            cross = np.outer(in1, p1) + np.outer(in0, p0)
+            mixed = q @ (1 - q) * (np.outer(p1, p0) + np.outer(p0, p1))
+            cov = (both - cross - cross.T + q @ q * np.outer(p1, p1) + mixed + (1 - q) @ (1 - q) * np.outer(p0, p0)) / n
+            sd = np.sqrt(np.maximum(np.diag(cov), 0)) + 1e-9
+            rho = np.clip(cov / np.outer(sd, sd), 0, 1)
             rho[rho < 0.1] = 0
             np.fill_diagonal(rho, 0)
             weight = 1 / (1 + rho.sum(1))
         on, off = np.log(p1 / p0), np.log((1 - p1) / (1 - p0))
-        odds = np.log(prior / (1 - prior)) + votes @ (weight * (on - off)) + (weight * off).sum()
+        odds = np.log(prior / (1 - prior)) + (votes @ (weight * (on - off)).astype(np.float32)).astype(float) + (weight * off).sum()
         given = np.where(label == 1, np.log(right1 / (1 - right0)), np.log((1 - right1) / right0))
         odds = odds + np.where(known, given, 0)
         q = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
@@ -165,14 +171,17 @@ def label_model(fires: np.ndarray, label: np.ndarray, rounds: int = 12) -> dict:
 
 def fit_logistic(x: np.ndarray, target: np.ndarray, ridge: float = 0.1, rounds: int = 25) -> np.ndarray:
     """Weights (intercept last) of a logistic regression on soft targets."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    pull = np.full(x.shape[1], ridge)
+    w = np.zeros(x.shape[1] + 1)
+    pull = np.full(len(w), ridge)
     pull[-1] = 1e-3
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        s = np.maximum(p * (1 - p), 1e-4)
-        step = np.linalg.solve((x * s[:, None]).T @ x + np.diag(pull), x.T @ (target - p) - pull * w)
+        hessian, slope = np.diag(pull), -pull * w
+        for at in range(0, len(x), 2048):              # a few rows at a time: bounds the driver's memory
+            part = np.column_stack([x[at:at + 2048], np.ones(len(x[at:at + 2048]))])
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            hessian = hessian + (part * np.maximum(p * (1 - p), 1e-4)[:, None]).T @ part
+            slope = slope + part.T @ (target[at:at + 2048] - p)
+        step = np.linalg.solve(hessian, slope)
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-5:
             break
@@ -277,7 +286,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, labelled_rows: int = LABELLED_ROW
     idx, cnt = rows["idx"].combine_chunks(), rows["cnt"].combine_chunks()
     if not len(rows):
         return Model(voters, np.append(np.zeros(voters.width + 3), -3.0), {})
-    off = np.concatenate(([0], np.cumsum([len(x) for x in idx.to_pylist()])))
+    off = np.concatenate(([0], np.cumsum(pc.list_value_length(idx).to_numpy(zero_copy_only=False))))
     parts = (off, idx.flatten().to_numpy(), cnt.flatten().to_numpy(), rows["words"].to_numpy())
     x = design(*parts, voters.width, voters.n)
     label = rows["toxic"].to_numpy().astype(float)
