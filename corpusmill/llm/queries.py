@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import chaining, decontam, embed_cells, ngram_join, packing, suffix_dedup, token_tree, toxicity, url_trie, warc
+from corpusmill.llm import (chaining, decontam, embed_cells, ngram_join, packing, prefix_trie, quality, suffix_dedup, token_tree,
+                            toxicity, url_trie, warc, whitening)
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 URL_RULES = [url_trie.rule("allow", "com/"), url_trie.rule("block", "example.com/en/"),
@@ -62,6 +63,18 @@ def op10_url_trie(spark, sf_dir):
     return url_trie.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_nb_support_vectors(spark, sf_dir):
+    return quality.score_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_cholesky_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_trie(spark, sf_dir):
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_chained_passages": op1_chained_passages,
     "op2_latent_decontamination": op2_latent_decontamination,
@@ -73,6 +86,9 @@ QUERIES = {
     "op8_token_groups": op8_token_groups,
     "op9_warc_archive": op9_warc_archive,
     "op10_url_trie": op10_url_trie,
+    "op11_nb_support_vectors": op11_nb_support_vectors,
+    "op12_cholesky_whitening": op12_cholesky_whitening,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE = {
@@ -124,4 +140,33 @@ ORACLE = {
         SELECT page_id, host, path, coalesce(a, b, c, d) AS rule,
                CASE WHEN coalesce(a, b, c, d) IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' ELSE 'allow' END AS verdict
         FROM r""",
+    "op13_prefix_trie": r"""
+        WITH t AS (
+            SELECT conv_id, struct_pack(r := coalesce(role, ''), x := coalesce("text", '')) AS v,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+                       sha256(concat(octet_length(encode(coalesce(role, ''))), ':', coalesce(role, ''), coalesce("text", '')))) - 1 AS pos
+            FROM conversations WHERE conv_id IS NOT NULL),
+        hx AS (SELECT DISTINCT conv_id, conv_id - conv_id % 5 AS b, conv_id::VARCHAR AS z FROM t),
+        h AS (SELECT conv_id, b, xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(z[j + 1])::BIGINT for j in range(0, strlen(z))]),
+                     lambda acc, y: list_reduce(list_prepend(xor(acc, y), [i::BIGINT for i in range(0, 8)]),
+                         lambda u, w: CASE WHEN u % 2 = 1 THEN xor(u // 2, 3988292384::BIGINT) ELSE u // 2 END)), 4294967295::BIGINT) % 9 AS h
+              FROM hx),
+        k AS (SELECT h.conv_id, h.b, h.h, least(h.h, (SELECT count(*) FROM t WHERE t.conv_id = h.b)) AS k FROM h),
+        r AS (SELECT k.conv_id, t.pos, t.v FROM k JOIN t ON t.conv_id = k.b AND t.pos < k.k
+              UNION ALL SELECT k.conv_id, t.pos - k.h + k.k, t.v FROM k JOIN t ON t.conv_id = k.conv_id AND t.pos >= k.h),
+        c AS (SELECT k.conv_id, coalesce(list(r.v ORDER BY r.pos) FILTER (WHERE r.pos IS NOT NULL), []) AS p
+              FROM k LEFT JOIN r ON r.conv_id = k.conv_id GROUP BY k.conv_id),
+        m AS (SELECT conv_id AS c, len(p) AS n, d, p[:d] AS seq FROM (SELECT *, unnest(range(0, len(p) + 1)) AS d FROM c)),
+        g AS (SELECT seq, d, min(c) AS conv_id, count(*) AS n_convs, any_value(strlen(seq[d].x)) AS last,
+                     coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE n = d), '') AS ends FROM m GROUP BY seq, d),
+        row AS (SELECT m.c, m.d, g.conv_id AS owner FROM m JOIN g ON g.seq = m.seq AND g.d = m.d),
+        e AS (SELECT g.*, p.owner AS parent FROM g LEFT JOIN row p ON p.c = g.conv_id AND p.d = g.d - 1),
+        ch AS (SELECT parent, d - 1 AS d, count(*) AS n FROM e WHERE d > 0 GROUP BY ALL),
+        f AS (SELECT e.*, coalesce(ch.n, 0) AS n_children, CASE WHEN e.d = 0 THEN 0 ELSE (n_convs - 1) * last END AS own
+              FROM e LEFT JOIN ch ON ch.parent = e.conv_id AND ch.d = e.d),
+        s AS (SELECT a.owner AS conv_id, a.d, count(*) FILTER (WHERE f.n_children = 0) AS n_leaves, sum(f.own) AS saved
+              FROM f JOIN row a ON a.c = f.conv_id AND a.d <= f.d GROUP BY ALL)
+        SELECT f.conv_id::BIGINT AS conv_id, f.d::BIGINT AS depth, f.parent::BIGINT AS parent_conv_id, f.n_convs::BIGINT AS n_convs,
+               f.n_children::BIGINT AS n_children, s.n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(f.ends) AS ends_sha256
+        FROM f JOIN s ON s.conv_id = f.conv_id AND s.d = f.d""",
 }
