@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.common import BLOCK, WORD_CODE, batch_words, drop, mix, pick, pieces, text_buffer, written
 
-LABELLED_ROWS = 20_000
+LABELLED_ROWS = 12_000
 BITS = 18
 MIN_SUPPORT = 5
 THRESHOLD = 0.3
@@ -119,43 +119,39 @@ def indicators(buf: np.ndarray, off: np.ndarray, wanted: np.ndarray | None = Non
 
 
 # ---------------------------------------------------------------- model
-def log_count_ratios(text: np.ndarray, bucket: np.ndarray, y: np.ndarray, min_support: int = MIN_SUPPORT, alpha: float = 1.0) -> np.ndarray:
-    """r of every bucket; 0 for buckets of fewer than ``min_support`` texts."""
-    p = np.bincount(bucket[y[text] == 1], minlength=1 << BITS).astype(float)
-    q = np.bincount(bucket[y[text] == 0], minlength=1 << BITS).astype(float)
+def log_count_ratios(sets, y: np.ndarray, min_support: int = MIN_SUPPORT, alpha: float = 1.0) -> np.ndarray:
+    """r of every bucket from the rows' sets of distinct buckets and their labels;
+    0 for buckets of fewer than ``min_support`` rows."""
+    count = np.zeros((2, 1 << BITS))
+    for buckets, label in zip(sets, y):
+        count[label, buckets] += 1
+    q, p = count
     used = p + q >= min_support
-    r = np.log((p + alpha) / (p + alpha)[used].sum()) - np.log((q + alpha) / (q + alpha)[used].sum()) if used.any() else p
-    return np.where(used, r, 0.0)
+    if not used.any():
+        return np.zeros(1 << BITS)
+    p, q = p + alpha, q + alpha
+    return np.where(used, np.log(p / p[used].sum()) - np.log(q / q[used].sum()), 0.0)
 
 
-def scaled(text: np.ndarray, bucket: np.ndarray, n: int, r: np.ndarray):
-    """Rows of the indicators times r, brought to length one: offsets, buckets, values."""
-    v = r[bucket]
-    keep = v != 0
-    text, bucket, v = text[keep], bucket[keep], v[keep]
-    size = np.sqrt(np.bincount(text, v * v, n))
-    off = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=n))))
-    return off, bucket, v / np.maximum(size, 1e-12)[text]
-
-
-def dual_coordinate_descent(off, idx, val, y, cost: np.ndarray, rounds: int = 40, tolerance: float = 0.01, seed: int = 3) -> np.ndarray:
-    """Weights (intercept last) of min |w|^2 / 2 + sum cost_i max(0, 1 - y_i w x_i), y in -1, 1:
-    one dual variable at a time, in a random order, until no one violates its bounds by more than ``tolerance``."""
+def dual_coordinate_descent(row, y: np.ndarray, cost: np.ndarray, width: int, rounds: int = 40, tolerance: float = 0.01,
+                            seed: int = 3) -> np.ndarray:
+    """Weights (intercept last) of min |w|^2 / 2 + sum cost_i max(0, 1 - y_i w x_i), y in -1, 1; row(i) gives
+    the columns and values of x_i. One dual variable at a time, in a random order, until none violates its
+    bounds by more than ``tolerance``."""
     rng = np.random.default_rng(seed)
     n = len(y)
-    w = np.zeros((1 << BITS) + 1)
+    w = np.zeros(width + 1)
     alpha = np.zeros(n)
-    square = np.bincount(np.repeat(np.arange(n), np.diff(off)), val * val, n) + 1.0
     for _ in range(rounds):
         worst = 0.0
         for i in rng.permutation(n):
-            cols, x = idx[off[i]:off[i + 1]], val[off[i]:off[i + 1]]
+            cols, x = row(i)
             slope = y[i] * (w[cols] @ x + w[-1]) - 1
             a = alpha[i]
             if (a == 0 and slope >= 0) or (a == cost[i] and slope <= 0):
                 continue
             worst = max(worst, abs(slope))
-            alpha[i] = min(max(a - slope / square[i], 0.0), cost[i])
+            alpha[i] = min(max(a - slope / (x @ x + 1.0), 0.0), cost[i])
             step = (alpha[i] - a) * y[i]
             w[cols] += step * x
             w[-1] += step
@@ -187,38 +183,40 @@ class Model:
     curve: tuple[float, float]
 
     def margins(self, buf, off) -> np.ndarray:
+        n = len(off) - 1
         text, bucket = indicators(buf, off, self.ratio != 0)
-        at, idx, val = scaled(text, bucket, len(off) - 1, self.ratio)
-        return np.bincount(np.repeat(np.arange(len(at) - 1), np.diff(at)), val * self.weights[idx], len(at) - 1) + self.weights[-1]
+        r = self.ratio[bucket]
+        size = np.sqrt(np.bincount(text, r * r, n))
+        return np.bincount(text, r * self.weights[bucket], n) / np.maximum(size, 1e-12) + self.weights[-1]
 
     def scores(self, buf, off) -> np.ndarray:
         slope, shift = self.curve
         return 1 / (1 + np.exp(-np.clip(slope * self.margins(buf, off) + shift, -30, 30)))
 
 
-def train(text, bucket, y: np.ndarray, *, min_support: int = MIN_SUPPORT, c: float = 4.0) -> Model:
-    """Model of texts 0..len(y) - 1 with sorted (text, bucket) indicators and labels y; each
-    fifth text is kept back for the curve."""
+def train(sets: list[np.ndarray], y: np.ndarray, *, min_support: int = MIN_SUPPORT, c: float = 4.0) -> Model:
+    """Model of rows with sets of distinct buckets and labels y; each fifth row
+    is kept back for the curve."""
     n = len(y)
     share = float(y.mean()) if n else 0.5
-    none = Model(np.zeros(1 << BITS), np.zeros((1 << BITS) + 1), (1.0, float(np.log(max(share, 1e-3) / max(1 - share, 1e-3)))))
     back = np.arange(n) % 5 == 4
-    if len(set(y[~back])) < 2:
-        return none
-    new = np.cumsum(~back) - 1
-    rows = ~back[text]
-    ratio = log_count_ratios(new[text[rows]], bucket[rows], y[~back], min_support)
-    off, idx, val = scaled(text, bucket, n, ratio)
     fit = np.flatnonzero(~back)
-    counts = np.diff(off)
-    keep = np.repeat(~back, counts)
-    off_fit = np.concatenate(([0], np.cumsum(counts[fit])))
-    yy = np.where(y[fit] == 1, 1.0, -1.0)
-    cost = c * np.where(yy > 0, len(yy) / (2 * (yy > 0).sum()), len(yy) / (2 * (yy < 0).sum()))
-    w = dual_coordinate_descent(off_fit, idx[keep], val[keep], yy, cost)
-    margin = np.bincount(np.repeat(np.arange(n), counts), val * w[idx], n) + w[-1]
-    test = back if len(set(y[back])) == 2 else np.ones(n, bool)
-    return Model(ratio, w, logistic_curve(margin[test], y[test]))
+    if len(set(y[fit])) < 2:
+        odds = np.log(max(share, 1e-3) / max(1 - share, 1e-3))
+        return Model(np.zeros(1 << BITS), np.zeros((1 << BITS) + 1), (1.0, float(odds)))
+    ratio = log_count_ratios((sets[i] for i in fit), y[fit], min_support)
+
+    def row(i):
+        cols = sets[i]
+        x = ratio[cols]
+        return cols, x / max(np.sqrt(x @ x), 1e-12)
+
+    sign = np.where(y[fit] == 1, 1.0, -1.0)
+    cost = c * len(fit) / 2 / np.where(sign > 0, (sign > 0).sum(), (sign < 0).sum())
+    w = dual_coordinate_descent(lambda i: row(fit[i]), sign, cost, 1 << BITS)
+    test = np.flatnonzero(back) if len(set(y[back])) == 2 else np.arange(n)
+    margin = np.array([w[cols] @ x + w[-1] for cols, x in map(row, test)])
+    return Model(ratio, w, logistic_curve(margin, y[test]))
 
 
 # ---------------------------------------------------------------- Spark
@@ -247,13 +245,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, labelled_rows: int = LABELLED_ROW
     # bounded by labelled_rows
     rows = sample.mapInArrow(cut, "doc_id long, quality int, idx array<int>").toArrow()
     drop(sample)
-    rows = rows.sort_by([("doc_id", "ascending")])
+    if not len(rows):
+        return train([], np.zeros(0, int))
     idx = rows["idx"].combine_chunks()
-    y = rows["quality"].to_numpy().astype(int)
-    order = np.random.default_rng(1).permutation(len(y))
-    idx, y = idx.take(pa.array(order)), y[order]
-    text = np.repeat(np.arange(len(y)), pc.list_value_length(idx).to_numpy(zero_copy_only=False)) if len(y) else np.zeros(0, int)
-    return train(text, idx.flatten().to_numpy() if len(y) else np.zeros(0, int), y, min_support=min_support)
+    off = np.concatenate(([0], np.cumsum(pc.list_value_length(idx).to_numpy(zero_copy_only=False))))
+    y, ids = rows["quality"].to_numpy().astype(int), rows["doc_id"].to_numpy()
+    flat = idx.flatten().to_numpy()
+    order = np.lexsort((np.diff(off), ids))                       # no matter which task a row came from
+    order = order[np.random.default_rng(1).permutation(len(order))]
+    return train([flat[off[i]:off[i + 1]] for i in order], y[order], min_support=min_support)
 
 
 def score_texts(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label_id: str = "doc_id",

@@ -58,8 +58,7 @@ def test_indicators_are_the_distinct_n_grams(monkeypatch, block):
 
 
 def test_ratios_by_hand():
-    text, bucket, y = np.array([0, 0, 1, 2, 2, 3]), np.array([1, 2, 1, 2, 3, 2]), np.array([1, 1, 0, 0])
-    r = Q.log_count_ratios(text, bucket, y, min_support=2)
+    r = Q.log_count_ratios([np.array(s) for s in ([1, 2], [1], [2, 3], [2])], np.array([1, 1, 0, 0]), min_support=2)
     # bucket 1: p 2, q 0; bucket 2: p 1, q 2; bucket 3 is too rare
     assert r[1] == pytest.approx(np.log(3 / 5) - np.log(1 / 4)) and r[2] == pytest.approx(np.log(2 / 5) - np.log(3 / 4)) and r[3] == 0
 
@@ -69,10 +68,8 @@ def test_dual_coordinate_descent_solves_the_hinge_loss():
     n, d = 120, 6
     x = rng.normal(size=(n, d))
     y = np.where(x[:, 0] + 0.5 * rng.normal(size=n) > 0.3, 1.0, -1.0)
-    off, idx = np.arange(n + 1) * d, np.tile(np.arange(d), n)
-    w = Q.dual_coordinate_descent(off, idx, x.ravel(), y, np.full(n, 0.7), rounds=3000, tolerance=1e-8)
+    v = Q.dual_coordinate_descent(lambda i: (np.arange(d), x[i]), y, np.full(n, 0.7), d, rounds=3000, tolerance=1e-8)
     full = np.column_stack([x, np.ones(n)])
-    v = np.append(w[:d], w[-1])
 
     def loss(u):
         return u @ u / 2 + 0.7 * np.maximum(0, 1 - y * (full @ u)).sum()
