@@ -52,22 +52,52 @@ def _refuse_seed(name):
                      "for a seed table that one task can number")
 
 
+def _source_params(args) -> dict:
+    """Parameters by source: the data folder, then what --source-params says."""
+    params = {name: {"data_dir": args.data_dir} for name in TABLE_SOURCES}
+    for name, more in json.loads(args.source_params or "{}").items():
+        params.setdefault(name, {}).update(more)
+    return params
+
+
+def _spans(spark, args, chosen, seed):
+    """Document ordinals of every chosen source and the seeds, from one narrow
+    column each: what an ordered write splits by."""
+    from corpusmill.sources.registry import chosen_builders
+    from corpusmill.sources.tables import DOC_BITS, SEED_RANK, read_table
+    ids = {"documents": ("documents", "doc_id"), "titled": ("documents", "doc_id"), "crawl": ("pages", "page_id"),
+           "selected": ("pages", "page_id"), "described": ("pages", "page_id")}
+
+    def ends(df, col):
+        r = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).first()
+        return (0, 0) if r.lo is None else (int(r.lo), int(r.hi))
+    out = []
+    for rank, name in enumerate(chosen_builders(chosen)):
+        if name in ids:
+            table, col = ids[name]
+            out.append((rank, *ends(read_table(spark, args.data_dir, table, [col]), col)))
+        else:
+            out.append((rank, 0, (1 << DOC_BITS) - 1))          # a hash
+    return out + ([(SEED_RANK, *ends(seed, "seed_id"))] if seed is not None else [])
+
+
 def cmd_build(args):
-    from corpusmill.plans.corpus_builder import build_corpus_from_sources, write_corpus
+    from corpusmill.plans.corpus_builder import collect_corpus
     from corpusmill.sources import builtin  # noqa: F401
     from corpusmill.session import path_exists
     from corpusmill.sources.jsonl import first_lines
     spark = _session(args)
     chosen = [] if args.no_scrape else args.sources
-    params = {name: {"data_dir": args.data_dir} for name in TABLE_SOURCES}
+    params = _source_params(args)
     if args.abstracts:
-        params["abstracts"] = {"path": args.abstracts}
+        params.setdefault("abstracts", {})["path"] = args.abstracts
     if args.reuse and path_exists(spark, f"{args.output.rstrip('/')}/_SUCCESS"):
         print(json.dumps({"output": args.output, "reused": True}))
         return
-    corpus = build_corpus_from_sources(spark, chosen, params, _seed(spark, args),
-                                       casefold=not args.exact_key, floor=args.floor, prefix_len=args.prefix_key)
-    stats = write_corpus(corpus, args.output, ordered=args.ordered)
+    seed = _seed(spark, args)
+    stats = collect_corpus(spark, chosen, params, seed, args.output, casefold=not args.exact_key, floor=args.floor,
+                           floor_n=args.floor_n, prefix_len=args.prefix_key, ordered=args.ordered,
+                           spans=_spans(spark, args, chosen, seed) if args.ordered else None)
     print(json.dumps({"output": args.output, **stats}))
     if args.preview:
         first = first_lines(spark, args.output, 5).select(
@@ -96,10 +126,7 @@ def cmd_expanded(args):
     from corpusmill.sources.registry import build_sources
     from corpusmill.sources.sinks import sink_nested
     spark = _session(args)
-    params = {name: {"data_dir": args.data_dir} for name in TABLE_SOURCES}
-    for name, more in json.loads(args.source_params or "{}").items():
-        params.setdefault(name, {}).update(more)
-    items = build_sources(spark, args.sources, params)
+    items = build_sources(spark, args.sources, _source_params(args))
     if args.license_map:
         # (source, license_type, attribution, ...): a user file, so no broadcast
         # hint - AQE broadcasts it only when its measured size is small
@@ -152,6 +179,8 @@ def main(argv=None):
     b.add_argument("--data-dir", required=True)
     b.add_argument("--output", required=True)
     b.add_argument("--sources", nargs="+", default=["documents", "crawl"])
+    b.add_argument("--source-params", default=None,
+                   help='parameters by source as JSON, e.g. {"selected": {"cap": 500}, "titled": {"subset": "poems"}}')
     b.add_argument("--abstracts", default=None, help="abstracts JSONL path (source 'abstracts')")
     b.add_argument("--seed-table", default="benchmark", help="table of seed pairs ('' for none)")
     b.add_argument("--reuse", action="store_true", help="keep a complete corpus that is already at --output")
@@ -159,6 +188,7 @@ def main(argv=None):
     b.add_argument("--prefix-key", type=int, default=None, help="dedupe on this many leading characters of the key")
     b.add_argument("--no-scrape", action="store_true", help="seed corpus only")
     b.add_argument("--floor", choices=["always", "if_below"], default="always")
+    b.add_argument("--floor-n", type=int, default=20, help="rows below which if_below adds the seeds")
     b.add_argument("--exact-key", action="store_true", help="case-sensitive dedupe key")
     b.add_argument("--ordered", action="store_true", help="write in collection order")
     b.add_argument("--preview", action="store_true")

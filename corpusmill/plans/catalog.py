@@ -22,7 +22,7 @@ from corpusmill.sources import html as H
 from corpusmill.sources import jsonl as J
 from corpusmill.sources import registry as REG
 from corpusmill.sources import sinks as S
-from corpusmill.sources.tables import make_ord, rank_map, read_table, scan_pages, scan_passages, \
+from corpusmill.sources.tables import SEED_RANK, make_ord, rank_map, read_table, scan_pages, scan_passages, \
     seed_from_benchmark, select_sources
 
 # ---------------------------------------------------------------- fixture setup
@@ -398,9 +398,9 @@ def q_dedupe_first_wins(spark, d):
 
 
 def q_dedupe_semi_join(spark, d):
-    """First-wins by aggregate and left-semi join (J4), prefix key."""
+    """First-wins by aggregate and left-semi join (J4), whole key."""
     docs = _ord_docs(spark, d)
-    return dedupe.dedupe_first(docs, X.dedupe_key("text", prefix_len=80), strategy="semi").select("doc_id", "source")
+    return dedupe.dedupe_first(docs, X.dedupe_key("text"), hash_key=True, strategy="semi").select("doc_id", "source")
 
 
 def q_dedupe_whole_text(spark, d):
@@ -641,12 +641,49 @@ def q_expanded_from_sources(spark, d):
 
 def q_selected_passages(spark, d):
     from corpusmill.sources.builtin import selected
-    return selected(spark, d, selectors="p", char_class=K.LATIN_CLASS, min_len=21, cap=500, language="english")
+    return selected(spark, d, selectors="p", char_class=K.LATIN_CLASS, min_len=21, language="english")
+
+
+def q_page_sources(spark, d):
+    """Three page sources of one scan and one parse of every page."""
+    dir_ = scratch_dir(spark, "titled-pages")
+    head = F.concat(F.lit("<head><title>Page "), F.col("page_id").cast("string"), F.lit("</title><meta name='description' content='"),
+                    F.lit("Overview of page "), F.col("page_id").cast("string"), F.lit(" with enough words to be kept here'></head>"))
+    _pages(spark, d).select("page_id", F.concat(head, F.col("html")).alias("html")).write.parquet(f"{dir_}/pages.parquet")
+    params = {"crawl": {"data_dir": dir_, "license": "public_domain"}, "described": {"data_dir": dir_, "license": "cc_by"},
+              "selected": {"data_dir": dir_, "selectors": "p", "char_class": K.LATIN_CLASS, "language": "english"}}
+    u = REG.build_sources(spark, ["described", "crawl", "selected"], params)
+    return u.select("source_rank", "source", "text_id", "language", "title", "license", F.md5("content").alias("content_md5"),
+                    make_ord("source_rank", "doc_ord", "pos").alias("ord"))
+
+
+def q_collect_corpus(spark, d):
+    """Two written builds whose floor is decided in the pass that writes the
+    sources: one above the floor, one below it (the first regions only)."""
+    out = None
+    seed = seed_from_benchmark(spark, d)
+    n_seed = int(seed.agg(F.max("seed_id")).first()[0] or 0)
+    few = scratch_dir(spark, "few-documents")
+    read_table(spark, d, "region", ["r_regionkey", "r_name"]).select(
+        F.col("r_regionkey").alias("doc_id"), F.col("r_name").alias("text"), F.lit("en").alias("lang"), F.lit("regions").alias("source")) \
+        .write.parquet(f"{few}/documents.parquet")
+    for name, data_dir in (("many", d), ("few", few)):
+        path = scratch_dir(spark, f"collected-{name}")
+        top = int(read_table(spark, data_dir, "documents", ["doc_id"]).agg(F.max("doc_id")).first()[0] or 0)
+        CB.collect_corpus(spark, ["documents"], {"documents": {"data_dir": data_dir}}, seed, path, floor="if_below", ordered=True,
+                          spans=[(0, 0, top), (SEED_RANK, 0, n_seed)])
+        back = spark.read.schema(", ".join(f"{c} string" for c in S.FLAT_FIELDS)).json(path).withColumn("corpus", F.lit(name))
+        out = back if out is None else out.unionByName(back)
+    return out
 
 
 def q_preview_file(spark, d):
+    """The first lines of an ordered corpus; its ranges come from the ids alone."""
     path = scratch_dir(spark, "preview-jsonl")
-    S.sink_jsonl(_flagship(spark, d), path, ordered=True)
+    top = read_table(spark, d, "documents", ["doc_id"]).agg(F.max("doc_id")).first()[0] or 0
+    seeds = read_table(spark, d, "benchmark", ["item_id"]).agg(F.max("item_id")).first()[0] or 0
+    S.sink_jsonl(_flagship(spark, d), path, ordered=True,
+                 spans=[(i, 0, int(top)) for i in range(len(SOURCES))] + [(SEED_RANK, 0, int(seeds))])
     return J.preview_lines(spark, path, 3, 120)
 
 
@@ -739,6 +776,8 @@ QUERIES = {
     "build_from_sources": q_build_from_sources,
     "expanded_from_sources": q_expanded_from_sources,
     "selected_passages": q_selected_passages,
+    "page_sources": q_page_sources,
+    "collect_corpus": q_collect_corpus,
     "preview_file": q_preview_file,
     "run_report": q_run_report,
 }

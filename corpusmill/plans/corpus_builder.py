@@ -16,7 +16,11 @@ from corpusmill.functions import constants as K
 from corpusmill.functions.text import clip, dedupe_key, hash_bucket, pick
 from corpusmill.operators import chat, combine, dedupe, pairs, policy, report, tokens
 from corpusmill.sources import sinks
-from corpusmill.sources.tables import make_ord, rank_map
+from corpusmill.sources.jsonl import first_lines
+from corpusmill.sources.tables import SEED_RANK, make_ord, rank_map
+
+
+FLAT_SCHEMA = ", ".join(f"{c} string" for c in sinks.FLAT_FIELDS)
 
 
 def documents_as_passages(docs: DataFrame, source_order: list[str]) -> DataFrame:
@@ -56,20 +60,34 @@ def build_corpus(docs: DataFrame, seed: DataFrame, source_order: list[str],
     return pairs.fill_record(built, response_fallback=None)
 
 
-def to_pairs(df: DataFrame, style: str, templates: list[str] = K.PROMPTS_7) -> DataFrame:
-    """Passages (with source_rank, doc_ord, pos) -> pairs in a source's style, with ``ord``."""
-    if style == "quoted":
-        p = pairs.pair_quoted(df, "content", "title", templates)
-    elif style == "summary":
-        p = pairs.pair_summary(df, "title", "content")
-    elif style == "commentary":
-        p = pairs.pair_commentary(df, "content", templates, cut=None, min_len=None)
+def to_pairs(df: DataFrame, style: "str | dict[int, str]", templates: list[str] = K.PROMPTS_7) -> DataFrame:
+    """Passages (with source_rank, doc_ord, pos) -> pairs in a source's style, with ``ord``.
+    Sources that share one frame have a style per rank."""
+    if isinstance(style, dict):
+        styled, instruction, response = df, None, None
+        for name in dict.fromkeys(style.values()):
+            styled = _styled(styled, name, templates).withColumnsRenamed({"instruction": f"_i_{name}", "response": f"_r_{name}"})
+            own = F.col("source_rank").isin([r for r, s in style.items() if s == name])
+            i, r = F.col(f"_i_{name}"), F.col(f"_r_{name}")
+            instruction = F.when(own, i) if instruction is None else instruction.when(own, i)
+            response = F.when(own, r) if response is None else response.when(own, r)
+        p = styled.withColumn("instruction", instruction).withColumn("response", response)
     else:
-        p = pairs.pair_echo(df, "content", templates)
+        p = _styled(df, style, templates)
     return p.select("instruction", "response", "source", "language",
                     make_ord("source_rank", "doc_ord", "pos").alias("ord"))
 
 
+def _styled(df: DataFrame, style: str, templates: list[str]) -> DataFrame:
+    if style == "quoted":
+        return pairs.pair_quoted(df, "content", "title", templates)
+    if style == "summary":
+        return pairs.pair_summary(df, "title", "content")
+    if style == "commentary":
+        return pairs.pair_commentary(df, "content", templates, cut=None, min_len=None)
+    return pairs.pair_echo(df, "content", templates)
+
+
 def build_corpus_from_sources(spark, chosen: list[str], params: dict, seed: DataFrame | None,
                               casefold: bool = True, floor: str = "always", floor_n: int = 20,
                               prefix_len: int | None = None) -> DataFrame:
@@ -139,4 +157,52 @@ def write_corpus(df: DataFrame, path: str, ordered: bool = False) -> dict:
         return holder["df"]
 
     sinks.sink_jsonl(df, path, ordered=ordered, watch=watch)
-    return dict(holder["obs"].get)
+    return {"rows": 0, **report.values(holder["obs"])}
+
+
+def collect_corpus(spark, chosen: list[str], params: dict, seed: DataFrame | None, path: str, casefold: bool = True,
+                   floor: str = "always", floor_n: int = 20, prefix_len: int | None = None, ordered: bool = False,
+                   spans: list[tuple[int, int, int]] | None = None) -> dict:
+    """Build the corpus of registered sources, write it, and return its report:
+    rows collected, rows and characters kept per source (A2), from counters of
+    the write itself.
+
+    ``if_below`` (U3) decides in the same pass: the sources are written with
+    their number counted, without the mark of a complete folder; only when
+    fewer than ``floor_n`` rows were collected are they (so few rows) written
+    again with the seeds. The sources are scanned and parsed once.
+    """
+    from corpusmill.sources import registry
+    names = registry.chosen_builders(chosen)
+    ranks = dict(enumerate(names)) | ({SEED_RANK: "seed"} if seed is not None else {})
+    key = dedupe_key("instruction", casefold=casefold, prefix_len=prefix_len)
+
+    def write(rows: DataFrame, mark: bool, spans=spans) -> tuple[dict, dict]:
+        seen, kept = report.Counters(ranks, "collected"), report.Counters(ranks, "kept", "text")
+        out = pairs.fill_record(dedupe.dedupe_first(seen.watch(rows), key, hash_key=True), response_fallback=None)
+        sinks.sink_jsonl(out, path, ordered=ordered, watch=kept.watch, spans=spans, mark=mark)
+        return seen.read(), kept.read()
+
+    first = registry.build_sources(spark, chosen, params, to_pairs=to_pairs) if names else None
+    later = floor == "if_below" and seed is not None and first is not None
+    if floor not in ("always", "if_below"):
+        raise ValueError(f"unknown floor mode {floor!r}")
+    if first is None and seed is None:
+        raise ValueError(f"none of the sources {chosen} is registered")
+    rows = combine.seed_rows(seed) if first is None else first if later or seed is None else combine.with_floor(first, seed)
+    seen, kept = write(rows, mark=not later)
+    if later:
+        n_kept, n_seen = sum(s["rows"] for s in kept.values()), sum(s["rows"] for s in seen.values())
+        if n_kept < floor_n <= n_seen:
+            n_seen = first.limit(floor_n).count()       # a stage that ran twice after a loss may have counted twice
+        if n_seen < floor_n:
+            # fewer than floor_n rows, read back in their order
+            lines = first_lines(spark, path, floor_n).select(F.from_json("value", FLAT_SCHEMA).alias("r")).select("r.*").collect()
+            few = spark.createDataFrame([(*r, i) for i, r in enumerate(lines)], FLAT_SCHEMA + ", ord bigint").drop("text")
+            again = spans and [(0, 0, floor_n), *[s for s in spans if s[0] == SEED_RANK]]
+            of_seed, with_seed = write(few.unionByName(combine.seed_rows(seed), allowMissingColumns=True), mark=True, spans=again)
+            seen["seed"], kept["seed"] = of_seed["seed"], with_seed["seed"]
+        else:
+            sinks.complete(spark, path)
+    return {"rows": sum(s["rows"] for s in kept.values()), "chars": sum(s["chars"] for s in kept.values()),
+            "sources": {name: {"collected": seen[name]["rows"], "kept": kept[name]["rows"], "chars": kept[name]["chars"]} for name in kept}}

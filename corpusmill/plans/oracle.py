@@ -436,7 +436,7 @@ FROM r"""
     dd = (f"WITH k AS (SELECT doc_id, source, text, {ordx(RANK, 'doc_id')} AS ord, {key('text')} AS dk "
           f"FROM documents), w AS (SELECT dk, min(ord) AS ord FROM k GROUP BY dk)")
     q["dedupe_first_wins"] = f"{dd} SELECT doc_id, source FROM k WHERE ord IN (SELECT ord FROM w)"
-    q["dedupe_semi_join"] = q["dedupe_first_wins"].replace(key("text"), key("text", prefix=80))
+    q["dedupe_semi_join"] = q["dedupe_first_wins"]
     q["dedupe_whole_text"] = (f"SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER ("
                               f"PARTITION BY coalesce(text, '') ORDER BY {ordx(RANK, 'doc_id')}) AS rn FROM documents) "
                               f"WHERE rn = 1")
@@ -588,8 +588,25 @@ FROM o LEFT JOIN er ON o.run_id = er.run_id"""
     latin_rx = _rx(chr(92) + 'A' + K.LATIN_CLASS + '+' + chr(92) + 'z')
     q["selected_passages"] = (f"SELECT 'selected' AS source, CAST(page_id AS VARCHAR) || '-' || CAST(pos AS VARCHAR) "
                               f"AS text_id, 'english' AS language, passage AS content, page_id AS doc_ord, pos "
-                              f"FROM ({P_PASSAGES}) WHERE length(passage) >= 21 AND regexp_matches(passage, {latin_rx}) "
-                              f"ORDER BY {ordx('0', 'page_id', 'pos')} LIMIT 500")
+                              f"FROM ({P_PASSAGES}) WHERE length(passage) >= 21 AND regexp_matches(passage, {latin_rx})")
+    overview = "'Overview of page ' || CAST(page_id AS VARCHAR) || ' with enough words to be kept here'"
+    q["page_sources"] = (f"SELECT 0 AS source_rank, 'described' AS source, CAST(page_id AS VARCHAR) AS text_id, 'english' AS language, "
+                         f"'Page ' || CAST(page_id AS VARCHAR) AS title, 'cc_by' AS license, md5({overview}) AS content_md5, "
+                         f"{ordx('0', 'page_id')} AS ord FROM pages UNION ALL "
+                         f"SELECT 1, 'crawl', CAST(page_id AS VARCHAR) || '-' || CAST(pos AS VARCHAR), 'english', "
+                         f"'Page ' || CAST(page_id AS VARCHAR), 'public_domain', md5(paragraph), {ordx('1', 'page_id', 'pos')} FROM ({crawl}) UNION ALL "
+                         f"SELECT 2, 'selected', text_id, language, NULL, NULL, md5(content), {ordx('2', 'doc_ord', 'pos')} "
+                         f"FROM ({q['selected_passages']})")
+    echo = lambda t, src, lang, o: (f"SELECT {pick(t, K.PROMPTS_7)} || {NL} || {NL} || {t} AS instruction, {lit(K.ECHO_LEAD)} || {t} AS response, "
+                                    f"{src} AS source, {lang} AS language, {o} AS ord")
+    first = lambda rows: (f"SELECT coalesce(instruction, '') AS instruction, coalesce(response, '') AS response, "
+                          f"coalesce(source, 'fallback') AS source, coalesce(language, 'english') AS language, "
+                          f"{SECTIONS("coalesce(instruction, '')", "coalesce(response, '')")} AS text FROM (SELECT *, row_number() OVER ("
+                          f"PARTITION BY {key('instruction')} ORDER BY ord) AS rn FROM ({rows})) WHERE rn = 1")
+    many = echo("coalesce(text, '')", "source", "lang", ordx('0', 'doc_id')) + " FROM documents"
+    few = (echo("r_name", "'regions'", "'en'", ordx('0', 'r_regionkey')) + " FROM region UNION ALL "
+           f"SELECT text, text, NULL, NULL, {ordx('127', 'item_id')} FROM benchmark")
+    q["collect_corpus"] = f"SELECT *, 'many' AS corpus FROM ({first(many)}) UNION ALL SELECT *, 'few' AS corpus FROM ({first(few)})"
     meta = "'Overview of page ' || CAST(page_id AS VARCHAR) || ' with enough words to be kept here'"
     para = "'Paragraph on page ' || CAST(page_id AS VARCHAR) || ', long enough to pass the length test'"
     q["html_description"] = (f"SELECT page_id, CASE WHEN page_id % 4 = 1 THEN {para} ELSE {meta} END AS summary, 'meta' AS prefer "

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 # Settings that matter at any scale: AQE re-plans joins and coalesces
@@ -108,18 +109,20 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence check through the Hadoop file system (works on any store);
-    without a JVM handle (Spark Connect) a metadata-only read decides."""
+    without a JVM handle (Spark Connect) a metadata-only read decides. Errors
+    of the store are raised, not taken for a missing path."""
     try:
-        jvm = spark.sparkContext._jvm
-        jpath = jvm.org.apache.hadoop.fs.Path(path)
-        fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        return bool(fs.exists(jpath))
-    except Exception:  # noqa: BLE001
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001  (Spark Connect: no SparkContext on the client)
         try:
             spark.read.format("binaryFile").load(path).select("path").limit(1).collect()
             return True
-        except Exception:  # noqa: BLE001
-            return False
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" in str(e):
+                return False
+            raise
+    jpath = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(jpath.getFileSystem(sc._jsc.hadoopConfiguration()).exists(jpath))
 
 
 def local_path(path: str) -> str:

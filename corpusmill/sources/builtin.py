@@ -14,6 +14,10 @@
 * ``described`` - stored pages -> page title and description (meta tag,
   else the description paragraph; kept when longer than 40) ->
   question from the title, answer from the description (summary style).
+
+All sources take ``license``, ``attribution`` and ``modality``. ``selected``,
+``crawl`` and ``described`` are page sources: those chosen together share one
+scan and one parse (``sources.pages``).
 """
 
 from __future__ import annotations
@@ -21,14 +25,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.constants import CJK_CLASS, PASSAGE_SELECTORS
-from corpusmill.operators.combine import cap_total
-from corpusmill.operators.filters import script_filter, subset_contains
-from corpusmill.sources.crawl import crawl_passages
-from corpusmill.sources.html import extract, html_passages
+from corpusmill.operators.filters import subset_contains
+from corpusmill.sources import pages
 from corpusmill.sources.jsonl import scan_abstracts
-from corpusmill.sources.registry import register
-from corpusmill.sources.tables import make_ord, read_table, scan_passages
+from corpusmill.sources.registry import page_source, register, register_pages
+from corpusmill.sources.tables import read_table, scan_passages
 
 
 def provenance(df: DataFrame, license: str | None = None, attribution: str | None = None,
@@ -56,51 +57,23 @@ def titled(spark, data_dir: str, subset: str | None = None, **origin):
                                F.col("text_id").cast("bigint").alias("doc_ord"), F.lit(0).alias("pos")), **origin)
 
 
-@register("crawl", pair_style="quoted")
-def crawl(spark, data_dir: str, separator: str = "\n", para_sep: str = "\n", min_len: int = 30, cap: int | None = None,
-          style: str = "parens", **origin):
-    """``style='brackets', min_len=60, cap=80`` is the translation variant."""
-    pages = read_table(spark, data_dir, "pages", ["page_id", "html"])
-    return provenance(crawl_passages(pages, source="crawl", separator=separator, para_sep=para_sep, min_len=min_len, cap=cap,
-                                     style=style), **origin)
+register_pages("crawl", pair_style="quoted")(pages.crawl_source)
+register_pages("selected", pair_style="echo", total="cap")(pages.selected_source)
+register_pages("described", pair_style="summary", total="cap")(pages.described_source)
+
+
+def selected(spark, data_dir: str, **params):
+    """The ``selected`` source alone; with ``cap`` its first passages in collection order."""
+    return page_source(spark, "selected", data_dir, **params).drop("source_rank", "title")
 
 
 @register("abstracts", pair_style="commentary")
-def abstracts(spark, path: str):
+def abstracts(spark, path: str, **origin):
     """``ord`` comes from a 56-bit hash of all fields (36 bits as document
     ordinal, 20 as position): equal abstracts share it and are one row to the
     first-wins rule, different ones with one title do not."""
     a = scan_abstracts(spark, path).dropDuplicates(["source", "text_id", "content", "title", "license", "attribution"])
     h = F.xxhash64("title", "content", "license", "attribution")
-    return a.select("source", "text_id", "language", "content", "title", "license", "attribution",
-                    F.shiftrightunsigned(h, 28).alias("doc_ord"),
-                    F.pmod(F.shiftrightunsigned(h, 8), F.lit(1 << 20)).alias("pos"))
-
-
-@register("selected", pair_style="echo")
-def selected(spark, data_dir: str, selectors: str = PASSAGE_SELECTORS,
-             char_class: str = CJK_CLASS, min_len: int = 21, cap: int | None = None, language: str = "classical"):
-    pages = read_table(spark, data_dir, "pages", ["page_id", "html"])
-    p = script_filter(html_passages(pages, selectors), "passage", char_class, min_len)
-    p = p.withColumn("ord", make_ord(F.lit(0), "page_id", "pos"))
-    if cap is not None:
-        p = cap_total(p, cap, "ord")      # top-n in collection order, not a global sort
-    return p.select(F.lit("selected").alias("source"),
-                    F.concat(F.col("page_id").cast("string"), F.lit("-"), F.col("pos").cast("string")).alias("text_id"),
-                    F.lit(language).alias("language"), F.col("passage").alias("content"),
-                    F.col("page_id").alias("doc_ord"), F.col("pos"))
-
-
-@register("described", pair_style="summary")
-def described(spark, data_dir: str, min_len: int | None = 40, language: str = "english"):
-    pages = read_table(spark, data_dir, "pages", ["page_id", "html"])
-    x = pages.select("page_id", extract("html", selectors="title", parts=("passages", "desc")).alias("_x"))
-    summary = F.coalesce(F.nullif(F.col("_x.meta_desc"), F.lit("")), F.nullif(F.col("_x.p_desc"), F.lit("")))
-    out = x.select("page_id", F.try_element_at("_x.passages", F.lit(1)).alias("title"), summary.alias("content"))
-    out = out.where(F.col("content").isNotNull())
-    if min_len is not None:
-        out = out.where(F.length("content") > min_len)
-    return out.select(F.lit("described").alias("source"), F.col("page_id").cast("string").alias("text_id"),
-                      F.lit(language).alias("language"), "content",
-                      F.coalesce(F.col("title"), F.lit("")).alias("title"),
-                      F.col("page_id").alias("doc_ord"), F.lit(0).alias("pos"))
+    return provenance(a.select("source", "text_id", "language", "content", "title", "license", "attribution",
+                               F.shiftrightunsigned(h, 28).alias("doc_ord"),
+                               F.pmod(F.shiftrightunsigned(h, 8), F.lit(1 << 20)).alias("pos")), **origin)

@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.operators.combine import union_sources
+from corpusmill.operators.combine import cap_total, union_sources
+from corpusmill.sources.pages import PageSource, read_pages
+from corpusmill.sources.tables import make_ord
 
 log = logging.getLogger(__name__)
 
@@ -24,6 +26,7 @@ PASSAGE_FIELDS = ("source", "text_id", "language", "content")
 
 Builder = Callable[..., DataFrame]
 _REGISTRY: dict[str, Builder] = {}
+_PAGES: dict[str, tuple[Callable[..., PageSource], str | None]] = {}
 _STYLE: dict[str, str] = {}
 
 
@@ -37,6 +40,33 @@ def register(name: str, pair_style: str = "echo"):
     return deco
 
 
+def register_pages(name: str, pair_style: str = "echo", total: str | None = None):
+    """Decorator: add a page source; chosen page sources of one folder share
+    one scan and one parse. ``total`` names the parameter, if any, that keeps
+    the first passages of the whole source; with it the source is read alone."""
+    def deco(make: Callable[..., PageSource]):
+        _PAGES[name] = (make, total)
+        _REGISTRY[name] = lambda spark, **params: page_source(spark, name, **params).drop("source_rank")
+        _STYLE[name] = pair_style
+        return make
+    return deco
+
+
+def page_source(spark: SparkSession, name: str, data_dir: str, **params) -> DataFrame:
+    """One page source by itself."""
+    make, total = _PAGES[name]
+    n = params.pop(total, None) if total else None
+    df = read_pages(spark, data_dir, [(0, make(**params))])
+    if n is None:
+        return df
+    # the first passages in collection order: a top-n, not a global sort
+    return cap_total(df.withColumn("_ord", make_ord(F.lit(0), "doc_ord", "pos")), n, "_ord").drop("_ord")
+
+
+def _shared(name: str, params: dict) -> bool:
+    return name in _PAGES and "data_dir" in params and params.get(_PAGES[name][1]) is None
+
+
 def pair_style(name: str) -> str:
     return _STYLE.get(name, "echo")
 
@@ -68,19 +98,29 @@ def chosen_builders(chosen: list[str]) -> list[str]:
 
 
 def build_sources(spark: SparkSession, chosen: list[str], params: dict | None = None,
-                  to_pairs: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+                  to_pairs: Callable[[DataFrame, "str | dict[int, str]"], DataFrame] | None = None) -> DataFrame:
     """Union of the chosen sources in order, each with its ``source_rank``.
 
     With ``to_pairs``, every source's passages are first turned into pairs
-    with that source's pair style (``to_pairs(df, style)``).
+    with that source's pair style (``to_pairs(df, style)``; for page sources
+    that share one frame, style maps ranks to styles).
     """
     params = params or {}
     frames = []
     names = chosen_builders(chosen)
     if not names:
         raise ValueError(f"none of the sources {chosen} is registered")
+    together: dict[str, list[tuple[int, str]]] = {}
     for rank, name in enumerate(names):
-        df = check_passages(_REGISTRY[name](spark, **params.get(name, {})), name)
+        own = params.get(name, {})
+        if _shared(name, own):
+            together.setdefault(own["data_dir"], []).append((rank, name))
+            continue
+        df = check_passages(_REGISTRY[name](spark, **own), name)
         df = df.withColumn("source_rank", F.lit(rank))
         frames.append(to_pairs(df, pair_style(name)) if to_pairs else df)
+    for data_dir, ranked in together.items():
+        made = [(rank, _PAGES[name][0](**{k: v for k, v in params[name].items() if k not in ("data_dir", _PAGES[name][1])})) for rank, name in ranked]
+        df = read_pages(spark, data_dir, made)
+        frames.append(to_pairs(df, {rank: pair_style(name) for rank, name in ranked}) if to_pairs else df)
     return union_sources(frames)
