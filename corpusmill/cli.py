@@ -142,21 +142,30 @@ def cmd_expanded(args):
     sink_nested(out, args.output)
 
 
+def _write_live(spark, args, exits):
+    """The live tables' current rows as ``latest`` and ``errors``."""
+    from corpusmill.streaming import live
+    for name, rows in (("latest", live.latest(spark, f"{args.output}/live")), ("errors", live.errors(spark, f"{args.output}/live", exits))):
+        if rows is not None:
+            rows.write.mode("overwrite").parquet(f"{args.output}/{name}")
+    print(json.dumps(live.stats(spark, f"{args.output}/live")))
+
+
 def cmd_runlog(args):
     from corpusmill.operators import runlog as R
     spark = _session(args)
+    exits = spark.read.parquet(args.exits) if args.exits else None
+    if args.current:
+        return _write_live(spark, args, exits)
     if args.stream:
-        from corpusmill.streaming.progress import latest_from_updates, start_progress_stream
-        stream = spark.readStream.schema("run_id bigint, line_no bigint, ts timestamp, line string") \
-            .parquet(args.log)
-        q = start_progress_stream(stream, f"{args.output}/updates", f"{args.output}/_checkpoint",
-                                  trigger={"availableNow": True} if args.once else {"processingTime": "10 seconds"},
-                                  watermark=args.watermark)
+        from corpusmill.streaming import live
+        stream = spark.readStream.schema(live.LOG_SCHEMA).parquet(args.log)
+        q = live.start_live(stream, f"{args.output}/live", f"{args.output}/_checkpoint",
+                            trigger={"availableNow": True} if args.once else {"processingTime": "10 seconds"},
+                            watermark=args.watermark)
         q.awaitTermination()
-        latest_from_updates(spark, f"{args.output}/updates").write.mode("overwrite").parquet(f"{args.output}/latest")
-        return
+        return _write_live(spark, args, exits)
     log = spark.read.parquet(args.log)
-    exits = spark.read.parquet(args.exits) if args.exits else None
     # one pass over the log for the per-run state; later outputs read the
     # small written table instead of parsing the log again
     R.progress_latest(R.parse_progress(log)).write.mode("overwrite").parquet(f"{args.output}/latest")
@@ -215,13 +224,14 @@ def main(argv=None):
     e.set_defaults(fn=cmd_expanded)
 
     r = sub.add_parser("runlog", help="run-log analytics")
-    r.add_argument("--log", required=True, help="parquet: run_id, line_no, ts, line")
+    r.add_argument("--log", default=None, help="parquet: run_id, line_no, ts, line")
     r.add_argument("--exits", default=None, help="parquet: run_id, rc")
     r.add_argument("--output", required=True)
     r.add_argument("--epochs", type=int, default=1)
     r.add_argument("--stream", action="store_true")
     r.add_argument("--once", action="store_true", help="stream what is there, then stop")
-    r.add_argument("--watermark", default=None, help="evict runs idle longer than this, e.g. '1 hour'")
+    r.add_argument("--current", action="store_true", help="write latest and errors of a stream that runs into --output")
+    r.add_argument("--watermark", default=None, help="count lines older than this as late, e.g. '1 hour'")
     r.set_defaults(fn=cmd_runlog)
 
     args = p.parse_args(argv)

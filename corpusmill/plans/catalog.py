@@ -576,6 +576,15 @@ def q_progress_stream(spark, d):
     return run_progress_stream_once(spark, _run_log(spark, d))
 
 
+def q_live_runlog(spark, d):
+    """Progress, tail and error excerpt of every run from one stream of several
+    micro-batches, out of the live tables."""
+    from corpusmill.streaming import live
+    root = live.run_live_once(spark, _run_log(spark, d), files_per_batch=2, every=2)
+    tails = live.tail_table(spark, root).read().groupBy("run_id").agg(F.count("*").cast("int").alias("n_lines"))
+    return live.latest(spark, root).join(live.errors(spark, root), "run_id").join(tails, "run_id")
+
+
 # ---------------------------------------------------------------- end-to-end plans
 def q_training_input(spark, d):
     path = scratch_dir(spark, "train-input")
@@ -767,6 +776,7 @@ QUERIES = {
     "progress_display": q_progress_display,
     "progress_stream": q_progress_stream,
     "tail_stream": q_tail_stream,
+    "live_runlog": q_live_runlog,
     "training_input": q_training_input,
     "expanded_corpus": q_expanded_corpus,
     "expanded_corpus_chat": q_expanded_corpus_chat,

@@ -624,4 +624,6 @@ FROM o LEFT JOIN er ON o.run_id = er.run_id"""
     q["tail_stream"] = (f"SELECT e.run_id, CAST(least(c.n, 30) AS INTEGER) AS n_lines, e.excerpt FROM ({all_runs}) e "
                         f"JOIN (SELECT user_id AS run_id, count(*) AS n FROM events GROUP BY user_id) c "
                         f"ON e.run_id = c.run_id")
+    q["live_runlog"] = (f"SELECT p.*, t.n_lines, t.excerpt FROM ({q['progress_stream']}) p "
+                        f"JOIN ({q['tail_stream']}) t ON t.run_id = p.run_id")
     return {k: v.strip() for k, v in q.items()}

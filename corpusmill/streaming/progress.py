@@ -1,13 +1,16 @@
-"""Live run progress with Structured Streaming (L3).
+"""Run progress kept in the state store of a stream (L3).
 
 Log lines arrive as files (or any streaming source) -> each line is parsed
 with the batch parser -> latest progress per run is kept in the state
 store in update mode. The state is order-insensitive (the value with the
-largest line number wins), so lines arriving late or out of order need no
-special case. Without a watermark the state is a native aggregate that keeps
+largest line number wins). Without a watermark the state is a native aggregate that keeps
 every run; with one, a run that has been idle for longer is removed from the
-state (event-time timeout), so the state holds live runs only. A run that
-goes on after its removal starts with an empty state.
+state (event-time timeout), so the state holds live runs only, and Spark drops
+and counts lines later than the watermark (``numRowsDroppedByWatermark``).
+
+Updates carry the line number of every value and go into a ``LiveTable``: a
+run that goes on after its removal keeps the fields it had. Where no line may be
+dropped, use ``streaming.live``, which needs no state store.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from corpusmill.operators.runlog import PROGRESS_COLS, parse_progress
 from corpusmill.session import scratch_dir
+from corpusmill.streaming.live import latest, progress_rows, progress_table, stream_id
 
 
 def idle_ms(text: str) -> int:
@@ -48,7 +52,7 @@ def _latest(by: str, ord_col: str, idle: int):
         held = [None if x is None else x.item() if hasattr(x, "item") else x for x in held]
         state.update(tuple(held))
         state.setTimeoutTimestamp(max(held[1] + idle, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([[key[0], *[held[2 + 2 * i] for i in range(len(PROGRESS_COLS))], held[0]]], columns=[by, *PROGRESS_COLS, "last_line"])
+        yield pd.DataFrame([[key[0], *held[2:], held[0]]], columns=[by, *[x for c in PROGRESS_COLS for x in (c, f"{c}_at")], "last_line"])
 
     return update
 
@@ -57,14 +61,12 @@ def progress_stream(stream: DataFrame, watermark: str | None = None, by: str = "
                     ord_col: str = "line_no") -> DataFrame:
     parsed = parse_progress(stream)
     if not watermark:
-        return parsed.groupBy(by).agg(
-            *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(ord_col))).alias(c) for c in PROGRESS_COLS],
-            F.max(ord_col).alias("last_line"))
+        return progress_rows(parsed, by, ord_col)
     # event time must be TIMESTAMP (logs often carry TIMESTAMP_NTZ)
     parsed = parsed.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
     kinds = {f.name: f.dataType.simpleString() for f in parsed.schema}
     held = ", ".join(f"{c} {kinds[c]}, {c}_at bigint" for c in PROGRESS_COLS)
-    out = f"{by} {kinds[by]}, " + ", ".join(f"{c} {kinds[c]}" for c in PROGRESS_COLS) + ", last_line bigint"
+    out = f"{by} {kinds[by]}, {held}, last_line bigint"
     return parsed.select(by, ord_col, "ts", *PROGRESS_COLS).groupBy(by).applyInPandasWithState(
         _latest(by, ord_col, idle_ms(watermark)), out, f"last_line bigint, seen bigint, {held}", "update",
         GroupStateTimeout.EventTimeTimeout)
@@ -72,16 +74,15 @@ def progress_stream(stream: DataFrame, watermark: str | None = None, by: str = "
 
 def start_progress_stream(stream: DataFrame, sink_path: str, checkpoint: str,
                           trigger: dict | None = None, watermark: str | None = None):
-    """Start the update-mode query; every micro-batch writes its updated
-    rows to ``sink_path/batch_id=N``. The checkpoint in the shared folder
-    makes the query restartable after a lost driver or executor; a batch
-    that is replayed after a failure overwrites its own folder, so the
-    output stays exactly-once although ``foreachBatch`` is at-least-once."""
+    """Start the update-mode query; every micro-batch's updated rows are merged
+    into the live table at ``sink_path`` (see ``latest_from_updates``), once,
+    although ``foreachBatch`` is at-least-once. The checkpoint in the shared folder
+    makes the query restartable after a lost driver or executor."""
     agg = progress_stream(stream, watermark=watermark)
-    root = sink_path.rstrip("/")
 
     def write_batch(bdf: DataFrame, batch_id: int):
-        bdf.write.mode("overwrite").parquet(f"{root}/batch_id={batch_id}")
+        spark = bdf.sparkSession
+        progress_table(spark, sink_path).commit(bdf, stream_id(spark, checkpoint), batch_id)
 
     w = (agg.writeStream.outputMode("update").foreachBatch(write_batch)
             .option("checkpointLocation", checkpoint))
@@ -89,13 +90,9 @@ def start_progress_stream(stream: DataFrame, sink_path: str, checkpoint: str,
     return w.start()
 
 
-def latest_from_updates(spark: SparkSession, sink_path: str, by: str = "run_id") -> DataFrame:
-    """Current state per run: the row of its latest micro-batch (the
-    ``batch_id`` partition column)."""
-    u = spark.read.parquet(sink_path)
-    cols = PROGRESS_COLS + ["last_line"]
-    return (u.groupBy(by).agg(F.max_by(F.struct(*cols), F.col("batch_id")).alias("s"))
-             .select(by, *[F.col("s." + c).alias(c) for c in cols]))
+def latest_from_updates(spark: SparkSession, sink_path: str) -> DataFrame:
+    """Current state per run, field by field by line number; readable while the stream runs."""
+    return latest(spark, sink_path)
 
 
 def run_progress_stream_once(spark: SparkSession, log: DataFrame, files_per_batch: int = 1000,
