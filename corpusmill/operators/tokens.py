@@ -76,7 +76,7 @@ def truncate_tokens(df: DataFrame, col: str = "tokens", n: int = 512,
 
 
 def run_offsets(runs: DataFrame, group: str, order: str, length: str, chunk: int | None,
-                buckets: int | None = None) -> DataFrame:
+                buckets: int | None = None, unique: bool = False) -> DataFrame:
     """[start, end) offset of every run in the concatenation of its group,
     ordered by ``order``.
 
@@ -90,19 +90,24 @@ def run_offsets(runs: DataFrame, group: str, order: str, length: str, chunk: int
     a whole group.
 
     ``buckets`` takes the place of ``chunk`` for orders that are text or have
-    gaps: the order is then (hash bucket of ``order``, ``order``), so every
-    chunk holds its share of the rows whatever the values are.
+    gaps: the order is then (md5 bucket of ``order``, ``order``), so every
+    chunk holds its share of the rows whatever the values are. With ``unique``
+    a value of ``order`` that occurs twice in a group fails the job.
     """
     n = F.col(length)
     if chunk is None:
         w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return runs.withColumn("_end", F.sum(n).over(w)).withColumn("_start", F.col("_end") - n)
-    place = F.pmod(F.xxhash64(order), F.lit(buckets)) if buckets else F.expr(f"`{order}` div {chunk}")
+    place = hash_bucket(F.col(order).cast("string"), buckets) if buckets else F.expr(f"`{order}` div {chunk}")
     r = runs.withColumn("_chunk", F.coalesce(place.cast("bigint"), F.lit(-1)))   # never NULL: joined by plain equality below
     wc = Window.partitionBy(group, "_chunk").orderBy(order)
     local = r.select("*",
                      F.sum(n).over(wc.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_run"),
                      F.sum(n).over(wc.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_tot"))
+    if unique:
+        again = F.lag(F.struct(order)).over(wc) == F.struct(order)      # a struct is compared with its NULLs
+        local = local.withColumn("_run", F.when(again, F.raise_error(F.concat(
+            F.lit(f"{order} occurs twice: "), F.coalesce(F.col(order).cast("string"), F.lit("NULL"))))).otherwise(F.col("_run")))
     totals = local.groupBy(group, "_chunk").agg(F.max("_tot").alias("_tot"))      # on the window's partitioning
     wb = Window.partitionBy(group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select(F.col(group).alias("_b_group"), F.col("_chunk").alias("_b_chunk"),
@@ -116,20 +121,30 @@ def run_offsets(runs: DataFrame, group: str, order: str, length: str, chunk: int
 
 def pack(df: DataFrame, id_col: str, col: str = "tokens", block: int = 2048, eos: str = "</s>",
          shards: int = 64, drop_last: bool = False, chunk: int | None = 1 << 16,
-         buckets: int | None = None) -> DataFrame:
+         buckets: int | None = None, unique: bool = False) -> DataFrame:
     """Concatenate token runs (each followed by ``eos``) and cut fixed blocks.
 
     Runs are spread over ``shards`` by the md5 bucket of their id; within a
-    shard, runs are concatenated in id order (offsets from ``run_offsets``,
-    segmented by ``chunk`` ids, or by ``buckets`` for text ids, so the
-    running sum is spread over many tasks), cut into one slice per block it touches (``transform`` over the
-    block sequence, then ``inline``), and every
+    shard, runs are concatenated in id order. Offsets are a distributed prefix sum over
+    (shard, id, length) rows (``run_offsets``, segmented by ``chunk`` ids, or by ``buckets``
+    for text ids), so the running sum is spread over many tasks. A run is cut into one
+    slice per block it touches (``transform`` over the block sequence, then ``inline``), and every
     block is assembled by a group of at most ``block`` tokens.
+
+    With ``unique`` ids the token arrays take no part in the prefix sum: the
+    offsets are joined to them by id (an id that occurs twice fails the job). Without,
+    ids may repeat, and the arrays go through the offset windows.
     """
-    runs = df.select(F.coalesce(hash_bucket(F.col(id_col).cast("string"), shards), F.lit(0)).alias("shard"),
-                     F.col(id_col).alias("run_id"),
-                     F.concat(F.col(col), F.array(F.lit(eos))).alias("_t"))
-    runs = run_offsets(runs.withColumn("_n", F.size("_t")), "shard", "run_id", "_n", chunk, buckets)
+    shard = F.coalesce(hash_bucket(F.col(id_col).cast("string"), shards), F.lit(0)).alias("shard")
+    ids = F.col(id_col).alias("run_id")
+    runs = df.select(shard, ids, F.concat(F.col(col), F.array(F.lit(eos))).alias("_t"))
+    if unique:
+        lens = df.select(shard, ids, (F.size(col) + 1).alias("_n"))
+        at = run_offsets(lens, "shard", "run_id", "_n", chunk, buckets, unique=True) \
+            .select(F.col("shard").alias("_s"), F.col("run_id").alias("_id"), "_start", "_end")
+        runs = runs.join(at, (F.col("shard") == F.col("_s")) & F.col("run_id").eqNullSafe(F.col("_id"))).drop("_s", "_id")
+    else:
+        runs = run_offsets(runs.withColumn("_n", F.size("_t")), "shard", "run_id", "_n", chunk, buckets)
     start, end = F.col("_start"), F.col("_end")
 
     def piece(b):

@@ -38,8 +38,8 @@ CATEGORIES = {
     "empty": [],
 }
 SEARCH_BASE = "https://example.org/search/?q="
-PACK_BLOCK, PACK_SHARDS, PACK_CHUNK, EOS = 256, 4, 100, "</s>"
-CARRY_CHUNK = 1000
+PACK_BLOCK, PACK_SHARDS, EOS = 256, 4, "</s>"
+PACK_ORDER = 1 << 12         # text ids are packed in the order of so many md5 buckets
 
 
 def license_of(source_col: str = "source"):
@@ -509,8 +509,7 @@ def q_token_truncate(spark, d):
 
 
 def q_pack_sequences(spark, d):
-    b = tokens.pack(_tokens(spark, d), "doc_id", "tokens", block=PACK_BLOCK, eos=EOS, shards=PACK_SHARDS,
-                    chunk=PACK_CHUNK)
+    b = tokens.pack(_tokens(spark, d), "doc_id", "tokens", block=PACK_BLOCK, eos=EOS, shards=PACK_SHARDS, unique=True)
     return b.select("shard", "block", "n_tokens", F.array_join("tokens", " ").alias("joined"))
 
 
@@ -518,8 +517,9 @@ def q_expanded_packed(spark, d):
     """Formatted texts of the expanded corpus, tokenized and packed; their ids are text."""
     items = _expanded_items(spark, d).withColumnRenamed("license", "license_type")
     out = CB.expanded_corpus(items, policy.policy_table(spark), commercial=True).select("text_id", "text")
-    b = tokens.pack(tokens.tokenize(out, "text", "tokens"), "text_id", "tokens", block=PACK_BLOCK, eos=EOS, shards=1, buckets=64)
-    return b.select("block", "n_tokens")
+    b = tokens.pack(tokens.tokenize(out, "text", "tokens"), "text_id", "tokens", block=PACK_BLOCK, eos=EOS, shards=1,
+                    buckets=PACK_ORDER, unique=True)
+    return b.select("block", "n_tokens", F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
 
 
 # ---------------------------------------------------------------- run log
@@ -542,7 +542,7 @@ def q_log_parse(spark, d):
 
 def q_progress_forward_fill(spark, d):
     p = _parsed(spark, d).select("run_id", "line_no", *runlog.PROGRESS_COLS)
-    return _ints_as_double(runlog.carry_forward(p, "run_id", "line_no", runlog.PROGRESS_COLS, chunk=CARRY_CHUNK))
+    return _ints_as_double(runlog.carry_forward(p, "run_id", "line_no", runlog.PROGRESS_COLS))
 
 
 def q_progress_latest(spark, d):

@@ -578,10 +578,12 @@ FROM o LEFT JOIN er ON o.run_id = er.run_id"""
     rendered = (f"SELECT 'User: ' || instruction || {NL} || {NL} || 'Assistant: ' || response AS text "
                 f"FROM ({FLAGSHIP})")
     toks = f"SELECT regexp_extract_all(text, {TOK_RX})[1:512] AS t FROM ({rendered})"
-    # one shard: the blocks are full but the last, whatever the order of the runs
-    q["expanded_packed"] = (f"WITH t AS (SELECT sum(len(regexp_extract_all(text, {TOK_RX})) + 1)::BIGINT AS n FROM ({q['expanded_corpus']})) "
-                            f"SELECT b AS block, CAST(least({C.PACK_BLOCK}, n - b * {C.PACK_BLOCK}) AS INTEGER) AS n_tokens "
-                            f"FROM (SELECT n, unnest(range((n + {C.PACK_BLOCK} - 1) // {C.PACK_BLOCK})) AS b FROM t)")
+    q["expanded_packed"] = (f"WITH r AS (SELECT {bucket('text_id', C.PACK_ORDER)} AS b, text_id, "
+                            f"list_append(regexp_extract_all(text, {TOK_RX}), {lit(C.EOS)}) AS t FROM ({q['expanded_corpus']})), "
+                            f"r2 AS (SELECT *, sum(len(t)) OVER (ORDER BY b, text_id ROWS UNBOUNDED PRECEDING) - len(t) AS st FROM r), "
+                            f"k AS (SELECT st + i AS off, tok FROM (SELECT st, unnest(t) AS tok, unnest(range(len(t))) AS i FROM r2)) "
+                            f"SELECT CAST(off // {C.PACK_BLOCK} AS BIGINT) AS block, CAST(count(*) AS INTEGER) AS n_tokens, "
+                            f"md5(string_agg(tok, ' ' ORDER BY off)) AS tokens_md5 FROM k GROUP BY off // {C.PACK_BLOCK}")
     q["training_input"] = (f"SELECT md5(array_to_string(t, ' ')) AS tokens_md5, CAST(len(t) AS INTEGER) AS n_tokens "
                            f"FROM ({toks})")
     q["html_passages"] = P_PASSAGES

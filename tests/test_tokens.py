@@ -10,8 +10,8 @@ def _runs(spark, lens):
     return spark.createDataFrame(rows, "id long, tokens array<string>")
 
 
-def _check(spark, lens, block, shards, chunk):
-    b = T.pack(_runs(spark, lens), "id", "tokens", block=block, eos="E", shards=shards, chunk=chunk).collect()
+def _check(spark, lens, block, shards, chunk, unique=False):
+    b = T.pack(_runs(spark, lens), "id", "tokens", block=block, eos="E", shards=shards, chunk=chunk, unique=unique).collect()
     total = sum(lens) + len(lens)
     assert sum(r.n_tokens for r in b) == total
     per_shard = {}
@@ -32,6 +32,7 @@ def test_pack_edges(spark):
     for lens in ([3, 4], [7], [8, 8, 0], [20, 1, 0, 5]):
         for chunk in (None, 1, 2):
             _check(spark, lens, 8, 2, chunk)
+        _check(spark, lens, 8, 2, 2, unique=True)
 
 
 @settings(max_examples=10, deadline=None)
@@ -89,3 +90,30 @@ def test_pack_text_ids_conserves_tokens(spark):
     for shard in {r.shard for r in out}:
         sizes = [r.n_tokens for r in sorted((r for r in out if r.shard == shard), key=lambda r: r.block)]
         assert all(n == 16 for n in sizes[:-1])
+
+
+def test_unique_ids_pack_like_any(spark):
+    rows = [(f"{i % 7}-{i}", [f"t{i}_{j}" for j in range(i % 11)]) for i in range(120)] + [(None, ["n", "n"])]
+    df = spark.createDataFrame(rows, "id string, tokens array<string>").repartition(3)
+    key = lambda d: sorted((r.shard, r.block, r.tokens) for r in d.collect())
+    plain = T.pack(df, "id", "tokens", block=16, shards=3, buckets=8)
+    joined = T.pack(df, "id", "tokens", block=16, shards=3, buckets=8, unique=True)
+    assert key(plain) == key(joined)
+    assert T.pack(df.limit(0), "id", "tokens", buckets=8, unique=True).count() == 0
+
+
+def test_a_repeated_id_fails_the_unique_pack(spark):
+    import pytest
+    for twice in ("a", None):
+        df = spark.createDataFrame([(twice, ["x"]), (twice, ["y"]), ("b", ["z"])], "id string, tokens array<string>")
+        with pytest.raises(Exception, match="occurs twice"):
+            T.pack(df, "id", "tokens", block=4, shards=1, buckets=4, unique=True).collect()
+
+
+def test_no_window_holds_token_arrays(spark):
+    df = _runs(spark, [3, 4, 5])
+    plan = T.pack(df, "id", "tokens", block=8, shards=2, unique=True)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window " in line]
+    assert windows and not any("_t#" in w for w in windows)
+    # below the windows only sizes are read from the arrays
+    assert "size(tokens" in plan
