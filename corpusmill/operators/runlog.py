@@ -143,14 +143,30 @@ def carry_forward(df: DataFrame, by: str = "run_id", ord_col: str = "line_no",
 
 
 def progress_latest(parsed: DataFrame, by: str = "run_id", ord_col: str = "line_no",
-                    cols: list[str] = PROGRESS_COLS) -> DataFrame:
-    """Latest value of every progress field per run (L2): ``max_by`` with a
-    NULL ordering for lines that do not set the field. The string fields
-    (elapsed, eta) have no fixed-width buffer, so Spark plans a sort-based
-    aggregate; it still aggregates partially per map partition, so the
-    shuffle carries one row per run and partition."""
-    return parsed.groupBy(by).agg(
-        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(ord_col))).alias(c) for c in cols])
+                    cols: list[str] = PROGRESS_COLS, line_col: str = "line") -> DataFrame:
+    """Latest value of every progress field per run (L2).
+
+    Numbers are ``max_by`` with a NULL ordering for lines that do not set the
+    field: fixed-width buffers, so a hash aggregate, partial before the shuffle. The strings
+    (elapsed, eta; a bar sets both) have no such buffer: the hash aggregate
+    keeps the number of the last line that sets them, and they are read from
+    those lines, one per run, which alone are parsed again. Of lines that repeat a
+    number the largest text counts."""
+    kinds = {f.name: f.dataType.simpleString() for f in parsed.schema}
+    texts = [c for c in cols if kinds[c] == "string"]
+    values = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(ord_col))).alias(c) for c in cols if c not in texts]
+    if not texts:
+        return parsed.groupBy(by).agg(*values).select(by, *cols)
+    some = F.coalesce(*[F.col(c) for c in texts]).isNotNull()
+    won = parsed.groupBy(by).agg(*values, F.max(F.when(some, F.col(ord_col))).alias("_at")).withColumnRenamed(by, "_by")
+    lines = parsed.select(by, ord_col, *([line_col] if line_col in kinds else texts))
+    last = won.select(F.col("_by").alias("_run"), "_at").where("_at is not null")
+    rows = lines.join(last, lines[by].eqNullSafe(last["_run"]) & (lines[ord_col] == last["_at"])).drop("_run", "_at")
+    if line_col in kinds:
+        rows = parse_progress(rows, line_col)
+    first = Window.partitionBy(by).orderBy(*[F.col(c).desc_nulls_last() for c in texts])
+    rows = rows.where(some).withColumn("_n", F.row_number().over(first)).where("_n = 1").select(F.col(by).alias("_run"), *texts)
+    return won.join(rows, won["_by"].eqNullSafe(rows["_run"]), "left").select(F.col("_by").alias(by), *cols)
 
 
 def tail_n(df: DataFrame, by: str = "run_id", ord_col: str = "line_no", n: int = K.TAIL_LINES,

@@ -109,3 +109,9 @@ def test_filter_is_pushed_into_every_union_branch(spark, sf_small):
     below_union = df._jdf.queryExecution().optimizedPlan().toString().split("Union", 1)[1]
     assert below_union.count("Filter") >= 4          # one per language branch
     assert below_union.count("> 7)") >= 4
+
+
+def test_latest_progress_sorts_no_lines(spark, sf_small):
+    """Hash aggregates only; the winning lines alone are sorted (one per run)."""
+    p = full_plan(C.q_progress_latest(spark, sf_small))
+    assert "SortAggregate" not in p and "HashAggregate" in p

@@ -154,3 +154,15 @@ def test_segmented_carry_forward_equals_plain(spark, rows, chunk):
     seg = sorted(tuple(r) for r in R.carry_forward(df, chunk=chunk).collect())
     plain = sorted(tuple(r) for r in R.carry_forward(df, chunk=None).collect())
     assert seg == plain
+
+
+def test_latest_with_repeated_and_null_lines(spark):
+    bar = "Epoch 1/3:  5%|#| 7/150 [{e}<01:02, 1.25it/s]"
+    rows = [(1, 3, bar.format(e="00:09")), (1, 3, bar.format(e="00:11")), (1, 9, "{'loss': 0.5}"), (None, 1, bar.format(e="00:01")),
+            (2, None, bar.format(e="00:02")), (3, 1, None), (3, 2, "text")]
+    df = R.parse_progress(spark.createDataFrame(rows, "run_id long, line_no long, line string"))
+    for parsed in (df, df.drop("line")):                       # with the line at hand, and without
+        got = {r.run_id: r for r in R.progress_latest(parsed).collect()}
+        assert len(got) == 4 and got[1].elapsed == "00:11" and got[1].loss == 0.5 and got[1].step_cur == 7
+        assert got[None].elapsed == "00:01" and got[2].elapsed is None and got[3].eta is None
+    assert R.progress_latest(df.limit(0)).count() == 0
