@@ -97,7 +97,7 @@ def cmd_build(args):
     seed = _seed(spark, args)
     stats = collect_corpus(spark, chosen, params, seed, args.output, casefold=not args.exact_key, floor=args.floor,
                            floor_n=args.floor_n, prefix_len=args.prefix_key, ordered=args.ordered,
-                           spans=_spans(spark, args, chosen, seed) if args.ordered else None)
+                           spans=_spans(spark, args, chosen, seed) if args.ordered else None, stage_dir=args.stage_dir)
     print(json.dumps({"output": args.output, **stats}))
     if args.preview:
         first = first_lines(spark, args.output, 5).select(
@@ -124,9 +124,17 @@ def cmd_expanded(args):
     from corpusmill.plans.corpus_builder import format_expanded
     from corpusmill.sources import builtin  # noqa: F401
     from corpusmill.sources.registry import build_sources
+    from corpusmill.sources.tables import make_ord
     from corpusmill.sources.sinks import sink_nested
+    from corpusmill.sources.staging import build_staged
     spark = _session(args)
-    items = build_sources(spark, args.sources, _source_params(args))
+    if args.stage_dir:
+        items, states = build_staged(spark, args.sources, _source_params(args), args.stage_dir)
+        print(json.dumps({"staged": states}))
+        if items is None:
+            raise SystemExit("no source could be read")
+    else:
+        items = build_sources(spark, args.sources, _source_params(args))
     if args.license_map:
         # (source, license_type, attribution, ...): a user file, so no broadcast
         # hint - AQE broadcasts it only when its measured size is small
@@ -138,8 +146,38 @@ def cmd_expanded(args):
     kept = policy.license_filter(items, policy.policy_table(spark), commercial=args.commercial,
                                  check=not args.no_license_check)
     markers = json.loads(args.markers) if args.markers else None
-    out = format_expanded(kept.drop("source_rank", "doc_ord", "pos"), style=args.style, markers=markers)
-    sink_nested(out, args.output)
+    ord_ = make_ord("source_rank", "doc_ord", "pos").alias("ord")
+    text = format_expanded(kept, style=args.style, markers=markers)
+    sink_nested(text.drop("source_rank", "doc_ord", "pos"), args.output)
+    if args.pack:
+        _pack(spark, args, text.select(ord_, "text"))
+
+
+def _pack(spark, args, texts):
+    """Packed training sequences of the formatted texts: token ids in blocks of
+    ``--block``, in collection order inside a shard; texts that the tokenizer cannot read are counted."""
+    from pyspark.sql import Observation
+
+    from corpusmill.operators import report, tokens
+    failed = Observation("failed")
+    if args.tokenizer:
+        path = args.tokenizer
+        ids = tokens.tokenize(texts, "text", "ids", factory=lambda: _file_tokenizer(path), key=path, on_error="skip", failed=failed)
+    else:
+        ids = tokens.tokenize(texts, "text", "tokens").select("ord", tokens.hashed_ids("tokens").alias("ids"))
+    # the ids are read twice (lengths, tokens): written once, so that texts are tokenized once
+    ids.select("ord", "ids").write.mode("overwrite").parquet(f"{args.pack}/_ids")
+    n_failed = report.values(failed).get("failed", 0) if args.tokenizer else 0
+    ids = spark.read.parquet(f"{args.pack}/_ids")
+    tokens.pack(ids, "ord", "ids", block=args.block, eos=args.eos_id, shards=args.shards, chunk=1 << 36) \
+        .select("shard", "block", F.col("tokens").alias("input_ids"), "n_tokens").write.mode("overwrite").parquet(f"{args.pack}/blocks")
+    print(json.dumps({"packed": f"{args.pack}/blocks", "failed_texts": int(n_failed)}))
+
+
+def _file_tokenizer(path):
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(path)
+    return lambda texts: [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
 
 
 def _write_live(spark, args, exits):
@@ -190,6 +228,7 @@ def main(argv=None):
     b.add_argument("--sources", nargs="+", default=["documents", "crawl"])
     b.add_argument("--source-params", default=None,
                    help='parameters by source as JSON, e.g. {"selected": {"cap": 500}, "titled": {"subset": "poems"}}')
+    b.add_argument("--stage-dir", default=None, help="stage every source here; one that fails is taken from its last version")
     b.add_argument("--abstracts", default=None, help="abstracts JSONL path (source 'abstracts')")
     b.add_argument("--seed-table", default="benchmark", help="table of seed pairs ('' for none)")
     b.add_argument("--reuse", action="store_true", help="keep a complete corpus that is already at --output")
@@ -219,6 +258,12 @@ def main(argv=None):
     e.add_argument("--license-map", default=None, help="JSON table: source -> license_type, ...")
     e.add_argument("--commercial", action="store_true")
     e.add_argument("--no-license-check", action="store_true")
+    e.add_argument("--stage-dir", default=None, help="stage every source here; one that fails is taken from its last version")
+    e.add_argument("--pack", default=None, help="also write packed token ids to this folder")
+    e.add_argument("--tokenizer", default=None, help="tokenizer file for --pack (default: hashed ids of words)")
+    e.add_argument("--block", type=int, default=2048)
+    e.add_argument("--shards", type=int, default=64)
+    e.add_argument("--eos-id", type=int, default=0)
     e.add_argument("--style", choices=["plain", "chat"], default="plain")
     e.add_argument("--markers", default=None, help='chat markers as JSON, e.g. {"start": "...", "end": "..."}')
     e.set_defaults(fn=cmd_expanded)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from typing import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,28 +41,48 @@ def hashed_ids(tokens_col, vocab_size: int = 1 << 20) -> Column:
     return F.transform(_c(tokens_col), lambda t: F.pmod(F.xxhash64(t), F.lit(vocab_size)).cast("int"))
 
 
-def external_ids(col, factory: Callable[[], Callable[[list[str]], list[list[int]]]], key: str) -> Column:
+def external_ids(col, factory: Callable[[], Callable[[list[str]], list[list[int]]]], key: str, skip: bool = False) -> Column:
     """Token ids from an external tokenizer, Arrow-batched.
 
     ``factory`` builds a callable ``texts -> ids`` (e.g. wrapping
     ``tokenizers.Tokenizer.from_file(path).encode_batch``); it is called once
-    per worker and cached under ``key``.
+    per worker and cached under ``key``. A batch that fails fails the task or, with
+    ``skip``, is tried text by text, and texts that fail get NULL (E3).
     """
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def _enc(s: pd.Series) -> pd.Series:
         fn = _TOKENIZER_CACHE.get(key)
         if fn is None:
             fn = _TOKENIZER_CACHE[key] = factory()
-        return pd.Series(fn(s.fillna("").tolist()))
+        texts = s.fillna("").tolist()
+        try:
+            return pd.Series(fn(texts), dtype=object)
+        except Exception:  # noqa: BLE001
+            if not skip:
+                raise
+
+        def one(text):
+            try:
+                return fn([text])[0]
+            except Exception:  # noqa: BLE001  (a text the tokenizer cannot read)
+                return None
+        return pd.Series([one(t) for t in texts], dtype=object)
 
     return _enc.asNondeterministic()(_c(col))   # never duplicated into pushed-down filters
 
 
 def tokenize(df: DataFrame, col: str = "text", out: str = "tokens", drop_text: bool = True,
-             factory=None, key: str = "default") -> DataFrame:
-    """Batched tokenization; the text column is removed like ``remove_columns``."""
-    expr = native_tokens(col) if factory is None else external_ids(col, factory, key)
+             factory=None, key: str = "default", on_error: str = "fail", failed: Observation | None = None) -> DataFrame:
+    """Batched tokenization; the text column is removed like ``remove_columns``.
+    ``on_error='skip'`` leaves out rows whose text the external tokenizer
+    cannot read; ``failed`` counts them (``failed``) during the next action."""
+    skip = on_error == "skip"
+    expr = native_tokens(col) if factory is None else external_ids(col, factory, key, skip)
     res = df.withColumn(out, expr)
+    if factory is not None and skip:
+        if failed is not None:
+            res = res.observe(failed, F.count_if(F.col(out).isNull()).alias("failed"))
+        res = res.where(F.col(out).isNotNull())
     return res.drop(col) if drop_text and col != out else res
 
 
@@ -119,7 +139,7 @@ def run_offsets(runs: DataFrame, group: str, order: str, length: str, chunk: int
              .drop("_chunk", "_run", "_tot", "_b_group", "_b_chunk", "_base"))
 
 
-def pack(df: DataFrame, id_col: str, col: str = "tokens", block: int = 2048, eos: str = "</s>",
+def pack(df: DataFrame, id_col: str, col: str = "tokens", block: int = 2048, eos: str | int = "</s>",
          shards: int = 64, drop_last: bool = False, chunk: int | None = 1 << 16,
          buckets: int | None = None, unique: bool = False) -> DataFrame:
     """Concatenate token runs (each followed by ``eos``) and cut fixed blocks.

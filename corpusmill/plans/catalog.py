@@ -501,6 +501,22 @@ def q_tokenize_external(spark, d):
     return t.select("doc_id", F.size("ids").alias("n_ids"), F.array_join(F.col("ids").cast("array<string>"), " ").alias("joined"))
 
 
+def _strict_tokenizer():
+    """The length tokenizer, unable to read texts whose first word is a single letter."""
+    def ids(texts):
+        if any(len(t.split(" ")[0]) == 1 for t in texts):
+            raise ValueError("cannot read")
+        return [[len(w) for w in t.split(" ")] for t in texts]
+    return ids
+
+
+def q_tokenize_skips(spark, d):
+    """Texts that an external tokenizer cannot read are left out; the others
+    of their batch stay (E3)."""
+    t = tokens.tokenize(_docs(spark, d, ("doc_id", "text")), "text", "ids", factory=_strict_tokenizer, key="strict", on_error="skip")
+    return t.select("doc_id", F.size("ids").alias("n_ids"))
+
+
 def q_token_truncate(spark, d):
     t = tokens.truncate_tokens(_tokens(spark, d), "tokens", 512)
     return t.select("doc_id", F.size("tokens").alias("n_tokens"),
@@ -648,6 +664,21 @@ def q_expanded_from_sources(spark, d):
     return out[0].unionByName(out[1])
 
 
+def q_staged_sources(spark, d):
+    """Sources staged twice; the second time the pages cannot be read, so the
+    crawl comes from its first version (D4)."""
+    from corpusmill.sources.staging import build_staged
+    root, bad = scratch_dir(spark, "staged"), scratch_dir(spark, "bad-pages")
+    spark.createDataFrame([("no parquet",)], "value string").write.text(f"{bad}/pages.parquet")
+    out = None
+    for pages_dir in (d, bad):
+        params = {"crawl": {"data_dir": pages_dir}, "documents": {"data_dir": d}}
+        out, states = build_staged(spark, ["crawl", "documents"], params, root)
+    cached = F.array(*[F.lit(k) for k, v in states.items() if v == "cached"])
+    return out.select("source_rank", "source", "text_id", F.md5("content").alias("content_md5"),
+                      (F.array_contains(cached, "crawl") & (F.col("source_rank") == 0)).alias("cached"))
+
+
 def q_selected_passages(spark, d):
     from corpusmill.sources.builtin import selected
     return selected(spark, d, selectors="p", char_class=K.LATIN_CLASS, min_len=21, language="english")
@@ -764,6 +795,7 @@ QUERIES = {
     "seed_floor_below_small": q_seed_floor_below_small,
     "tokenize": q_tokenize,
     "tokenize_external": q_tokenize_external,
+    "tokenize_skips": q_tokenize_skips,
     "token_truncate": q_token_truncate,
     "pack_sequences": q_pack_sequences,
     "expanded_packed": q_expanded_packed,
@@ -787,6 +819,7 @@ QUERIES = {
     "expanded_from_sources": q_expanded_from_sources,
     "selected_passages": q_selected_passages,
     "page_sources": q_page_sources,
+    "staged_sources": q_staged_sources,
     "collect_corpus": q_collect_corpus,
     "preview_file": q_preview_file,
     "run_report": q_run_report,

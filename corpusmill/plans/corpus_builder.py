@@ -162,7 +162,7 @@ def write_corpus(df: DataFrame, path: str, ordered: bool = False) -> dict:
 
 def collect_corpus(spark, chosen: list[str], params: dict, seed: DataFrame | None, path: str, casefold: bool = True,
                    floor: str = "always", floor_n: int = 20, prefix_len: int | None = None, ordered: bool = False,
-                   spans: list[tuple[int, int, int]] | None = None) -> dict:
+                   spans: list[tuple[int, int, int]] | None = None, stage_dir: str | None = None) -> dict:
     """Build the corpus of registered sources, write it, and return its report:
     rows collected, rows and characters kept per source (A2), from counters of
     the write itself.
@@ -171,8 +171,11 @@ def collect_corpus(spark, chosen: list[str], params: dict, seed: DataFrame | Non
     their number counted, without the mark of a complete folder; only when
     fewer than ``floor_n`` rows were collected are they (so few rows) written
     again with the seeds. The sources are scanned and parsed once.
+
+    With ``stage_dir`` every source is staged there first (D4): one that fails
+    is taken from its last complete version, or left out; the report says which.
     """
-    from corpusmill.sources import registry
+    from corpusmill.sources import registry, staging
     names = registry.chosen_builders(chosen)
     ranks = dict(enumerate(names)) | ({SEED_RANK: "seed"} if seed is not None else {})
     key = dedupe_key("instruction", casefold=casefold, prefix_len=prefix_len)
@@ -183,12 +186,16 @@ def collect_corpus(spark, chosen: list[str], params: dict, seed: DataFrame | Non
         sinks.sink_jsonl(out, path, ordered=ordered, watch=kept.watch, spans=spans, mark=mark)
         return seen.read(), kept.read()
 
-    first = registry.build_sources(spark, chosen, params, to_pairs=to_pairs) if names else None
+    states = {}
+    if names and stage_dir:
+        first, states = staging.build_staged(spark, chosen, params, stage_dir, to_pairs)
+    else:
+        first = registry.build_sources(spark, chosen, params, to_pairs=to_pairs) if names else None
     later = floor == "if_below" and seed is not None and first is not None
     if floor not in ("always", "if_below"):
         raise ValueError(f"unknown floor mode {floor!r}")
     if first is None and seed is None:
-        raise ValueError(f"none of the sources {chosen} is registered")
+        raise ValueError(f"none of the sources {chosen} is registered" + (f" and readable: {states}" if states else ""))
     rows = combine.seed_rows(seed) if first is None else first if later or seed is None else combine.with_floor(first, seed)
     seen, kept = write(rows, mark=not later)
     if later:
@@ -205,4 +212,5 @@ def collect_corpus(spark, chosen: list[str], params: dict, seed: DataFrame | Non
         else:
             sinks.complete(spark, path)
     return {"rows": sum(s["rows"] for s in kept.values()), "chars": sum(s["chars"] for s in kept.values()),
-            "sources": {name: {"collected": seen[name]["rows"], "kept": kept[name]["rows"], "chars": kept[name]["chars"]} for name in kept}}
+            "sources": {name: {"collected": seen[name]["rows"], "kept": kept[name]["rows"], "chars": kept[name]["chars"]} for name in kept},
+            **({"staged": states} if states else {})}

@@ -619,6 +619,9 @@ FROM o LEFT JOIN er ON o.run_id = er.run_id"""
     q["jsonl_rejects"] = "SELECT '{\"broken\": ' || CAST(doc_id AS VARCHAR) AS value FROM documents WHERE doc_id % 2 <> 0"
     q["tokenize_external"] = ("SELECT doc_id, CAST(len(w) AS INTEGER) AS n_ids, array_to_string(list_transform(w, lambda x: "
                               "CAST(length(x) AS VARCHAR)), ' ') AS joined FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)")
+    q["tokenize_skips"] = ("SELECT doc_id, CAST(len(w) AS INTEGER) AS n_ids FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents) "
+                           "WHERE length(w[1]) <> 1")
+    q["staged_sources"] = f"SELECT source_rank, source, text_id, content_md5, source_rank = 0 AS cached FROM ({q['registry_sources']})"
     q["progress_stream"] = (f"SELECT l.*, m.last_line FROM ({LATEST}) l JOIN ("
                             f"SELECT user_id AS run_id, max(event_id) AS last_line FROM events GROUP BY user_id) m "
                             f"ON l.run_id = m.run_id")

@@ -1,50 +1,60 @@
 """JSONL inputs.
 
-D2 reads lines as text so that *key presence* can be told apart from a
-NULL value (``from_json`` merges the two): a record is "rich" when both
-``instruction`` and ``response`` keys are present, otherwise its ``text``
-goes to the assistant side and a template to the user side. Blank lines
-are skipped; a malformed line fails the job (as the reader does), or is
-routed to a rejects frame with ``on_error='rejects'``.
+D2 reads lines as text and parses each once, into a map of its fields, so
+that *key presence* can be told apart from a NULL value: a record is "rich"
+when both ``instruction`` and ``response`` keys are present, otherwise its
+``text`` goes to the assistant side and a template to the user side. Blank
+lines are skipped; a malformed line fails the job (as the reader does), or is
+routed to a rejects frame with ``on_error='rejects'``. Of a key that a line
+repeats the last value counts; values that are not strings stay JSON text.
 """
 
 from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import constants as K
 from corpusmill.functions.text import is_blank, pick, strip
 from corpusmill.session import path_exists
 
-RICH_SCHEMA = "instruction string, response string, text string"
 ABSTRACT_SCHEMA = "title string, abstract string, source string, license string"
 
 
+def _fields(line: Column) -> Column:
+    """Map of a line's fields; NULL where the line is not one JSON object."""
+    whole = F.from_json(line, "map<string,string>", {"allowSingleQuotes": "false"})
+    return F.when(F.endswith(line, F.lit("}")), whole)
+
+
+def _value(fields: Column, key: str) -> Column:
+    return F.try_element_at(F.map_values(F.map_filter(fields, lambda k, _: k == key)), F.lit(-1))
+
+
 def scan_two_format(spark: SparkSession, path: str, templates: list[str] = K.PROMPTS_4,
                     on_error: str = "fail", extra_fields: str = "") -> DataFrame:
     """Two-format instruction JSONL -> (user_msg, asst_msg, rich)."""
     lines = spark.read.text(path).where(~is_blank("value")).select(strip("value").alias("value"))
-    keys = F.json_object_keys("value")
-    schema = RICH_SCHEMA + (", " + extra_fields if extra_fields else "")
-    parsed = lines.select("value", keys.alias("_keys"), F.from_json("value", schema).alias("j"))
+    # one row per parsed line, by a generator: a filter on the map would be
+    # pushed down and parse the line a second time
+    good = F.col("j").isNotNull()
+    one = F.array(F.struct(F.col("j").alias("j")))
     if on_error == "fail":
-        parsed = parsed.withColumn(
-            "_keys", F.when(F.col("_keys").isNull(),
-                            F.raise_error(F.concat(F.lit("malformed JSON line: "), F.substring("value", 1, 200))))
-                     .otherwise(F.col("_keys")))
-    elif on_error == "rejects":
-        parsed = parsed.where(F.col("_keys").isNotNull())
-    rich = F.array_contains("_keys", "instruction") & F.array_contains("_keys", "response")
-    text = F.coalesce(F.col("j.text"), F.lit(""))
-    extra = [f.strip().split()[0] for f in extra_fields.split(",")] if extra_fields else []
+        one = F.when(good, one).otherwise(F.raise_error(F.concat(F.lit("malformed JSON line: "), F.substring("value", 1, 200))))
+    else:
+        one = F.when(good, one)
+    parsed = lines.select("value", _fields(F.col("value")).alias("j")).select(F.inline(one))
+    j = F.col("j")
+    rich = F.map_contains_key(j, "instruction") & F.map_contains_key(j, "response")
+    text = F.coalesce(_value(j, "text"), F.lit(""))
+    extra = [f.split() for f in extra_fields.split(",")] if extra_fields else []
     return parsed.select(
-        *[F.col("j." + e).alias(e) for e in extra],
+        *[_value(j, name).try_cast(kind).alias(name) for name, kind in extra],
         rich.alias("rich"),
-        F.when(rich, F.col("j.instruction")).otherwise(pick(text, templates)).alias("user_msg"),
-        F.when(rich, F.col("j.response")).otherwise(text).alias("asst_msg"),
+        F.when(rich, _value(j, "instruction")).otherwise(pick(text, templates)).alias("user_msg"),
+        F.when(rich, _value(j, "response")).otherwise(text).alias("asst_msg"),
     )
 
 
@@ -59,7 +69,7 @@ def write_rejects(spark: SparkSession, path: str, out: str) -> int:
 def rejects(spark: SparkSession, path: str) -> DataFrame:
     """Malformed non-blank lines of a JSONL input."""
     lines = spark.read.text(path).where(~is_blank("value"))
-    return lines.where(F.json_object_keys("value").isNull())
+    return lines.where(_fields(strip("value")).isNull())
 
 
 def scan_abstracts(spark: SparkSession, path: str, attribution_prefix: str = "Abstract: ") -> DataFrame:

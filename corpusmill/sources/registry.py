@@ -97,30 +97,43 @@ def chosen_builders(chosen: list[str]) -> list[str]:
     return keep
 
 
-def build_sources(spark: SparkSession, chosen: list[str], params: dict | None = None,
-                  to_pairs: Callable[[DataFrame, "str | dict[int, str]"], DataFrame] | None = None) -> DataFrame:
-    """Union of the chosen sources in order, each with its ``source_rank``.
-
-    With ``to_pairs``, every source's passages are first turned into pairs
-    with that source's pair style (``to_pairs(df, style)``; for page sources
-    that share one frame, style maps ranks to styles).
-    """
+def source_units(spark: SparkSession, chosen: list[str], params: dict | None = None,
+                 to_pairs: Callable[[DataFrame, "str | dict[int, str]"], DataFrame] | None = None) -> list[tuple[str, Callable[[], DataFrame]]]:
+    """(name, builder) of what is read together: a source by itself, or the
+    chosen page sources of one folder (names joined by ``+``). With ``to_pairs``
+    passages are turned into pairs with their source's pair style
+    (``to_pairs(df, style)``; for page sources that share one frame, style maps ranks to styles)."""
     params = params or {}
-    frames = []
     names = chosen_builders(chosen)
     if not names:
         raise ValueError(f"none of the sources {chosen} is registered")
-    together: dict[str, list[tuple[int, str]]] = {}
+
+    def alone(rank, name):
+        def build():
+            df = check_passages(_REGISTRY[name](spark, **params.get(name, {})), name)
+            df = df.withColumn("source_rank", F.lit(rank))
+            return to_pairs(df, pair_style(name)) if to_pairs else df
+        return build
+
+    def together(data_dir, ranked):
+        def build():
+            made = [(rank, _PAGES[name][0](**{k: v for k, v in params[name].items() if k not in ("data_dir", _PAGES[name][1])}))
+                    for rank, name in ranked]
+            df = read_pages(spark, data_dir, made)
+            return to_pairs(df, {rank: pair_style(name) for rank, name in ranked}) if to_pairs else df
+        return build
+
+    units, shared = [], {}
     for rank, name in enumerate(names):
         own = params.get(name, {})
         if _shared(name, own):
-            together.setdefault(own["data_dir"], []).append((rank, name))
-            continue
-        df = check_passages(_REGISTRY[name](spark, **own), name)
-        df = df.withColumn("source_rank", F.lit(rank))
-        frames.append(to_pairs(df, pair_style(name)) if to_pairs else df)
-    for data_dir, ranked in together.items():
-        made = [(rank, _PAGES[name][0](**{k: v for k, v in params[name].items() if k not in ("data_dir", _PAGES[name][1])})) for rank, name in ranked]
-        df = read_pages(spark, data_dir, made)
-        frames.append(to_pairs(df, {rank: pair_style(name) for rank, name in ranked}) if to_pairs else df)
-    return union_sources(frames)
+            shared.setdefault(own["data_dir"], []).append((rank, name))
+        else:
+            units.append((name, alone(rank, name)))
+    return units + [("+".join(n for _, n in ranked), together(d, ranked)) for d, ranked in shared.items()]
+
+
+def build_sources(spark: SparkSession, chosen: list[str], params: dict | None = None, to_pairs=None) -> DataFrame:
+    """Union of the chosen sources in order, each with its ``source_rank``, or
+    of their pairs (see ``source_units``)."""
+    return union_sources([build() for _, build in source_units(spark, chosen, params, to_pairs)])

@@ -89,3 +89,33 @@ def test_rejected_lines_are_written(spark):
     spark.createDataFrame([('{"text": "x"}',), ("{broken",), (" ",)], "value string").write.text(f"{path}/in")
     assert J.write_rejects(spark, f"{path}/in", f"{path}/out") == 1
     assert [r.value for r in spark.read.text(f"{path}/out").collect()] == ["{broken"]
+
+
+def test_edge_lines_are_read_like_json(spark):
+    """Each line against the standard library's reader."""
+    odd = ['{"instruction": "a\\u00e9", "response": 5}', '{"text": {"k": [1, 2]}}', '{"text": true}', "{}", '{"text": "x", "text": "y"}',
+           '{"instruction": "i", "response": null}', '{"response": "r"}']
+    bad = ["[1]", "5", '"s"', "null", '{"text": "x"', '{"text": 1} junk', "{'text': 1}", '{"text": "raw\ttab"}', '{"text": 1,}', "{a: 1}"]
+    path = _write(spark, odd + bad)
+    rows = J.scan_two_format(spark, path, on_error="rejects").collect()
+    got = sorted((r.rich, str(r.asst_msg)) for r in rows)
+    want = []
+    for line in odd:
+        o = json.loads(line)
+        rich = "instruction" in o and "response" in o
+        v = o["response"] if rich else o.get("text", "")
+        want.append((rich, v if isinstance(v, str) else str(None) if v is None else json.dumps(v, separators=(",", ":"))))
+    assert got == sorted(want)
+    assert sorted(r.value for r in J.rejects(spark, path).collect()) == sorted(bad)
+    for line in bad:
+        with pytest.raises(Exception, match="malformed"):
+            J.scan_two_format(spark, _write(spark, [line])).collect()
+
+
+def test_a_line_is_parsed_once(spark):
+    path = _write(spark, MIXED)
+    for mode in ("fail", "rejects"):
+        df = J.scan_two_format(spark, path, on_error=mode, extra_fields="doc_id bigint, note string")
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json") == 1 and "json_object_keys" not in plan
+        assert df.columns == ["doc_id", "note", "rich", "user_msg", "asst_msg"] and df.count() == 5
