@@ -30,12 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import numbers, pick, shuffle_partitions, written
+from corpusmill.llm.common import numbers, pick, pieces as text_pieces, shuffle_partitions, written
 from corpusmill.llm.token_ids import encoder
 
 CAPACITY = 2048
 END_ID = 0
-SLICE = 128               # texts encoded between two batches of results
 
 
 # ---------------------------------------------------------------- the plan
@@ -192,26 +191,26 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, e
                  with_ids: bool = False) -> DataFrame:
     """One row per piece of (doc_id, text): doc_id, piece, start, length,
     ids_crc32 and, if asked for, the ids."""
-    end = int(end_id).to_bytes(4, "little")
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()] + [pa.list_(pa.int32())] * with_ids
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
-
     def cut(batches):
         enc = encoder(tokenizer)
-        for b in batches:
-            for at in range(0, b.num_rows, SLICE):
-                part = b.slice(at, SLICE)
-                rows = []
-                for doc, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist()):
-                    ids = memoryview(enc.encode(text or "") + end)
-                    n, start = len(ids) // 4, 0
-                    size = n % capacity or min(n, capacity)
-                    k = 0
-                    while start < n:
-                        own = ids[4 * start:4 * (start + size)]
-                        rows.append((doc, k, start, size, zlib.crc32(own)) + ((np.frombuffer(own, "<i4").tolist(),) if with_ids else ()))
-                        start, size, k = start + size, capacity, k + 1
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names)
+        for part in text_pieces(batches):
+            ids, off = enc.encode_batch(part["text"])
+            ids = np.insert(ids.astype("<u4"), off[1:], end_id)
+            n = np.diff(off) + 1                              # with the id at the end
+            first = np.where(n % capacity, n % capacity, np.minimum(n, capacity))
+            k = 1 + (n - first) // capacity                   # pieces of each document
+            doc = np.repeat(np.arange(len(n)), k)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(k) - k, k)
+            start = np.where(piece > 0, first[doc] + (piece - 1) * capacity, 0)
+            length = np.where(piece > 0, capacity, first[doc])
+            at = (np.cumsum(n) - n)[doc] + start
+            raw = memoryview(ids.tobytes())
+            crc = [zlib.crc32(raw[4 * i:4 * (i + w)]) for i, w in zip(at.tolist(), length.tolist())]
+            cols = [part["doc_id"].take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
+                    pa.array(length, pa.int32()), pa.array(crc, pa.int64())]
+            if with_ids:
+                cols.append(pa.ListArray.from_arrays(pa.array(np.append(at, len(ids)), pa.int32()), pa.array(ids.view("<i4"))))
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     return docs.mapInArrow(cut, "doc_id long, piece int, start long, length int, ids_crc32 long" + ", ids array<int>" * with_ids)
 

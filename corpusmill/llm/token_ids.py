@@ -1,21 +1,31 @@
-"""Token ids of texts by a tokenizer file, with a bounded pre-token cache.
-
-The file's library (tokenizers) encodes every distinct piece once. A space
-between two other characters always begins a pre-token, so texts are cut
-there; texts with longer runs of white space are cut into pre-tokens by the
-tokenizer's own pattern. A text that holds an added token, or characters
-outside the range in which the two regular expression engines surely agree,
+"""Token ids of texts by a tokenizer file, a batch at a time.
+
+A space between two other characters always begins a pre-token, so texts are
+cut there, and the distinct words of a batch are encoded once, together: joined
+by spaces into one text whose tokens fall apart at the words' ends. Where the
+file is a byte-level BPE whose ids grow with its merges, that text goes
+through tiktoken with the file's own vocabulary, else piece by piece through
+the file's library (tokenizers); the ids are the same. Texts with longer runs of white space are cut
+into pre-tokens by the tokenizer's own pattern. A text that holds an added token, or characters
+outside the range in which the regular expression engines surely agree,
 goes through the library whole.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+import tiktoken
 from tokenizers import Tokenizer
 
+from corpusmill.llm.common import text_buffer
+
 CACHE = 300_000           # distinct pieces kept by a worker
 # The byte-level pre-tokenizer's pattern: a fixed value of the file format.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -23,6 +33,34 @@ _UNSURE = re.compile("[^\x00-\x1b\x20-\x84\x86-ɏ]")
 _RUNS = [a + b for x in "\t\n\x0b\x0c\r\xa0" for a, b in ((" ", x), (x, " "))] + ["  "]
 
 
+def _with_runs(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Whether each text holds one of _RUNS, or a space at an end."""
+    out = np.zeros(len(off) - 1, bool)
+    some = off[1:] > off[:-1]
+    out[some] = (buf[off[:-1][some]] == 32) | (buf[off[1:][some] - 1] == 32)
+    gap = (buf >= 9) & (buf <= 13)
+    wide = np.flatnonzero((buf[:-1] == 0xC2) & (buf[1:] == 0xA0)) + 1
+    after, before = gap | (buf == 32), gap.copy()
+    after[wide - 1] = True                    # first byte of U+00A0
+    before[wide] = True                       # its last byte
+    space = np.flatnonzero(buf == 32)
+    right = space[space + 1 < len(buf)]
+    right = right[after[right + 1]]
+    left = space[space > 0]
+    left = left[before[left - 1]]
+    for at, other in ((right, right + 1), (left, left - 1)):
+        own = np.searchsorted(off, at, "right") - 1
+        out[own[own == np.searchsorted(off, other, "right") - 1]] = True
+    return out
+
+
+def _ends_in_space(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Whether each word, none of them empty, ends in white space of the sure range."""
+    last = buf[off[1:] - 1] if len(off) > 1 else buf[:0]
+    before = buf[np.maximum(off[1:] - 2, 0)] if len(off) > 1 else buf[:0]
+    return ((last >= 9) & (last <= 13)) | ((last == 0xA0) & (before == 0xC2))
+
+
 class _Cache(dict):
     """Ids by piece; when it is full the older half gives way."""
 
@@ -56,9 +94,103 @@ class Encoder:
         self.split = regex.compile(PATTERN).findall
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
+        self.ranked = self._ranked()
         self.known = _Cache(self._pre_token)          # pre-token: ids
         self.spaced = _Cache(self._after_space)       # what follows a space: ids with that space
 
+    def _ranked(self):
+        """The vocabulary as byte ranks, where merging by rank is what the
+        file's merges do; else None."""
+        model = json.loads(self.tokenizer.to_str())["model"]
+        vocab = model["vocab"]
+        if model.get("type") != "BPE" or model.get("byte_fallback") or model.get("ignore_merges"):
+            return None
+        made = [vocab.get("".join(m if isinstance(m, list) else m.split(" ", 1)), -1) for m in model["merges"]]
+        byte = {c: b for b, c in self.letters.items()}
+        try:
+            ranks = {bytes(byte[c] for c in token): i for token, i in vocab.items() if token not in self.special}
+        except KeyError:
+            return None
+        single = [ranks.get(bytes([b]), 1 << 30) for b in range(256)]
+        if any(b <= a for a, b in zip(made, made[1:])) or not made or max(single) >= made[0] or len(ranks) != 256 + len(made):
+            return None
+        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+        for token, i in ranks.items():
+            self.sizes[i] = len(token)
+        return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def spaced_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of " " + word for words without spaces, one after the other, and
+        their numbers. Words are neither empty nor end in white space."""
+        if self.ranked is not None and len(words):
+            buf, off = text_buffer(words)
+            text = np.insert(buf, off[:-1], 32).tobytes().decode()
+            ids = self.ranked.encode_to_numpy(text)
+            ends = off[1:] + np.arange(1, len(off))
+            at = np.cumsum(self.sizes[ids])
+            cut = np.searchsorted(at, ends)
+            if cut[-1] == len(ids) - 1 and (at[cut] == ends).all():
+                return ids.astype(np.uint32), np.diff(cut + 1, prepend=0)
+        parts = [self._after_space(w) for w in words.to_pylist()]
+        return np.frombuffer(b"".join(parts), "<u4"), np.fromiter((len(x) >> 2 for x in parts), np.int64, len(parts))
+
+    def learn(self, pre_tokens) -> None:
+        """Take pre-tokens of a batch into the cache, those that begin with a space together."""
+        if len(self.known) >= CACHE // 2:
+            self.known.old = dict(self.known)
+            self.known.clear()
+        new = {p for p in pre_tokens if p not in self.known}
+        words = [p[1:] for p in new if len(p) > 1 and p[0] == " " and not p[-1].isspace()]
+        ids, n = self.spaced_ids(pa.array(words, pa.large_string()))
+        at = 0
+        for w, k in zip(words, n.tolist()):
+            self.known[" " + w] = ids[at:at + k].tobytes()
+            at += k
+
+    def encode_batch(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a string column (null is empty), one after the
+        other, and the offsets of each."""
+        column = column.fill_null("").cast(pa.large_string())
+        texts = column.to_pylist()
+        runs = _with_runs(*text_buffer(column))
+        plain = [i for i, t in enumerate(texts) if t and not runs[i] and self.sure(t)]
+        words = pc.split_pattern(column.take(pa.array(plain, pa.int64())), " ")
+        per = pc.list_value_length(words).to_numpy()
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary
+        ends_in_space = _ends_in_space(*text_buffer(distinct))
+        ids, n = self.spaced_ids(distinct.filter(pa.array(~ends_in_space)))
+        rest = [self._after_space(w) for w in distinct.filter(pa.array(ends_in_space)).to_pylist()]
+        # entries: distinct words after a space, then first words and the other texts by themselves
+        firsts = {i: b"".join(self.ids_of(self.split(texts[i].split(" ", 1)[0]))) for i in plain}
+        held = set(plain)
+        alone = [firsts[i] if i in held else self.encode(t) for i, t in enumerate(texts)]
+        extra = rest + alone
+        flat = np.concatenate([ids, np.frombuffer(b"".join(extra), "<u4")])
+        sizes = np.zeros(len(distinct) + len(alone), np.int64)
+        own = sizes[:len(distinct)]
+        own[~ends_in_space] = n
+        own[ends_in_space] = [len(x) >> 2 for x in rest]
+        sizes[len(distinct):] = [len(x) >> 2 for x in alone]
+        starts = np.zeros(len(sizes), np.int64)
+        order = np.concatenate([np.flatnonzero(~ends_in_space), np.flatnonzero(ends_in_space), np.arange(len(distinct), len(sizes))])
+        starts[order] = np.cumsum(sizes[order]) - sizes[order]
+        # one entry per word of a plain text (its first word by itself), one per other text
+        count = np.ones(len(texts), np.int64)
+        count[plain] = per
+        begin = np.cumsum(count) - count
+        entry = np.zeros(int(count.sum()), np.int64)
+        if plain:
+            where = np.repeat(begin[plain] - (np.cumsum(per) - per), per) + np.arange(int(per.sum()))
+            entry[where] = coded.indices.to_numpy()
+        entry[begin] = len(distinct) + np.arange(len(texts))
+        many = sizes[entry]
+        stop = np.cumsum(many)
+        total = int(stop[-1]) if len(stop) else 0
+        out = flat[np.repeat(starts[entry] - (stop - many), many) + np.arange(total)]
+        off = np.concatenate(([0], stop))
+        return out, off[np.append(begin, len(entry))]
+
     def whole(self, text: str) -> bytes:
         """Ids by the library alone, as little-endian 32-bit numbers."""
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()

@@ -4,7 +4,9 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
 from tests.llm.cases import edge_docs, near_docs, no_docs
@@ -28,6 +30,48 @@ def test_ids_equal_the_library(enc):
         assert enc.encode(t) == np.array(enc.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
 
 
+def library_ids(enc, texts):
+    return [enc.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def batch_ids(enc, texts):
+    ids, off = enc.encode_batch(pa.array(texts, pa.string()))
+    assert len(off) == len(texts) + 1 and off[0] == 0 and off[-1] == len(ids)
+    return [ids[a:b].tolist() for a, b in zip(off, off[1:])]
+
+
+@pytest.mark.parametrize("ranked", [True, False])
+def test_batches_of_texts_have_the_library_s_ids(ranked):
+    enc = Encoder(PATH)
+    assert enc.ranked is not None
+    if not ranked:
+        enc.ranked = None                    # files whose merges are not in the order of their ids
+    rng = random.Random(6)
+    for _ in range(120):
+        texts = ["".join(rng.choice(PARTS + [" '", " 's", "\t", "x\n", "word" + str(rng.randrange(50))]) for _ in range(rng.randrange(12)))
+                 for _ in range(rng.randrange(25))] + [None] * rng.randrange(2)
+        assert batch_ids(enc, texts) == library_ids(enc, texts), texts
+    for texts in ([], [""], [None, None], [" "], ["a\n"], ["a b\xa0", "b\x0b c"], ["one"], ["x " * 3000 + "end"], ["\u0130stanbul \u01c5 \u0149x"]):
+        assert batch_ids(enc, texts) == library_ids(enc, texts), texts
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.characters(min_codepoint=1, max_codepoint=0x2FF), max_size=30), max_size=6))
+def test_any_latin_batch_has_the_library_s_ids(texts):
+    from corpusmill.llm.token_ids import encoder
+    enc = encoder(PATH)
+    assert batch_ids(enc, texts) == library_ids(enc, texts)
+
+
+def test_learned_pre_tokens_have_the_library_s_ids():
+    enc, plain = Encoder(PATH), Encoder(PATH)
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(PARTS) + rng.choice(["", f"w{rng.randrange(999)}"]) for _ in range(40)) for _ in range(30)]
+    cut = [p for t in texts for p in enc.pre_tokens(t)]
+    enc.learn(cut)
+    assert enc.ids_of(cut) == plain.ids_of(cut)
+
+
 def test_tree_counts_equal_whole_counts_after_edits():
     enc = Encoder(PATH)
     plain = Tokenizer.from_file(PATH)
