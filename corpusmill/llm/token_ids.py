@@ -134,22 +134,52 @@ class Encoder:
         parts = [self._after_space(w) for w in words.to_pylist()]
         return np.frombuffer(b"".join(parts), "<u4"), np.fromiter((len(x) >> 2 for x in parts), np.int64, len(parts))
 
-    def learn(self, pre_tokens) -> None:
-        """Take pre-tokens of a batch into the cache, those that begin with a space together."""
-        if len(self.known) >= CACHE // 2:
-            self.known.old = dict(self.known)
-            self.known.clear()
-        new = {p for p in pre_tokens if p not in self.known}
-        words = [p[1:] for p in new if len(p) > 1 and p[0] == " " and not p[-1].isspace()]
-        ids, n = self.spaced_ids(pa.array(words, pa.large_string()))
-        at = 0
-        for w, k in zip(words, n.tolist()):
-            self.known[" " + w] = ids[at:at + k].tobytes()
-            at += k
+    def spaced_counts(self, words: pa.Array) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+        """Characters and tokens of the pre-tokens of " " + word, as spaced_ids."""
+        ids, n = self.spaced_ids(words)
+        buf, off = text_buffer(words)
+        parts = self.split(np.insert(buf, off[:-1], 32).tobytes().decode())
+        chars = np.fromiter(map(len, parts), np.int64, len(parts))
+        size = np.fromiter((k if p.isascii() else len(p.encode()) for k, p in zip(chars.tolist(), parts)), np.int64, len(parts))
+        ends = np.cumsum(size)
+        at = np.cumsum(self.sizes[ids])
+        cut, words_at = np.searchsorted(at, ends), np.searchsorted(ends, off[1:] + np.arange(1, len(off)))
+        return (chars, np.diff(cut + 1, prepend=0)), np.diff(words_at + 1, prepend=0)
+
+    def counts(self, pre_tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(characters, tokens) of each pre-token."""
+        return (np.fromiter(map(len, pre_tokens), np.int64, len(pre_tokens)),
+                np.fromiter((len(x) >> 2 for x in self.ids_of(pre_tokens)), np.int64, len(pre_tokens)))
 
     def encode_batch(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a string column (null is empty), one after the
         other, and the offsets of each."""
+        def easy(words):
+            ids, n = self.spaced_ids(words)
+            return (ids,), n
+
+        def one(ids: bytes):
+            return (np.frombuffer(ids, "<u4"),)
+        (ids,), off = self._by_words(column, easy, lambda w: one(self._after_space(w)),
+                                     lambda w: one(b"".join(self.ids_of(self.split(w)))), lambda t: one(self.encode(t)), (np.uint32,))
+        return ids, off
+
+    def count_batch(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Characters and tokens of all pre-tokens of a string column (null is
+        empty; special tokens are ordinary text), and the offsets of each text."""
+        def easy(words):
+            if self.ranked is not None and len(words):
+                return self.spaced_counts(words)
+            parts = [self.split(" " + w) for w in words.to_pylist()]
+            return self.counts([p for own in parts for p in own]), np.array([len(own) for own in parts], np.int64)
+        (chars, tokens), off = self._by_words(column, easy, lambda w: self.counts(self.split(" " + w)), lambda w: self.counts(self.split(w)),
+                                              lambda t: self.counts(self.pre_tokens(t)), (np.int64, np.int64))
+        return chars, tokens, off
+
+    def _by_words(self, column: pa.Array, easy, rest, first, other, kinds):
+        """Values of texts, from values of their distinct words (``easy`` takes
+        all words after a space at once, ``rest`` one that ends in white space), of first
+        words, and of ``other`` texts that cannot be cut at spaces."""
         column = column.fill_null("").cast(pa.large_string())
         texts = column.to_pylist()
         runs = _with_runs(*text_buffer(column))
@@ -159,21 +189,16 @@ class Encoder:
         coded = words.flatten().dictionary_encode()
         distinct = coded.dictionary
         ends_in_space = _ends_in_space(*text_buffer(distinct))
-        ids, n = self.spaced_ids(distinct.filter(pa.array(~ends_in_space)))
-        rest = [self._after_space(w) for w in distinct.filter(pa.array(ends_in_space)).to_pylist()]
+        values, n = easy(distinct.filter(pa.array(~ends_in_space)))
         # entries: distinct words after a space, then first words and the other texts by themselves
-        firsts = {i: b"".join(self.ids_of(self.split(texts[i].split(" ", 1)[0]))) for i in plain}
         held = set(plain)
-        alone = [firsts[i] if i in held else self.encode(t) for i, t in enumerate(texts)]
-        extra = rest + alone
-        flat = np.concatenate([ids, np.frombuffer(b"".join(extra), "<u4")])
-        sizes = np.zeros(len(distinct) + len(alone), np.int64)
-        own = sizes[:len(distinct)]
-        own[~ends_in_space] = n
-        own[ends_in_space] = [len(x) >> 2 for x in rest]
-        sizes[len(distinct):] = [len(x) >> 2 for x in alone]
-        starts = np.zeros(len(sizes), np.int64)
+        extra = [rest(w) for w in distinct.filter(pa.array(ends_in_space)).to_pylist()]
+        extra += [first(t.split(" ", 1)[0]) if i in held else other(t) for i, t in enumerate(texts)]
+        flat = [np.concatenate([v, *(x[k] for x in extra)]).astype(kind) for k, (v, kind) in enumerate(zip(values, kinds))]
+        sizes = np.zeros(len(distinct) + len(texts), np.int64)
         order = np.concatenate([np.flatnonzero(~ends_in_space), np.flatnonzero(ends_in_space), np.arange(len(distinct), len(sizes))])
+        sizes[order] = np.concatenate([n, [len(x[0]) for x in extra]])
+        starts = np.zeros(len(sizes), np.int64)
         starts[order] = np.cumsum(sizes[order]) - sizes[order]
         # one entry per word of a plain text (its first word by itself), one per other text
         count = np.ones(len(texts), np.int64)
@@ -186,10 +211,9 @@ class Encoder:
         entry[begin] = len(distinct) + np.arange(len(texts))
         many = sizes[entry]
         stop = np.cumsum(many)
-        total = int(stop[-1]) if len(stop) else 0
-        out = flat[np.repeat(starts[entry] - (stop - many), many) + np.arange(total)]
+        at = np.repeat(starts[entry] - (stop - many), many) + np.arange(int(stop[-1]) if len(stop) else 0)
         off = np.concatenate(([0], stop))
-        return out, off[np.append(begin, len(entry))]
+        return [f[at] for f in flat], off[np.append(begin, len(entry))]
 
     def whole(self, text: str) -> bytes:
         """Ids by the library alone, as little-endian 32-bit numbers."""

@@ -17,8 +17,6 @@ an empty result.
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,9 +40,8 @@ class DocumentTree:
         self.base = len(chars) // 2
 
     @classmethod
-    def build(cls, text: str, enc, parts: list[str] | None = None) -> DocumentTree:
-        """``parts``: the text's pre-tokens, where they are known."""
-        return cls._of(text, *_leaves(*_counts(text, enc, parts)))
+    def build(cls, text: str, enc) -> DocumentTree:
+        return cls._of(text, *_leaves(*_counts(text, enc)))
 
     @classmethod
     def _of(cls, text, chars, tokens):
@@ -137,11 +134,9 @@ class DocumentTree:
         return k
 
 
-def _counts(text: str, enc, parts: list[str] | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _counts(text: str, enc) -> tuple[np.ndarray, np.ndarray]:
     """(characters, tokens) of each pre-token."""
-    parts = enc.pre_tokens(text) if parts is None else parts
-    return (np.fromiter(map(len, parts), np.int64, len(parts)),
-            np.fromiter((len(x) >> 2 for x in enc.ids_of(parts)), np.int64, len(parts)))
+    return enc.counts(enc.pre_tokens(text))
 
 
 def _leaves(chars, tokens):
@@ -161,11 +156,10 @@ def build_trees(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text
     def work(batches):
         enc = encoder(tokenizer)
         for part in pieces(batches):
-            texts = [x or "" for x in part["text"].to_pylist()]
-            cut = [enc.pre_tokens(x) for x in texts]
-            enc.learn(chain.from_iterable(cut))                # new pre-tokens of the whole part together
-            trees = [DocumentTree.build(x, enc, p) for x, p in zip(texts, cut)]
-            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([t.text for t in trees], pa.string()),
+            texts = part["text"].fill_null("")
+            chars, tokens, off = enc.count_batch(texts)        # distinct words of the whole part once
+            trees = [DocumentTree._of("", *_leaves(chars[a:b], tokens[a:b])) for a, b in zip(off, off[1:])]
+            yield pa.RecordBatch.from_arrays([part["doc_id"], texts,
                                               _lists([t.chars for t in trees], pa.int32()),
                                               _lists([t.tokens for t in trees], pa.int32())], ["doc_id", "text", "chars", "tokens"])
 

@@ -63,13 +63,20 @@ def test_any_latin_batch_has_the_library_s_ids(texts):
     assert batch_ids(enc, texts) == library_ids(enc, texts)
 
 
-def test_learned_pre_tokens_have_the_library_s_ids():
+@pytest.mark.parametrize("ranked", [True, False])
+def test_batch_counts_are_those_of_each_text(ranked):
     enc, plain = Encoder(PATH), Encoder(PATH)
+    if not ranked:
+        enc.ranked = None
     rng = random.Random(9)
-    texts = ["".join(rng.choice(PARTS) + rng.choice(["", f"w{rng.randrange(999)}"]) for _ in range(40)) for _ in range(30)]
-    cut = [p for t in texts for p in enc.pre_tokens(t)]
-    enc.learn(cut)
-    assert enc.ids_of(cut) == plain.ids_of(cut)
+    for _ in range(60):
+        texts = ["".join(rng.choice(PARTS + ["x\n", "\t"]) + rng.choice(["", f"w{rng.randrange(99)}"]) for _ in range(rng.randrange(20)))
+                 for _ in range(rng.randrange(20))] + [None]
+        chars, tokens, off = enc.count_batch(pa.array(texts, pa.string()))
+        for t, a, b in zip(texts, off, off[1:]):
+            parts = plain.pre_tokens(t or "")
+            assert chars[a:b].tolist() == [len(p) for p in parts]
+            assert tokens[a:b].tolist() == [len(x) >> 2 for x in plain.ids_of(parts)]
 
 
 def test_tree_counts_equal_whole_counts_after_edits():
