@@ -140,6 +140,7 @@ def _filter_rows(length: int, bits: int, stored: int):
             if not parts:
                 continue
             doc, pos, h = (np.concatenate(x) for x in zip(*parts))
+            h = mix(h)                                        # anchors are the smallest hashes: mixed again, the ranges are even
             key = numbers(b["key"])[doc]
             order = np.lexsort((pos, key, h))
             h, key, pos = h[order], key[order], pos[order]
@@ -158,14 +159,13 @@ def _filter_rows(length: int, bits: int, stored: int):
             part = (hs >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hs), np.int64)
             order = np.lexsort((ask, idx, part))              # by range, then text: the numbers of a text compress well
             hs, idx, ask, part = hs[order], idx[order], ask[order], part[order]
-            cuts = np.searchsorted(part, np.arange((1 << bits) + 1))
+            ranges, cuts = np.unique(part, return_index=True)      # those that the batch has
+            cuts = np.append(cuts, len(part))
             hs = (hs << np.uint64(bits)) >> np.uint64(64 - 8 * stored)
             rows = []
-            for r in range(1 << bits):
-                lo, hi = cuts[r], cuts[r + 1]
-                if hi > lo:
-                    used, own = np.unique(idx[lo:hi], return_inverse=True)
-                    rows.append((r, _planes(hs[lo:hi], stored), _planes(own.astype(np.uint16)), _planes(ask[lo:hi]), _planes(names[used])))
+            for r, lo, hi in zip(ranges.tolist(), cuts, cuts[1:]):
+                used, own = np.unique(idx[lo:hi], return_inverse=True)
+                rows.append((r, _planes(hs[lo:hi], stored), _planes(own.astype(np.uint16)), _planes(ask[lo:hi]), _planes(names[used])))
             for k, p in _by_key(key[known], pos[known].astype(np.int32)):
                 rows.append((-1 - int(k) % (1 << bits), b"", b"", p, int(k).to_bytes(8, "little", signed=True)))
             kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
@@ -305,6 +305,40 @@ def window_classes(buf, start, lead, n, bucket, length: int):
     return out, who
 
 
+def _class_numbers(keys: list) -> np.ndarray:
+    """A number per row, equal for rows that are equal in all keys."""
+    order = np.lexsort(keys)
+    fresh = np.zeros(len(order), bool)
+    for key in keys:
+        fresh[1:] |= key[order][1:] != key[order][:-1]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(fresh)
+    return out
+
+
+def bucket_lows(buf, start, lead, n, doc, length: int) -> np.ndarray:
+    """One bucket: the smallest doc_id of each window's class, contexts in
+    order. Like window_classes(), but one distance from the anchor at a time: there
+    the cover block starts at the same byte of every window, and only its rank
+    and the bytes around it are held, some hundred bytes per context."""
+    block = length - EDGE
+    wcut = np.concatenate(([0], np.cumsum(n)))
+    out = np.empty(int(wcut[-1]), np.int64)
+    edge = np.arange(EDGE)
+    for gap in range(-int(lead.max()), int((n - lead).max())):
+        own = np.flatnonzero((gap >= -lead) & (gap < n - lead))
+        if not len(own):
+            continue
+        at = start[own] + lead[own] + gap
+        step = _STEP[gap % PERIOD]
+        rank = _class_numbers(_words(buf, at + step, np.arange(block)))
+        cls = _class_numbers([*_words(buf, at, np.where(edge < step, edge, edge + block)), rank])
+        low = np.full(int(cls.max()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(low, cls, doc[own])
+        out[wcut[own] + lead[own] + gap] = low[cls]
+    return out
+
+
 def _objects(values: list) -> np.ndarray:
     out = np.empty(len(values), object)
     out[:] = values
@@ -322,7 +356,8 @@ def _context_hash(data: list[bytes], lead, n, h) -> np.ndarray:
     return mix((sums[cut[1:]] - sums[cut[:-1]]) * down[cut[:-1]] + size * np.uint64(4096) + lead.astype(np.uint64)).view(np.int64)
 
 
-CHUNK = 5_000                 # contexts sorted together
+CHUNK = 2_000                 # contexts sorted together
+HOT = 1_000                   # a bucket of more contexts is sorted one distance from the anchor at a time
 
 
 def _first_docs(length: int):
@@ -341,12 +376,15 @@ def _first_docs(length: int):
         multi = np.flatnonzero(many)
         if len(multi):
             buf = np.frombuffer(b"".join([data[i] for i in multi]), np.uint8)
-            nn = n[multi].astype(np.int64)
+            nn, ll = n[multi].astype(np.int64), lead[multi].astype(np.int64)
             start = np.concatenate(([0], np.cumsum(nn + length - 1)))[:-1]
-            cls, who = window_classes(buf, start, lead[multi].astype(np.int64), nn, np.unique(h[multi], return_inverse=True)[1], length)
-            low = np.full(cls.max() + 1, np.iinfo(np.int64).max)
-            np.minimum.at(low, cls, doc[multi][who])
-            low = low[cls]
+            if len(cut) == 2 and len(multi) > HOT:
+                low = bucket_lows(buf, start, ll, nn, doc[multi], length)
+            else:
+                cls, who = window_classes(buf, start, ll, nn, np.unique(h[multi], return_inverse=True)[1], length)
+                low = np.full(cls.max() + 1, np.iinfo(np.int64).max)
+                np.minimum.at(low, cls, doc[multi][who])
+                low = low[cls]
             at = np.concatenate(([0], np.cumsum(nn)))
             for k, i in enumerate(multi):
                 own = low[at[k]:at[k + 1]]
@@ -355,28 +393,52 @@ def _first_docs(length: int):
         return pa.RecordBatch.from_arrays([pa.array(h), pa.array(ctx), pa.array(doc), pa.array(firsts, pa.binary())],
                                           ["h", "ctx", "low", "firsts"])
 
+    def parts(cols):
+        """Whole buckets, several small ones together, a large one by itself."""
+        h = cols[0]
+        starts = np.append(np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))), len(h))
+        at = 0
+        for a, z in zip(starts[:-1], starts[1:]):
+            if z - a > HOT:
+                if a > at:
+                    yield solve(*[c[at:a] for c in cols])
+                yield from sliced(solve(*[c[a:z] for c in cols]))
+                at = z
+            elif z - at > CHUNK:
+                if a > at:
+                    yield solve(*[c[at:a] for c in cols])
+                at = a
+        if at < len(h):
+            yield solve(*[c[at:] for c in cols])
+
+    def sliced(batch):
+        for at in range(0, batch.num_rows, CHUNK):
+            yield batch.slice(at, CHUNK)
+
     def work(batches):
-        held = None
+        held = []                                             # pieces of the last bucket so far
         for b in batches:
             cols = [numbers(b[c]) for c in ("h", "doc_id", "lead", "n")] + [_objects(b["bytes"].to_pylist())]
-            if held is not None:
-                cols = [np.concatenate(x) for x in zip(held, cols)]
             h, _, lead, _, data = cols
             if not len(h):
                 continue
             keep = np.concatenate(([True], (h[1:] != h[:-1]) | (lead[1:] != lead[:-1]) | (data[1:] != data[:-1])))
+            if held:
+                keep[0] = (held[-1][0][-1], held[-1][2][-1], held[-1][4][-1]) != (h[0], lead[0], data[0])
             cols = [c[keep] for c in cols]
             h = cols[0]
+            if not len(h):
+                continue
             last = int(np.searchsorted(h, h[-1]))             # the last bucket may go on
-            starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-            at = 0
-            while at < last:
-                nxt = starts[np.searchsorted(starts, min(at + CHUNK, last), "left")] if at + CHUNK < last else last
-                yield solve(*[c[at:nxt] for c in cols])
-                at = int(nxt)
-            held = [c[last:] for c in cols]
-        if held is not None and len(held[0]):
-            yield solve(*held)
+            if held and (last or h[0] != held[-1][0][-1]):
+                held.append([c[:last] for c in cols])
+                yield from parts([np.concatenate(x) for x in zip(*held)])
+                held = []
+            elif last:
+                yield from parts([c[:last] for c in cols])
+            held.append([c[last:] for c in cols])
+        if held:
+            yield from parts([np.concatenate(x) for x in zip(*held)])
 
     return work
 

@@ -87,3 +87,63 @@ def test_stage(spark):
     assert set(out) == {i for i, n in want.items() if n}
     assert all(len(out[i].text.encode()) == want[i] for i in out)
     assert S.stage(spark, edge_docs(spark), None).columns == edge_docs(spark).columns
+
+
+def test_hot_buckets_one_distance_at_a_time(spark, monkeypatch):
+    for seed, hot in ((5, 1), (6, 2)):
+        monkeypatch.setattr(S, "HOT", hot)
+        monkeypatch.setattr(S, "CHUNK", 3)
+        rows, df = near_docs(spark, seed)
+        assert run(df) == brute(rows)
+        assert run(df, length=33) == brute(rows, 33)
+
+
+def _hot_bucket(n, length=50, seed=1):
+    """Contexts around one anchor: bytes that all share, then bytes of their own."""
+    rng = np.random.default_rng(seed)
+    k = S.kmer_of(length)
+    shared = rng.integers(97, 123, 40 - k, np.uint8).tobytes()
+    rows = sorted((20, shared + rng.integers(97, 100, 30, np.uint8).tobytes(), i) for i in range(n))
+    rows = [(lead, shared[:20] + data[20:], i) for lead, data, i in rows]
+    return rows, k
+
+
+def _solved(rows, k, length=50, size=1000):
+    import pyarrow as pa
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+
+    def batches():
+        for at in range(0, len(rows), size):
+            part = rows[at:at + size]
+            cols = [[7] * len(part), [i for _, _, i in part], [a for a, _, _ in part], [len(d) + k - length + 1 for _, d, _ in part], [d for _, d, _ in part]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["h", "doc_id", "lead", "n", "bytes"])
+    out = {}
+    for b in S._first_docs(length)(batches()):
+        for low, firsts in zip(b["low"].to_pylist(), b["firsts"].to_pylist()):
+            out[low] = None if firsts is None else np.frombuffer(firsts, np.int64).tolist()
+    return out
+
+
+def test_a_hot_bucket_against_all_windows(monkeypatch):
+    rows, k = _hot_bucket(400)
+    monkeypatch.setattr(S, "HOT", 10)
+    got = _solved(rows, k, size=64)
+    whole = {i: d[:lead] + bytes(k) + d[lead:] for lead, d, i in rows}
+    first = {}
+    for i in sorted(whole):
+        for p in range(len(whole[i]) - 49):
+            first.setdefault((p - 20, whole[i][p:p + 50]), i)
+    for i, b in whole.items():
+        want = [first[p - 20, b[p:p + 50]] for p in range(len(b) - 49)]
+        assert (got[i] or [i] * len(want)) == want
+
+
+def test_a_hundred_thousand_contexts_around_one_anchor():
+    import tracemalloc
+    rows, k = _hot_bucket(100_000)
+    tracemalloc.start()
+    got = _solved(rows, k)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # distinct contexts only; the whole run, results included
+    assert len(got) == len({d for _, d, _ in rows}) and peak < 300 << 20
