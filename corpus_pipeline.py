@@ -10,13 +10,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusmill.llm import common, decontam, ngram_join, packing, suffix_dedup, toxicity
 
-STAGES = [
+
+_left: dict[int, list[str]] = {}      # tables that the last call of each stage made
+
+
+def _stage(k: int, stage):
+    """Stage number k. What stage k - 1 left behind goes first: its output is
+    written and read again as ``docs``, so its own tables and shuffle files are
+    not needed any more."""
+    def run(spark, docs, sf_dir):
+        common.discard(spark, _left.pop(k - 1, []))
+        common.release(spark)
+        held = common.made()
+        out = stage(spark, docs, sf_dir)
+        _left[k] = [t for t in common.made() if t not in held]
+        return out
+    return run
+
+
+STAGES = [(name, _stage(k, stage)) for k, (name, stage) in enumerate([
     ("toxicity", toxicity.stage),
     ("ngram_join", ngram_join.stage),
     ("suffix_dedup", suffix_dedup.stage),
     ("decontamination", decontam.stage),
     ("packing", packing.stage),
-]
+])]
 
 # The label model, tokenizer ids and the latent retrieval are not SQL. Only
 # ngram_join.stage and suffix_dedup.stage are tested against brute-force

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -44,11 +46,30 @@ def drop(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def made() -> list[str]:
+    """The tables that this session still holds."""
+    return list(_MADE)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete some of them."""
+    for path in paths:
+        if path in _MADE:
+            _MADE.remove(path)
+            _delete(spark, path)
+
+
 def sweep(spark: SparkSession) -> None:
     """The caller's clean-up: deletes every table this session still holds.
     Call it when results made from them have been consumed."""
-    while _MADE:
-        _delete(spark, _MADE.pop())
+    discard(spark, made())
+
+
+def release(spark: SparkSession) -> None:
+    """Ask for the shuffle files of plans that nobody holds any more: Spark
+    deletes them once the driver's collector has met their plans."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def _delete(spark: SparkSession, path: str) -> None:

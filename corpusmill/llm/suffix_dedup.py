@@ -30,6 +30,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import BYTE_CODE, mix, numbers, pick, pieces, powers, quoted, small_batches, text_buffer
 
 LENGTH = 50
-RANGE_ENTRIES = 1_500_000     # anchors that one task of the filter aims at
+RANGE_ENTRIES = 3_000_000     # anchors that one task of the filter aims at
 BLOCK = 1 << 18               # bytes hashed together: keeps the arrays of a task small
 COVER, PERIOD = (0, 1, 3, 9), 13      # a difference cover modulo 13
 EDGE = 18                     # bytes of a window that are compared directly
@@ -188,7 +189,7 @@ def _by_key(key, pos):
 
 
 def _shared_anchors(table: pa.Table, stored: int) -> pa.Table:
-    """One hash range: (key, positions) of the anchors that two texts have."""
+    """One hash range: (key, position) of the anchors that two texts have."""
     h, d, p, k = (table[c].to_pylist() for c in "hdpk")
     if table["r"][0].as_py() < 0:
         key = np.concatenate([np.repeat(np.frombuffer(x, "<i8"), len(y) // 4) for x, y in zip(k, p)])
@@ -206,8 +207,11 @@ def _shared_anchors(table: pa.Table, stored: int) -> pa.Table:
         shared = (np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)) | (np.minimum.reduceat(pos[order], first) < 0)
         hit = np.repeat(shared, size) & (pos[order] >= 0)
         key, pos = own[hit], pos[order][hit]
-    got = list(_by_key(key, pos))
-    return pa.table({"key": pa.array([int(x[0]) for x in got], pa.int64()), "pos": pa.array([x[1] for x in got], pa.binary())})
+    order = np.lexsort((pos, key))
+    key, pos = key[order], pos[order].astype(np.int32)
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (pos[1:] != pos[:-1])
+    return pa.table({"key": pa.array(key[new].astype(np.int64)), "pos": pa.array(pos[new])})
 
 
 # ---------------------------------------------------------------- contexts and occurrences
@@ -222,8 +226,8 @@ def _runs_of(length: int, contexts: bool):
         for b in pieces(batches, "packed", PACKED):
             buf, off = _unpacked(b["packed"])
             ids = numbers(b["doc_id"])
-            asked = [np.frombuffer(b"".join(x.as_py()), np.int32).astype(np.int64) + (i << 32) for i, x in enumerate(b["pos"])]
-            asked = np.unique(np.concatenate(asked)) if asked else np.zeros(0, np.int64)
+            who = np.repeat(np.arange(b.num_rows), pc.list_value_length(b["pos"]).to_numpy(zero_copy_only=False))
+            asked = np.unique((who << 32) + b["pos"].flatten().to_numpy(zero_copy_only=False))
             parts = []
             for x in anchor_runs(buf, off, length):
                 at = (x[0] << 32) + x[1]
@@ -487,7 +491,7 @@ PACKED = 1 << 20              # bytes of packed texts taken together
 
 def _packed(batches):
     """Texts as zstd frames: half the bytes to shuffle."""
-    press = zstandard.ZstdCompressor(level=1)
+    press = zstandard.ZstdCompressor(level=3)
     for b in pieces(batches):
         z = [press.compress(x) for x in b["text"].cast(pa.binary()).to_pylist()]
         yield pa.RecordBatch.from_arrays([b["doc_id"], b["key"], b["key2"], pa.array(z, pa.binary())], ["doc_id", "key", "key2", "packed"])
@@ -524,7 +528,7 @@ def cut_texts(texts: DataFrame, length: int = LENGTH, range_entries: int = RANGE
     stored = min(8, max(4, -(-(entries.bit_length() + 10 - bits) // 8)))
     long = texts.where(F.col("n_bytes") >= length)
     shared = (long.select("key", "text").mapInArrow(_filter_rows(length, bits, stored), "r long, h binary, d binary, p binary, k binary")
-              .groupBy("r").applyInArrow(lambda t: _shared_anchors(t, stored), "key long, pos binary")
+              .groupBy("r").applyInArrow(lambda t: _shared_anchors(t, stored), "key long, pos int")
               .groupBy("key").agg(F.collect_list("pos").alias("pos")))
     same = ["doc_id", "key", "key2"]
     bodies = long.select(*same, "text").mapInArrow(_packed, "doc_id long, key long, key2 long, packed binary")

@@ -30,7 +30,7 @@ def test_scratch_tables_can_be_swept(spark):
 
 
 def test_one_query_per_operator():
-    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 14))
 
 
 def test_components_of_hard_shapes(spark):
