@@ -29,11 +29,13 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from corpusmill.llm.common import BYTE_CODE, mix, numbers, pick, pieces, powers, quoted, small_batches, text_buffer
 
@@ -511,10 +513,10 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 SAME = ["key", "key2", "n_bytes"]
 
 
-def cut_texts(texts: DataFrame, length: int = LENGTH, range_entries: int = RANGE_ENTRIES, with_text: bool = True) -> DataFrame:
-    """(doc_id, key, key2, removed, spans, sha, [kept]) of the texts (doc_id,
-    key, key2, n_bytes, text) that lose bytes to another text. Of exact copies
-    only the one with the smallest doc_id is looked at."""
+def removed_spans(texts: DataFrame, length: int = LENGTH, range_entries: int = RANGE_ENTRIES) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, key2, spans) of the texts (doc_id, key, key2, n_bytes, text)
+    that lose bytes to another text, and all long texts packed (doc_id, key, key2, packed). Of
+    exact copies only the one with the smallest doc_id is looked at."""
     if not 32 <= length < 4096:
         raise ValueError("length must be from 32 to 4095 bytes")
     small_batches(texts.sparkSession)
@@ -542,27 +544,44 @@ def cut_texts(texts: DataFrame, length: int = LENGTH, range_entries: int = RANGE
              .groupBy("doc_id", "nth").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
              .mapInArrow(_merged, "doc_id long, nth int, spans array<struct<s: int, e: int>>"))
 
+    return distinct.join(spans, ["doc_id", "nth"]).select(*same, "spans"), bodies
+
+
+def cut_digests(texts: DataFrame, length: int = LENGTH, range_entries: int = RANGE_ENTRIES) -> DataFrame:
+    """(doc_id, key, key2, removed, spans, sha) of the texts that lose bytes to
+    another text: bytes and runs removed, and the SHA-256 of what stays."""
+    same = ["doc_id", "key", "key2"]
+    gone, bodies = removed_spans(texts, length, range_entries)
+
     def cut(batches):
         for b in pieces(batches, "packed", PACKED):
             buf, off = _unpacked(b["packed"])
             rows = []
             for i, x in enumerate(b["spans"]):
-                own = buf[off[i]:off[i + 1]]
                 flat = x.values
-                s, e = merge_spans(numbers(flat.field("s")), numbers(flat.field("e")))
-                keep = np.ones(len(own), bool)
-                for a, z in zip(s, e):
-                    keep[a:z] = False
-                kept = own[keep].tobytes()
-                rows.append((int((e - s).sum()), len(s), hashlib.sha256(kept).hexdigest(),
-                             kept.decode("utf-8", "ignore") if with_text else None))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
-            cols = [pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["key"], b["key2"], *cols], [*same, "removed", "spans", "sha", "kept"])
-
-    gone = distinct.join(spans, ["doc_id", "nth"]).select(*same, "spans")
+                kept, s, e = _without(buf[off[i]:off[i + 1]], numbers(flat.field("s")), numbers(flat.field("e")))
+                rows.append((int((e - s).sum()), len(s), hashlib.sha256(kept).hexdigest()))
+            cols = [pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["key"], b["key2"], *cols], [*same, "removed", "spans", "sha"])
+
     return bodies.join(gone, same).select(*same, "packed", "spans") \
-        .mapInArrow(cut, "doc_id long, key long, key2 long, removed long, spans long, sha string, kept string").dropDuplicates(same)
+        .mapInArrow(cut, "doc_id long, key long, key2 long, removed long, spans long, sha string").dropDuplicates(same)
+
+
+def _without(own: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The bytes outside some spans, and the spans merged."""
+    s, e = merge_spans(s, e)
+    keep = np.ones(len(own), bool)
+    for a, z in zip(s, e):
+        keep[a:z] = False
+    return own[keep].tobytes(), s, e
+
+
+@F.pandas_udf(StringType())
+def _kept_text(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+    """Texts without their spans; bytes of a character that is cut apart go too."""
+    return pd.Series([t if s is None else _without(np.frombuffer((t or "").encode(), np.uint8), s, e)[0].decode("utf-8", "ignore")
+                      for t, s, e in zip(text, starts, ends)], dtype=object)
 
 
 def dedup_bytes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH,
@@ -570,7 +589,7 @@ def dedup_bytes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     src = _keyed(docs, doc_id, text)
     known = src.where("doc_id is not null")
-    changed = cut_texts(known, length, range_entries, with_text=False)
+    changed = cut_digests(known, length, range_entries)
     firsts = known.groupBy(*SAME).agg(F.min("doc_id").alias("first"))
     out = (src.select("doc_id", *SAME, F.sha2("text", 256).alias("own")).join(firsts, SAME, "left")
            .join(changed, ["doc_id", "key", "key2"], "left"))
@@ -590,11 +609,15 @@ def dedup_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     src = _keyed(docs, doc_id, text).where("doc_id is not null")
     firsts = src.groupBy(*SAME).agg(F.min("doc_id").alias("first"))
     copies = src.where(F.col("n_bytes") >= length).select("doc_id", *SAME).join(firsts, SAME).where("first < doc_id") \
-        .select("doc_id", "key", "key2", F.lit("").alias("kept"))
-    changed = cut_texts(src, length).select("doc_id", "key", "key2", "kept").unionByName(copies).dropDuplicates(["doc_id", "key", "key2"])
-    changed = changed.select(F.col("doc_id").alias("_id"), F.col("key").alias("_k"), F.col("key2").alias("_k2"), F.col("kept").alias("_kept"))
+        .select("doc_id", "key", "key2").distinct().withColumn("_copy", F.lit(True))
+    gone, _ = removed_spans(src, length)
+    # spans and marks move to the texts, which move once
+    changed = gone.withColumn("_copy", F.lit(False)).unionByName(copies, allowMissingColumns=True) \
+        .select(F.col("doc_id").alias("_id"), F.col("key").alias("_k"), F.col("key2").alias("_k2"), "_copy", F.col("spans.s").alias("_s"), F.col("spans.e").alias("_e"))
+    own = F.col(f"`{text}`")
     return docs.withColumns(key).join(changed, ["_id", "_k", "_k2"], "left") \
-        .withColumn(text, F.coalesce("_kept", F.col(f"`{text}`"))).withColumn("_cut", F.col("_kept").isNotNull()) \
+        .withColumn("_cut", F.col("_copy").isNotNull()) \
+        .withColumn(text, F.when(F.col("_copy"), F.lit("")).when(F.col("_cut"), _kept_text(own.cast("string"), "_s", "_e")).otherwise(own)) \
         .select(*[quoted(c) for c in docs.columns], "_cut")
 
 
