@@ -600,7 +600,8 @@ def dedup_bytes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
                       F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("sha", "own")).alias("kept_sha256"))
 
 
-def dedup_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+def dedup_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH,
+                range_entries: int = RANGE_ENTRIES // 3) -> DataFrame:
     """The documents with what remains of their texts, all other columns as
     they are. Bytes of a character that is cut apart go too; a document that
     nothing is left of has the empty text."""
@@ -610,7 +611,7 @@ def dedup_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     firsts = src.groupBy(*SAME).agg(F.min("doc_id").alias("first"))
     copies = src.where(F.col("n_bytes") >= length).select("doc_id", *SAME).join(firsts, SAME).where("first < doc_id") \
         .select("doc_id", "key", "key2").distinct().withColumn("_copy", F.lit(True))
-    gone, _ = removed_spans(src, length)
+    gone, _ = removed_spans(src, length, range_entries)
     # spans and marks move to the texts, which move once
     changed = gone.withColumn("_copy", F.lit(False)).unionByName(copies, allowMissingColumns=True) \
         .select(F.col("doc_id").alias("_id"), F.col("key").alias("_k"), F.col("key2").alias("_k2"), "_copy", F.col("spans.s").alias("_s"), F.col("spans.e").alias("_e"))
