@@ -577,13 +577,16 @@ def _without(own: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[bytes, np.n
     return own[keep].tobytes(), s, e
 
 
-@F.pandas_udf(StringType())
-def _kept_text(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+def _kept_texts(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
     """Texts without their spans; bytes of a character that is cut apart go too."""
     return pd.Series([t if s is None else _without(np.frombuffer((t or "").encode(), np.uint8), s, e)[0].decode("utf-8", "ignore")
                       for t, s, e in zip(text, starts, ends)], dtype=object)
 
 
+# nondeterministic for the optimizer: else a later filter on the text would run it a second time
+_kept_text = F.pandas_udf(_kept_texts, StringType()).asNondeterministic()
+
+
 def dedup_bytes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH,
                 range_entries: int = RANGE_ENTRIES) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
