@@ -83,11 +83,11 @@ def pair_summary(df: DataFrame, title_col: str, summary_col: str,
 def with_provenance(df: DataFrame, source_dim: DataFrame, on: str = "source") -> DataFrame:
     """Attach per-source licence / attribution / modality.
 
-    No broadcast hint: Spark broadcasts the dimension when its measured size
-    is small. A key that occurs twice in the dimension fails the job, as it
-    would multiply rows.
+    The dimension has one row per source and is broadcast: dealt out by source,
+    the passages of a large one would be read by one task. A key that occurs
+    twice in the dimension fails the job, as it would multiply rows.
     """
-    return df.join(unique_keys(source_dim, on), on, "left")
+    return df.join(F.broadcast(unique_keys(source_dim, on)), on, "left")
 
 
 def unique_keys(dim: DataFrame, key: str) -> DataFrame:

@@ -93,6 +93,18 @@ def test_licence_policy(spark):
     assert rej == {("s", "scraping_not_permitted"): 1, ("s", "commercial_use_prohibited"): 1}
 
 
+def test_texts_are_not_dealt_out_by_licence_or_source(spark):
+    from corpusmill.operators import pairs
+    # nearly all rows have one licence and one source: no task may read all of them
+    df = spark.createDataFrame([(i, "cc_by", "s", "text") for i in range(50)] + [(50, None, None, "text"), (51, "unheard_of", "t", "text")],
+                               "id long, license_type string, source string, content string")
+    dim = spark.createDataFrame([("s", "x")], "source string, license string")
+    for out in (policy.license_filter(df, policy.policy_table(spark), commercial=True), pairs.with_provenance(df, dim)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning(license_type" not in plan and "hashpartitioning(source#" not in plan.split("BroadcastExchange")[0]
+        assert sorted(r.id for r in out.collect()) == list(range(52))
+
+
 def test_alignment_score_empty_category_is_null(spark):
     df = spark.createDataFrame([(1, "Water flows like WATER; the valley spirit")], "id long, r string")
     cats = {"nature": ["water", "valley spirit", "uncarved block"], "none": []}
