@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill.functions.text import WS_CHARS, _c, hash_bucket
+from corpusmill.session import small_batches
 
 _TOKENIZER_CACHE: dict = {}
 
@@ -77,6 +78,8 @@ def tokenize(df: DataFrame, col: str = "text", out: str = "tokens", drop_text: b
     ``on_error='skip'`` leaves out rows whose text the external tokenizer
     cannot read; ``failed`` counts them (``failed``) during the next action."""
     skip = on_error == "skip"
+    if factory is not None:
+        small_batches(df.sparkSession)
     expr = native_tokens(col) if factory is None else external_ids(col, factory, key, skip)
     res = df.withColumn(out, expr)
     if factory is not None and skip:

@@ -117,3 +117,16 @@ def test_no_window_holds_token_arrays(spark):
     assert windows and not any("_t#" in w for w in windows)
     # below the windows only sizes are read from the arrays
     assert "size(tokens" in plan
+
+
+def test_external_tokenizers_get_bounded_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    try:
+        df = spark.range(5000).selectExpr("id", "string(id) as text").coalesce(1)
+        factory = lambda: lambda texts: [[len(texts)] for _ in texts]
+        sizes = [r.ids[0] for r in T.tokenize(df, "text", "ids", factory=factory, key="sizes").collect()]
+        assert len(sizes) == 5000 and max(sizes) <= 1000
+    finally:
+        spark.conf.set(key, old)
