@@ -233,3 +233,15 @@ def test_store_errors_are_not_taken_for_a_missing_path(spark):
     assert not path_exists(spark, scratch_dir(spark, "nowhere"))
     with pytest.raises(Exception):
         path_exists(spark, "nosuchstore://x/y")
+
+
+def test_page_sources_get_bounded_batches(spark):
+    from corpusmill.sources import pages as P
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    try:
+        P.parsed_items(spark.createDataFrame([(1, "<p>a</p>")], "page_id long, html string"), [(0, P.crawl_source())])
+        assert int(spark.conf.get(key)) <= 1000
+    finally:
+        spark.conf.set(key, old)
