@@ -78,6 +78,54 @@ def to_pairs(df: DataFrame, style: "str | dict[int, str]", templates: list[str]
                     make_ord("source_rank", "doc_ord", "pos").alias("ord"))
 
 
+TITLED = ("quoted", "summary")         # pair styles that read the title
+
+
+def to_contents(df: DataFrame, style: "str | dict[int, str]", templates: list[str] = K.PROMPTS_7) -> DataFrame:
+    """Like ``to_pairs``, with content, title and the name of the style in place
+    of the pair: a pair holds the content twice, so it is made (``with_pairs``)
+    behind the shuffles."""
+    to_pairs(df, style, templates)                      # a source without the columns of its style fails here
+    by_rank = style if isinstance(style, dict) else None
+    named = F.lit(style)
+    if by_rank:
+        named = F.element_at(F.create_map(*[F.lit(x) for r, s in by_rank.items() for x in (r, s)]), F.col("source_rank"))
+    titled = any(s in TITLED for s in (by_rank.values() if by_rank else [style]))
+    return df.select("content", (F.col("title") if titled else F.lit(None)).cast("string").alias("title"), named.alias("_style"),
+                     "source", "language", make_ord("source_rank", "doc_ord", "pos").alias("ord"))
+
+
+def _pair_columns(df: DataFrame, styles: list[str], templates: list[str]) -> tuple[DataFrame, dict]:
+    """A frame with the rows' own pairs (``_own_*``) and those of every style
+    beside them, and the columns of the pair that each row gets."""
+    pair = {c: F.col(f"_own_{c}") for c in ("instruction", "response")}
+    p = df.withColumns({f"_own_{c}": F.col(c) if c in df.columns else F.lit(None).cast("string") for c in pair})
+    if "_style" not in df.columns:
+        return p, pair
+    pair = {c: F.when(F.col("_style").isNull(), x) for c, x in pair.items()}
+    for name in dict.fromkeys(styles):
+        p = _styled(p, name, templates).withColumnsRenamed({c: f"_{name}_{c}" for c in pair})
+        pair = {c: x.when(F.col("_style") == name, F.col(f"_{name}_{c}")) for c, x in pair.items()}
+    return p, pair
+
+
+def with_pairs(df: DataFrame, styles: list[str], templates: list[str] = K.PROMPTS_7) -> DataFrame:
+    """Rows of ``to_contents`` with their instruction and response; rows
+    without a style (seeds) keep the ones they have."""
+    p, pair = _pair_columns(df, styles, templates)
+    return p.select(*[c for c in df.columns if c not in pair], *[x.alias(c) for c, x in pair.items()])
+
+
+def first_of_key(df: DataFrame, styles: list[str], casefold: bool, prefix_len: int | None,
+                 templates: list[str] = K.PROMPTS_7) -> DataFrame:
+    """First-wins rows of ``to_contents`` (or pairs) by the key of their
+    instruction; the shuffle holds a SHA-256 of it."""
+    p, pair = _pair_columns(df, styles, templates)
+    key = F.unhex(F.sha2(dedupe_key(pair["instruction"], casefold=casefold, prefix_len=prefix_len), 256))
+    keyed = p.select(*[F.col(f"_own_{c}").alias(c) if c in pair else c for c in df.columns], key.alias("_k"))
+    return dedupe.dedupe_first(keyed, F.col("_k")).drop("_k")
+
+
 def _styled(df: DataFrame, style: str, templates: list[str]) -> DataFrame:
     if style == "quoted":
         return pairs.pair_quoted(df, "content", "title", templates)
@@ -97,13 +145,14 @@ def build_corpus_from_sources(spark, chosen: list[str], params: dict, seed: Data
     ``chosen=[]``, or only unknown names, with a seed is the seeds-only build."""
     from corpusmill.sources import registry
     if registry.chosen_builders(chosen) or seed is None:
-        allp = registry.build_sources(spark, chosen, params, to_pairs=to_pairs)
+        allp = registry.build_sources(spark, chosen, params, to_pairs=to_contents)
         if seed is not None:
             allp = combine.with_floor(allp, seed, mode=floor, n=floor_n)
     else:
         allp = combine.seed_rows(seed)
-    kept = dedupe.dedupe_first(allp, dedupe_key("instruction", casefold=casefold, prefix_len=prefix_len), hash_key=True)
-    return pairs.fill_record(kept, response_fallback=None)
+    styles = [registry.pair_style(n) for n in registry.chosen_builders(chosen)]
+    kept = first_of_key(allp, styles, casefold, prefix_len)
+    return pairs.fill_record(with_pairs(kept, styles), response_fallback=None)
 
 
 def format_expanded(items: DataFrame, templates: list[str] = K.PROMPTS_5, style: str = "plain",
@@ -178,19 +227,20 @@ def collect_corpus(spark, chosen: list[str], params: dict, seed: DataFrame | Non
     from corpusmill.sources import registry, staging
     names = registry.chosen_builders(chosen)
     ranks = dict(enumerate(names)) | ({SEED_RANK: "seed"} if seed is not None else {})
-    key = dedupe_key("instruction", casefold=casefold, prefix_len=prefix_len)
+    styles = [registry.pair_style(n) for n in names]
 
     def write(rows: DataFrame, mark: bool, spans=spans) -> tuple[dict, dict]:
         seen, kept = report.Counters(ranks, "collected"), report.Counters(ranks, "kept", "text")
-        out = pairs.fill_record(dedupe.dedupe_first(seen.watch(rows), key, hash_key=True), response_fallback=None)
-        sinks.sink_jsonl(out, path, ordered=ordered, watch=kept.watch, spans=spans, mark=mark)
+        first = first_of_key(seen.watch(rows), styles, casefold, prefix_len)
+        sinks.sink_jsonl(first, path, ordered=ordered, watch=kept.watch, spans=spans, mark=mark,
+                         record=lambda df: pairs.fill_record(with_pairs(df, styles), response_fallback=None))
         return seen.read(), kept.read()
 
     states = {}
     if names and stage_dir:
         first, states = staging.build_staged(spark, chosen, params, stage_dir, to_pairs)
     else:
-        first = registry.build_sources(spark, chosen, params, to_pairs=to_pairs) if names else None
+        first = registry.build_sources(spark, chosen, params, to_pairs=to_contents) if names else None
     later = floor == "if_below" and seed is not None and first is not None
     if floor not in ("always", "if_below"):
         raise ValueError(f"unknown floor mode {floor!r}")

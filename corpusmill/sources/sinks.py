@@ -17,13 +17,15 @@ FLAT_FIELDS = ["instruction", "response", "source", "language", "text"]
 
 
 def sink_jsonl(df: DataFrame, path: str, ordered: bool = False, ord_col: str = "ord",
-               mode: str = "overwrite", watch=None, spans: list[tuple[int, int, int]] | None = None, mark: bool = True) -> None:
+               mode: str = "overwrite", watch=None, spans: list[tuple[int, int, int]] | None = None, mark: bool = True, record=None) -> None:
     """Flat 5-field JSONL. ``ordered=True`` splits by ranges of ``ord`` and
     sorts within partitions, so part files concatenated in name order are in
     collection order (no single-partition sort). With ``spans`` (see
     ``range_of``) the ranges come from the parts of ``ord`` alone; without,
     Spark samples the frame for them, which runs its upstream plan once more.
 
+    ``record`` (``DataFrame -> DataFrame``) makes the five fields behind the
+    range exchange, so that texts they hold more than once are shuffled once.
     ``watch`` (``DataFrame -> DataFrame``, e.g. an ``observe``) is applied
     after the range exchange, so that a sampling job does not count rows
     twice. ``mark=False`` leaves the folder without ``_SUCCESS``: a later step completes it.
@@ -36,6 +38,8 @@ def sink_jsonl(df: DataFrame, path: str, ordered: bool = False, ord_col: str = "
             parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
             out = df.repartitionById(max(parts, len(spans)), range_of(F.col(ord_col), spans, parts))
         out = out.sortWithinPartitions(ord_col)
+    if record is not None:
+        out = record(out)
     if watch is not None:
         out = watch(out)
     out.select(*FLAT_FIELDS).write.mode(mode).option("ignoreNullFields", "true") \

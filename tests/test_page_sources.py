@@ -245,3 +245,26 @@ def test_page_sources_get_bounded_batches(spark):
         assert int(spark.conf.get(key)) <= 1000
     finally:
         spark.conf.set(key, old)
+
+
+# ---------------------------------------------------------------- contents through the shuffles
+def test_contents_give_the_same_pairs(spark):
+    rows = [(r, "s", "en", c, t, i, i % 3) for i, (r, c, t) in enumerate([(0, "one", "T"), (1, "two", None), (0, None, "U"), (1, "", ""), (0, "one", "V")])]
+    df = spark.createDataFrame(rows, "source_rank int, source string, language string, content string, title string, doc_ord long, pos int")
+    key = lambda d: sorted(map(str, d.select("instruction", "response", "source", "language", "ord").collect()))
+    for style in ("echo", "quoted", "summary", "commentary", {0: "quoted", 1: "summary"}, {0: "echo", 1: "echo"}):
+        styles = list(style.values()) if isinstance(style, dict) else [style]
+        made = CB.to_contents(df, style)
+        assert "instruction" not in made.columns and key(CB.with_pairs(made, styles)) == key(CB.to_pairs(df, style))
+        seed = spark.createDataFrame([(1, "q", "a"), (2, None, None)], "seed_id long, instruction string, response string")
+        both = CB.with_pairs(CB.first_of_key(CB.combine.with_floor(made, seed), styles, True, None), styles)
+        plain = CB.combine.with_floor(CB.to_pairs(df, style), seed)
+        assert key(both) == key(CB.dedupe.dedupe_first(plain, CB.dedupe_key("instruction"), hash_key=True))
+
+
+def test_a_content_is_shuffled_once_per_row(spark, monkeypatch):
+    counted_source(spark, 30)
+    given, sink = [], CB.sinks.sink_jsonl
+    monkeypatch.setattr(CB.sinks, "sink_jsonl", lambda df, *a, **k: (given.append(df.columns), sink(df, *a, **k)))
+    CB.collect_corpus(spark, ["t_counted"], {}, None, scratch_dir(spark, "lean"), ordered=True)
+    assert "content" in given[0] and not {"text", "instruction", "response"} & set(given[0])
